@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,29 +44,57 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordEncoder:
-    """Ids of a text, little-endian uint32, through a bounded cache of its white-space separated parts.
+    """Ids of a text, little-endian uint32, through a bounded cache of its white-space separated words.
 
-    The tokenizer drops white space and never joins across it, so the parts can be encoded one by one.
+    The tokenizer drops white space, lower-cases and never joins across white space, so words can be
+    lower-cased and encoded one by one. New words are encoded many at a time, with a mark between them
+    that is one id of its own; words holding the mark, and special tokens, are encoded alone.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    MARK = "|"
+
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), most, {}
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        parts = [(t or "").encode().split() for t in texts]
-        for words in parts:
-            try:
-                yield b"".join(map(self.cache.__getitem__, words))
-            except KeyError:
-                if len(self.cache) > self.most:
-                    self.cache.clear()
-                new = [w for w in set(words) if w not in self.cache]
-                for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    self.cache[w] = np.asarray(e.ids, "<u4").tobytes()
-                yield b"".join(map(self.cache.__getitem__, words))
+        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes], together: int = 200) -> None:
+        put, mark = self.cache.__setitem__, self.MARK.encode()
+        alone = [w for w in words if mark in w]
+        for w, ids in zip(alone, self._raw([w.decode() for w in alone]), strict=True):
+            put(w, ids)
+        words = [w for w in words if mark not in w]
+        groups = [words[k : k + together] for k in range(0, len(words), together)]
+        glue = b" " + mark + b" "
+        for group, raw in zip(groups, self._raw([(glue.join(g) + glue).decode() for g in groups]), strict=True):
+            at = 0
+            for w, stop in zip(group, (np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark) * 4).tolist(), strict=True):
+                put(w, raw[at:stop])
+                at = stop + 4
+
+    def encode(self, texts: list[str | None], together: int = 64) -> Iterator[bytes]:
+        cache = self.cache
+        for k in range(0, len(texts), together):
+            raw = [(t or "").encode() for t in texts[k : k + together]]
+            split = [r.lower().split() if b"<|" not in r else None for r in raw]
+            if len(cache) > self.most:
+                cache.clear()
+            new = set().union(*filter(None, split)).difference(cache)
+            if new:
+                self._learn(list(new))
+            for words, r in zip(split, raw, strict=True):
+                yield b"".join(map(cache.__getitem__, words)) if words is not None else self._raw([r.decode()])[0]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, whose later tasks find the words of earlier ones."""
+    return WordEncoder(path)
 
 
 _PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, _part long, _local long"
@@ -73,10 +102,10 @@ _PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, _par
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = WordEncoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        words, part, seen = encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             source, rows = [], []
-            for k, ids in enumerate(encoder.encode(batch.column(1).to_pylist())):
+            for k, ids in enumerate(words.encode(batch.column(1).to_pylist())):
                 ids += b"\0\0\0\0"
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     cut = ids[start * 4 : (start + capacity) * 4]
