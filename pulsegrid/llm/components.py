@@ -33,6 +33,8 @@ def contract(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     """labels (node, label) joined up by more edges (a, b): components of the labels, then nodes renamed."""
     if labels is None:
         return connected_components(edges)
+    if edges.isEmpty():
+        return labels
     named = edges
     for end in ("a", "b"):
         named = named.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")

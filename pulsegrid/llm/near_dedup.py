@@ -7,17 +7,18 @@ first, so a group of copies has one representative.
 
 A bucket gives a star: every member is paired with the bucket's hub only (the member with the least
 hash under the bucket's own order, so each band has another hub), which bounds pairs by rows times
-bands. Candidates are confirmed on full shingle sets. Only components matter, so
-
-1. each document's most frequent hub is confirmed first and components are built;
-2. then its other hubs, where they lie in another component;
-3. then, in buckets that still hold several components, every member outside the bucket's largest
-   component against all members of other components, a few such members per bucket at a time until
-   all have been through. No pair that shares a bucket goes unconfirmed unless both ends are already
-   connected.
-
-With 32 bands of 4 rows a pair at similarity 0.85 shares no bucket with probability 5e-11, at 0.8 5e-8.
-Pairs of large sets whose 128 minima agree far less than the threshold (0.15 below, over four standard
+bands. Candidates are confirmed on full shingle sets. Only components matter, so each document's most
+frequent hub is confirmed first, then its other hubs where they lie in another component.
+
+A star can miss a link between two of its rays, so buckets that still hold several components are
+looked at again. Where the members outside the bucket's largest component, times all members, are few,
+each of them is confirmed against all members of other components. A larger bucket is split by adding
+another band to its key, for each other band in turn, and gets stars of its own; this goes on for
+``levels`` bands, and what is left then is confirmed like the few, a part of the members at a time. So
+copies of thousands cost rows, not pairs, and there is no cap on partners.
+
+With 40 bands of 6 rows a pair at similarity 0.85 shares no bucket with probability 6e-9, at 0.8 5e-6.
+Pairs of large sets whose minima agree far less than the threshold (0.15 below, over four standard
 deviations) are not confirmed.
 
 Null, empty and wordless texts have empty sets and are linked with nothing; with fewer words than a
@@ -37,13 +38,13 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches, table
 from .components import contract
 
-ROWS, BANDS = 4, 32
+ROWS, BANDS = 6, 40
 BINS = ROWS * BANDS
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PROBE = _RNG.integers(0, BINS, (4096, BINS))
-_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
-_HUBS_AT_ONCE = 16
+_EDGES = np.array([(k << 64) // BINS for k in range(BINS)], np.uint64)
+_FEW = 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -166,8 +167,38 @@ class _Confirm:
         one = likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         two = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
         both = F.size(F.array_intersect("sa", "sb"))
-        close = two.filter(100 * both >= self.least * (F.size("sa") + F.size("sb") - both))
-        return materialize(close.select("a", "b").distinct())
+        return materialize(two.filter(100 * both >= self.least * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, end: str = "id", name: str = "label") -> DataFrame:
+    return rows.join(labels.select(F.col("node").alias(end), F.col("label").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    return _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").filter("la != lb").select("a", "b")
+
+
+def _stars(members: DataFrame, confirm: _Confirm, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """members: id, key. Confirms the stars of all buckets; returns the labels, and the members (id, key, minor, turns) of buckets that still need a look."""
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", F.xxhash64("id", "key")).alias("hub"))
+    buckets = materialize(buckets.filter("size > 1"))
+    shared = materialize(members.join(buckets, "key"))
+    stars = materialize(shared.filter("id != hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("times")))
+    first = stars.groupBy("id").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    labels = contract(labels, confirm(first if labels is None else _apart(first, labels)))
+    labels = contract(labels, confirm(_apart(stars.select(F.col("id").alias("a"), F.col("hub").alias("b")), labels)))
+    wide = materialize(_labelled(shared.filter("size > 2").select("id", "key"), labels))
+    parts = materialize(wide.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")))
+    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
+    mixed = mixed.filter("labels > 1").select("key", "main", F.ceil((F.col("all") - F.col("most")) * F.col("all") / _FEW).alias("turns"))
+    again = wide.join(materialize(mixed), "key").select("id", "key", (F.col("label") != F.col("main")).alias("minor"), "turns")
+    return labels, materialize(again)
+
+
+def _rays(members: DataFrame, lead: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of a bucket's lead with its members in other components."""
+    lead = _labelled(lead.select("key", F.col("id").alias("a")), labels, "a", "la")
+    return _labelled(members.select("key", "id"), labels).join(lead, "key").filter("label != la").select("a", F.col("id").alias("b"))
 
 
 def near_groups(
@@ -176,6 +207,7 @@ def near_groups(
     text_col: str = "text",
     width: int = 5,
     least_percent: int = 80,
+    levels: int = 4,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= least_percent * union."""
     small_batches(docs.sparkSession)
@@ -184,40 +216,21 @@ def near_groups(
     copies = materialize(seen.filter("n > 0").groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")))
     owner = copies.filter("rep is not null").select(F.col("rep").alias("id"), "same")
     reps = materialize(seen.filter("n > 0").join(owner, ["id", "same"], "left_semi").dropDuplicates(["id"]).select("id", "n", "bands", "minima"))
+    confirm, labels = _Confirm(docs, reps, width, least_percent), None
     members = reps.select("id", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", F.xxhash64("id", "key")).alias("hub"))
-    buckets = materialize(buckets.filter("size > 1"))
-    shared = materialize(members.join(buckets, "key"))
-    stars = materialize(shared.filter("id != hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("times")))
-    confirm = _Confirm(docs, reps, width, least_percent)
-
-    edges = confirm(stars.groupBy("id").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    labels = contract(None, edges)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        for e in ("a", "b"):
-            pairs = pairs.join(labels.select(F.col("node").alias(e), F.col("label").alias(f"l{e}")), e, "left")
-        return pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-    edges = confirm(apart(stars.select(F.col("id").alias("a"), F.col("hub").alias("b"))))
-    labels = contract(labels, edges)
-
-    # buckets of three and more that still hold several components
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-
-    wide = labelled(shared.filter("size > 2").select("id", "key"))
-    parts = materialize(wide.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")))
-    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
-    mixed = materialize(mixed.filter("labels > 1").select("key", "main", F.ceil((F.col("all") - F.col("most")) / _HUBS_AT_ONCE).alias("turns")))
-    turns = mixed.agg(F.max("turns")).first()[0] or 0
-    if turns:
-        inside = materialize(wide.join(mixed, "key").select("id", "key", (F.col("label") != F.col("main")).alias("minor"), F.pmod(F.xxhash64("key", "id"), "turns").alias("turn")))
-        for turn in range(turns):
-            now = labelled(inside)
-            lead = now.filter((F.col("turn") == turn) & F.col("minor")).select("key", F.col("id").alias("a"), F.col("label").alias("la"))
-            pairs = now.select("key", F.col("id").alias("b"), "label").join(lead, "key").filter("label != la").select("a", "b")
-            labels = contract(labels, confirm(pairs))
+    for level in range(levels):
+        labels, again = _stars(members, confirm, labels)
+        few, many = again.filter("turns <= 1"), again.filter("turns > 1")
+        labels = contract(labels, confirm(_rays(few, few.filter("minor"), labels)))
+        turns = many.agg(F.max("turns")).first()[0]
+        if not turns:
+            break
+        if level < levels - 1:
+            members = many.select("id", "key").join(reps.select("id", F.explode("bands").alias("band")), "id").filter("key != band")
+            members = materialize(members.select("id", F.xxhash64("key", "band").alias("key")))
+        else:
+            for turn in range(turns):
+                labels = contract(labels, confirm(_rays(many, many.filter(F.col("minor") & (F.pmod(F.xxhash64("id", "key"), "turns") == turn)), labels)))
 
     linked = labels.select(F.col("node").alias("rep"), "label")
     groups = materialize(copies.join(linked, "rep", "left").filter("rows > 1 or label is not null").select("same", F.coalesce("label", "rep").alias("component")))
