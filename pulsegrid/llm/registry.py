@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, exact_dedup, near_dedup, packing, pii, quality, url_filter, warc
+from . import decontaminate, exact_dedup, lm_score, near_dedup, packing, pii, quality, url_filter, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op2_packing": packing.op2_packing,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_quality": quality.op4_quality,
+        "op5_lm_scoring": lm_score.op5_lm_scoring,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op8_warc": warc.op8_warc,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
