@@ -5,21 +5,19 @@ bins; a bin's smallest hash is its minimum, and an empty bin copies a full one f
 probe (optimal densification). Bands of rows make bucket keys. Documents with equal sets are merged
 first, so a group of copies has one representative.
 
-A bucket gives a star: every member is paired with the bucket's hub only (the member with the least
-hash under the bucket's own order, so each band has another hub), which bounds pairs by rows times
-bands. Candidates are confirmed on full shingle sets. Only components matter, so each document's most
+A bucket gives a star: every member is paired with the bucket's hub only (the member that shares most
+buckets with others, which is the middle of its group), which bounds pairs by rows times bands. Candidates are confirmed on full shingle sets. Only components matter, so each document's most
 frequent hub is confirmed first, then its other hubs where they lie in another component.
 
 A star can miss a link between two of its rays, so buckets that still hold several components are
-looked at again. Where the members outside the bucket's largest component, times all members, are few,
-each of them is confirmed against all members of other components. A larger bucket is split by adding
-another band to its key, for each other band in turn, and gets stars of its own; this goes on for
-``levels`` bands, and what is left then is confirmed like the few, a part of the members at a time. So
-copies of thousands cost rows, not pairs, and there is no cap on partners.
+looked at again: their members outside the bucket's largest component meet all members of other
+components. The join that brings them together compares sizes and signatures as it goes and keeps a
+pair only in the first bucket that both share, so what it puts out are likely pairs, once each. There
+is no cap on partners; work in one bucket is dealt into turns of at most ``_WORK`` comparisons.
 
 With 40 bands of 6 rows a pair at similarity 0.85 shares no bucket with probability 6e-9, at 0.8 5e-6.
-Pairs of large sets whose minima agree far less than the threshold (0.15 below, over four standard
-deviations) are not confirmed.
+Signatures are the low four bits of each minimum, as bit planes; pairs of larger sets (200 or more)
+that differ in over 4.5 standard deviations more minima than a pair at the threshold are not confirmed.
 
 Null, empty and wordless texts have empty sets and are linked with nothing; with fewer words than a
 shingle the whole sequence is one shingle. Null ids get no component unless an equal set has an id.
@@ -29,10 +27,11 @@ Repeated rows are reported one by one. Empty tables give empty results; other co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, table
@@ -44,7 +43,8 @@ _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PROBE = _RNG.integers(0, BINS, (4096, BINS))
 _EDGES = np.array([(k << 64) // BINS for k in range(BINS)], np.uint64)
-_FEW = 1 << 16
+_WORK = 1 << 24
+_PLANES, _WORDS = 4, -(-BINS // 64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -97,77 +97,94 @@ def band_keys(v: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """docs: id, text. Per row: id, n, same (digest of the set), bands, minima (a byte each)."""
+    """docs: id, text. Per row: id, n, same (digest of the set), bands."""
     from hashlib import blake2b
 
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, same, bands, minima = [], [], [], []
+            n, same, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 u = shingles(text, width)
                 n.append(len(u))
                 if len(u):
-                    v = signature(u)
                     same.append(blake2b(u.tobytes(), digest_size=16).digest())
-                    bands.append(band_keys(v))
-                    minima.append(v.astype(np.uint8).tobytes())
+                    bands.append(band_keys(signature(u)))
                 else:
                     same.append(None)
                     bands.append(None)
-                    minima.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(minima, pa.binary())],
-                names=["id", "n", "same", "bands", "minima"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["id", "n", "same", "bands"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, same binary, bands array<long>, minima binary")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, same binary, bands array<long>")
+
+
+def planes(v: np.ndarray) -> np.ndarray:
+    """The minima's low bits: for each bit, one per bin in 64-bit words."""
+    bits = np.zeros((_PLANES, _WORDS * 64), np.uint8)
+    for k in range(_PLANES):
+        bits[k, :BINS] = (v >> np.uint64(k)) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.int64).ravel()
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    kind = docs.schema["id"].dataType.simpleString()
+    """Per document of ids: id, planes, set."""
+    kind, conf = docs.schema["id"].dataType.simpleString(), docs.sparkSession.conf
+    # texts outside ids are left out before the shuffle, by Spark's own Bloom filter
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
+            seen = [planes(signature(u)) if len(u) else np.zeros(_PLANES * _WORDS, np.int64) for u in sets]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen, longs), pa.array([u.view(np.int64) for u in sets], longs)], names=["id", "planes", "set"])
 
-    return docs.select("id", "text").join(ids, "id", "left_semi").mapInArrow(run, f"id {kind}, set array<long>")
+    return docs.select("id", "text").join(ids.filter("times > 0").select("id"), "id", "left_semi").mapInArrow(run, f"id {kind}, planes array<long>, set array<long>")
 
 
 class _Confirm:
-    """Confirms pairs (a, b) of representatives on their full sets, which are made once for all that may be asked."""
-
-    def __init__(self, docs: DataFrame, reps: DataFrame, width: int, least: int):
-        self.docs, self.reps, self.width, self.least, self.sets = docs, reps, width, least, None
+    """Confirms pairs (a, b) on their full sets, which are made in one pass for all documents that share a bucket."""
+
+    def __init__(self, docs: DataFrame, width: int, least: int):
+        self.docs, self.width, self.least, self.sets = docs, width, least, None
+        apart = (1 - least / 100) * (1 - 0.5**_PLANES)
+        self.most = int(BINS * apart + 4.5 * (BINS * apart * (1 - apart)) ** 0.5)
+
+    def prepare(self, ids: DataFrame) -> None:
+        sets = _sets(self.docs, ids, self.width).withColumn("n", F.size("set"))
+        self.sets = materialize(sets.dropDuplicates(["id"]))
+
+    def seen(self, end: str) -> DataFrame:
+        """id, size and signature of each document that shares a bucket, named for one end of a pair."""
+        return self.sets.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("planes").alias(f"p{end}"))
+
+    def likely(self) -> Column:
+        """Whether the ends a and b, with what seen() gives, may be linked."""
+        unlike = []
+        for w in range(_WORDS):
+            x = [F.col("pa")[k * _WORDS + w].bitwiseXOR(F.col("pb")[k * _WORDS + w]) for k in range(_PLANES)]
+            unlike.append(F.bit_count(reduce(Column.bitwiseOR, x)))
+        small = F.least("na", "nb") < 200
+        return (100 * F.least("na", "nb") >= self.least * F.greatest("na", "nb")) & (small | (reduce(Column.__add__, unlike) <= self.most))
 
-    def _likely(self, pairs: DataFrame) -> DataFrame:
-        kind = pairs.schema["a"].dataType.simpleString()
-        for e in ("a", "b"):
-            pairs = pairs.join(self.reps.select(F.col("id").alias(e), F.col("n").alias(f"n{e}"), F.col("minima").alias(f"m{e}")), e)
-        pairs = pairs.filter((100 * F.least("na", "nb") >= self.least * F.greatest("na", "nb")))
-        floor = (self.least / 100 - 0.15) * BINS
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    c = {n: batch.column(n) for n in ("a", "b", "na", "nb", "ma", "mb")}
-                    ma, mb = (np.frombuffer(b"".join(c[m].to_pylist()), np.uint8).reshape(-1, BINS) for m in ("ma", "mb"))
-                    small = np.minimum(c["na"].to_numpy(), c["nb"].to_numpy()) < 200
-                    keep = small | ((ma == mb).sum(axis=1) >= floor)
-                    yield pa.RecordBatch.from_arrays([c["a"], c["b"]], names=["a", "b"]).filter(pa.array(keep))
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return self.linked(materialize(pairs.join(self.seen("a"), "a").join(self.seen("b"), "b").filter(self.likely()).select("a", "b")))
 
-        return pairs.mapInArrow(run, f"a {kind}, b {kind}")
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        one = pairs.join(self.sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+        two = one.join(self.sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+        return materialize(two.filter(self.close()).select("a", "b"))
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        likely = materialize(self._likely(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-        ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-        sets = materialize(_sets(self.docs, ids, self.width))
-        one = likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-        two = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    def close(self) -> Column:
         both = F.size(F.array_intersect("sa", "sb"))
-        return materialize(two.filter(100 * both >= self.least * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+        return 100 * both >= self.least * (F.size("sa") + F.size("sb") - both)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, end: str = "id", name: str = "label") -> DataFrame:
@@ -180,25 +197,34 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _stars(members: DataFrame, confirm: _Confirm, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """members: id, key. Confirms the stars of all buckets; returns the labels, and the members (id, key, minor, turns) of buckets that still need a look."""
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", F.xxhash64("id", "key")).alias("hub"))
-    buckets = materialize(buckets.filter("size > 1"))
+    buckets = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     shared = materialize(members.join(buckets, "key"))
-    stars = materialize(shared.filter("id != hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("times")))
+    ids = materialize(shared.groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.sum("size").alias("company")))
+    if confirm.sets is None:
+        confirm.prepare(ids)
+    rank = F.col("company") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    hubs = materialize(shared.join(ids, "id").groupBy("key").agg(F.max_by("id", rank).alias("hub")))
+    stars = materialize(shared.join(hubs, "key").filter("id != hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("times")))
     first = stars.groupBy("id").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     labels = contract(labels, confirm(first if labels is None else _apart(first, labels)))
     labels = contract(labels, confirm(_apart(stars.select(F.col("id").alias("a"), F.col("hub").alias("b")), labels)))
     wide = materialize(_labelled(shared.filter("size > 2").select("id", "key"), labels))
     parts = materialize(wide.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")))
     mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
-    mixed = mixed.filter("labels > 1").select("key", "main", F.ceil((F.col("all") - F.col("most")) * F.col("all") / _FEW).alias("turns"))
+    mixed = mixed.filter("labels > 1").select("key", "main", F.ceil((F.col("all") - F.col("most")) * F.col("all") / _WORK).alias("turns"))
     again = wide.join(materialize(mixed), "key").select("id", "key", (F.col("label") != F.col("main")).alias("minor"), "turns")
     return labels, materialize(again)
 
 
-def _rays(members: DataFrame, lead: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a bucket's lead with its members in other components."""
-    lead = _labelled(lead.select("key", F.col("id").alias("a")), labels, "a", "la")
-    return _labelled(members.select("key", "id"), labels).join(lead, "key").filter("label != la").select("a", F.col("id").alias("b"))
+def _rays(members: DataFrame, lead: DataFrame, confirm: _Confirm, labels: DataFrame) -> DataFrame:
+    """Links of each bucket's lead with its members in other components."""
+    keys = materialize(members.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")))  # at most BANDS of them
+    about = materialize(_labelled(keys, labels).join(confirm.sets, "id"))
+    end = lambda rows, e: rows.select("key", "id").join(about, "id").select("key", F.col("id").alias(e), F.col("n").alias(f"n{e}"), F.col("planes").alias(f"p{e}"), F.col("label").alias(f"l{e}"), F.col("keys").alias(f"k{e}"), F.col("set").alias(f"s{e}"))
+    once = F.element_at(F.array_intersect("ka", "kb"), 1)
+    left, right = end(members, "b").alias("x"), end(lead, "a").alias("y")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("la") != F.col("lb")) & confirm.likely() & (once == F.col("x.key")) & confirm.close()
+    return materialize(left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def near_groups(
@@ -207,7 +233,6 @@ def near_groups(
     text_col: str = "text",
     width: int = 5,
     least_percent: int = 80,
-    levels: int = 4,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= least_percent * union."""
     small_batches(docs.sparkSession)
@@ -215,22 +240,12 @@ def near_groups(
     seen = materialize(_signatures(docs, width))
     copies = materialize(seen.filter("n > 0").groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")))
     owner = copies.filter("rep is not null").select(F.col("rep").alias("id"), "same")
-    reps = materialize(seen.filter("n > 0").join(owner, ["id", "same"], "left_semi").dropDuplicates(["id"]).select("id", "n", "bands", "minima"))
-    confirm, labels = _Confirm(docs, reps, width, least_percent), None
-    members = reps.select("id", F.explode("bands").alias("key"))
-    for level in range(levels):
-        labels, again = _stars(members, confirm, labels)
-        few, many = again.filter("turns <= 1"), again.filter("turns > 1")
-        labels = contract(labels, confirm(_rays(few, few.filter("minor"), labels)))
-        turns = many.agg(F.max("turns")).first()[0]
-        if not turns:
-            break
-        if level < levels - 1:
-            members = many.select("id", "key").join(reps.select("id", F.explode("bands").alias("band")), "id").filter("key != band")
-            members = materialize(members.select("id", F.xxhash64("key", "band").alias("key")))
-        else:
-            for turn in range(turns):
-                labels = contract(labels, confirm(_rays(many, many.filter(F.col("minor") & (F.pmod(F.xxhash64("id", "key"), "turns") == turn)), labels)))
+    reps = materialize(seen.filter("n > 0").join(owner, ["id", "same"], "left_semi").dropDuplicates(["id"]).select("id", "bands"))
+    confirm, labels = _Confirm(docs, width, least_percent), None
+    labels, again = _stars(reps.select("id", F.explode("bands").alias("key")), confirm, labels)
+    for turn in range(again.agg(F.max("turns")).first()[0] or 0):
+        lead = again.filter(F.col("minor") & (F.pmod(F.xxhash64("id", "key"), "turns") == turn))
+        labels = contract(labels, _rays(again, lead, confirm, labels))
 
     linked = labels.select(F.col("node").alias("rep"), "label")
     groups = materialize(copies.join(linked, "rep", "left").filter("rows > 1 or label is not null").select("same", F.coalesce("label", "rep").alias("component")))
