@@ -16,7 +16,7 @@ from pulsegrid.llm.near_dedup import drop_near_duplicates
 from pulsegrid.llm.packing import pack
 from pulsegrid.llm.quality import keep_good
 
-#: SQL cannot express the classifier, so no stage after it either; the tests hold run() against brute force.
+#: SQL cannot express the classifier, so no stage after it either; tests/llm hold each stage's operator against brute force or SQL.
 ORACLE_SQL = None
 
 
