@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, exact_dedup, lm_score, near_dedup, packing, pii, quality, url_filter, warc
+from . import decontaminate, exact_dedup, line_dedup, lm_score, near_dedup, packing, pii, quality, url_filter, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable]:
         "op4_quality": quality.op4_quality,
         "op5_lm_scoring": lm_score.op5_lm_scoring,
         "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_warc": warc.op8_warc,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_pii": pii.op10_pii,
@@ -26,6 +27,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filters": url_filter.OP1_SQL,
         "op3_decontamination": decontaminate.OP3_SQL,
         "op6_near_dedup": near_dedup.OP6_SQL,
+        "op7_line_dedup": line_dedup.OP7_SQL,
         "op8_warc": warc.OP8_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
     }

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, exact_dedup, near_dedup, packing, pii, quality, registry, url_filter, warc
+from pulsegrid.llm import decontaminate, exact_dedup, line_dedup, near_dedup, packing, pii, quality, registry, url_filter, warc
 
 FOLDER = "/root/testdata/sf0.001"
 HARD = [(1, "A b c d e f"), (2, "a B c d e f"), (3, None), (4, ""), (5, "x " * 30_000), (None, "a b c d e f"), (3, None), (6, "a b c d e f")]
@@ -140,3 +140,19 @@ def test_url_hard_rows(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark)).collect()}
     assert got == {1: (None, "allow"), 2: (None, "allow"), 3: ("net/", "block"), 4: (None, "allow"), 5: ("example.net/en/", "allow"), 6: (None, "allow")}
+
+
+def test_line_dedup_drops_templates(spark, hard):
+    footer, other = "Page {} of the report by {} at all times", "Here no line is like any other {}"
+    texts = [f"{other.format(chr(97 + k) * 9)} {'w ' * k}\n{footer.format(k, n)}\nof it\n" for k, n in enumerate(("ann", "bob", "cy", "dee"))]
+    docs = spark.createDataFrame([(k, t, "x", k) for k, t in enumerate([*texts, texts[0], None])], "doc_id long, text string, dig string, n int")
+    got = {r.doc_id: (r.n_lines, r.dropped_at) for r in line_dedup.line_report(docs).collect()}
+    assert got == {**dict.fromkeys(range(5), (4, "1")), 5: (1, "")}
+    clean = line_dedup.drop_lines(docs)
+    assert clean.columns == docs.columns
+    assert {r.doc_id: r.text for r in clean.collect()} == {5: None, **{k: t.split("\n")[0] + "\nof it\n" for k, t in enumerate([*texts, texts[0]])}}
+    assert {r.n_dropped for r in line_dedup.line_report(hard).collect()} == {0} and line_dedup.line_report(hard).count() == len(HARD)
+    assert line_dedup.line_report(hard.limit(0)).count() == 0 and line_dedup.drop_lines(hard.limit(0)).count() == 0
+    # two distinct texts with a line are not enough, nor is one text that repeats it
+    few = spark.createDataFrame([(1, "a b c d\n" * 5), (2, "a b c d"), (3, "e")], "doc_id long, text string")
+    assert line_dedup.line_report(few).filter("n_dropped > 0").count() == 0
