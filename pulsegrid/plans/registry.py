@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import candidates as C
+from ..operators import clusters, dedisperse, transforms
 from ..operators import spectra as S
 from ..sources.tables import BLOCK, CAND_SQL, SPECTRA_SQL, candidates, read, spectra
+from ..streaming import blocks
 
 _Q: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
 
-def _add(name: str, query: Callable, sql: str) -> None:
+def _add(name: str, query: Callable, sql: str | None = None) -> None:
     _Q[name] = query
+    if sql is None:
+        return
+    if sql.startswith("with recursive "):
+        _SQL[name] = sql
+        return
     used = [d for d, n in ((SPECTRA_SQL, "spectra"), (CAND_SQL, "cand")) if f" {n}" in f" {sql}"]
     _SQL[name] = f"with {', '.join(used)} {sql}" if used and not sql.startswith("with ") else f"with {', '.join(used)}, {sql[5:]}" if used else sql
 
@@ -103,3 +110,39 @@ _add("polyval_delay", lambda s, d: candidates(s, d).select("rid", _r(scalars.pol
 _add("sex2deg", lambda s, d: candidates(s, d).select("rid", _r(scalars.sexagesimal_to_degrees(F.col("rid").cast("double")), "deg")), "with p as (select rid, rid // 10000 as d, rid // 100 % 100 as m, rid % 100 as s from cand) select rid, case when m < 60 and s < 60 then round(d + m / 60 + s / 3600, 6) end as deg from p")
 _add("range_expand", lambda s, d: read(s, d, "region").select("r_regionkey", F.explode(scalars.expand_ranges(F.concat(F.lit("1-3,7,9-"), (F.col("r_regionkey") + 10).cast("string")))).alias("n")), "select r_regionkey, unnest([1, 2, 3, 7] || generate_series(9, r_regionkey + 10)) as n from region")
 _add("tumbling_blocks", lambda s, d: read(s, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top")), "select event_type, date_trunc('hour', ts) as hour, count(*) as n, max(value) as top from events group by all")
+
+_add(
+    "density_clusters",
+    lambda s, d: clusters.density_clusters(candidates(s, d), 6, 3),
+    "with recursive " + CAND_SQL + ", near as (select a.rid as a, b.rid as b from cand a join cand b on a.beam = b.beam and a.rid <> b.rid and abs(a.sampno - b.sampno) <= 6 and (a.sampno - b.sampno) ** 2 + (a.boxcar - b.boxcar) ** 2 + (a.dm - b.dm) ** 2 <= 36),"
+    " core as (select a from near group by a having count(*) >= 2), edge as (select near.a, near.b from near join core x on near.a = x.a join core y on near.b = y.a),"
+    " reach(n, l) as (select a, a from core union select e.b, r.l from reach r join edge e on r.n = e.a where r.l < e.b), label as (select n, min(l) as cluster from reach group by n)"
+    " select n as rid, cluster, true as core from label union all select near.a, min(label.cluster), false from near join label on near.b = label.n where near.a not in (select a from core) group by near.a",
+)
+_add("friends_of_friends", lambda s, d: clusters.friends_of_friends(candidates(s, d)))
+_NF, _F0, _DF, _ND = 64, 1.0, 0.005, 16
+_TRACE = ", ".join(str((d, *x)) for d in range(_ND) for x in dedisperse.trace(dedisperse.tree(_NF, _F0, _DF, _ND), d))
+_add(
+    "fdmt_tree",
+    lambda s, d: dedisperse.dedisperse_tree(spectra(s, d), _NF, _F0, _DF, _ND, BLOCK),
+    f"with tr(idt, chan, depth, shift) as (values {_TRACE}) select beam, idt, t + shift + k as t, cast(sum(v) as bigint) as v from (select spectra.beam, spectra.t, spectra.v, cast(tr.idt as bigint) as idt, tr.shift, unnest(generate_series(0, tr.depth)) as k from spectra join tr using (chan)) z group by all having sum(v) <> 0",
+)
+_add(
+    "power_spectrum",
+    lambda s, d: transforms.power_spectrum(_series(s, d), BLOCK).select("beam", "blk", "k", _r("power", "power", 2)),
+    f"with {_SERIES} select beam, t // {BLOCK} as blk, k, round(sum(v * cos(2 * pi() * k * (t % {BLOCK}) / {BLOCK})) ** 2 + sum(v * sin(2 * pi() * k * (t % {BLOCK}) / {BLOCK})) ** 2, 2) as power from ser, generate_series(0, {BLOCK // 2}) _(k) group by all",
+)
+_vis = lambda s, d: candidates(s, d).select((F.col("sampno") % 16).alias("t"), ((F.col("beam") - 18) * 0.5).cast("double").alias("u"), ((F.col("idt") - 25) * 0.5).cast("double").alias("v"), F.col("dm").alias("re"), F.col("boxcar").cast("long").alias("im"))
+_add(
+    "uv_grid",
+    lambda s, d: transforms.uv_grid(_vis(s, d), 32, 1.0),
+    "with vis as (select sampno % 16 as t, (beam - 18) * 0.5::double as u, (idt - 25) * 0.5::double as v, dm as re, boxcar::bigint as im from cand), both_ as (select * from vis union all select t, -u, -v, re, -im from vis)"
+    " select t, cast(round_even(u + 16, 0) as int) as upix, cast(round_even(v + 16, 0) as int) as vpix, cast(sum(re) as bigint) as re, cast(sum(im) as bigint) as im from both_ where (u <> 0 or v <> 0) and round_even(u + 16, 0) between 0 and 31 and round_even(v + 16, 0) between 0 and 31 group by all",
+)
+_add("uv_image", lambda s, d: transforms.image(transforms.uv_grid(_vis(s, d), 32, 1.0), 32).select("t", "x", "y", _r("v", "v")))
+_add("strongest_removed", lambda s, d: transforms.remove_strongest(spectra(s, d), BLOCK).select("beam", "t", "chan", _r("v", "v")))
+_add(
+    "stream_tumbling",
+    lambda s, d: blocks.run_available(blocks.tumbling(blocks.stream_table(s, d, "events"), "1 hour", "2 hours")),
+    "select * from (select event_type, date_trunc('hour', ts) as start, count(*) as n, max(value) as top from events group by all) z where start + interval 1 hour <= (select date_trunc('milliseconds', max(ts)) from events) - interval 2 hours",
+)
