@@ -1,4 +1,4 @@
-"""Structured Streaming forms: tumbling blocks and the reorder buffer, under a watermark."""
+"""Structured Streaming forms: tumbling blocks under a watermark."""
 
 from __future__ import annotations
 
