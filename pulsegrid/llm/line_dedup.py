@@ -1,12 +1,11 @@
 """Line deduplication by a fixed-depth log-template tree.
 
 A line's words with digits become ``<*>``. The tree has fixed depth: its first level is the number of
-words, the next ``DEPTH`` levels the leading words; a leaf is one path. The words behind are cut into ``PARTS``
-segments, and lines none of whose segments recurs in the leaf (in ``min_docs`` texts, counted per distinct
-line) are in no template: this keeps ordinary prose out of what follows. Of the other lines, a word is
-constant at its place if lines of the leaf with it there come from ``min_docs`` texts, counted likewise,
-else a variable field. A line's template is its leaf, its constants and the places of its masked words. Templates depend on
-no order of the lines, so leaves need not be walked by one task each: all steps are aggregates and joins.
+words, the next ``DEPTH`` levels the leading words; a leaf is one path. All lines of a leaf with lines from
+``min_docs`` texts (counted per distinct line) are compared. A word is constant at its place if lines of the leaf
+with it there come from ``min_docs`` texts, counted likewise, else a variable field. A line's template is its leaf,
+its constants and the places of its masked words. Templates depend on no order of the lines, so leaves need not be
+walked by one task each: all steps are aggregates and joins.
 
 A template recurs if ``min_docs`` distinct texts hold it, two words at least are constant, and constants
 make ``least_constant`` of the words without digits; lines of recurring templates are dropped, first
@@ -33,9 +32,9 @@ from xxhash import xxh3_64_intdigest
 from .common import materialize, small_batches, table
 
 DEPTH, MIN_DOCS, LEAST_CONSTANT = 3, 3, 0.8
-PARTS = 5
-_LEAF_LINE, _SEGMENTS = ["leaf", "line"], [f"s{k}" for k in range(PARTS)]
-_PLACE, _WORDS = "dig binary, at int, leaf long, line long, " + ", ".join(f"{s} long" for s in _SEGMENTS), "leaf long, line long, fixed int, leading int, mask long, text string"
+PARTS = 5  # of OP7_SQL only
+_LEAF_LINE = ["leaf", "line"]
+_PLACE, _WORDS = "dig binary, at int, leaf long, line long", "leaf long, line long, fixed int, leading int, mask long, text string"
 _DIGIT = re.compile(rb"[0-9]")
 
 
@@ -55,12 +54,6 @@ def _leaf_line(words: list[bytes]) -> tuple[int, int]:
     return _hash(b" ".join(words[:DEPTH]), len(words)), _hash(b" ".join(words))
 
 
-def _segments(words: list[bytes]) -> list[int]:
-    """Hashes of the PARTS pieces, nearly equal and some perhaps empty, of the words behind the leading ones."""
-    m = len(words) - DEPTH
-    return [_hash(b" ".join(words[DEPTH + k * m // PARTS : DEPTH + (k + 1) * m // PARTS]), k + 1) for k in range(PARTS)]
-
-
 def _lines(texts: DataFrame, schema: str) -> DataFrame:
     """texts: _dig, _t. Per line that reaches a leaf, _PLACE or _WORDS."""
     places = schema is _PLACE
@@ -73,7 +66,7 @@ def _lines(texts: DataFrame, schema: str) -> DataFrame:
                 for at, words in parse(text):
                     leaf, line = _leaf_line(words)
                     if places:
-                        rows.append((dig, at, leaf, line, *_segments(words)))
+                        rows.append((dig, at, leaf, line))
                     else:
                         masked = [k for k, w in enumerate(words) if w == b"<*>"]
                         mask = _hash(",".join(map(str, masked)).encode())
@@ -86,11 +79,9 @@ def _lines(texts: DataFrame, schema: str) -> DataFrame:
 
 
 def _busy(lines: DataFrame, min_docs: int) -> DataFrame:
-    """lines: leaf, line, n, segments. Those, as leaf, line, n, of which a segment recurs in the leaf."""
-    at = lines.select(*_LEAF_LINE, "n", F.explode(F.array(*_SEGMENTS)).alias("s"))
-    shared = at.groupBy("leaf", "s").agg(F.sum("n").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf", "s")
-    few = at.filter(F.col("n") < min_docs).join(materialize(shared), ["leaf", "s"], "left_semi").select(*_LEAF_LINE, "n").distinct()
-    return materialize(lines.filter(F.col("n") >= min_docs).select(*_LEAF_LINE, "n").unionByName(few))
+    """lines: leaf, line, n. Those of leaves with lines from min_docs texts."""
+    leaves = lines.groupBy("leaf").agg(F.sum("n").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
+    return materialize(lines.join(materialize(leaves), "leaf", "left_semi"))
 
 
 def _templates(texts: DataFrame, lines: DataFrame, min_docs: int, least_constant: float) -> DataFrame:
@@ -114,7 +105,7 @@ def _templates(texts: DataFrame, lines: DataFrame, min_docs: int, least_constant
 def _recurring(texts: DataFrame, min_docs: int, least_constant: float) -> DataFrame:
     """texts: _dig, _t. Per text with lines to drop: _dig, _drop (their places)."""
     places = materialize(_lines(texts, _PLACE).dropDuplicates(["dig", "at"]))
-    lines = materialize(places.groupBy(*_LEAF_LINE).agg(F.count_distinct("dig").alias("n"), *[F.first(s).alias(s) for s in _SEGMENTS]))
+    lines = materialize(places.groupBy(*_LEAF_LINE).agg(F.count_distinct("dig").alias("n")))
     template = ["leaf", "t1", "t2", "mask"]
     found = _templates(texts, lines, min_docs, least_constant)
     sums = materialize(found.groupBy(*template).agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("lines")).filter(F.col("docs") >= min_docs))

@@ -156,3 +156,11 @@ def test_line_dedup_drops_templates(spark, hard):
     # two distinct texts with a line are not enough, nor is one text that repeats it
     few = spark.createDataFrame([(1, "a b c d\n" * 5), (2, "a b c d"), (3, "e")], "doc_id long, text string")
     assert line_dedup.line_report(few).filter("n_dropped > 0").count() == 0
+
+
+def test_line_dedup_finds_templates_without_a_recurring_segment(spark):
+    # 23 of 28 words are constant, but each fifth of the words behind the leading three has one that changes
+    line = "all of the " + " ".join(f"{w} {w}b {w}c {w}d {{{k}}}" for k, w in enumerate(("ka", "le", "mi", "no", "pu")))
+    word = lambda d, k: "".join(chr(97 + int(c)) for c in f"{7 * d + k:03}")
+    docs = spark.createDataFrame([(d, f"own {word(d, 9)}\n" + line.format(*(word(d, k) for k in range(5)))) for d in range(4)], "doc_id long, text string")
+    assert {r.doc_id: r.dropped_at for r in line_dedup.line_report(docs).collect()} == dict.fromkeys(range(4), "1")
