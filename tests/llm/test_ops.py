@@ -1,12 +1,13 @@
 import hashlib
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontaminate, exact_dedup, line_dedup, near_dedup, packing, pii, quality, registry, url_filter, warc
+from pulsegrid.llm import decontaminate, exact_dedup, line_dedup, lm_score, near_dedup, packing, pii, quality, registry, url_filter, warc
 
 FOLDER = "/root/testdata/sf0.001"
 HARD = [(1, "A b c d e f"), (2, "a B c d e f"), (3, None), (4, ""), (5, "x " * 30_000), (None, "a b c d e f"), (3, None), (6, "a b c d e f")]
@@ -164,3 +165,20 @@ def test_line_dedup_finds_templates_without_a_recurring_segment(spark):
     word = lambda d, k: "".join(chr(97 + int(c)) for c in f"{7 * d + k:03}")
     docs = spark.createDataFrame([(d, f"own {word(d, 9)}\n" + line.format(*(word(d, k) for k in range(5)))) for d in range(4)], "doc_id long, text string")
     assert {r.doc_id: r.dropped_at for r in line_dedup.line_report(docs).collect()} == dict.fromkeys(range(4), "1")
+
+
+def test_language_model_trains_on_every_window(spark, monkeypatch):
+    # over the 6 MB from which windows were once sampled
+    docs = spark.range(130).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('ab ', id, ' cd '), 6000)").alias("text"))
+    sums, real = [], lm_score._round
+
+    def counted(texts, *how):
+        out = real(texts, *how)
+        want = sum(len(lm_score.windows(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes())[0]) for r in texts.collect())
+        sums.append((texts.count(), want, out.agg(F.sum("n")).first()[0]))
+        return out
+
+    monkeypatch.setattr(lm_score, "_round", counted)
+    scored = lm_score.score_texts(docs, rounds=1, least_steps=1)
+    train = scored.filter("not held_out").count()
+    assert [(n, got) for n, _, got in sums] == [(train, sums[0][1])] and sums[0][1] * lm_score.STEP > 130 * 6000 * 2
