@@ -7,7 +7,8 @@ whole shorter item) marks its words as hit; the state's item list says which ite
 
 Items are the stated query set. An automaton holds at most ``shard_words`` item words, so what is
 broadcast is bounded; a larger benchmark is dealt to several automata, each run over the documents in
-its own pass, and their hits are united per document.
+its own pass, and their hits are united per document. ``decontaminate`` cuts united hits only, and looks through
+what was cut again with all automata until none hits.
 
 Null or wordless texts have no words and no hits; null or wordless items match nothing; equal items
 all count. Repeated rows are reported one by one. Empty tables give empty results. Other columns are
@@ -214,27 +215,64 @@ def contamination(
     )
 
 
-def cut_text(text: str | None, automata: list[Automaton], most: float) -> str | None:
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """The text without the words of the spans (sorted, perhaps overlapping), how many these are, and how many there were."""
+    raw = text.encode()
+    places = [m.span() for m in _RUN.finditer(raw.translate(FOLD))]
+    out, at, end, gone = [], 0, 0, 0
+    for a, b in spans:
+        gone += max(0, b - max(a, end))
+        end = max(end, b)
+        if places[a][0] > at:
+            out.append(raw[at : places[a][0]])
+        at = max(at, places[b - 1][1])
+    return b"".join([*out, raw[at:]]).decode(), gone, len(places)
+
+
+def cut_text(text: str, automaton: Automaton, most: float) -> str | None:
     """The text without hit spans, again until none is left; None if more than `most` of its words were hit."""
     total, gone = None, 0
-    while True:
-        raw = (text or "").encode()
-        places = [m.span() for m in _RUN.finditer(raw.translate(FOLD))]
-        folded = raw.translate(FOLD).split()
-        total = len(folded) if total is None else total
-        spans = sorted(s for a in automata for s in a.hits(folded)[0])
-        if not spans:
-            return text
-        out, at, end = [], 0, 0
-        for a, b in spans:
-            gone += max(0, b - max(a, end))
-            end = max(end, b)
-            if places[a][0] > at:
-                out.append(raw[at : places[a][0]])
-            at = max(at, places[b - 1][1])
-        text = b"".join([*out, raw[at:]]).decode()
+    while spans := automaton.hits(words(text))[0]:
+        text, cut, had = cut_spans(text, spans)
+        total, gone = had if total is None else total, gone + cut
         if gone > most * total:
             return None
+    return text
+
+
+def _cut_shards(docs: DataFrame, automata: list, text_col: str, most: float) -> DataFrame:
+    """Per distinct text that an automaton hits: _text, _new (as cut_text gives it with one automaton over all items)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for first, text, total, gone, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text, cut, had = cut_spans(text, sorted((s["a"], s["b"]) for s in spans))
+                total, gone = had if total is None else total, gone + cut
+                rows.append((first, None if gone > most * total else text, total, gone))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["_first", "_id", "_total", "_gone"])
+
+    out = "_first string, _id string, _total long, _gone long"
+    # _first: the text as it came; _id: as cut so far
+    left = docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_first"), F.col(text_col).alias("_id")).withColumns({"_total": F.lit(None).cast("long"), "_gone": F.lit(0).cast("long")})
+    done, first = None, True
+    while True:
+        rows = left.select("_id", F.col("_id").alias("_text"))
+        found = None
+        for automaton in automata:
+            part = _scan(rows, automaton, known=True).select("_id", "_spans")
+            found = part if found is None else found.unionByName(part)
+        # a text stands for all its copies, so one row of each automaton's hits is enough
+        spans = materialize(found.distinct().groupBy("_id").agg(F.flatten(F.collect_list("_spans")).alias("_spans")))
+        hit = left.join(spans, "_id").select("_first", "_id", "_total", "_gone", "_spans")
+        hit = materialize((hit.dropDuplicates(["_first"]) if first else hit).mapInArrow(run, out))
+        first = False
+        if hit.isEmpty():
+            return done if done is not None else hit.select(F.col("_first").alias("_text"), F.col("_id").alias("_new"))
+        new = hit.select(F.col("_first").alias("_text"), F.col("_id").alias("_new"))
+        done = new if done is None else materialize(done.join(new, "_text", "left_anti").unionByName(new))
+        left = hit.filter("_id is not null")
 
 
 def decontaminate(
@@ -251,26 +289,31 @@ def decontaminate(
     """docs without hit spans; rows hit on more than max_coverage of their words go. Same columns; length_col, if there, follows the text."""
     spark = docs.sparkSession
     small_batches(spark)
-    out, schema = docs, docs.schema
-    for automaton in shards(benchmark, item_col, item_text_col, window, shard_words):
-        held = spark.sparkContext.broadcast(automaton)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                i = batch.schema.get_field_index(text_col)
-                old = batch.column(i).to_pylist()
-                new = [cut_text(t, [held.value], max_coverage) if t else t for t in old]
-                keep = pa.array([n is not None or o is None for n, o in zip(new, old, strict=True)])
-                cols = list(batch.columns)
-                cols[i] = pa.array(new, batch.column(i).type)
-                k = batch.schema.get_field_index(length_col) if length_col else -1
-                if k >= 0:
-                    was = batch.column(k).to_pylist()
-                    cols[k] = pa.array([c if n == o else len(n or "") for c, n, o in zip(was, new, old, strict=True)], batch.column(k).type)
-                yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(keep)
-
-        out = out.mapInArrow(run, schema)
-    return out
+    held = [spark.sparkContext.broadcast(a) for a in shards(benchmark, item_col, item_text_col, window, shard_words)]
+    if len(held) > 1:
+        cut = _cut_shards(docs, held, text_col, max_coverage)
+        rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
+        rows = rows.join(cut.withColumn("_hit", F.lit(True)), "_text", "left").filter("_hit is null or _new is not null")
+        new = {text_col: F.coalesce("_new", "_text")}
+        if length_col in docs.columns:
+            new[length_col] = F.when(F.col("_hit"), F.length("_new")).otherwise(F.col("_row")[length_col])
+        return rows.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.schema.get_field_index(text_col)
+            old = batch.column(i).to_pylist()
+            new = [cut_text(t, held[0].value, max_coverage) if t else t for t in old]
+            keep = pa.array([n is not None or o is None for n, o in zip(new, old, strict=True)])
+            cols = list(batch.columns)
+            cols[i] = pa.array(new, batch.column(i).type)
+            k = batch.schema.get_field_index(length_col) if length_col else -1
+            if k >= 0:
+                was = batch.column(k).to_pylist()
+                cols[k] = pa.array([c if n == o else len(n or "") for c, n, o in zip(was, new, old, strict=True)], batch.column(k).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -182,3 +182,18 @@ def test_language_model_trains_on_every_window(spark, monkeypatch):
     scored = lm_score.score_texts(docs, rounds=1, least_steps=1)
     train = scored.filter("not held_out").count()
     assert [(n, got) for n, _, got in sums] == [(train, sums[0][1])] and sums[0][1] * lm_score.STEP > 130 * 6000 * 2
+
+
+def test_decontaminate_in_shards(spark):
+    w = [f"w{k}" for k in range(40)]
+    part = lambda a, b: " ".join(w[a:b])
+    # items of different shards overlap; a cut joins up an item of an earlier shard; coverage is judged on all hits
+    items = spark.createDataFrame([("a", part(0, 10)), ("b", part(5, 15)), ("c", part(20, 30))], "item_id string, text string")
+    free = " ".join(f"x{k}" for k in range(40))
+    rows = [(1, f"{free} {part(0, 15)} end"), (2, f"{free} {part(0, 5)} {part(20, 30)} {part(5, 10)} end"), (3, f"u v w x y z {part(0, 10)} and {part(20, 30)} {free[:79]}"), (4, free), (5, None), (6, "")]
+    rows += [(7, " ".join(f"x{k}" for k in range(10)) + f" {part(0, 15)}"), rows[0], (None, rows[1][1])]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    one, many = (sorted(map(str, decontaminate.decontaminate(docs, items, shard_words=n).collect())) for n in (1_000_000, 10))
+    assert one == many
+    got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items, shard_words=10).collect()}
+    assert got[1].split() == got[2].split() == [*free.split(), "end"] and 7 not in got and got[5] is None and got[6] == ""
