@@ -8,8 +8,9 @@ protected entity e (kind and value) that meet in n(w, e) windows disclose
 
 with n(w) the word's count and N the number of words in the whole corpus, n(e) the words in e's
 windows. Where both reach their thresholds with enough support (distinct windows texts, so copies
-count once), the word is a "term" span in those windows, to be removed like the base spans; below the
-removal threshold for share it is generalised to its shape. Counts are sums over all documents:
+count once), the word is a "term" span wherever it stands in a document that holds the entity, to be removed like
+the base spans; below the removal threshold for share it is generalised to its shape. Terms that meet an entity only
+outside its windows are not judged. Terms and counts are folded by one function. Counts are sums over all documents:
 words are counted per task, then by key; candidate rows are as many as the corpus has base spans times
 the window. Nothing is gathered by entity or word: all are counts and joins on both.
 
@@ -82,6 +83,14 @@ def span_text(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+_EDGE = ".,;:!?()[]{}\"'*#$%&"
+
+
+def fold(word: str) -> str:
+    """The term that a word stands for."""
+    return word.strip(_EDGE).casefold()
+
+
 def contexts(text: str, spans: list[tuple[str, int, int]], radius: int) -> list[tuple[str, int, int, str, str]]:
     """(term, start, end, entity, window hash) of the words near each span, outside all spans."""
     out: list[tuple[str, int, int, str, str]] = []
@@ -95,15 +104,34 @@ def contexts(text: str, spans: list[tuple[str, int, int]], radius: int) -> list[
         window = hashlib.blake2b(text[near[0][0] if near else a : near[-1][1] if near else b].encode(), digest_size=8).hexdigest()
         for s, e in near:
             word = text[s:e]
-            core = word.strip(".,;:!?()[]{}\"'*#$%&")
+            core = word.strip(_EDGE)
             s += word.find(core) if core else 0
             e = s + len(core)
             if core and not any(x < e and s < y for _, x, y in spans):
-                out.append((core.casefold(), s, e, f"{kind}:{text[a:b].casefold()}", window))
+                out.append((fold(core), s, e, f"{kind}:{text[a:b].casefold()}", window))
+    return out
+
+
+def marked(text: str, base: list[tuple[int, int]], terms: dict[str, bool]) -> list[dict]:
+    """s, e, remove of all words outside the base spans (by start) that stand for one of the terms."""
+    out, at, end = [], 0, 0
+    for m in _WORD.finditer(text):
+        word = m[0]
+        if (term := fold(word)) not in terms:
+            continue
+        core = word.strip(_EDGE)
+        s = m.start() + word.find(core)
+        e = s + len(core)
+        while at < len(base) and base[at][0] < e:
+            end = max(end, base[at][1])
+            at += 1
+        # the last base spans may begin before this word and end within it, or behind it
+        if end <= s:
+            out.append({"s": s, "e": e, "remove": terms[term]})
     return out
 
 
-_OUT = "tag string, doc_id {id}, row long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<term:string,s:int,e:int,entity:string,window:string>>, word string, n long"
+_OUT = "tag string, doc_id {id}, row long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<term:string,s:int,e:int,entity:string,window:string>>, entities array<string>, word string, n long"
 
 
 def _scan(docs: DataFrame, radius: int, most_words: int) -> DataFrame:
@@ -111,11 +139,15 @@ def _scan(docs: DataFrame, radius: int, most_words: int) -> DataFrame:
     kind = docs.schema["_id"].dataType.simpleString()
     near_type = pa.list_(pa.struct([("term", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("entity", pa.string()), ("window", pa.string())]))
 
+    strings = pa.list_(pa.string())
+
     def counted(counts: Counter, id_type: pa.DataType) -> pa.RecordBatch:
-        n, none = len(counts), lambda t: pa.nulls(len(counts), t)
-        ws = [w.decode() for w in counts]
+        terms: Counter = Counter()
+        for w, k in counts.items():
+            terms[fold(w.decode())] += k
+        n, none = len(terms), lambda t: pa.nulls(len(terms), t)
         return pa.RecordBatch.from_arrays(
-            [pa.array(["word"] * n, pa.string()), none(id_type), *[none(pa.int64())] * 5, none(pa.string()), none(near_type), pa.array(ws, pa.string()), pa.array(counts.values(), pa.int64())], names=names
+            [pa.array(["word"] * n, pa.string()), none(id_type), *[none(pa.int64())] * 5, none(pa.string()), none(near_type), none(strings), pa.array(list(terms), pa.string()), pa.array(list(terms.values()), pa.int64())], names=names
         )
 
     names = [x.split()[0] for x in _OUT.format(id="x").replace("array<struct<term:string,s:int,e:int,entity:string,window:string>>", "x").split(", ")]
@@ -132,10 +164,11 @@ def _scan(docs: DataFrame, radius: int, most_words: int) -> DataFrame:
                 counts.update(text.encode().lower().split())
                 near = [dict(zip(("term", "s", "e", "entity", "window"), x, strict=True)) for x in contexts(text, spans, radius)] if spans else []
                 kinds = [k for k, _, _ in spans]
-                found.append((*(kinds.count(k) for k in KINDS), span_text(spans), near))
-            cols, n = list(zip(*found, strict=True)) or [()] * 6, len(found)
+                held = sorted({f"{k}:{text[a:b].casefold()}" for k, a, b in spans})
+                found.append((*(kinds.count(k) for k in KINDS), span_text(spans), near, held))
+            cols, n = list(zip(*found, strict=True)) or [()] * 7, len(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(["doc"] * n, pa.string()), batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], near_type), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=names
+                [pa.array(["doc"] * n, pa.string()), batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], near_type), pa.array(cols[6], strings), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=names
             )
             if len(counts) > most_words:
                 yield counted(counts, id_type)
@@ -146,6 +179,22 @@ def _scan(docs: DataFrame, radius: int, most_words: int) -> DataFrame:
     return docs.select("_id", "_text", F.xxhash64("_id", "_text").alias("_row")).mapInArrow(run, _OUT.format(id=kind))
 
 
+def _mark(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """rows: _id, _text. terms: row, base, found (structs of term, remove). Per row of terms: row, and its spans as terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, base, found in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                spans = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in base.split(",")))
+                out.append(marked(text, spans, {t["term"]: t["remove"] for t in found}))
+            kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("remove", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["row", "terms"])
+
+    texts = rows.select(F.xxhash64("_id", "_text").alias("row"), "_text").join(terms.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    return texts.join(terms, "row").select("row", "_text", "base", "found").mapInArrow(run, "row long, terms array<struct<s:int,e:int,remove:boolean>>").filter("size(terms) > 0")
+
+
 def find_pii(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -170,8 +219,7 @@ def find_pii(
     entities = materialize(near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
     words = seen.filter("tag = 'word'")
     total = words.agg(F.sum("n")).first()[0] or 1
-    trim = F.lower(F.regexp_replace("word", r"^[.,;:!?()\[\]{}\"'*#$%&]+|[.,;:!?()\[\]{}\"'*#$%&]+$", ""))
-    counts = words.select(trim.alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n_t"))
+    counts = words.select(F.col("word").alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n_t"))
     wanted = pairs.select("term").distinct()
     counts = materialize(counts.join(wanted, "term"))
     n_t = F.greatest("n_t", "n_te")
@@ -179,8 +227,11 @@ def find_pii(
     pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (n_t * F.col("n_e")))
     strong = pairs.join(counts, "term").join(entities, "entity").filter((pmi >= min_pmi) & (share >= min_share))
     strong = materialize(strong.select("term", "entity", (share >= remove_share).alias("remove")))
-    spans = near.join(strong, ["term", "entity"]).groupBy("row", "s", "e").agg(F.max("remove").alias("remove"))
-    spans = materialize(spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "e", "remove"))).alias("terms")))
+    # of each text that holds a strong entity, all its terms, wherever they stand
+    held = told.filter("size(entities) > 0").select("row", "base", "entities").dropDuplicates(["row"])
+    terms = held.select("row", F.explode("entities").alias("entity")).join(strong, "entity").groupBy("row", "term").agg(F.max("remove").alias("remove"))
+    terms = materialize(terms.groupBy("row").agg(F.collect_list(F.struct("term", "remove")).alias("found")).join(held.select("row", "base"), "row"))
+    spans = materialize(_mark(rows, terms))
     return told.select("doc_id", "row", *[f"n_{k}" for k in KINDS], "base").join(spans, "row", "left")
 
 

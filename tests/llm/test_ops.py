@@ -197,3 +197,16 @@ def test_decontaminate_in_shards(spark):
     assert one == many
     got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items, shard_words=10).collect()}
     assert got[1].split() == got[2].split() == [*free.split(), "end"] and 7 not in got and got[5] is None and got[6] == ""
+
+
+def test_pii_terms_are_marked_wherever_they_stand(spark):
+    far = " ".join(f"f{k}" for k in range(9))
+    rows = [(d, f"v{d} u{d} Straßer, at a.b@c.de t{d} s{d} {far} {{straßer}} {far} x{d}") for d in range(4)] + [(9, "strasser alone"), (10, " ".join(f"z{k}" for k in range(9000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.terms for r in pii.find_pii(docs, min_pmi=2.0, min_share=0.4).collect()}
+    for d, text in rows[:4]:
+        assert {text[t.s : t.e] for t in found[d]} >= {"Straßer", "straßer"}
+    assert not found[9] and not found[10]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs, min_pmi=2.0, min_share=0.4).collect()}
+    assert all("stra" not in clean[d].lower() for d in range(4)) and clean[9] == "strasser alone"
+    assert pii.marked("ab cd x@y.z ab", [(3, 8)], {"ab": True, "cd": True, "x@y.z": False}) == [{"s": 0, "e": 2, "remove": True}, {"s": 12, "e": 14, "remove": True}]
