@@ -1,11 +1,14 @@
-"""Helpers that the text operators share: session settings, scratch tables, ASCII folding."""
+"""Helpers that the text operators share: scratch tables, settings for one job, slices of batches, keys, hot groups, ASCII folding."""
 
 from __future__ import annotations
 
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one on a local master, an error elsewhere."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="spark-"))
         root = _OWN_DIR[0]
@@ -34,9 +39,56 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, as one text can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the jobs that run inside, put back afterwards; dots are written as two underscores."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    was = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: For a join that few rows of its left side pass: Spark's own Bloom filter leaves the others out before the shuffle.
+BLOOM = {
+    "spark__sql__optimizer__runtime__bloomFilter__enabled": "true",
+    "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "1",
+    "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1g",
+}
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, as Python objects of texts take several times their bytes; Spark bounds the bytes of a batch."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def row_key(*cols: Column | str) -> Column:
+    """128 bits that stand for a row's values; null differs from empty."""
+    parts = [F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in (F.col(c) if isinstance(c, str) else c for c in cols)]
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, spread: Column | str, most: int = 1000) -> DataFrame:
+    """rows left-joined to groups (one row per key; n: how many rows have the key).
+
+    Keys with over a ``most``-th of all grouped rows, of which there are fewer than ``most``, are broadcast; their
+    rows take part in the other join under a key of their own that matches nothing, made of ``spread``.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    is_hot, others = F.col(n) * most > total, [c for c in groups.columns if c != key]
+    hot, rest = groups.filter(is_hot).withColumns({f"_hot_{c}": F.col(c) for c in others}).drop(*others), groups.filter(~is_hot)
+    met = rows.join(F.broadcast(hot), key, "left")
+    alone = F.concat(F.lit("alone:"), F.sha2(F.coalesce(F.col(spread) if isinstance(spread, str) else spread, F.lit(0)).cast("string"), 512))  # longer than any digest
+    alone = alone.cast(rows.schema[key].dataType)
+    met = met.withColumn("_join", F.when(F.col(f"_hot_{n}").isNull(), F.col(key)).otherwise(alone))
+    met = met.join(rest.withColumnRenamed(key, "_join"), "_join", "left")
+    return met.select(*rows.columns, *[F.coalesce(c, f"_hot_{c}").alias(c) for c in others])
 
 
 def ascii_lower(c: Column) -> Column:

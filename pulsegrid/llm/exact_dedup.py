@@ -1,14 +1,16 @@
 """Exact deduplication, DataFrame functions only.
 
-Equal texts are found by a SHA-256 of the folded text, but rows are only ever merged on (digest, full
-text). Stage one is the map-side combine of the salted aggregate (each task merges its own copies),
-stage two merges digest groups per salt, stage three combines the salts' winners. Rows find their
-group again by digest alone; where one digest stands for several texts (tests force this) those rows
-are matched on the full text instead.
+Equal texts have equal SHA-256 digests of the folded text, so a text whose digest occurs once has no
+partner. Digests are counted first (32 bytes a row, combined map-side); only texts with a digest that
+recurs go on, and are merged on (digest, full text) at every stage: within each task (the map-side
+combine of the salted aggregate), per salt, then over the salts' winners. Rows find their group again by
+digest alone; where one digest stands for several texts (tests force this) those rows are matched on the
+full text instead. Digests of very many rows are joined by a broadcast of bounded size (join_groups).
 
 Null text counts as empty. Null ids rank below every other id; if a group has only null ids its rows
 all stay. Rows repeated with the same id and text are the same document: each is marked kept in the
-report, while ``drop_exact_duplicates`` returns one of them. An empty table gives an empty result.
+report, while ``drop_exact_duplicates`` returns one of them. An empty table gives an empty result. Other
+columns, whatever their names, are ignored by the report and kept by ``drop_exact_duplicates``.
 """
 
 from __future__ import annotations
@@ -18,7 +20,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, ascii_lower_sql, materialize, table
+from .common import BLOOM, ascii_lower, ascii_lower_sql, join_groups, materialize, settings, table
+
+
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
 def _winners(rows: DataFrame, salts: int) -> DataFrame:
@@ -27,48 +33,72 @@ def _winners(rows: DataFrame, salts: int) -> DataFrame:
     return merged.groupBy("_dig", "_t").agg(F.max("_keep").alias("_keep"), F.sum("_n").alias("_n"))
 
 
+def _recurring(rows: DataFrame, digests: DataFrame, most: int = 1000) -> DataFrame:
+    """rows (_id, _t, _dig) whose digest occurs more than once. digests: _id, _dig of the same rows."""
+    counts = digests.groupBy("_dig").agg(F.count(F.lit(1)).alias("_n"))
+    again = materialize(counts.filter("_n > 1"))
+    total = again.agg(F.sum("_n")).first()[0] or 0
+    hot, rest = again.filter(F.col("_n") * most > total).select("_dig"), again.filter(F.col("_n") * most <= total).select("_dig")
+    # fewer than `most` hot digests, so these rows stay where they are
+    return rows.join(F.broadcast(hot), "_dig", "left_semi").unionByName(rows.join(rest, "_dig", "left_semi"))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """All rows (_id, _t, _dig), their digests (_id, _dig), the groups of several rows by digest alone (_dig, _keep, _n), and those by digest and text where a digest has several texts."""
+    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).withColumn("_dig", digest(F.col("_t")))
+    digests = materialize(rows.select("_id", "_dig"))
+    with settings(docs.sparkSession, **BLOOM):
+        winners = materialize(_winners(_recurring(rows, digests), salts).withColumn("_t", F.sha2("_t", 512)))  # by now the text's name is enough
+    shared = winners.groupBy("_dig").agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1").select("_dig")
+    if shared.isEmpty():
+        return rows, digests, winners.filter("_n > 1").drop("_t"), None
+    shared = materialize(shared)
+    return rows, digests, winners.join(shared, "_dig", "left_anti").filter("_n > 1").drop("_t"), winners.join(shared, "_dig", "left_semi")
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """df: _id, _keep, _n (null for rows alone), _sha."""
+    keep = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep"))
+    return df.select(
+        F.col("_id").alias("doc_id"), keep.alias("keep_id"), F.coalesce("_n", F.lit(1).cast("long")).alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"),
+        F.lower(F.hex("_sha")).alias("text_sha256"),
+    )
+
+
 def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     salts: int = 32,
-    digest: Callable[[Column], Column] | None = None,
+    digest: Callable[[Column], Column] = _sha,
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    digest = digest or (lambda c: F.sha2(c, 256))
-    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).withColumn("_dig", digest(F.col("_t")))
-    groups = materialize(_winners(rows, salts).select("_dig", "_keep", "_n"))
-    shared = groups.groupBy("_dig").agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1").select("_dig")
-    collided = not shared.isEmpty()
-
-    def named(df: DataFrame) -> DataFrame:
-        keep, n = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")), F.coalesce("_n", F.lit(1).cast("long"))
-        return df.select(
-            F.col("_id").alias("doc_id"), keep.alias("keep_id"), n.alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), F.col("_sha").alias("text_sha256")
-        )
-
-    sha = (lambda df: df.withColumn("_sha", F.col("_dig"))) if not collided else (lambda df: df.withColumn("_sha", F.sha2("_t", 256)))
-    many = groups.filter("_n > 1")
-    if not collided:
-        return named(sha(rows.select("_id", "_dig")).join(many, "_dig", "left"))
-    shared = materialize(shared)
-    clean, mixed = sha(rows).join(shared, "_dig", "left_anti"), sha(rows).join(shared, "_dig", "left_semi")
-    full = materialize(_winners(mixed, salts))
-    return named(clean.join(many, "_dig", "left")).unionByName(named(mixed.join(full, ["_dig", "_t"], "left")))
+    rows, digests, many, mixed = _groups(docs, id_col, text_col, salts, digest)
+    if mixed is None and digest is _sha:
+        return _named(join_groups(digests, many, "_dig", "_n", "_id").withColumn("_sha", F.col("_dig")))
+    rows = rows.withColumns({"_sha": _sha(F.col("_t")), "_t": F.sha2("_t", 512)})
+    if mixed is None:
+        return _named(join_groups(rows, many, "_dig", "_n", "_id"))
+    shared = materialize(mixed.select("_dig").distinct())
+    alone = _named(join_groups(rows.join(shared, "_dig", "left_anti"), many, "_dig", "_n", "_id"))
+    return alone.unionByName(_named(rows.join(shared, "_dig", "left_semi").join(mixed, ["_dig", "_t"], "left")))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all columns of docs."""
-    report = exact_groups(docs, id_col, text_col)
-    gone = report.filter("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("kept").alias("_kept"))
-    gone = materialize(gone.groupBy("_id", "_sha").agg(F.max("_kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")))
-    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha"))
-    joined = docs.withColumn("_sha0", sha).join(gone, on, "left").filter("_kept is null or _kept")
-    single = joined.filter("_rows is null or _rows = 1").select(*docs.columns)
-    repeated = joined.filter("_rows > 1").dropDuplicates(["_id", "_sha0"]).select(*docs.columns)
-    return single.unionByName(repeated)
+    """The rows that stay, with all columns of docs, which are shuffled once, by id and digest."""
+    report = exact_groups(docs, id_col, text_col).filter("group_size > 1").select(F.col("doc_id").alias("_i"), F.unhex("text_sha256").alias("_s"), F.col("kept").alias("_kept"))
+    marks = materialize(report.groupBy("_i", "_s").agg(F.max("_kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), _sha(ascii_lower(F.coalesce(docs[text_col], F.lit("")))).alias("_dig"))
+    on = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_dig") == F.col("_s"))
+    once = rows.join(marks.filter("not _kept or _rows > 1").select("_i", "_s"), on, "left_anti").select("_row.*")
+    again = marks.filter("_kept and _rows > 1").select("_i", "_s")
+    if again.isEmpty():
+        return once
+    # of rows repeated with one id and text the first of each task, then the first of all
+    with settings(docs.sparkSession, **BLOOM):
+        repeated = materialize(rows.join(again, on, "left_semi").groupBy("_id", "_dig").agg(F.first("_row").alias("_row")).select("_row"))
+    return once.unionByName(repeated.select("_row.*"))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

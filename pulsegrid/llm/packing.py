@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import materialize, slices, table
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -78,17 +78,21 @@ class WordEncoder:
                 at = stop + 4
 
     def encode(self, texts: list[str | None], together: int = 64) -> Iterator[bytes]:
-        cache = self.cache
+        get = self.cache.__getitem__
         for k in range(0, len(texts), together):
             raw = [(t or "").encode() for t in texts[k : k + together]]
             split = [r.lower().split() if b"<|" not in r else None for r in raw]
-            if len(cache) > self.most:
-                cache.clear()
-            new = set().union(*filter(None, split)).difference(cache)
-            if new:
-                self._learn(list(new))
+            if len(self.cache) > self.most:
+                self.cache.clear()
+            done: list[bytes | None] = []
             for words, r in zip(split, raw, strict=True):
-                yield b"".join(map(cache.__getitem__, words)) if words is not None else self._raw([r.decode()])[0]
+                try:
+                    done.append(b"".join(map(get, words)) if words is not None else self._raw([r.decode()])[0])
+                except KeyError:
+                    done.append(None)
+            if None in done:
+                self._learn(list(set().union(*(w for w, d in zip(split, done, strict=True) if d is None)).difference(self.cache)))
+            yield from (b"".join(map(get, w)) if d is None else d for w, d in zip(split, done, strict=True))
 
 
 @lru_cache(maxsize=1)
@@ -103,7 +107,7 @@ _PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, _par
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seen = encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in batches:
+        for batch in slices(batches):
             source, rows = [], []
             for k, ids in enumerate(words.encode(batch.column(1).to_pylist())):
                 ids += b"\0\0\0\0"
@@ -201,7 +205,6 @@ def pack(
 ) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    small_batches(spark)
     cut = materialize(pieces(docs, id_col, text_col, path or tokenizer_path(), capacity))
     by_task = materialize(cut.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n")))
     counts = {r[0]: r[1] for r in by_task.groupBy("length").agg(F.sum("_n")).collect()}  # at most `capacity` rows

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import materialize, slices, table
 
 THRESHOLD = 0.3
 FEATURES, FOLDS, GRID = 192, 4, 2000
@@ -110,7 +110,7 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFram
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             stats = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], names=["_id", "_stats"])
 
@@ -170,7 +170,6 @@ def fit(
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", hold_out: int = 5, **how) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
-    small_batches(docs.sparkSession)
     stats = materialize(document_statistics(docs, id_col, text_col))
     model = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, id_col, label_col, hold_out, **how))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -185,12 +184,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", hold_out: int = 5, **how) -> DataFrame:
     """The rows of docs scored THRESHOLD or more; texts are read twice but never shuffled."""
-    small_batches(docs.sparkSession)
     stats = materialize(document_statistics(docs, id_col, text_col))
     model = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, id_col, label_col, hold_out, **how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             if texts:
                 score = model.value.score(np.stack([statistics(t) for t in texts]))

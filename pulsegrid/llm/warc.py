@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, small_batches, table
+from .common import join_groups, materialize, scratch, slices, table
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
@@ -58,8 +58,8 @@ def write_archive(
     uri = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7f]", "%20")
     rows = pages.select(F.col(id_col).alias("_id"), uri.alias("_uri"), html.alias("_html"), F.sha2(html, 256).alias("_digest"), F.octet_length(html).alias("_bytes"))
     first = rows.filter(F.col("_bytes") >= least_revisit).groupBy("_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    first = materialize(first.filter("_n > 1").select("_digest", "_first"))
-    rows = rows.join(first, "_digest", "left").withColumn("_again", F.coalesce(F.col("_first") < F.col("_id"), F.lit(False)))
+    first = materialize(first.filter("_n > 1"))
+    rows = join_groups(rows, first, "_digest", "_n", "_id").drop("_n").withColumn("_again", F.coalesce(F.col("_first") < F.col("_id"), F.lit(False)))
     rows = rows.withColumns({"_response": _id("response"), "_request": _id("request"), "_meta": _id("metadata")})
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("_bytes").cast("string"), F.lit(CRLF * 2))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "_digest"))
@@ -118,12 +118,11 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
     schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (f.split() for f in f"{FIELDS}, payload string".split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):  # whole files
             for data in batch.column(0):
                 cols = list(zip(*(_fields(h, b, with_payload) for h, b in parse(data.as_py())), strict=True)) or [()] * len(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
-    small_batches(spark, 8)  # whole files
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, f"{FIELDS}, payload string")
 
