@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_sql, materialize, small_batches, table
+from .common import ascii_lower_sql, materialize, row_key, slices, table
 
 WINDOW = 10
 #: Of the folded text's bytes: words keep digits, letters and everything outside ASCII.
@@ -140,15 +140,17 @@ class Automaton:
 
 
 def shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, shard_words: int) -> Iterator[Automaton]:
-    """Automata over at most shard_words words each, from a stream of items."""
-    held, n = [], 0
+    """Automata over at most shard_words words each, from a stream of items; long items are dealt out in parts that share all windows but none twice."""
+    held, n, most = [], 0, max(shard_words, window)
     for name, text in benchmark.select(F.col(item_col).cast("string"), text_col).toLocalIterator():
         ws = words(text)
-        if held and n + len(ws) > shard_words:
-            yield Automaton(held, window)
-            held, n = [], 0
-        held.append((str(name), ws))
-        n += len(ws)
+        for at in range(0, max(1, len(ws) - window + 1), most - window + 1):
+            part = ws[at : at + most]
+            if held and n + len(part) > most:
+                yield Automaton(held, window)
+                held, n = [], 0
+            held.append((str(name), part))
+            n += len(part)
     yield Automaton(held, window)
 
 
@@ -158,7 +160,7 @@ def _scan(docs: DataFrame, automaton, known: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton.value
-        for batch in batches:
+        for batch in slices(batches):
             rows, at = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 ws = words(text)
@@ -174,8 +176,8 @@ def _scan(docs: DataFrame, automaton, known: bool = False) -> DataFrame:
                 names=["_id", "_row", "_n", "_spans", "_items"],
             )
 
-    rows = docs.select("_id", "_text", F.xxhash64("_id", "_text").alias("_row"))
-    return rows.mapInArrow(run, f"_id {kind}, _row long, _n long, _spans array<struct<a:int,b:int>>, _items array<string>")
+    rows = docs.select("_id", "_text", row_key("_id", "_text").alias("_row"))
+    return rows.mapInArrow(run, f"_id {kind}, _row binary, _n long, _spans array<struct<a:int,b:int>>, _items array<string>")
 
 
 def contamination(
@@ -190,7 +192,6 @@ def contamination(
 ) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     parts = []
     for automaton in shards(benchmark, item_col, item_text_col, window, shard_words):
@@ -244,7 +245,7 @@ def _cut_shards(docs: DataFrame, automata: list, text_col: str, most: float) ->
     """Per distinct text that an automaton hits: _text, _new (as cut_text gives it with one automaton over all items)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for first, text, total, gone, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text, cut, had = cut_spans(text, sorted((s["a"], s["b"]) for s in spans))
@@ -288,7 +289,6 @@ def decontaminate(
 ) -> DataFrame:
     """docs without hit spans; rows hit on more than max_coverage of their words go. Same columns; length_col, if there, follows the text."""
     spark = docs.sparkSession
-    small_batches(spark)
     held = [spark.sparkContext.broadcast(a) for a in shards(benchmark, item_col, item_text_col, window, shard_words)]
     if len(held) > 1:
         cut = _cut_shards(docs, held, text_col, max_coverage)
@@ -300,7 +300,7 @@ def decontaminate(
         return rows.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             i = batch.schema.get_field_index(text_col)
             old = batch.column(i).to_pylist()
             new = [cut_text(t, held[0].value, max_coverage) if t else t for t in old]
