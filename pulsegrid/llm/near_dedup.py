@@ -6,35 +6,36 @@ probe (optimal densification). Bands of rows make bucket keys. Documents with eq
 first, so a group of copies has one representative.
 
 A bucket gives a star: every member is paired with the bucket's hub only (the member that shares most
-buckets with others, which is the middle of its group), which bounds pairs by rows times bands. Candidates are confirmed on full shingle sets. Only components matter, so each document's most
+buckets with others, which is the middle of its group), which bounds pairs by rows times bands.
+Candidates are confirmed on full shingle sets. Only components matter, so each document's most
 frequent hub is confirmed first, then its other hubs where they lie in another component.
 
 A star can miss a link between two of its rays, so buckets that still hold several components are
 looked at again: their members outside the bucket's largest component meet all members of other
-components. The join that brings them together compares sizes and signatures as it goes and keeps a
-pair only in the first bucket that both share, so what it puts out are likely pairs, once each. There
-is no cap on partners; work in one bucket is dealt into turns of at most ``_WORK`` comparisons.
+components. The join that brings them together confirms pairs as it goes, each only in the first bucket
+that both share, so what it puts out are links, once each. There is no cap on partners and no estimate
+decides: every pair that shares a bucket and lies in two components is compared on its full sets. Work in
+one bucket is dealt into turns of at most ``_WORK`` comparisons.
 
 With 40 bands of 6 rows a pair at similarity 0.85 shares no bucket with probability 6e-9, at 0.8 5e-6.
-Signatures are the low four bits of each minimum, as bit planes; pairs of larger sets (200 or more)
-that differ in over 4.5 standard deviations more minima than a pair at the threshold are not confirmed.
+Sets are known by 128-bit digests, and rows by 128-bit keys of their id and text.
 
 Null, empty and wordless texts have empty sets and are linked with nothing; with fewer words than a
-shingle the whole sequence is one shingle. Null ids get no component unless an equal set has an id.
-Repeated rows are reported one by one. Empty tables give empty results; other columns are ignored.
+shingle the whole sequence is one shingle. A row with a null id gets the smallest id of its group, null if
+none has one. Repeated rows are reported one by one; rows with one id and different texts stand for
+themselves. Empty tables give empty results; other columns are ignored, and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import BLOOM, join_groups, materialize, row_key, settings, slices, table
 from .components import contract
 
 ROWS, BANDS = 6, 40
@@ -44,7 +45,6 @@ _ODD = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1
 _PROBE = _RNG.integers(0, BINS, (4096, BINS))
 _EDGES = np.array([(k << 64) // BINS for k in range(BINS)], np.uint64)
 _WORK = 1 << 24
-_PLANES, _WORDS = 4, -(-BINS // 64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -97,13 +97,13 @@ def band_keys(v: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """docs: id, text. Per row: id, n, same (digest of the set), bands."""
+    """docs: id, text. Per row: id, row (its key), n, same (digest of the set), bands."""
     from hashlib import blake2b
 
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, same, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 u = shingles(text, width)
@@ -115,70 +115,43 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
                     same.append(None)
                     bands.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["id", "n", "same", "bands"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["id", "row", "n", "same", "bands"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, same binary, bands array<long>")
+    return docs.select("id", "text", row_key("id", "text").alias("row")).mapInArrow(run, f"id {kind}, row binary, n long, same binary, bands array<long>")
 
 
-def planes(v: np.ndarray) -> np.ndarray:
-    """The minima's low bits: for each bit, one per bin in 64-bit words."""
-    bits = np.zeros((_PLANES, _WORDS * 64), np.uint8)
-    for k in range(_PLANES):
-        bits[k, :BINS] = (v >> np.uint64(k)) & np.uint64(1)
-    return np.packbits(bits, axis=1).view(np.int64).ravel()
-
-
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """Per document of ids: id, planes, set."""
-    kind, conf = docs.schema["id"].dataType.simpleString(), docs.sparkSession.conf
-    # texts outside ids are left out before the shuffle, by Spark's own Bloom filter
-    conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
-    conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1")
-    conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """wanted: id (a set's digest), row (of a document with it). Per id: n, set. Texts of other rows stay where they are, but for false hits of the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
-            seen = [planes(signature(u)) if len(u) else np.zeros(_PLANES * _WORDS, np.int64) for u in sets]
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen, longs), pa.array([u.view(np.int64) for u in sets], longs)], names=["id", "planes", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))], names=["id", "n", "set"])
 
-    return docs.select("id", "text").join(ids.filter("times > 0").select("id"), "id", "left_semi").mapInArrow(run, f"id {kind}, planes array<long>, set array<long>")
+    texts = docs.select(row_key("id", "text").alias("row"), "text").join(wanted.select("id", "row"), "row").dropDuplicates(["row"]).select("id", "text")
+    with settings(docs.sparkSession, **BLOOM):
+        return materialize(texts.mapInArrow(run, "id binary, n long, set array<long>"))
 
 
 class _Confirm:
-    """Confirms pairs (a, b) on their full sets, which are made in one pass for all documents that share a bucket."""
+    """Confirms pairs (a, b) on their full sets, which are made in one pass for all that share a bucket."""
 
-    def __init__(self, docs: DataFrame, width: int, least: int):
-        self.docs, self.width, self.least, self.sets = docs, width, least, None
-        apart = (1 - least / 100) * (1 - 0.5**_PLANES)
-        self.most = int(BINS * apart + 4.5 * (BINS * apart * (1 - apart)) ** 0.5)
+    def __init__(self, docs: DataFrame, rows: DataFrame, width: int, least: int):
+        self.docs, self.rows, self.width, self.least, self.sets = docs.select("id", "text"), rows, width, least, None
 
     def prepare(self, ids: DataFrame) -> None:
-        sets = _sets(self.docs, ids, self.width).withColumn("n", F.size("set"))
-        self.sets = materialize(sets.dropDuplicates(["id"]))
-
-    def seen(self, end: str) -> DataFrame:
-        """id, size and signature of each document that shares a bucket, named for one end of a pair."""
-        return self.sets.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("planes").alias(f"p{end}"))
-
-    def likely(self) -> Column:
-        """Whether the ends a and b, with what seen() gives, may be linked."""
-        unlike = []
-        for w in range(_WORDS):
-            x = [F.col("pa")[k * _WORDS + w].bitwiseXOR(F.col("pb")[k * _WORDS + w]) for k in range(_PLANES)]
-            unlike.append(F.bit_count(reduce(Column.bitwiseOR, x)))
-        small = F.least("na", "nb") < 200
-        return (100 * F.least("na", "nb") >= self.least * F.greatest("na", "nb")) & (small | (reduce(Column.__add__, unlike) <= self.most))
+        self.sets = _sets(self.docs, self.rows.join(ids.select("id"), "id", "left_semi"), self.width)
+
+    def sizes_fit(self) -> Column:
+        return 100 * F.least("na", "nb") >= self.least * F.greatest("na", "nb")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return self.linked(materialize(pairs.join(self.seen("a"), "a").join(self.seen("b"), "b").filter(self.likely()).select("a", "b")))
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        one = pairs.join(self.sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+        size = lambda end: self.sets.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"))
+        fit = materialize(pairs.join(size("a"), "a").join(size("b"), "b").filter(self.sizes_fit()).select("a", "b"))
+        one = fit.join(self.sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         two = one.join(self.sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
         return materialize(two.filter(self.close()).select("a", "b"))
 
@@ -196,7 +169,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame, confirm: _Confirm, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """members: id, key. Confirms the stars of all buckets; returns the labels, and the members (id, key, minor, turns) of buckets that still need a look."""
+    """members: id (a set's digest), key. Confirms the stars of all buckets; returns the labels, and the members (id, key, minor, turns) of buckets that still need a look."""
     buckets = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     shared = materialize(members.join(buckets, "key"))
     ids = materialize(shared.groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.sum("size").alias("company")))
@@ -220,13 +193,35 @@ def _rays(members: DataFrame, lead: DataFrame, confirm: _Confirm, labels: DataFr
     """Links of each bucket's lead with its members in other components."""
     keys = materialize(members.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")))  # at most BANDS of them
     about = materialize(_labelled(keys, labels).join(confirm.sets, "id"))
-    end = lambda rows, e: rows.select("key", "id").join(about, "id").select("key", F.col("id").alias(e), F.col("n").alias(f"n{e}"), F.col("planes").alias(f"p{e}"), F.col("label").alias(f"l{e}"), F.col("keys").alias(f"k{e}"), F.col("set").alias(f"s{e}"))
+    end = lambda rows, e: rows.select("key", "id").join(about, "id").select("key", F.col("id").alias(e), F.col("n").alias(f"n{e}"), F.col("label").alias(f"l{e}"), F.col("keys").alias(f"k{e}"), F.col("set").alias(f"s{e}"))
     once = F.element_at(F.array_intersect("ka", "kb"), 1)
     left, right = end(members, "b").alias("x"), end(lead, "a").alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("la") != F.col("lb")) & confirm.likely() & (once == F.col("x.key")) & confirm.close()
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("la") != F.col("lb")) & confirm.sizes_fit() & (once == F.col("x.key")) & confirm.close()
     return materialize(left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, least_percent: int) -> DataFrame:
+    """Per row of docs: id, row, n, component."""
+    docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    seen = materialize(_signatures(docs, width))
+    # equal sets meet map-side
+    sets = materialize(seen.filter("n > 0").groupBy("same").agg(F.min("id").alias("least"), F.max("row").alias("row"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")))
+    confirm = _Confirm(docs, sets.select(F.col("same").alias("id"), "row"), width, least_percent)
+    labels, again = _stars(sets.select(F.col("same").alias("id"), F.explode("bands").alias("key")), confirm, None)
+    for turn in range(again.agg(F.max("turns")).first()[0] or 0):
+        lead = again.filter(F.col("minor") & (F.pmod(F.xxhash64("id", "key"), "turns") == turn))
+        labels = contract(labels, _rays(again, lead, confirm, labels))
+
+    linked = labels.select(F.col("node").alias("same"), "label")
+    groups = materialize(sets.select("same", "least", "rows").join(linked, "same", "left").filter("rows > 1 or label is not null").withColumn("label", F.coalesce("label", "same")))
+    first = groups.groupBy("label").agg(F.min("least").alias("component"))
+    groups = materialize(groups.join(first, "label").select("same", "rows", "component"))
+    alone = F.concat(F.lit("alone:").cast("binary"), "row")  # empty sets meet no group, and not each other either
+    seen = seen.select("id", "row", "n", F.coalesce("same", alone).alias("same"))
+    met = join_groups(seen, groups, "same", "rows", F.xxhash64("row"))
+    return met.select("id", "row", "n", F.when(F.col("rows").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -235,29 +230,15 @@ def near_groups(
     least_percent: int = 80,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= least_percent * union."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    seen = materialize(_signatures(docs, width))
-    copies = materialize(seen.filter("n > 0").groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")))
-    owner = copies.filter("rep is not null").select(F.col("rep").alias("id"), "same")
-    reps = materialize(seen.filter("n > 0").join(owner, ["id", "same"], "left_semi").dropDuplicates(["id"]).select("id", "bands"))
-    confirm, labels = _Confirm(docs, width, least_percent), None
-    labels, again = _stars(reps.select("id", F.explode("bands").alias("key")), confirm, labels)
-    for turn in range(again.agg(F.max("turns")).first()[0] or 0):
-        lead = again.filter(F.col("minor") & (F.pmod(F.xxhash64("id", "key"), "turns") == turn))
-        labels = contract(labels, _rays(again, lead, confirm, labels))
-
-    linked = labels.select(F.col("node").alias("rep"), "label")
-    groups = materialize(copies.join(linked, "rep", "left").filter("rows > 1 or label is not null").select("same", F.coalesce("label", "rep").alias("component")))
-    out = seen.select("id", "n", "same").join(groups, "same", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    rows = _groups(docs, id_col, text_col, width, least_percent)
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows that are not kept; of rows repeated with one id, all stay or go together."""
-    gone = materialize(near_groups(docs, id_col, text_col, **how).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(gone, id_col, "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least_percent: int = 80) -> DataFrame:
+    """docs without the rows that are not kept; rows repeated with one id and text all stay or go together."""
+    gone = _groups(docs, id_col, text_col, width, least_percent).filter(~F.col("id").eqNullSafe(F.col("component"))).select("row").distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), row_key(docs[id_col], docs[text_col]).alias("row"))
+    return rows.join(materialize(gone), "row", "left_anti").select("_row.*")
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
