@@ -25,12 +25,14 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import materialize, small_batches, table
+from .common import materialize, row_key, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -91,16 +93,22 @@ def fold(word: str) -> str:
     return word.strip(_EDGE).casefold()
 
 
+def _words_before(text: str, end: int, n: int) -> list[tuple[int, int]]:
+    """The last n words before end, whole ones however long: the stretch looked at doubles until it holds them."""
+    reach = 64 * n
+    while True:
+        lo = max(0, end - reach)
+        found = [m.span() for m in _WORD.finditer(text, lo, end)]
+        if lo == 0 or len(found) > n:  # the first one may begin before lo
+            return found[-n:] if n else []
+        reach *= 2
+
+
 def contexts(text: str, spans: list[tuple[str, int, int]], radius: int) -> list[tuple[str, int, int, str, str]]:
     """(term, start, end, entity, window hash) of the words near each span, outside all spans."""
     out: list[tuple[str, int, int, str, str]] = []
-    reach = 64 * radius  # characters; longer words are not names
     for kind, a, b in spans:
-        lo, hi = max(0, a - reach), min(len(text), b + reach)
-        left = [m.span() for m in _WORD.finditer(text, lo, a)]
-        if left and lo > 0 and not text[lo - 1].isspace() and left[0][0] == lo:
-            left = left[1:]
-        near = left[-radius:] + [m.span() for m in _WORD.finditer(text, b, hi)][:radius]
+        near = _words_before(text, a, radius) + [m.span() for m in islice(_WORD.finditer(text, b), radius)]
         window = hashlib.blake2b(text[near[0][0] if near else a : near[-1][1] if near else b].encode(), digest_size=8).hexdigest()
         for s, e in near:
             word = text[s:e]
@@ -131,7 +139,7 @@ def marked(text: str, base: list[tuple[int, int]], terms: dict[str, bool]) -> li
     return out
 
 
-_OUT = "tag string, doc_id {id}, row long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<term:string,s:int,e:int,entity:string,window:string>>, entities array<string>, word string, n long"
+_OUT = "tag string, doc_id {id}, row binary, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<term:string,s:int,e:int,entity:string,window:string>>, entities array<string>, word string, n long"
 
 
 def _scan(docs: DataFrame, radius: int, most_words: int) -> DataFrame:
@@ -147,7 +155,7 @@ def _scan(docs: DataFrame, radius: int, most_words: int) -> DataFrame:
             terms[fold(w.decode())] += k
         n, none = len(terms), lambda t: pa.nulls(len(terms), t)
         return pa.RecordBatch.from_arrays(
-            [pa.array(["word"] * n, pa.string()), none(id_type), *[none(pa.int64())] * 5, none(pa.string()), none(near_type), none(strings), pa.array(list(terms), pa.string()), pa.array(list(terms.values()), pa.int64())], names=names
+            [pa.array(["word"] * n, pa.string()), none(id_type), none(pa.binary()), *[none(pa.int64())] * 4, none(pa.string()), none(near_type), none(strings), pa.array(list(terms), pa.string()), pa.array(list(terms.values()), pa.int64())], names=names
         )
 
     names = [x.split()[0] for x in _OUT.format(id="x").replace("array<struct<term:string,s:int,e:int,entity:string,window:string>>", "x").split(", ")]
@@ -155,7 +163,7 @@ def _scan(docs: DataFrame, radius: int, most_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         id_type = pa.int64()
-        for batch in batches:
+        for batch in slices(batches):
             id_type = batch.column(0).type
             found = []
             for text in batch.column(1).to_pylist():
@@ -176,14 +184,14 @@ def _scan(docs: DataFrame, radius: int, most_words: int) -> DataFrame:
         if counts:
             yield counted(counts, id_type)
 
-    return docs.select("_id", "_text", F.xxhash64("_id", "_text").alias("_row")).mapInArrow(run, _OUT.format(id=kind))
+    return docs.select("_id", "_text", row_key("_id", "_text").alias("_row")).mapInArrow(run, _OUT.format(id=kind))
 
 
 def _mark(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """rows: _id, _text. terms: row, base, found (structs of term, remove). Per row of terms: row, and its spans as terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, base, found in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 spans = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in base.split(",")))
@@ -191,8 +199,8 @@ def _mark(rows: DataFrame, terms: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("remove", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["row", "terms"])
 
-    texts = rows.select(F.xxhash64("_id", "_text").alias("row"), "_text").join(terms.select("row"), "row", "left_semi").dropDuplicates(["row"])
-    return texts.join(terms, "row").select("row", "_text", "base", "found").mapInArrow(run, "row long, terms array<struct<s:int,e:int,remove:boolean>>").filter("size(terms) > 0")
+    texts = rows.select(row_key("_id", "_text").alias("row"), "_text").join(terms.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    return texts.join(terms, "row").select("row", "_text", "base", "found").mapInArrow(run, "row binary, terms array<struct<s:int,e:int,remove:boolean>>").filter("size(terms) > 0")
 
 
 def find_pii(
@@ -206,8 +214,7 @@ def find_pii(
     remove_share: float = 0.8,
     most_words: int = 300_000,
 ) -> DataFrame:
-    """Per row: doc_id, row (hash of id and text), counts by kind, base (its spans), terms: array of (s, e, remove)."""
-    small_batches(docs.sparkSession)
+    """Per row: doc_id, row (key of id and text), counts by kind, base (its spans), terms: array of (s, e, remove)."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     seen = materialize(_scan(rows, radius, most_words))
     told = seen.filter("tag = 'doc'")
@@ -237,14 +244,14 @@ def find_pii(
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with base spans replaced by their kind, and disclosing terms removed or generalised to their shape."""
-    found = find_pii(docs, id_col, text_col, **how).select("row", "base", "terms").dropDuplicates(["row"])
-    joined = docs.withColumn("row", F.xxhash64(F.col(id_col), F.col(text_col))).join(materialize(found), "row", "left").drop("row")
+    found = find_pii(docs, id_col, text_col, **how).select(F.col("row").alias("_key"), "base", "terms").dropDuplicates(["_key"])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("_text"), row_key(docs[id_col], docs[text_col]).alias("_key"))
+    joined = rows.join(materialize(found.filter("base <> '' or size(terms) > 0")), "_key", "left").select("_row", "_text", "base", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            i, n = batch.schema.get_field_index(text_col), batch.num_columns
+        for batch in slices(batches):
             texts = []
-            for text, base, terms in zip(*(batch.column(k).to_pylist() for k in (i, n - 2, n - 1)), strict=True):
+            for text, base, terms in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 if text and (base or terms):
                     cuts = [(int(a), int(b), f"<{k}>") for k, a, b in (x.split(":") for x in (base or "").split(",") if x)]
                     for t in terms or []:
@@ -257,11 +264,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
                         at = max(at, b)
                     text = "".join([*out, text[at:]])
                 texts.append(text)
-            cols = list(batch.columns[:-2])
-            cols[i] = pa.array(texts, batch.column(i).type)
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-2])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_row", "_text"])
 
-    return joined.mapInArrow(run, docs.schema)
+    clean = joined.mapInArrow(run, StructType([StructField("_row", StructType(docs.schema.fields)), StructField("_text", docs.schema[text_col].dataType)]))
+    return clean.select(*[(F.col("_text") if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
