@@ -7,32 +7,71 @@ from hypothesis import strategies as st
 from pulsegrid.llm import lm_score, pii
 
 
-def test_gradient_matches_differences():
+def _model():
     rng = np.random.default_rng(0)
     tables = lm_score.Tables(rng.integers(0, 500, lm_score.IDS).astype(float), rng.random(lm_score.IDS) < 0.5)
     w = {n: a.astype(np.float64) for n, a in lm_score.start_weights(tables).items()}
     x, y = (rng.integers(0, lm_score.IDS - 2, (3, n)).astype(np.uint16) for n in (lm_score.WIDE, lm_score.STEP))
-    x[0, :5] = lm_score.PAD
+    x[0, :3], y[1, -9:] = lm_score.PAD, lm_score.PAD
+    return w, tables, x, y
+
+
+def test_gradient_matches_differences():
+    w, tables, x, y = _model()
     got = lm_score.gradient(w, tables, x, y)
 
     def loss():
-        return -lm_score.Scorer(w, tables).log10(x, y).sum() * np.log(10) / y.size
+        return -lm_score.log10_scores(w, tables, x, y).sum() * np.log(10) / (y != lm_score.PAD).sum()
 
-    for n in ("e", "v", "own", "out", "b2", "in", "b3"):
+    for n in lm_score.SHAPES:
         at = np.unravel_index(np.argmax(np.abs(got[n])), got[n].shape)
         was, ends = w[n][at], []
         for step in (1e-3, -1e-3):
             w[n][at] = was + step
             ends.append(loss())
         w[n][at] = was
-        assert abs(got[n][at] - (ends[0] - ends[1]) / 2e-3) < 0.03 * abs(got[n][at])
+        assert abs(got[n][at] - (ends[0] - ends[1]) / 2e-3) < 0.03 * abs(got[n][at]) + 1e-7
+
+
+def test_scores_match_a_plain_loop():
+    w, t, x, y = _model()
+    want = np.zeros(len(x))
+    softmax = lambda a: np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+    for n in range(len(x)):
+        e = [w["e"][:, t.row[i]] for i in x[n]]
+        for s in range(lm_score.STEP):
+            if y[n, s] == lm_score.PAD:
+                continue
+            at = s + lm_score.CONTEXT - 1
+            seen = [r for r in range(lm_score.CONTEXT) if r == 0 or x[n, at - r] != lm_score.PAD]
+            p = softmax(np.array([(w["q"] @ e[at]) @ (w["k"] @ e[at - r]) + w["pos"][r] for r in seen]))
+            h = np.append(np.maximum(w["own"] @ e[at] + sum(a * (w["v"] @ e[at - r]) for a, r in zip(p, seen, strict=True)) + w["b1"], 0), 1)
+            c = t.classes[y[n, s]]
+            want[n] += np.log10(softmax(w["out"] @ h)[c] * softmax(w["in"][c] @ h)[t.place[y[n, s]]]) + t.share[y[n, s]] / np.log(10)
+    assert np.allclose(lm_score.log10_scores(w, t, x, y), want, rtol=1e-5)
+
+
+def test_scores_of_large_logits_are_finite():
+    w, t, x, y = _model()
+    w = {n: (a * (300 if n in ("out", "q") else 1)).astype(np.float32) for n, a in w.items()}
+    assert np.isfinite(lm_score.log10_scores(w, t, x, y)).all()
+
+
+def test_shares_within_a_place_sum_to_one():
+    _, t, _, _ = _model()
+    cells = np.bincount(t.classes.astype(int) * lm_score.PLACES + t.place, np.exp(t.share.astype(float)), lm_score.CLASSES * lm_score.PLACES)
+    assert np.allclose(cells[cells > 0], 1, atol=1e-4)
 
 
 def test_windows_score_each_id_once():
-    ids = np.arange(1, 40, dtype="<u4")
-    x, y = lm_score.windows(ids.tobytes())
-    assert [i for i in y.ravel() if i != lm_score.PAD] == [*ids, lm_score.END]
-    assert x[0, lm_score.CONTEXT - 1] == lm_score.END and lm_score.windows(b"")[1].tolist()[0][0] == lm_score.END
+    for n in (0, 1, 39, 63, 64, 65, 200):
+        ids = np.arange(1, n + 1, dtype="<u2")
+        x, y = lm_score.halves(lm_score.windows(ids.tobytes()))
+        assert [i for i in y.ravel() if i != lm_score.PAD] == [*ids, lm_score.END]
+        assert x[0, lm_score.CONTEXT - 1] == lm_score.END
+        # what stands before a target is the target before it
+        assert (x[:, lm_score.CONTEXT :] == y[:, :-1]).all()
+        assert all((x[k, : lm_score.CONTEXT] == y[k - 1, -lm_score.CONTEXT :]).all() for k in range(1, len(x)))
 
 
 @given(st.text("a@.1-+%2 3(", max_size=60))

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -167,21 +168,44 @@ def test_line_dedup_finds_templates_without_a_recurring_segment(spark):
     assert {r.doc_id: r.dropped_at for r in line_dedup.line_report(docs).collect()} == dict.fromkeys(range(4), "1")
 
 
-def test_language_model_trains_on_every_window(spark, monkeypatch):
-    # over the 6 MB from which windows were once sampled
-    docs = spark.range(130).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('ab ', id, ' cd '), 6000)").alias("text"))
+def test_language_model_trains_on_every_window_once(spark, monkeypatch):
+    docs = spark.range(130).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('ab ', id, ' cd '), 600)").alias("text"))
     sums, real = [], lm_score._round
 
     def counted(texts, *how):
         out = real(texts, *how)
-        want = sum(len(lm_score.windows(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes())[0]) for r in texts.collect())
-        sums.append((texts.count(), want, out.agg(F.sum("n")).first()[0]))
+        sums.append((texts.count(), sum(len(lm_score.windows(r.ids)) for r in texts.collect()), out.agg(F.sum("n")).first()[0], how[2]))
         return out
 
     monkeypatch.setattr(lm_score, "_round", counted)
-    scored = lm_score.score_texts(docs, rounds=1, least_steps=1)
-    train = scored.filter("not held_out").count()
-    assert [(n, got) for n, _, got in sums] == [(train, sums[0][1])] and sums[0][1] * lm_score.STEP > 130 * 6000 * 2
+    train = lm_score.score_texts(docs, shard_bytes=100_000).filter("not held_out").count()
+    assert sum(n for n, *_ in sums) == train and all(want == got for _, want, got, _ in sums)
+    assert len(sums) == 4 and sums[0][3] > 3
+
+
+def test_language_model_base_by_brute_force(spark):
+    clash = spark.createDataFrame([(i, t, "x", 1, None, "y") for i, t in HARD], "doc_id long, text string, _text string, n int, row long, ids string")
+    for docs, head in ((clash, 300_000), (clash, 2), (spark.read.parquet(f"{FOLDER}/documents.parquet"), 50)):
+        rows, by = docs.select("doc_id", "text").collect(), {}
+        out = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
+        toks = [[*re.findall(r"[^\x20\x09-\x0D]+", _lower(r.text)), 0] for r in rows]
+        for r, ts in zip(rows, toks, strict=True):
+            for t in ts if not out(r.doc_id) else ():
+                by[t] = by.get(t, 0) + 1
+        total = sum(by.values())
+        want = sorted((r.doc_id or -1, out(r.doc_id), len(ts), sum(t in by for t in ts), total, round(sum(np.log10((by.get(t, 0) + 0.1) / (total + 0.1 * (len(by) + 1))) for t in ts), 4)) for r, ts in zip(rows, toks, strict=True))
+        got = lm_score.score_texts(docs, head=head).collect()
+        assert sorted((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+        assert all(np.isfinite(r.score) and r.score < 0 for r in got)
+    same = {r.n_tokens: r.score for r in got}
+    assert len(same) > 1 and lm_score.score_texts(docs.limit(0)).count() == 0
+    # with no training documents every subword is as likely as any other
+    none = lm_score.score_texts(docs.limit(5), hold_out=1).collect()
+    assert all(r.held_out and r.n_known == r.train_tokens == 0 for r in none)
+
+
+def _lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
 def test_decontaminate_in_shards(spark):
