@@ -61,6 +61,10 @@ BLOOM = {
 }
 
 
+#: For jobs whose tasks hold much besides a batch.
+SMALL_BATCHES = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1000"}
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Batches of few rows, as Python objects of texts take several times their bytes; Spark bounds the bytes of a batch."""
     for batch in batches:

@@ -53,7 +53,7 @@ class WordEncoder:
 
     MARK = "|"
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,13 +63,13 @@ class WordEncoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes], together: int = 200) -> None:
+    def _learn(self, words: set[bytes], together: int = 200) -> None:
         put, mark = self.cache.__setitem__, self.MARK.encode()
         alone = [w for w in words if mark in w]
         for w, ids in zip(alone, self._raw([w.decode() for w in alone]), strict=True):
             put(w, ids)
-        words = [w for w in words if mark not in w]
-        groups = [words[k : k + together] for k in range(0, len(words), together)]
+        rest = [w for w in words if mark not in w]
+        groups = [rest[k : k + together] for k in range(0, len(rest), together)]
         glue = b" " + mark + b" "
         for group, raw in zip(groups, self._raw([(glue.join(g) + glue).decode() for g in groups]), strict=True):
             at = 0
@@ -77,22 +77,27 @@ class WordEncoder:
                 put(w, raw[at:stop])
                 at = stop + 4
 
-    def encode(self, texts: list[str | None], together: int = 64) -> Iterator[bytes]:
+    def words_and_ids(self, texts: list[str | None], together: int = 64) -> Iterator[tuple[list[bytes], bytes]]:
+        """Of each text its words, A-Z lower-cased, and its ids."""
         get = self.cache.__getitem__
         for k in range(0, len(texts), together):
             raw = [(t or "").encode() for t in texts[k : k + together]]
-            split = [r.lower().split() if b"<|" not in r else None for r in raw]
+            split = [r.lower().split() for r in raw]
             if len(self.cache) > self.most:
                 self.cache.clear()
             done: list[bytes | None] = []
             for words, r in zip(split, raw, strict=True):
                 try:
-                    done.append(b"".join(map(get, words)) if words is not None else self._raw([r.decode()])[0])
+                    done.append(b"".join(map(get, words)) if b"<|" not in r else self._raw([r.decode()])[0])
                 except KeyError:
                     done.append(None)
             if None in done:
-                self._learn(list(set().union(*(w for w, d in zip(split, done, strict=True) if d is None)).difference(self.cache)))
-            yield from (b"".join(map(get, w)) if d is None else d for w, d in zip(split, done, strict=True))
+                self._learn(set().union(*(w for w, d in zip(split, done, strict=True) if d is None)).difference(self.cache))
+            for words, ids in zip(split, done, strict=True):
+                yield words, b"".join(map(get, words)) if ids is None else ids
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        return (ids for _, ids in self.words_and_ids(texts))
 
 
 @lru_cache(maxsize=1)
