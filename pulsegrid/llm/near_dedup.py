@@ -142,7 +142,9 @@ class _Confirm:
         self.docs, self.rows, self.width, self.least, self.sets = docs.select("id", "text"), rows, width, least, None
 
     def prepare(self, ids: DataFrame) -> None:
-        self.sets = _sets(self.docs, self.rows.join(ids.select("id"), "id", "left_semi"), self.width)
+        # a filter over a table is what makes Spark build its Bloom filter
+        wanted = materialize(self.rows.join(ids.select("id", "times"), "id")).filter("times > 0")
+        self.sets = _sets(self.docs, wanted, self.width)
 
     def sizes_fit(self) -> Column:
         return 100 * F.least("na", "nb") >= self.least * F.greatest("na", "nb")
@@ -171,7 +173,8 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _stars(members: DataFrame, confirm: _Confirm, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """members: id (a set's digest), key. Confirms the stars of all buckets; returns the labels, and the members (id, key, minor, turns) of buckets that still need a look."""
     buckets = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    shared = materialize(members.join(buckets, "key"))
+    with settings(members.sparkSession, **BLOOM):
+        shared = materialize(members.join(buckets.filter("size > 1"), "key"))
     ids = materialize(shared.groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.sum("size").alias("company")))
     if confirm.sets is None:
         confirm.prepare(ids)
