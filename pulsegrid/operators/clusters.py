@@ -7,11 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .candidates import overlap_pairs, points
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the session's shared folder; a temporary one only where none is set, as in tests."""
+    """df.checkpoint() in the session's shared folder; where none is set, a temporary one on a local master, an error elsewhere."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
@@ -30,30 +34,32 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _box_pairs(box: DataFrame, reach: int, idt_reach: int, width: int) -> DataFrame:
-    """Pairs of boxes of a beam that come within reach in time and idt_reach in idt; each found in one bucket."""
-    rows = box.withColumn("_b", F.explode(F.sequence(F.floor((F.col("t0") - reach) / width), F.floor((F.col("t1") + reach) / width))))
-    a, b = rows.alias("a"), rows.alias("b")
-    near = (F.col("a.t0") - reach <= F.col("b.t1")) & (F.col("b.t0") <= F.col("a.t1") + reach)
-    near &= (F.col("a.i0") - idt_reach <= F.col("b.i1")) & (F.col("b.i0") <= F.col("a.i1") + idt_reach)
-    once = F.col("a._b") == F.floor((F.greatest("a.t0", "b.t0") - reach) / width)
-    on = (F.col("a.beam") == F.col("b.beam")) & (F.col("a._b") == F.col("b._b")) & (F.col("a.rid") < F.col("b.rid"))
-    return a.join(b, on & near & once).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))
-
+def friends_of_friends(cand: DataFrame, reach: int = 32, idt_reach: int = 20, width: int = 64) -> DataFrame:
+    """Candidates that come within reach in time and idt_reach in idt are merged into their bounding box, boxes likewise, until none do.
 
-def friends_of_friends(cand: DataFrame, reach: int = 4, idt_reach: int = 2, width: int = 64) -> DataFrame:
-    """Boxes that overlap are merged into their bounding box until none do: beam, rid and sn of the strongest (ties: smaller rid), t0, t1, i0, i1, ncands."""
-    box = cand.select("beam", "rid", "sn", F.col("sampno").alias("t0"), (F.col("sampno") + F.col("boxcar")).alias("t1"), F.col("idt").alias("i0"), F.col("idt").alias("i1"), F.lit(1).cast("long").alias("ncands"))
+    beam, rid and sn of the strongest (ties: smaller rid), t0, t1, i0, i1, ncands. A candidate starts as a
+    point. Which boxes end up together does not depend on the order of merging, so a round merges those that
+    have the same smallest neighbour (or are it), in one aggregate, and leaves the rest of a chain to the next.
+    """
+    box = cut(points(cand))
     while True:
-        pairs = cut(_box_pairs(box, reach, idt_reach, width))
+        pairs = cut(overlap_pairs(box, reach, idt_reach, width))
         if pairs.isEmpty():
             return box
-        named = box.join(components(pairs), F.col("rid") == F.col("node"), "left").withColumn("g", F.coalesce("label", "rid"))
+        least = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m"))
+        named = box.join(least, F.col("rid") == F.col("a"), "left").withColumn("g", F.least("rid", F.coalesce("m", "rid")))
         best = F.max(F.struct("sn", (-F.col("rid")).alias("r"))).alias("m")
         merged = named.groupBy("beam", "g").agg(best, F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.sum("ncands").alias("ncands"))
         box = cut(merged.select("beam", (-F.col("m.r")).alias("rid"), F.col("m.sn").alias("sn"), "t0", "t1", "i0", "i1", "ncands"))
 
 
+def strongest_of_clusters(cand: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Of each density cluster (rid, cluster) its strongest candidate, ties by rid."""
+    met = cand.join(clusters.select("rid", "cluster"), "rid")
+    top = met.groupBy("cluster").agg(F.max(F.struct("sn", (-F.col("rid")).alias("r"))).alias("m"), F.count(F.lit(1)).alias("n"))
+    return top.select("cluster", (-F.col("m.r")).alias("rid"), F.col("m.sn").alias("sn"), "n")
+
+
 def density_clusters(cand: DataFrame, eps: int, least: int) -> DataFrame:
     """DBSCAN by beam over (sampno, boxcar, dm): rid, cluster (smallest core rid reached), core. Noise goes; a border point takes its smallest neighbour cluster.
 

@@ -27,9 +27,10 @@ def tree(nf: int, f0: float, df: float, nd: int) -> list:
         for k in range(0, len(bands) - 1, 2):
             (lo, mid), (_, hi) = bands[k], bands[k + 1]
             rows = []
-            for d in range(_delays(lo, hi, top, nd)):
-                shift = min(round(d * share(mid + df, lo, hi, lo)), d)
-                rows.append((min(round(d * share(mid, lo, hi, lo)), size[k] - 1), min(d - shift, size[k + 1] - 1), shift))
+            for d in range(min(nd, _delays(lo, hi, top, nd))):
+                # half a channel below the middle for the lower half's own delay, half a channel above it for the shift
+                shift = round(d * share(mid + df / 2, lo, hi, lo))
+                rows.append((round(d * share(mid - df / 2, lo, hi, lo)), d - shift, shift))
             level.append((k, k + 1, rows))
             wider.append((lo, hi))
         if len(bands) % 2:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,9 @@ def block_change(stats: DataFrame) -> DataFrame:
 
 
 def grow_time_flags(x: DataFrame, ok: Column, block: int) -> DataFrame:
-    """A sample is good if it and the one before are; a block's first looks at itself only."""
-    order = Window.partitionBy("beam", "chan", F.expr(f"t div {block}")).orderBy("t")
-    return x.withColumn("ok", ok).withColumn("good", F.col("ok") & F.lag("ok", 1, True).over(order))
+    """A sample is good if it is and the sample at the time before is not bad; a block's first, and one behind a missing sample, looks at itself only."""
+    order = Window.partitionBy("beam", "chan", F.expr(f"t div {block}")).orderBy("t").rangeBetween(-1, 0)
+    return x.withColumn("ok", ok).withColumn("good", F.min("ok").over(order))
 
 
 def grow_channel_flags(flags: DataFrame, grow: int) -> DataFrame:
@@ -72,40 +74,141 @@ def roll_dedisperse(x: DataFrame, shift: Column, n: int) -> DataFrame:
     return x.groupBy("beam", F.pmod(F.col("t") + shift, F.lit(n)).alias("t")).agg(F.sum("v").alias("v"))
 
 
-def spread_initial(x: DataFrame, delays: int) -> DataFrame:
-    """The first state of the shift-and-add tree: for d below `delays`, the sum of the last d + 1 samples.
+def in_blocks(x: DataFrame, block: int, before: int) -> DataFrame:
+    """x by block of time (blk), each block with the samples of the last `before` times ahead of it (halo), so that no task needs a whole history."""
+    own = F.expr(f"t div {block}")
+    reach = F.floor((F.col("t") + before) / block)
+    return x.withColumn("blk", F.explode(F.sequence(own, reach))).withColumn("halo", F.col("blk") != own)
+
+
+def _window_sums(x: DataFrame, key: list[str], widths: tuple[int, ...], block: int) -> DataFrame:
+    """x with s, an array: per width the sum over the last `width` times; missing samples count as 0, and sums start anew in each frame, so errors do not add up."""
+    order = Window.partitionBy(*key, "blk").orderBy("t")
+    parts = in_blocks(x, block, max(widths) - 1)
+    return parts.withColumn("s", F.array(*[F.sum("v").over(order.rangeBetween(1 - w, 0)) for w in widths])).filter("not halo")
 
-    One running sum serves every d: two of its values are subtracted, so there is one window, not one per d.
-    """
-    order = Window.partitionBy("beam", "chan").orderBy("t")
-    run = x.withColumn("_p", F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumns({f"_{d}": F.col("_p") - F.coalesce(F.lag("_p", d + 1).over(order), F.lit(0)) for d in range(delays)})
-    states = [F.struct(F.lit(d).alias("d"), F.col(f"_{d}").alias("v")) for d in range(delays)]
-    return run.select("beam", "chan", "t", F.inline(F.array(*states)))
 
+def spread_initial(x: DataFrame, delays: int, block: int = 4096) -> DataFrame:
+    """The first state of the shift-and-add tree: for d below `delays`, the sum of the last d + 1 times."""
+    sums = _window_sums(x, ["beam", "chan"], tuple(range(1, delays + 1)), block)
+    return sums.select("beam", "chan", "t", F.posexplode("s").alias("d", "v"))
 
-def boxcars(series: DataFrame, widths: tuple[int, ...]) -> DataFrame:
-    """series: beam, t, v. Per width the sum of the last samples, from one running sum."""
-    order = Window.partitionBy("beam").orderBy("t")
-    run = series.withColumn("_p", F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumns({f"_{w}": F.col("_p") - F.coalesce(F.lag("_p", w).over(order), F.lit(0)) for w in widths})
-    sums = [F.struct(F.lit(w).alias("width"), F.col(f"_{w}").alias("s")) for w in widths]
-    return run.select("beam", "t", F.inline(F.array(*sums)))
 
+def boxcars(series: DataFrame, widths: tuple[int, ...], block: int = 4096) -> DataFrame:
+    """series: beam, t, v. Per width the sum over the last `width` times."""
+    states = [F.struct(F.lit(w).alias("width"), F.col("s")[k].alias("s")) for k, w in enumerate(widths)]
+    return _window_sums(series, ["beam"], widths, block).select("beam", "t", F.inline(F.array(*states)))
 
-def best_width(series: DataFrame, widths: tuple[int, ...]) -> DataFrame:
-    """At each time the width with the largest sum over the root of the width; ties go to the smaller width."""
-    sn = boxcars(series, widths).withColumn("sn", F.round(F.col("s") / F.sqrt(F.col("width").cast("double")), 6))
-    return sn.groupBy("beam", "t").agg(F.max(F.struct("sn", (-F.col("width")).alias("w"))).alias("m")).select("beam", "t", (-F.col("m.w")).alias("width"), F.col("m.sn").alias("sn"))
+
+def best_width(series: DataFrame, widths: tuple[int, ...], block: int = 4096) -> DataFrame:
+    """At each time the width with the largest sum over the root of the width; ties go to the smaller width. Chosen within the row."""
+    sn = [F.struct((F.col("s")[k] / F.sqrt(F.lit(float(w)))).alias("sn"), F.lit(-w).alias("w")) for k, w in enumerate(widths)]
+    best = _window_sums(series, ["beam"], widths, block).withColumn("m", F.array_max(F.array(*sn)))
+    return best.select("beam", "t", (-F.col("m.w")).alias("width"), F.col("m.sn").alias("sn"))
 
 
 def islands(best: DataFrame, threshold: float, block: int) -> DataFrame:
     """Runs of samples at or above threshold within a block: start, end, and the strongest sample (ties: smaller width, then earlier)."""
     part = ["beam", "blk"]
-    rows = best.withColumn("blk", F.expr(f"t div {block}"))
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy("t"))
-    high = rows.withColumn("k", rank).filter(F.col("sn") >= threshold)
-    high = high.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*part).orderBy("t")))
+    high = best.withColumn("blk", F.expr(f"t div {block}")).filter(F.col("sn") >= threshold)
+    high = high.withColumn("run", F.col("t") - F.row_number().over(Window.partitionBy(*part).orderBy("t")))  # a missing time ends a run
     top = F.max(F.struct("sn", (-F.col("width")).alias("w"), (-F.col("t")).alias("u"))).alias("m")
     out = high.groupBy(*part, "run").agg(F.min("t").alias("start"), F.max("t").alias("end"), top)
     return out.select("beam", "start", "end", F.col("m.sn").alias("sn"), (-F.col("m.w")).alias("width"), (-F.col("m.u")).alias("t"))
+
+
+def kurtosis(m: DataFrame) -> DataFrame:
+    """mean, population std and excess kurtosis from raw moments; null where the variance is 0."""
+    n = F.col("n").cast("double")
+    mean, m2, m3, m4 = (F.col(f"s{k}") / n for k in (1, 2, 3, 4))
+    var = m2 - mean * mean
+    kurt = F.when(var > 0, (m4 - 4 * mean * m3 + 6 * m2 * mean * mean - 3 * mean * mean * mean * mean) / (var * var) - 3)
+    return m.select("beam", "chan", "blk", "n", mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), kurt.alias("kurt"))
+
+
+def flag_channels(stats: DataFrame, mean_off: float, std_off: float, kurt_off: float, grow: int, mean: float = 128.0, std: float = 18.0) -> DataFrame:
+    """stats with flag: a channel in [chan - grow, chan + grow) of the block is off in mean, std or kurtosis; none for grow = 0, as the range is empty."""
+    bad = (F.col("n") > 0) & ((F.abs(F.col("mean") - mean) > mean_off) | (F.abs(F.col("std") - std) > std_off) | (F.abs("kurt") > kurt_off))
+    bad = F.coalesce(bad, F.lit(False)).cast("int")
+    if grow == 0:
+        return stats.withColumn("flag", F.lit(0))
+    near = Window.partitionBy("beam", "blk").orderBy("chan").rangeBetween(-grow, grow - 1)
+    return stats.withColumn("_bad", bad).withColumn("flag", F.max("_bad").over(near)).drop("_bad")
+
+
+def rescale_table(flagged: DataFrame, mean: float = 128.0, std: float = 18.0) -> DataFrame:
+    """Scale and offset by beam, channel and block: 0, 0 where flagged, the block before's where it has no samples, scale 1 without variance."""
+    scale = F.when(F.col("flag") == 1, 0.0).when(F.col("n") > 0, F.when(F.col("std") > 0, F.lit(std) / F.col("std")).otherwise(1.0))
+    offset = F.when(F.col("flag") == 1, 0.0).when(F.col("n") > 0, F.lit(mean) / scale - F.col("mean"))
+    before = Window.partitionBy("beam", "chan").orderBy("blk").rowsBetween(Window.unboundedPreceding, 0)  # a row per block
+    return flagged.select("beam", "chan", "blk", *[F.last(c, ignorenulls=True).over(before).alias(n) for c, n in ((scale, "scale"), (offset, "offset"))])
+
+
+def rescale(x: DataFrame, table: DataFrame, block: int) -> DataFrame:
+    """(v + offset) * scale by the block's table; samples without one go."""
+    rows = x.withColumn("blk", F.expr(f"t div {block}")).join(table, ["beam", "chan", "blk"])
+    return rows.select("beam", "t", "chan", ((F.col("v") + F.col("offset")) * F.col("scale")).alias("v"), "scale")
+
+
+def dm0_where(x: DataFrame, cell_thresh: float) -> DataFrame:
+    """Of rescaled samples (v, scale): by time the sum and count of unflagged cells below the threshold."""
+    fit = (F.abs("v") < cell_thresh) & (F.col("scale") != 0)
+    return x.groupBy("beam", "t").agg(F.coalesce(F.sum(F.when(fit, F.col("v"))), F.lit(0.0)).alias("dm0"), F.count_if(fit).alias("n"))
+
+
+def dm0_stats(series: DataFrame, block: int) -> DataFrame:
+    """series: beam, t, dm0, n. By beam and block: max, min, mean and variance of dm0 over the root of its count; times without cells go."""
+    z = series.filter("n > 0").select("beam", F.expr(f"t div {block}").alias("blk"), (F.col("dm0") / F.sqrt(F.col("n").cast("double"))).alias("z"))
+    return z.groupBy("beam", "blk").agg(F.max("z").alias("top"), F.min("z").alias("low"), F.avg("z").alias("mean"), F.var_pop("z").alias("var"))
+
+
+def high_pass(x: DataFrame, k: float, block: int) -> DataFrame:
+    """Exponential decay high-pass by beam and channel in order of time: d = (v + k d) / (1 + k) from d = 0, out = v - d; k = 0 leaves v as it is.
+
+    The recursion is linear, so each block runs from 0 in its own task, and what the blocks before leave over
+    is a weighted sum of their ends: a row per block, no sample.
+    """
+    if k == 0:
+        return x.select("beam", "chan", "t", F.col("v").cast("double").alias("v"))
+    decay = k / (1 + k)
+    kinds = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in ("beam", "chan", "t"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        v, d, out = rows["v"].to_numpy(float), 0.0, np.empty(len(rows))
+        for i, a in enumerate(v.tolist()):
+            d = (a + k * d) / (1 + k)
+            out[i] = d
+        return rows[["beam", "chan", "t", "blk"]].assign(v=v, d=out, i=np.arange(1, len(rows) + 1))
+
+    parts = x.withColumn("blk", F.expr(f"t div {block}")).groupBy("beam", "chan", "blk").applyInPandas(run, f"{kinds}, blk long, v double, d double, i long")
+    ends = parts.groupBy("beam", "chan", "blk").agg(F.max_by("d", "t").alias("d"), F.max("i").alias("n"))
+    order = Window.partitionBy("beam", "chan").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    past = F.collect_list(F.struct("d", "n")).over(order)  # of blocks before
+    left = F.aggregate(past, F.lit(0.0), lambda s, e: e["d"] + s * F.pow(F.lit(decay), e["n"]))
+    carry = ends.select("beam", "chan", "blk", left.alias("left"))
+    return parts.join(carry, ["beam", "chan", "blk"]).select("beam", "chan", "t", (F.col("v") - F.col("d") - F.col("left") * F.pow(F.lit(decay), F.col("i"))).alias("v"))
+
+
+def runs_of_equal(x: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
+    """Stretches of equal values in order: key, first and last place, value, length."""
+    by = Window.partitionBy(*key).orderBy(order)
+    new = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(by))).cast("int"), F.lit(1))
+    first = F.when(F.row_number().over(by) == 1, 1).otherwise(new)
+    run = x.withColumn("_new", first).withColumn("_run", F.sum("_new").over(by))
+    return run.groupBy(*key, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.first(value).alias("value"), F.count(F.lit(1)).alias("n")).drop("_run")
+
+
+def z_scores(x: DataFrame, block: int) -> DataFrame:
+    """(v - mean) / std by beam, channel and block; 0 where that is not finite."""
+    by = Window.partitionBy("beam", "chan", F.expr(f"t div {block}"))
+    std = F.stddev_pop("v").over(by)
+    return x.withColumn("v", F.when(std > 0, (F.col("v") - F.avg("v").over(by)) / std).otherwise(0.0))
+
+
+def covariance(x: DataFrame, block: int, reach: int) -> DataFrame:
+    """Covariance of channels a <= b, b - a at most `reach`, by beam and block over their common times."""
+    cells = x.select("beam", "t", F.col("chan").alias("a"), F.col("v").cast("double").alias("va"))
+    other = x.select("beam", "t", F.col("chan").alias("b"), F.col("v").cast("double").alias("vb"))
+    near = cells.withColumn("b", F.explode(F.sequence(F.col("a"), F.col("a") + reach))).join(other, ["beam", "t", "b"])
+    return near.groupBy("beam", F.expr(f"t div {block}").alias("blk"), "a", "b").agg(F.covar_pop("va", "vb").alias("cov"))

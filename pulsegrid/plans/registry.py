@@ -46,11 +46,13 @@ _MV = f"mv as (select beam, chan, t // {BLOCK} as blk, count(*) as n, sum(v) / c
 _mv = lambda s, d: S.mean_var(S.moments(spectra(s, d), BLOCK))
 
 _add("cand_filter_basic", lambda s, d: C.basic_filter(candidates(s, d), 5, 10, 20.0), "select * from cand where boxcar < 5 and idt > 10 and sn > 20")
-_add("cand_filter_rt", lambda s, d: C.real_time_filter(candidates(s, d), 30.0, 6, 3), "select * from cand where sn > 30 and boxcar < 6 and dm > 3 and beam <> 35")
+_timed = lambda s, d: candidates(s, d).withColumns({"secs": F.col("sampno") / 100.0, "mjd": 58000 + F.col("sampno") / 1000.0})
+_TIMED = "tim as (select *, sampno / 100.0::double as secs, 58000 + sampno / 1000.0::double as mjd from cand)"
+_add("cand_filter_rt", lambda s, d: C.real_time_filter(_timed(s, d), 30.0, 6, 3), f"with {_TIMED} select * from tim where sn > 30 and boxcar < 6 and dm > 3 and beam <> 35 and secs > 10")
 _add("cand_topn_per_beam", lambda s, d: C.top_per_beam(candidates(s, d), 5), "select *, row_number() over (partition by beam order by sn desc, rid) as rank from cand qualify rank <= 5")
 _add("cand_best_overall", lambda s, d: C.best(candidates(s, d)), "select * from cand order by sn desc, rid limit 1")
-_add("cand_beam_offset", lambda s, d: candidates(s, d).withColumn("beam", F.col("beam") + 36).unionByName(candidates(s, d)), "select * replace (beam + 36 as beam) from cand union all select * from cand")
-_add("cand_counts_rollup", lambda s, d: candidates(s, d).rollup("beam").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("sn") > 50).alias("passing")), "select beam, count(*) as total, count(*) filter (sn > 50) as passing from cand group by rollup (beam)")
+_add("cand_beam_offset", lambda s, d: C.with_beam_offset([(candidates(s, d), 36), (candidates(s, d), 0)]), "select * replace (beam + 36 as beam) from cand union all select * from cand")
+_add("cand_counts_rollup", lambda s, d: C.count_passing(candidates(s, d), F.col("sn") > 50), "select beam, count(*) as total, count(*) filter (sn > 50) as passing from cand group by rollup (beam)")
 _add(
     "nearest_join",
     lambda s, d: C.nearest(
@@ -64,26 +66,23 @@ _add(
     lambda s, d: C.as_of_backward(candidates(s, d).filter("boxcar = 1").select(F.col("rid").alias("lid"), F.col("sampno").alias("t"), "beam"), candidates(s, d).filter("boxcar = 3").select("rid", F.col("sampno").alias("t"), "beam"), ["beam"]),
     "select l.rid as lid, (select max(r.rid) from cand r where r.boxcar = 3 and r.beam = l.beam and r.sampno <= l.sampno) as rid from cand l where l.boxcar = 1",
 )
-_add("interval_overlap_pairs", lambda s, d: C.overlap_pairs(candidates(s, d), 4), "select a.rid as a, b.rid as b from cand a join cand b on a.beam = b.beam and a.rid < b.rid and abs(a.idt - b.idt) <= 2 and a.sampno - 4 <= b.sampno + b.boxcar and b.sampno <= a.sampno + a.boxcar + 4")
+_add("interval_overlap_pairs", lambda s, d: C.overlap_pairs(C.points(candidates(s, d)), 4, 2), "select a.rid as a, b.rid as b from cand a join cand b on a.beam = b.beam and a.rid < b.rid and abs(a.idt - b.idt) <= 2 and abs(a.sampno - b.sampno) <= 4")
 _add(
     "band_join_catalog",
     lambda s, d: C.band_join(candidates(s, d).filter("sn > 60"), read(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("dm")), 2),
     "select rid, arg_min(n_name, (abs(dm - n_nationkey), n_name)) as main, string_agg(n_name, ',' order by abs(dm - n_nationkey), n_name) as names from cand join nation on abs(dm - n_nationkey) < 2 where sn > 60 group by rid",
 )
-_add("unmatched_anti", lambda s, d: candidates(s, d).filter("sn > 60").join(read(s, d, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("dm")), "dm", "left_anti").select("rid"), "select rid from cand where sn > 60 and dm not in (select n_nationkey from nation where n_nationkey % 2 = 0)")
-_add(
-    "full_outer_sum",
-    lambda s, d: read(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("a")).join(read(s, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("b")), "k", "full").select("k", (F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("total")),
-    "select k, count(*) as total from (select c_nationkey as k from customer union all select s_nationkey from supplier) group by k",
-)
-_add("pairs_triangular", lambda s, d: read(s, d, "nation").alias("a").join(read(s, d, "nation").alias("b"), F.col("a.n_nationkey") < F.col("b.n_nationkey")).select(scalars.baseline_id(F.col("a.n_nationkey") + 1, F.col("b.n_nationkey") + 1).alias("blid")), "select 256 * (a.n_nationkey + 1) + b.n_nationkey + 1 as blid from nation a join nation b on a.n_nationkey < b.n_nationkey")
-_add("multibeam_collapse", lambda s, d: C.collapse_beams(candidates(s, d)), "select *, max(dm) over (partition by sampno) - min(dm) over (partition by sampno) as spread from cand qualify row_number() over (partition by sampno order by sn desc, rid) = 1 and spread <= 5")
+_add("unmatched_anti", lambda s, d: C.unmatched(candidates(s, d).filter("sn > 60"), read(s, d, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("dm")), "dm").select("rid"), "select rid from cand where sn > 60 and dm not in (select n_nationkey from nation where n_nationkey % 2 = 0)")
+_count = lambda s, d, t, c: read(s, d, t).groupBy(F.col(c).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+_add("full_outer_sum", lambda s, d: C.summed_outer(_count(s, d, "customer", "c_nationkey"), _count(s, d, "supplier", "s_nationkey"), "k", "n"), "select k, count(*) as total from (select c_nationkey as k from customer union all select s_nationkey from supplier) group by k")
+_add("pairs_triangular", lambda s, d: C.baselines(read(s, d, "nation"), "n_nationkey"), "select a.n_nationkey + 1 as a, b.n_nationkey + 1 as b, 256 * (a.n_nationkey + 1) + b.n_nationkey + 1 as blid from nation a join nation b on a.n_nationkey < b.n_nationkey")
+_add("multibeam_collapse", lambda s, d: C.collapse_beams(candidates(s, d)), "with w as (select *, dm - lag(dm) over (partition by sampno order by rid, sn, beam, dm) as _step from cand), v as (select * exclude (_step), max(_step) over (partition by sampno) as step, row_number() over (partition by sampno order by sn desc, rid, beam, dm) as k from w) select * exclude (k) from v where k = 1 and (step is null or step <= 5)")
 _add("block_moments", lambda s, d: S.moments(spectra(s, d), BLOCK), f"select beam, chan, t // {BLOCK} as blk, count(*) as n, cast(sum(v) as bigint) as s1, cast(sum(v * v) as bigint) as s2, cast(sum(v * v * v) as bigint) as s3, cast(sum(v * v * v * v) as bigint) as s4 from spectra group by all")
 _add("scale_offset", lambda s, d: S.scale_offset(_mv(s, d)).select("beam", "chan", "blk", _r("scale", "scale"), _r("offset", "offset")), f"with {_MV} select beam, chan, blk, round(case when var > 0 then 18 / sqrt(var) else 1 end, 6) as scale, round(128 / case when var > 0 then 18 / sqrt(var) else 1 end - mean, 6) as \"offset\" from mv")
 _add("dm0_series", lambda s, d: S.dm0(spectra(s, d)), "select beam, t, cast(sum(v) as bigint) as dm0, count(*) as n from spectra group by all")
 _add("dm0_subtract", lambda s, d: S.dm0_subtract(spectra(s, d)).select("beam", "t", "chan", _r("v", "v")), "select beam, t, chan, round(v - avg(v) over (partition by beam, t), 6) as v from spectra")
 _add("block_delta", lambda s, d: S.block_change(_mv(s, d)).select("beam", "chan", "blk", _r("change", "change")), f"with {_MV}, w as (select *, lag(mean) over (partition by beam, chan order by blk) as b from mv) select beam, chan, blk, round(coalesce(case when b <> 0 then mean / b - 1 end, 0), 6) as change from w")
-_add("flag_grow_time", lambda s, d: S.grow_time_flags(spectra(s, d), F.abs("v") < 20, BLOCK), f"with f as (select *, abs(v) < 20 as ok from spectra) select *, ok and lag(ok, 1, true) over (partition by beam, chan, t // {BLOCK} order by t) as good from f")
+_add("flag_grow_time", lambda s, d: S.grow_time_flags(spectra(s, d), F.abs("v") < 20, BLOCK), f"with f as (select *, abs(v) < 20 as ok from spectra) select *, min(ok) over (partition by beam, chan, t // {BLOCK} order by t range between 1 preceding and current row) as good from f")
 _add(
     "flag_grow_chan",
     lambda s, d: S.grow_channel_flags(spectra(s, d).groupBy("beam", "chan").agg(F.max((F.abs("v") > 55).cast("int")).alias("flag")), 3),
@@ -93,24 +92,23 @@ _add("tscrunch", lambda s, d: S.crunch_time(spectra(s, d).withColumn("beam", F.l
 _add("fscrunch", lambda s, d: S.crunch_channels(spectra(s, d), 8).select("beam", "t", "chan", _r("v", "v")), "select beam, t, chan // 8 as chan, round(sum(v) / sqrt(8.0), 6) as v from spectra group by all")
 _add("fold", lambda s, d: S.fold(spectra(s, d), 16), "select beam, chan, t % 16 as bin, cast(sum(v) as bigint) as v from spectra group by all")
 _add("dedisperse_roll", lambda s, d: S.roll_dedisperse(spectra(s, d), F.expr("chan * chan div 64"), 512), "select beam, (t + chan * chan // 64) % 512 as t, cast(sum(v) as bigint) as v from spectra group by all")
-_add("fdmt_init", lambda s, d: S.spread_initial(spectra(s, d), 4), " union all ".join(f"select beam, chan, t, {k} as d, cast(sum(v) over (partition by beam, chan order by t rows between {k} preceding and current row) as bigint) as v from spectra" for k in range(4)))
-_add("boxcar_sums", lambda s, d: S.boxcars(_series(s, d), (1, 4, 8, 32)), f"with {_SERIES} " + " union all ".join(f"select beam, t, {k} as width, cast(sum(v) over (partition by beam order by t rows between {k - 1} preceding and current row) as bigint) as s from ser" for k in (1, 4, 8, 32)))
-_BEST = f"{_SERIES}, wid as (" + " union all ".join(f"select beam, t, {k} as width, round(sum(v) over (partition by beam order by t rows between {k - 1} preceding and current row) / sqrt({k}.0), 6) as sn from ser" for k in (1, 2, 4, 8)) + "), best as (select * from wid qualify row_number() over (partition by beam, t order by sn desc, width) = 1)"
-_add("boxcar_best_width", lambda s, d: S.best_width(_series(s, d), (1, 2, 4, 8)), f"with {_BEST} select beam, t, width, sn from best")
+_add("fdmt_init", lambda s, d: S.spread_initial(spectra(s, d), 4, BLOCK), " union all ".join(f"select beam, chan, t, {k} as d, cast(sum(v) over (partition by beam, chan order by t range between {k} preceding and current row) as bigint) as v from spectra" for k in range(4)))
+_add("boxcar_sums", lambda s, d: S.boxcars(_series(s, d), (1, 4, 8, 32), BLOCK), f"with {_SERIES} " + " union all ".join(f"select beam, t, {k} as width, cast(sum(v) over (partition by beam order by t range between {k - 1} preceding and current row) as bigint) as s from ser" for k in (1, 4, 8, 32)))
+_BEST = f"{_SERIES}, wid as (" + " union all ".join(f"select beam, t, {k} as width, sum(v) over (partition by beam order by t range between {k - 1} preceding and current row)::double / sqrt({k}.0::double) as sn from ser" for k in (1, 2, 4, 8)) + "), best as (select * from wid qualify row_number() over (partition by beam, t order by sn desc, width) = 1)"
+_add("boxcar_best_width", lambda s, d: S.best_width(_series(s, d), (1, 2, 4, 8), BLOCK).select("beam", "t", "width", _r("sn", "sn")), f"with {_BEST} select beam, t, width, round(sn, 6) as sn from best")
 _add(
     "threshold_islands",
-    lambda s, d: S.islands(S.best_width(_series(s, d), (1, 2, 4, 8)), 100.0, BLOCK),
-    f"with {_BEST}, k as (select *, t // {BLOCK} as blk, row_number() over (partition by beam, t // {BLOCK} order by t) as k from best), h as (select *, k - row_number() over (partition by beam, blk order by t) as run from k where sn >= 100)"
-    " select beam, min(t) over w as start, max(t) over w as \"end\", sn, width, t from h window w as (partition by beam, blk, run) qualify row_number() over (partition by beam, blk, run order by sn desc, width, t) = 1",
+    lambda s, d: S.islands(S.best_width(_series(s, d), (1, 2, 4, 8), BLOCK), 100.0, BLOCK).withColumn("sn", F.round("sn", 6)),
+    f"with {_BEST}, h as (select *, t // {BLOCK} as blk, t - row_number() over (partition by beam, t // {BLOCK} order by t) as run from best where sn >= 100)"
+    " select beam, min(t) over w as start, max(t) over w as \"end\", round(sn, 6) as sn, width, t from h window w as (partition by beam, blk, run) qualify row_number() over (partition by beam, blk, run order by sn desc, width, t) = 1",
 )
 _add("bit_unpack_4b", lambda s, d: candidates(s, d).select("rid", *[scalars.signed_nibble(F.col("rid"), k).alias(f"n{k}") for k in range(2)]), "select rid, (rid & 15) - (rid & 8) * 2 as n0, ((rid >> 4) & 15) - ((rid >> 4) & 8) * 2 as n1 from cand")
 _add("bit_unpack_1b", lambda s, d: candidates(s, d).select("rid", scalars.sign_bit(F.col("rid"), 3).alias("b3")), "select rid, 1 - 2 * ((rid >> 3) & 1) as b3 from cand")
-_add("hist_codes", lambda s, d: candidates(s, d).groupBy("beam", F.col("rid").bitwiseAND(F.lit(15)).alias("code")).agg(F.count(F.lit(1)).alias("n")), "select beam, rid & 15 as code, count(*) as n from cand group by all")
+_add("hist_codes", lambda s, d: scalars.histogram(candidates(s, d).select("beam", *[scalars.unpack_word(F.col("rid"), 4, k).alias(f"n{k}") for k in range(2)]), "beam", ["n0", "n1"]), "select beam, (x & 15) - (x & 8) * 2 as code, count(*) as n from (select beam, rid as x from cand union all select beam, rid >> 4 from cand) group by all")
 _add("polyval_delay", lambda s, d: candidates(s, d).select("rid", _r(scalars.polyval([1.0, 0.5, 0.25], F.col("dm").cast("double")), "delay")), "select rid, round(1.0 + cast(dm as double) * (0.5 + dm * 0.25), 6) as delay from cand")
 _add("sex2deg", lambda s, d: candidates(s, d).select("rid", _r(scalars.sexagesimal_to_degrees(F.col("rid").cast("double")), "deg")), "with p as (select rid, rid // 10000 as d, rid // 100 % 100 as m, rid % 100 as s from cand) select rid, case when m < 60 and s < 60 then round(d + m / 60 + s / 3600, 6) end as deg from p")
 _add("range_expand", lambda s, d: read(s, d, "region").select("r_regionkey", F.explode(scalars.expand_ranges(F.concat(F.lit("1-3,7,9-"), (F.col("r_regionkey") + 10).cast("string")))).alias("n")), "select r_regionkey, unnest([1, 2, 3, 7] || generate_series(9, r_regionkey + 10)) as n from region")
-_add("tumbling_blocks", lambda s, d: read(s, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top")), "select event_type, date_trunc('hour', ts) as hour, count(*) as n, max(value) as top from events group by all")
-
+_add("tumbling_blocks", lambda s, d: blocks.tumbling_hours(read(s, d, "events")), "select event_type, date_trunc('hour', ts) as hour, count(*) as n, max(value) as top from events group by all")
 _add(
     "density_clusters",
     lambda s, d: clusters.density_clusters(candidates(s, d), 6, 3),
@@ -119,7 +117,32 @@ _add(
     " reach(n, l) as (select a, a from core union select e.b, r.l from reach r join edge e on r.n = e.a where r.l < e.b), label as (select n, min(l) as cluster from reach group by n)"
     " select n as rid, cluster, true as core from label union all select near.a, min(label.cluster), false from near join label on near.b = label.n where near.a not in (select a from core) group by near.a",
 )
-_add("friends_of_friends", lambda s, d: clusters.friends_of_friends(candidates(s, d)))
+#: lineitem repeats some (order, line), and so rid; the strongest of them stands for it.
+_ONCE = "once as materialized (select * from cand qualify row_number() over (partition by rid order by sn desc, sampno desc, boxcar desc, idt desc, dm desc, beam desc) = 1)"
+_once = lambda s, d: candidates(s, d).groupBy("rid").agg(F.max(F.struct("sn", "sampno", "boxcar", "idt", "dm", "beam")).alias("m")).select("rid", "m.*")
+
+
+def _fof_sql(reach: int, idt_reach: int, rounds: int = 16) -> str:
+    """Rounds of: pairs of boxes in reach, their components, bounding boxes. Rounds after the last change change nothing."""
+    parts = [CAND_SQL, _ONCE, "b0 as materialized (select rid, beam, sn, sampno as t0, sampno as t1, idt as i0, idt as i1, 1::bigint as ncands from once)"]
+    for k in range(1, rounds + 1):
+        b = f"b{k - 1}"
+        parts += [
+            f"p{k} as materialized (select x.rid as a, y.rid as b from {b} x join {b} y on x.beam = y.beam and x.rid <> y.rid and x.t0 - {reach} <= y.t1 and y.t0 <= x.t1 + {reach} and x.i0 - {idt_reach} <= y.i1 and y.i0 <= x.i1 + {idt_reach})",
+            f"r{k}(n, l) as (select rid, rid from {b} union select p.b, r.l from r{k} r join p{k} p on r.n = p.a where r.l < p.b)",
+            f"l{k} as materialized (select n, min(l) as l from r{k} group by n)",
+            f"b{k} as materialized (select arg_max(rid, (sn, -rid)) as rid, beam, max(sn) as sn, min(t0) as t0, max(t1) as t1, min(i0) as i0, max(i1) as i1, cast(sum(ncands) as bigint) as ncands from {b} join l{k} on rid = n group by beam, l)",
+        ]
+    return f"with recursive {', '.join(parts)} select * from b{rounds}"
+
+
+_add("friends_of_friends", lambda s, d: clusters.friends_of_friends(_once(s, d), 4, 2), _fof_sql(4, 2))
+_add(
+    "cluster_strongest",
+    lambda s, d: clusters.strongest_of_clusters(candidates(s, d), clusters.density_clusters(candidates(s, d), 6, 3)),
+    _SQL["density_clusters"].replace(" select n as rid, cluster, true as core", ", dens as (select n as rid, cluster, true as core") + ") select cluster, arg_max(rid, (sn, -rid)) as rid, max(sn) as sn, count(*) as n from dens join cand using (rid) group by cluster",
+)
+
 _NF, _F0, _DF, _ND = 64, 1.0, 0.005, 16
 _TRACE = ", ".join(str((d, *x)) for d in range(_ND) for x in dedisperse.trace(dedisperse.tree(_NF, _F0, _DF, _ND), d))
 _add(
@@ -146,3 +169,80 @@ _add(
     lambda s, d: blocks.run_available(blocks.tumbling(blocks.stream_table(s, d, "events"), "1 hour", "2 hours")),
     "select * from (select event_type, date_trunc('hour', ts) as start, count(*) as n, max(value) as top from events group by all) z where start + interval 1 hour <= (select date_trunc('milliseconds', max(ts)) from events) - interval 2 hours",
 )
+
+
+# Filters, sorts and matches over candidates
+_add("cand_filter_beam", lambda s, d: C.beam_filter(candidates(s, d), 5, 10, 20.0), "select * from cand where boxcar < 5 and idt > 10 and sn > 20 and beam <> 35")
+_add("cand_filter_summary", lambda s, d: C.summary_filter(candidates(s, d), 5, 4, 20.0), "select * from cand where boxcar < 5 and dm >= 4 and sn >= 20")
+_add("cand_representatives", lambda s, d: C.representatives(candidates(s, d), 8, 3), "select * from cand where dm >= 8 and boxcar <= 3")
+_add("cand_strong_and_late", lambda s, d: C.strong_and_late(_timed(s, d), 9.5, 10, 4, 7), f"with {_TIMED} select * from tim where sn > 9.5 and secs > 10 and boxcar < 4 and dm > 7")
+_add("cand_near_pulsar", lambda s, d: C.near_pulsar(candidates(s, d), 5.0, 2.0, 4, 7), "select * from cand where abs(dm - 5.0) < 2 and boxcar < 4 and beam = 7")
+_add("baselines_unflagged", lambda s, d: C.drop_flagged_baselines(read(s, d, "lineitem").select((F.col("l_suppkey") % 30).alias("a1"), (F.col("l_partkey") % 30).alias("a2"), "l_orderkey"), [3, 7], True), "select l_suppkey % 30 as a1, l_partkey % 30 as a2, l_orderkey from lineitem where l_suppkey % 30 not in (3, 7) and l_partkey % 30 not in (3, 7) and l_suppkey % 30 <> l_partkey % 30")
+_add("samples_around_date", lambda s, d: C.time_window(spectra(s, d), 58000.0, 0.5, 58000.001, 20.0), "select * from spectra where t between 132 and 212")
+_add("blocks_from", lambda s, d: C.from_block(spectra(s, d), 50.0, 0.5, BLOCK, 3), f"select * from spectra where t >= {BLOCK} and t // {BLOCK} < 4")
+_add("cand_rereferenced", lambda s, d: C.rereference(_timed(s, d), 1.1, 0.336, -0.001, -5.0).select("rid", _r("mjd", "mjd", 7), _r("dm", "dm", 5)), f"with {_TIMED} select rid, round(mjd + (4.15 * dm * (0 - 1.1 ** -2) - 5.0) / 86400.0 / 1e3, 7) as mjd, round(4.15 * dm * (1.436 ** -2 - 1.1 ** -2) / 4.15 / (1.435 ** -2 - 1.099 ** -2), 5) as dm from tim")
+_add("cand_seconds_off", lambda s, d: C.seconds_since_first(_timed(s, d), ["beam"]).select("rid", _r("secoff", "secoff", 3)), f"with {_TIMED} select rid, round((mjd - min(mjd) over (partition by beam)) * 86400.0, 3) as secoff from tim")
+_add(
+    "nearest_time_and_dm",
+    lambda s, d: C.nearest_in_time_and_dm(candidates(s, d).filter("boxcar = 1").select(F.col("rid").alias("lid"), F.col("sampno").alias("t"), "dm", "beam"), candidates(s, d).filter("boxcar = 2").select("rid", F.col("sampno").alias("t"), "dm", "beam", "sn"), 60, 3, ["beam"], 50.0),
+    "select l.rid as lid, r.rid, abs(l.sampno - r.sampno) as gap, abs(l.dm - r.dm) as dm_gap from cand l join cand r on l.beam = r.beam and l.boxcar = 1 and r.boxcar = 2 and r.sn <= 50 and abs(l.sampno - r.sampno) < 60 and abs(l.dm - r.dm) < 3 qualify row_number() over (partition by l.rid order by gap, dm_gap, r.rid) = 1",
+)
+_SEP = "degrees(2 * asin(sqrt(least(1.0, pow(sin(radians(k.dec - c.dec) / 2), 2) + cos(radians(c.dec)) * cos(radians(k.dec)) * pow(sin(radians(k.ra - c.ra) / 2), 2)))))"
+_add(
+    "sky_crossmatch",
+    lambda s, d: C.sky_match(
+        candidates(s, d).filter("sn > 50").select("rid", (F.col("beam") * 2.0).alias("ra"), (F.col("idt") - 25.0).alias("dec"), "dm"),
+        read(s, d, "supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 72).cast("double").alias("ra"), (F.col("s_nationkey") * 2.0 - 25.0).alias("dec"), (F.col("s_suppkey") % 11).alias("dm")), 1.5, 3.0,
+    ).select("rid", "name", _r("sep", "sep")),
+    "with c as (select rid, beam * 2.0::double as ra, idt - 25.0::double as dec, dm from cand where sn > 50), k as (select s_name as name, (s_suppkey % 72)::double as ra, s_nationkey * 2.0::double - 25 as dec, s_suppkey % 11 as dm from supplier),"
+    f" m as (select c.rid, k.name, {_SEP} as sep from c join k on abs(c.dm - k.dm) < 3), b as (select rid, min((round(sep, 9), name)) as x from m where sep < 1.5 group by rid) select c.rid, coalesce(x[2], 'None') as name, round(x[1], 6) as sep from c left join b using (rid)",
+)
+_add(
+    "interval_best_match",
+    lambda s, d: C.most_overlapping(
+        read(s, d, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("lid"), F.col("o_custkey").alias("a"), (F.col("o_custkey") + 9).alias("b")),
+        read(s, d, "supplier").select(F.col("s_suppkey").alias("rid"), (F.col("s_suppkey") * 13).alias("a"), (F.col("s_suppkey") * 13 + F.col("s_nationkey")).alias("b")), 16,
+    ),
+    "select lid, rid, shared from (select o_orderkey as lid, s_suppkey as rid, least(o_custkey + 9, s_suppkey * 13 + s_nationkey) - greatest(o_custkey, s_suppkey * 13) as shared from orders join supplier on o_orderkey % 7 = 0 and o_custkey < s_suppkey * 13 + s_nationkey and s_suppkey * 13 < o_custkey + 9) where shared > 0 qualify row_number() over (partition by lid order by shared desc, rid) = 1",
+)
+
+# The rescale chain
+_MOM = f"mo as (select beam, chan, t // {BLOCK} as blk, count(*) as n, avg(v) as m1, avg(v * v) as m2, avg(v * v * v) as m3, avg(v * v * v * v) as m4 from spectra group by all), ku as (select beam, chan, blk, n, m1 as mean, sqrt(greatest(m2 - m1 * m1, 0)) as std, case when m2 - m1 * m1 > 0 then (m4 - 4 * m1 * m3 + 6 * m2 * m1 * m1 - 3 * m1 * m1 * m1 * m1) / ((m2 - m1 * m1) * (m2 - m1 * m1)) - 3 end as kurt from mo)"
+_FLAG = f"{_MOM}, ba as (select *, case when n > 0 and (abs(mean) > 6 or abs(std - 16) > 4 or abs(kurt) > 1.5) then 1 else 0 end as bad from ku), fl as (select * exclude (bad), max(bad) over (partition by beam, blk order by chan range between 1 preceding and 0 following) as flag from ba), sc as (select beam, chan, blk, case when flag = 1 then 0 when std > 0 then 18 / std else 1.0 end as scale, case when flag = 1 then 0 when std > 0 then 128 / (18 / std) - mean else 128 - mean end as \"offset\" from fl)"
+_stats = lambda s, d: S.kurtosis(S.moments(spectra(s, d), BLOCK))
+_flags = lambda s, d: S.flag_channels(_stats(s, d), 6.0, 4.0, 1.5, 1, 0.0, 16.0)
+_DM0 = f"{_FLAG}, rs as (select s.beam, s.t, (s.v + sc.\"offset\") * sc.scale as v, sc.scale from spectra s join sc on s.beam = sc.beam and s.chan = sc.chan and s.t // {BLOCK} = sc.blk), d0 as (select beam, t, coalesce(sum(v) filter (abs(v) < 160 and scale <> 0), 0) as dm0, count(*) filter (abs(v) < 160 and scale <> 0) as n from rs group by all)"
+_dm0 = lambda s, d: S.dm0_where(S.rescale(spectra(s, d), S.rescale_table(_flags(s, d)), BLOCK), 160.0)
+_add("kurtosis_by_channel", lambda s, d: _stats(s, d).select("beam", "chan", "blk", "n", _r("mean", "mean"), _r("std", "std"), _r("kurt", "kurt", 5)), f"with {_MOM} select beam, chan, blk, n, round(mean, 6) as mean, round(std, 6) as std, round(kurt, 5) as kurt from ku")
+_add("rescale_flags", lambda s, d: _flags(s, d).select("beam", "chan", "blk", "flag"), f"with {_FLAG} select beam, chan, blk, flag from fl")
+_add("rescale_table", lambda s, d: S.rescale_table(_flags(s, d)).select("beam", "chan", "blk", _r("scale", "scale"), _r("offset", "offset")), f"with {_FLAG} select beam, chan, blk, round(scale, 6) as scale, round(\"offset\", 6) as \"offset\" from sc")
+_add("dm0_of_rescaled", lambda s, d: _dm0(s, d).select("beam", "t", _r("dm0", "dm0", 4), "n"), f"with {_DM0} select beam, t, round(dm0, 4) as dm0, n from d0")
+_add("dm0_stats", lambda s, d: S.dm0_stats(_dm0(s, d), BLOCK).select("beam", "blk", *[_r(c, c, 3) for c in ("top", "low", "mean", "var")]), f"with {_DM0} select beam, t // {BLOCK} as blk, round(max(z), 3) as top, round(min(z), 3) as low, round(avg(z), 3) as mean, round(var_pop(z), 3) as var from (select *, dm0 / sqrt(n) as z from d0 where n > 0) group by all")
+_add("highpass_decay", lambda s, d: S.high_pass(spectra(s, d).filter("chan < 4"), 7.0, BLOCK).select("beam", "t", "chan", _r("v", "v", 5)), "with recursive " + SPECTRA_SQL + ", o as (select *, row_number() over (partition by beam, chan order by t) as i from spectra where chan < 4), r(beam, chan, t, i, v, d) as (select beam, chan, t, i, v, v / 8.0::double from o where i = 1 union all select o.beam, o.chan, o.t, o.i, o.v, (o.v + r.d * 7.0::double) / 8.0::double from r join o on o.beam = r.beam and o.chan = r.chan and o.i = r.i + 1) select beam, t, chan, round(v - d, 5) as v from r")
+_add("z_scores", lambda s, d: S.z_scores(spectra(s, d), BLOCK).select("beam", "t", "chan", _r("v", "v")), f"select beam, t, chan, round(case when stddev_pop(v) over w > 0 then (v - avg(v) over w) / stddev_pop(v) over w else 0 end, 6) as v from spectra window w as (partition by beam, chan, t // {BLOCK})")
+_add("channel_covariance", lambda s, d: S.covariance(spectra(s, d), BLOCK, 2).select("beam", "blk", "a", "b", _r(F.col("cov") + 1e-7, "cov", 4)), f"select x.beam, x.t // {BLOCK} as blk, x.chan as a, y.chan as b, round(covar_pop(x.v, y.v) + 1e-7, 4) as cov from spectra x join spectra y on x.beam = y.beam and x.t = y.t and y.chan between x.chan and x.chan + 2 group by all")
+_add("runs_of_equal", lambda s, d: S.runs_of_equal(candidates(s, d), ["beam"], "rid", "boxcar"), "with w as (select *, case when boxcar is distinct from lag(boxcar) over (partition by beam order by rid) or row_number() over (partition by beam order by rid) = 1 then 1 else 0 end as new from cand), u as (select *, sum(new) over (partition by beam order by rid) as run from w) select beam, min(rid) as first, max(rid) as last, any_value(boxcar) as value, count(*) as n from u group by beam, run")
+_add("dedisperse_dm", lambda s, d: S.roll_dedisperse(spectra(s, d), scalars.roll_shift(40.0, 1.1 + F.col("chan") / 1000.0, 1.164, 0.001), 512), "select beam, (((t + cast(round_even(4.15::double * 40 * (pow(1.164::double, -2) - pow(1.1::double + chan / 1000.0::double, -2)) / 1e3 / 0.001, 0) as bigint)) % 512) + 512) % 512 as t, cast(sum(v) as bigint) as v from spectra group by all")
+
+# Scalar functions
+_BAND = (0.736, 0.001, 256, 1.7)
+_add("dm_idt", lambda s, d: candidates(s, d).select("rid", _r(scalars.idt_to_dm(F.col("idt"), *_BAND), "dm"), _r(scalars.dm_to_idt(F.col("dm"), *_BAND), "back"), _r(scalars.dm_delay_ms(F.col("dm"), 0.736, 0.991), "ms")), "select rid, round(idt * (1.7 / 4.15 / (pow(0.736::double, -2) - pow(0.991::double, -2))), 6) as dm, round(dm / (1.7 / 4.15 / (pow(0.736::double, -2) - pow(0.991::double, -2))), 6) as back, round(4.15 * dm * (pow(0.736::double, -2) - pow(0.991::double, -2)), 6) as ms from cand")
+_add(
+    "sky_geometry",
+    lambda s, d: candidates(s, d).select(
+        "rid", _r(scalars.separation(F.lit(10.0), F.lit(-30.0), F.col("beam") * 5.0, F.col("idt") - 25.0), "sep"), _r(scalars.position_angle(F.lit(10.0), F.lit(-30.0), F.col("beam") * 5.0, F.col("idt") - 25.0), "pa", 5),
+        *[_r(c, n) for c, n in zip(scalars.direction_cosines(F.col("beam") * 5.0, F.col("idt") - 25.0, 10.0, -30.0), ("l", "m"), strict=True)],
+    ),
+    "with q as (select rid, radians(beam * 5.0::double) as ra, radians(idt - 25.0::double) as de, radians(10.0::double) as r0, radians(-30.0::double) as d0 from cand) select rid, round(degrees(2 * asin(sqrt(least(1.0, pow(sin((de - d0) / 2), 2) + cos(d0) * cos(de) * pow(sin((ra - r0) / 2), 2))))), 6) as sep,"
+    " round(fmod(degrees(atan2(sin(ra - r0), cos(d0) * tan(de) - sin(d0) * cos(ra - r0))) + 360, 360), 5) as pa, round(cos(de) * sin(ra - r0), 6) as l, round(sin(de) * cos(d0) - cos(de) * sin(d0) * cos(ra - r0), 6) as m from q",
+)
+_add("times", lambda s, d: read(s, d, "events").select("event_id", _r(scalars.mjd(F.col("ts")), "mjd", 8), _r(scalars.bat_to_mjd(F.col("event_id") * 1e9, 37.0), "utc", 8), scalars.parse_time(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz").alias("back")), "select event_id, round(epoch_us(ts) / 86400000000.0::double + 40587, 8) as mjd, round((event_id * 1e9 / 1e6 - 37) / 86400.0, 8) as utc, date_trunc('second', ts) as back from events")
+_add("hms", lambda s, d: candidates(s, d).select("rid", scalars.format_hms(F.col("rid") / 10000.0).alias("text"), _r(scalars.parse_hms(scalars.format_hms(F.col("rid") / 10000.0)), "hours", 5)), "with q as (select rid, cast(round_even(rid / 10000.0::double * 360000, 0) as bigint) as c from cand) select rid, concat(lpad(cast(c // 360000 as varchar), 2, '0'), ':', lpad(cast(c // 6000 % 60 as varchar), 2, '0'), ':', lpad(cast(c // 100 % 60 as varchar), 2, '0'), '.', lpad(cast(c % 100 as varchar), 2, '0')) as text, round((lpad(cast(c // 360000 as varchar), 2, '0'))::int + c // 6000 % 60 / 60.0 + (c % 6000 / 100.0) / 3600.0, 5) as hours from q")
+_add("cleaning", lambda s, d: read(s, d, "documents").select("doc_id", scalars.coerced(F.substring("source", 4, 9)).alias("num"), scalars.fixed_longitude(F.col("doc_id") % 360).alias("lon"), scalars.saturated(F.col("n_chars") / 8.0, 0, 255).alias("byte"), scalars.padded(F.col("doc_id"), "SB", 8).alias("sb"), scalars.next_divisor(F.col("doc_id") % 50 + 8, F.lit(4)).alias("div"), scalars.finite(F.col("n_chars") / F.when(F.col("doc_id") % 3 > 0, 1.0).otherwise(float("inf"))).alias("fin")), "select doc_id, try_cast(source[4:12] as double) as num, case when doc_id % 360 > 180 then 180 - doc_id % 360 else doc_id % 360 end as lon, cast(least(255, round_even(n_chars / 8.0, 0)) as int) as byte, 'SB' || lpad(cast(doc_id as varchar), 8, '0') as sb, list_min([x for x in range(4, doc_id % 50 + 9) if (doc_id % 50 + 8) % x = 0]) as div, case when doc_id % 3 > 0 then n_chars::double else 0.0 end as fin from documents")
+_add("uv_indices", lambda s, d: candidates(s, d).select("rid", scalars.shifted(F.col("beam"), 36).alias("shifted"), scalars.triangular_index(F.greatest("beam", "dm"), F.least("beam", "dm"), 36).cast("long").alias("tri"), *[c.alias(n) for c, n in zip(scalars.complex_product(F.col("beam"), F.col("idt"), F.col("dm"), F.col("boxcar")), ("re", "im"), strict=True)]), "select rid, (beam + 18) % 36 as shifted, cast(666 - (36 - least(beam, dm)) * (37 - least(beam, dm)) // 2 + greatest(beam, dm) - least(beam, dm) as bigint) as tri, beam * dm + idt * boxcar as re, idt * dm - beam * boxcar as im from cand")
+_add("words_unpacked", lambda s, d: candidates(s, d).select("rid", *[scalars.unpack_word(F.col("rid"), b, k).cast("long").alias(f"b{b}_{k}") for b, k in ((1, 5), (2, 3), (4, 2), (8, 1))]), "select rid, 1 - 2 * ((rid >> 5) & 1) as b1_5, ((rid >> 6) & 3) - ((rid >> 6) & 2) * 2 as b2_3, ((rid >> 8) & 15) - ((rid >> 8) & 8) * 2 as b4_2, ((rid >> 8) & 255) - ((rid >> 8) & 128) * 2 as b8_1 from cand")
+
+# Streams and packets
+_add("gaps_filled", lambda s, d: blocks.fill_gaps(_series(s, d), "beam", "t", "v", BLOCK), f"with {_SERIES}, e as (select beam, unnest(generate_series(min(t), max(t))) as t from ser group by beam) select beam, t, cast(v as bigint) as v from e left join ser using (beam, t)")
+_add("fragments_reassembled", lambda s, d: blocks.reassemble(read(s, d, "lineitem").select((F.col("l_suppkey") % 5).alias("src"), F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("fragment"), F.lit(2).alias("n_fragments"), F.col("l_returnflag").alias("payload"))), "with o as (select l_suppkey % 5 as src, l_orderkey as frame, l_linenumber as fragment, min(l_returnflag) as payload from lineitem group by all) select src, frame, string_agg(payload, '' order by fragment) as payload from o group by src, frame having count(*) = 2")
+_add("stream_in_time", lambda s, d: blocks.run_available(blocks.in_time(blocks.stream_table(s, d, "events"), "ts", ["event_id"], "30 days").select("event_id", "event_type")), "select event_id, event_type from events")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # The header's keys by type, as the file format has them.
@@ -112,9 +116,70 @@ def read_filterbank(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Space-separated candidates, `#` lines skipped; without an eighth column mjd is 0."""
-    return spark.read.csv(path, sep=" ", comment="#", schema=CANDIDATE, ignoreLeadingWhiteSpace=True).fillna({"mjd": 0.0})
+    """Candidates with any blanks between columns; blank and `#` lines are skipped, columns past the eighth left out, and without an eighth mjd is 0."""
+    p = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#|$)"))
+    cols = [F.get(p, F.lit(k)).cast(t).alias(n) for k, (n, t) in enumerate(c.split() for c in CANDIDATE.split(", "))]
+    return rows.select(*cols).fillna({"mjd": 0.0})
 
 
-def write_candidates(cand: DataFrame, path: str) -> None:
-    cand.select(*[c.split()[0] for c in CANDIDATE.split(", ")]).write.csv(path, sep=" ")
+def write_candidates(cand: DataFrame, path: str, negative: bool = False) -> None:
+    """As text lines "sn sampno secs boxcar idt dm beamno mjd"; negative turns the signs of idt and dm, as for a band searched upside down."""
+    sign = -1 if negative else 1
+    line = F.format_string("%f %d %f %d %d %.3f %d %.15f", "sn", "sampno", "secs", "boxcar", F.col("idt") * sign, F.col("dm") * sign, "beamno", "mjd")
+    cand.select(line).write.text(path)
+
+
+def strongest_first(cand: DataFrame) -> DataFrame:
+    return cand.orderBy(F.desc("sn"), "sampno")
+
+
+_PACK = {8: np.uint8, 32: np.float32}
+
+
+def write_filterbank(x: DataFrame, path: str, header: dict, span: int) -> DataFrame:
+    """x: beam, t, vals. A file per beam and span of time, each with its own header (tstart moved on), under a folder that all executors mount; samples missing in between are 0.
+
+    Returns beam, first, rows, file; nothing is written before an action. A group is one file.
+    """
+    bits, n = header["nbits"], header["nchans"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        beam, blk = int(rows["beam"].iloc[0]), int(rows["blk"].iloc[0])
+        t = rows["t"].to_numpy()
+        first = int(t.min())
+        cube = np.zeros((int(t.max()) - first + 1, n), _PACK[bits])
+        values = np.stack(rows["vals"].to_list())
+        cube[t - first] = np.clip(np.rint(values), 0, 255) if bits == 8 else values
+        name = f"{path}/beam{beam:02}-{blk:08}.fil"
+        head = header | {"nsamples": len(cube), "tstart": header.get("tstart", 0.0) + first * header["tsamp"] / 86400.0}
+        with open(f"{name}.{uuid.uuid4().hex}", "wb") as f:  # a task that is run twice leaves one whole file
+            f.write(header_bytes(head) + cube.tobytes())
+        os.replace(f.name, name)
+        return pd.DataFrame({"beam": [beam], "first": [first], "rows": [len(cube)], "file": [name]})
+
+    return x.withColumn("blk", F.expr(f"t div {span}")).groupBy("beam", "blk").applyInPandas(run, "beam int, first long, rows long, file string")
+
+
+def read_header_lines(lines: DataFrame) -> DataFrame:
+    """lines: path, value, of "KEY value # comment" headers. path, key, value, comment; lines of one word go, and of a repeated key the last line counts (n)."""
+    text = F.regexp_extract("value", r"^\s*\S+\s+(.*)$", 1)
+    rows = lines.filter(F.col("value").rlike(r"^\s*\S+\s+\S")).select(
+        "path", "n", F.regexp_extract("value", r"^\s*(\S+)", 1).alias("key"), F.trim(F.split(text, "#", 2)[0]).alias("text"), F.trim(F.get(F.split(text, "#", 2), F.lit(1))).alias("comment")
+    )
+    return rows.groupBy("path", "key").agg(F.max(F.struct("n", "text", "comment")).alias("m")).select("path", "key", F.col("m.text").alias("value"), F.col("m.comment").alias("comment"))
+
+
+def read_parset_lines(lines: DataFrame) -> DataFrame:
+    """lines: path, n, value, of "name = value" files. path, key, values: one value, or those of [a,b]; # begins a comment, the last line of a name counts."""
+    bare = F.split("value", "#", 2)[0]
+    rows = lines.filter(F.instr(bare, "=") > 0).select("path", "n", F.trim(F.substring_index(bare, "=", 1)).alias("key"), F.trim(F.expr("substring(split(value, '#', 2)[0], instr(split(value, '#', 2)[0], '=') + 1)")).alias("v"))
+    last = rows.groupBy("path", "key").agg(F.max(F.struct("n", "v")).alias("m")).select("path", "key", F.col("m.v").alias("v"))
+    inner = F.regexp_extract("v", r"^\[(.*)\]$", 1)
+    return last.select("path", "key", F.when(F.col("v").rlike(r"^\[.*\]$"), F.split(inner, ",")).otherwise(F.array("v")).alias("values"))
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, n (place in the file), value. Header files are small: each is read whole by one task."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\n").alias("v"))
+    return files.select("path", F.posexplode("v").alias("n", "value"))

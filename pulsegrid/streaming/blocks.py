@@ -25,7 +25,36 @@ def tumbling(stream: DataFrame, width: str, delay: str) -> DataFrame:
 def run_available(stream: DataFrame) -> DataFrame:
     """Runs an append stream over all there is and reads what it wrote; state and results are in the shared folder."""
     spark = stream.sparkSession
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def in_time(stream: DataFrame, time: str, key: list[str], delay: str) -> DataFrame:
+    """A packet stream without repeats of a key; packets later than `delay` behind the newest are dropped (and counted by Spark)."""
+    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    return timed.dropDuplicatesWithinWatermark(key)
+
+
+def fill_gaps(series: DataFrame, key: str, t: str, value: str, block: int) -> DataFrame:
+    """series with a row, value null, for each time missing between a key's first and last; times are laid out block by block."""
+    ends = series.groupBy(key).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
+    blocks = ends.select(key, "_a", "_b", F.explode(F.expr(f"sequence(_a div {block}, _b div {block})")).alias("_k"))
+    times = blocks.select(key, F.explode(F.expr(f"sequence(greatest(_a, _k * {block}), least(_b, _k * {block} + {block - 1}))")).alias(t))
+    return times.join(series.select(key, t, value), [key, t], "left")
+
+
+def reassemble(packets: DataFrame) -> DataFrame:
+    """packets: src, frame, fragment (from 1), n_fragments, payload. Per complete frame its payload, repeats counted once; incomplete frames go."""
+    once = packets.groupBy("src", "frame", "fragment").agg(F.max("n_fragments").alias("n"), F.min("payload").alias("payload"))
+    whole = once.groupBy("src", "frame").agg(F.count(F.lit(1)).alias("have"), F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("fragment", "payload"))).alias("parts"))
+    return whole.filter("have = n").select("src", "frame", F.array_join(F.transform("parts", lambda p: p["payload"].cast("string")), "").alias("payload"))
+
+
+def tumbling_hours(events: DataFrame) -> DataFrame:
+    """The batch form of tumbling, without late rows: per type and hour n and top."""
+    return events.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
