@@ -160,6 +160,12 @@ def test_line_dedup_drops_templates(spark, hard):
     assert line_dedup.line_report(few).filter("n_dropped > 0").count() == 0
 
 
+def test_line_dedup_drops_long_passages_of_two_texts(spark):
+    passage = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(55))
+    docs = spark.createDataFrame([(1, f"one\n{passage}\nother"), (2, passage), (3, passage[:100]), (4, passage[:100] + "\nx")], "doc_id long, text string")
+    assert {r.doc_id: r.dropped_at for r in line_dedup.line_report(docs).collect()} == {1: "1", 2: "0", 3: "", 4: ""}
+
+
 def test_line_dedup_finds_templates_without_a_recurring_segment(spark):
     # 23 of 28 words are constant, but each fifth of the words behind the leading three has one that changes
     line = "all of the " + " ".join(f"{w} {w}b {w}c {w}d {{{k}}}" for k, w in enumerate(("ka", "le", "mi", "no", "pu")))
