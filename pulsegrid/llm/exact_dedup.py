@@ -71,11 +71,11 @@ def exact_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     salts: int = 32,
-    digest: Callable[[Column], Column] = _sha,
+    digest: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows, digests, many, mixed = _groups(docs, id_col, text_col, salts, digest)
-    if mixed is None and digest is _sha:
+    rows, digests, many, mixed = _groups(docs, id_col, text_col, salts, digest or _sha)
+    if mixed is None and digest is None:
         return _named(join_groups(digests, many, "_dig", "_n", "_id").withColumn("_sha", F.col("_dig")))
     rows = rows.withColumns({"_sha": _sha(F.col("_t")), "_t": F.sha2("_t", 512)})
     if mixed is None:

@@ -33,6 +33,91 @@ def test_exact_dedup_hard_rows_and_collisions(spark, hard):
     assert exact_dedup.exact_groups(hard.limit(0)).count() == 0
 
 
+def test_clashing_columns_and_repeats(spark):
+    names = ("_id", "_dig", "_row", "_text", "row", "id", "same", "_sha0", "_key")
+    rows = [(i, t, *("z" for _ in names)) for i, t in HARD]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    more = docs.unionByName(docs.filter("doc_id in (5, 6)"))
+    for out, ids in (
+        (exact_dedup.drop_exact_duplicates(more), [4, 5, 6]), (near_dedup.drop_near_duplicates(docs.filter("doc_id is not null")), [1, 3, 3, 4, 5]),
+        (pii.sanitise(docs), None), (decontaminate.decontaminate(docs, spark.createDataFrame([("a", None)], "item_id string, text string")), None),
+    ):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert all(r[n] == "z" for r in got for n in names)
+        assert len(got) == len(HARD) if ids is None else sorted(r.doc_id for r in got) == ids
+    empty = docs.limit(0)
+    assert exact_dedup.drop_exact_duplicates(empty).count() == near_dedup.drop_near_duplicates(empty).count() == pii.sanitise(empty).count() == 0
+
+
+def test_near_dedup_finds_pairs_near_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for k in range(60):
+        ws = [f"w{k}x{j}" for j in range(int(rng.integers(60, 400)))]
+        other = list(ws)
+        for j in rng.choice(len(ws), max(1, len(ws) // 60), replace=False):
+            other[j] = f"v{k}x{j}"
+        a, b = ({tuple(x[p : p + 3]) for p in range(len(x) - 2)} for x in (ws, other))
+        rows += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(other))]
+        want[2 * k + 1] = 2 * k if 100 * len(a & b) >= 85 * len(a | b) else 2 * k + 1
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=3, least_percent=85).collect()}
+    assert {i: got[i] for i in want} == want and sum(v < i for i, v in want.items()) > 20
+
+
+def test_long_items_in_parts(spark):
+    long = " ".join(f"i{k}" for k in range(95))
+    items = spark.createDataFrame([("a", long), ("b", "x y z")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "o " + " ".join(f"i{k}" for k in range(p, p + 11)) + " o") for p in range(80)] + [(99, "x y z i0 i1")], "doc_id long, text string")
+    one, many = (sorted(map(str, decontaminate.contamination(docs, items, shard_words=n).collect())) for n in (1_000_000, 30))
+    assert one == many
+
+
+def test_pipeline_stage_by_stage(spark):
+    import corpus_pipeline as c
+
+    kept = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    columns = kept.columns
+    for name, stage in c.STAGES:
+        before = kept.collect()
+        kept = stage(spark, kept, FOLDER)
+        after = kept.collect()
+        if name == "packing":
+            assert {r.doc_id for r in after} == {r.doc_id for r in before}
+            continue
+        assert kept.columns == columns and 0 < len(after) <= len(before)
+        if name == "exact_dedup":
+            best = {}
+            for r in before:
+                best[_lower(r.text)] = max(best.get(_lower(r.text), -1), r.doc_id)
+            assert sorted(r.doc_id for r in after) == sorted(best.values())
+        if name == "near_dedup":
+            sets = {}
+            for r in before:
+                ws = _lower(r.text).split()
+                sets[r.doc_id] = {tuple(ws[p : p + 5]) for p in range(max(1, len(ws) - 4))} if ws else set()
+            label = {i: i for i in sets}
+            pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+            for _ in sets:
+                for a, b in pairs:
+                    label[a] = label[b] = min(label[a], label[b])
+            assert sorted(r.doc_id for r in after) == sorted(i for i in sets if label[i] == i)
+        if name == "decontamination":
+            assert not decontaminate.contamination(kept, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).filter("contaminated").count()
+        kept = spark.createDataFrame(after, kept.schema)
+
+
+def test_isotonic_and_ridge_against_plain_versions():
+    rng = np.random.default_rng(6)
+    y, n = rng.random(9), rng.integers(1, 5, 9).astype(float)
+    want = [max(min(np.average(y[a : b + 1], weights=n[a : b + 1]) for b in range(k, 9)) for a in range(k + 1)) for k in range(9)]
+    assert np.allclose(quality.isotonic(y, n), want)
+    x, t = np.hstack([rng.random((50, 4)), np.ones((50, 1))]), rng.random(50)
+    w = quality.ridge(x.T @ x, x.T @ t, 50, 0.1)
+    grad = 2 * x.T @ (x @ w - t) + 2 * np.array([*[0.1 * 50**0.5] * 4, 1e-9]) * w
+    assert np.allclose(grad, 0, atol=1e-9)
+
+
 def test_near_dedup_hard_rows(hard):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_groups(hard, width=3, least_percent=85).collect()}
     assert got == {(1, 4, 1), (2, 4, 1), (6, 4, 1), (None, 4, 1), (3, 0, 3), (4, 0, 4), (5, 1, 5)}
