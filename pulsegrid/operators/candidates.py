@@ -203,3 +203,15 @@ def most_overlapping(left: DataFrame, right: DataFrame, width: int) -> DataFrame
     met = cut(left).join(cut(right).select("rid", F.col("a").alias("_a2"), F.col("b").alias("_b2"), "_b"), "_b").select("lid", "rid", (F.least("b", "_b2") - F.greatest("a", "_a2")).alias("shared"))
     met = met.filter("shared > 0")
     return met.groupBy("lid").agg(F.max(F.struct("shared", (-F.col("rid")).alias("r"))).alias("m")).select("lid", (-F.col("m.r")).alias("rid"), F.col("m.shared").alias("shared"))
+
+
+def nearest_source(pointings: DataFrame, catalogue: DataFrame, tol: float) -> DataFrame:
+    """pointings: rid, ra, dec. catalogue: name, ra, dec. The nearest source within tol degrees; none is an error when the row is read."""
+    found = sky_match(pointings.withColumn("dm", F.lit(0.0)), catalogue.withColumn("dm", F.lit(0.0)), tol, 1.0)
+    none = F.raise_error(F.concat(F.lit("no source near pointing "), F.col("rid").cast("string"))).cast("string")
+    return found.select("rid", F.when(F.col("sep").isNull(), none).otherwise(F.col("name")).alias("name"), "sep")
+
+
+def discarded(cand: DataFrame, most_width: int) -> DataFrame:
+    """Per beam and idt: candidates, and how many are wider than most_width."""
+    return cand.groupBy("beam", "idt").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("boxcar") > most_width).alias("discarded"))

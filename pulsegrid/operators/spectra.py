@@ -212,3 +212,23 @@ def covariance(x: DataFrame, block: int, reach: int) -> DataFrame:
     other = x.select("beam", "t", F.col("chan").alias("b"), F.col("v").cast("double").alias("vb"))
     near = cells.withColumn("b", F.explode(F.sequence(F.col("a"), F.col("a") + reach))).join(other, ["beam", "t", "b"])
     return near.groupBy("beam", F.expr(f"t div {block}").alias("blk"), "a", "b").agg(F.covar_pop("va", "vb").alias("cov"))
+
+
+def gain_test(stats: DataFrame, per_sample: float) -> DataFrame:
+    """stats: mean, std. g = |mean^2 / std^2 / per_sample - 1|, which is near 0 for detected noise; null without variance."""
+    return stats.withColumn("g", F.when(F.col("std") > 0, F.abs(F.pow("mean", 2) / F.pow("std", 2) / per_sample - 1)))
+
+
+def flag_counts(table: DataFrame, x: DataFrame, block: int) -> DataFrame:
+    """Per beam and block: channels with scale 0, and samples in them."""
+    flagged = table.filter("scale = 0").select("beam", "chan", "blk")
+    cells = x.groupBy("beam", "chan", F.expr(f"t div {block}").alias("blk")).agg(F.count(F.lit(1)).alias("n"))
+    return cells.join(flagged, ["beam", "chan", "blk"], "left_semi").groupBy("beam", "blk").agg(F.count(F.lit(1)).alias("channels"), F.sum("n").alias("samples"))
+
+
+def local_maxima(series: DataFrame) -> DataFrame:
+    """series: beam, t, v. Samples above both neighbours in time (those at t - 1 and t + 1; a missing one does not count)."""
+    sides = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    near = series.select("beam", "t", "v", F.explode(sides).alias("_k"))
+    by = near.groupBy("beam", (F.col("t") + F.col("_k")).alias("t")).agg(F.max(F.when(F.col("_k") == 0, F.col("v"))).alias("v"), F.max(F.when(F.col("_k") != 0, F.col("v"))).alias("_other"))
+    return by.filter(F.col("v").isNotNull() & (F.col("_other").isNull() | (F.col("v") > F.col("_other")))).select("beam", "t", "v")

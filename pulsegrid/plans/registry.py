@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import candidates as C
-from ..operators import clusters, dedisperse, transforms
+from ..operators import clusters, dedisperse, imaging, transforms, voltages
 from ..operators import spectra as S
 from ..sources.tables import BLOCK, CAND_SQL, SPECTRA_SQL, candidates, read, spectra
 from ..streaming import blocks
@@ -246,3 +246,64 @@ _add("words_unpacked", lambda s, d: candidates(s, d).select("rid", *[scalars.unp
 _add("gaps_filled", lambda s, d: blocks.fill_gaps(_series(s, d), "beam", "t", "v", BLOCK), f"with {_SERIES}, e as (select beam, unnest(generate_series(min(t), max(t))) as t from ser group by beam) select beam, t, cast(v as bigint) as v from e left join ser using (beam, t)")
 _add("fragments_reassembled", lambda s, d: blocks.reassemble(read(s, d, "lineitem").select((F.col("l_suppkey") % 5).alias("src"), F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("fragment"), F.lit(2).alias("n_fragments"), F.col("l_returnflag").alias("payload"))), "with o as (select l_suppkey % 5 as src, l_orderkey as frame, l_linenumber as fragment, min(l_returnflag) as payload from lineitem group by all) select src, frame, string_agg(payload, '' order by fragment) as payload from o group by src, frame having count(*) = 2")
 _add("stream_in_time", lambda s, d: blocks.run_available(blocks.in_time(blocks.stream_table(s, d, "events"), "ts", ["event_id"], "30 days").select("event_id", "event_type")), "select event_id, event_type from events")
+_add("flag_counts", lambda s, d: S.flag_counts(S.rescale_table(_flags(s, d)), spectra(s, d), BLOCK), f"with {_FLAG}, ce as (select beam, chan, t // {BLOCK} as blk, count(*) as n from spectra group by all) select beam, blk, count(*) as channels, cast(sum(n) as bigint) as samples from ce join sc using (beam, chan, blk) where scale = 0 group by beam, blk")
+_add("gain_test", lambda s, d: S.gain_test(_stats(s, d), 2.0).select("beam", "chan", "blk", _r("g", "g")), f"with {_MOM} select beam, chan, blk, round(case when std > 0 then abs(mean ** 2 / std ** 2 / 2.0 - 1) end, 6) as g from ku")
+_add("local_maxima", lambda s, d: S.local_maxima(_series(s, d)), f"with {_SERIES} select x.beam, x.t, cast(x.v as bigint) as v from ser x where not exists (select 1 from ser y where y.beam = x.beam and abs(y.t - x.t) = 1 and y.v >= x.v)")
+_add("cand_discarded", lambda s, d: C.discarded(candidates(s, d), 5), "select beam, idt, count(*) as n, count(*) filter (boxcar > 5) as discarded from cand group by beam, idt")
+_add(
+    "nearest_source",
+    lambda s, d: C.nearest_source(
+        read(s, d, "customer").select(F.col("c_custkey").alias("rid"), (F.col("c_custkey") % 72).cast("double").alias("ra"), (F.col("c_custkey") % 50 - 25.0).alias("dec")),
+        read(s, d, "nation").select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 3.0).alias("ra"), (F.col("n_nationkey") * 2.0 - 25.0).alias("dec")), 120.0,
+    ).select("rid", "name", _r("sep", "sep")),
+    "with c as (select c_custkey as rid, (c_custkey % 72)::double as ra, c_custkey % 50 - 25.0::double as dec from customer), k as (select n_name as name, n_nationkey * 3.0::double as ra, n_nationkey * 2.0::double - 25 as dec from nation),"
+    f" m as (select c.rid, min((round({_SEP}, 9), k.name)) as x from c, k group by c.rid) select rid, x[2] as name, round(x[1], 6) as sep from m",
+)
+
+# Voltages: antenna, channel, sample
+_volts = lambda s, d: spectra(s, d).filter("chan < 8").select((F.col("chan") % 4).alias("ant"), F.col("beam").alias("chan"), (F.col("t") * 2 + F.expr("chan div 4")).alias("t"), F.col("v").alias("re"), (F.col("v") % 7).alias("im"))
+_VOLTS = "volt as (select chan % 4 as ant, beam as chan, t * 2 + chan // 4 as t, v as re, v % 7 as im from spectra where chan < 8)"
+_add("detected_power", lambda s, d: voltages.detected_power(_volts(s, d), 32), f"with {_VOLTS} select ant, chan, t // 32 as integ, cast(sum(re * re + im * im) as bigint) as power, count(*) as n from volt group by all")
+_add("tied_sum", lambda s, d: voltages.tied_sum(_volts(s, d)), f"with {_VOLTS} select chan, t, cast(sum(re) as bigint) as re, cast(sum(im) as bigint) as im from volt group by all")
+_add("voltage_levels", lambda s, d: voltages.voltage_levels(_volts(s, d)).select("ant", "chan", *[_r(c, c) for c in ("mean_re", "std_re", "mean_im", "std_im")]), f"with {_VOLTS} select ant, chan, round(avg(re), 6) as mean_re, round(stddev_pop(re), 6) as std_re, round(avg(im), 6) as mean_im, round(stddev_pop(im), 6) as std_im from volt group by all")
+_XMAC = "xm as (select a.ant as a, b.ant as b, chan, t // 32 as integ, avg(a.re * b.re + a.im * b.im) as re, avg(a.im * b.re - a.re * b.im) as im, count(*) as n from volt a join volt b using (chan, t) where a.ant < b.ant group by all)"
+_add("cross_products", lambda s, d: voltages.cross_products(_volts(s, d), 32).withColumns({"re": F.round("re", 6), "im": F.round("im", 6)}), f"with {_VOLTS}, {_XMAC} select a, b, chan, integ, round(re, 6) as re, round(im, 6) as im, n from xm")
+_add(
+    "phase_slope",
+    lambda s, d: voltages.phase_slope(voltages.cross_products(_volts(s, d), 1 << 30), ["a", "b"]).select("a", "b", _r("slope", "slope", 5), _r("intercept", "intercept", 5)),
+    f"with {_VOLTS}, {_XMAC.replace('t // 32', '0')}, p as (select a, b, chan, atan2(im, re) as p from xm), q as (select *, coalesce(round_even((p - lag(p) over (partition by a, b order by chan)) / (2 * pi()), 0), 0) as turn from p), r as (select a, b, chan, p - 2 * pi() * sum(turn) over (partition by a, b order by chan) as p from q) select a, b, round(regr_slope(p, chan), 5) as slope, round(regr_intercept(p, chan), 5) as intercept from r group by a, b",
+)
+_add(
+    "fine_channels",
+    lambda s, d: voltages.fine_channels(_volts(s, d), 16, 2).select("ant", "chan", "blk", "fine", _r(F.col("re") + 1e-9, "re", 5), _r(F.col("im") + 1e-9, "im", 5)),
+    f"with {_VOLTS}, ph as (select ant, chan, t // 16 as blk, f, re, im, 2 * pi() * (f + 2 - 8) * (t % 16) / 16 as p from volt, generate_series(0, 11) _(f)) select ant, chan, blk, cast(f as int) as fine, round(sum(re * cos(p) + im * sin(p)) + 1e-9, 5) as re, round(sum(im * cos(p) - re * sin(p)) + 1e-9, 5) as im from ph group by ant, chan, blk, f",
+)
+_file = lambda s, d: spectra(s, d).select(F.col("chan").alias("file"), F.col("t"), "beam", "v").filter("file < 3")
+_starts = lambda s, d: s.range(3).select(F.col("id").cast("int").alias("file"), (F.col("id") * 5).alias("start"))
+_ALIGN = "al as (select chan as file, beam, t + chan * 5 - 10 as t, v from spectra where chan < 3 and t + chan * 5 - 10 >= 0)"
+_add("aligned_merge", lambda s, d: voltages.aligned_merge(_file(s, d), _starts(s, d)).select("t", *[F.col("vals")[k].alias(f"v{k}") for k in range(3)]), f"with {_ALIGN} select t, min(v) filter (file = 0) as v0, min(v) filter (file = 1) as v1, min(v) filter (file = 2) as v2 from al group by t having count(*) = 3")
+_add("aligned_mean", lambda s, d: voltages.aligned_mean(_file(s, d).withColumnRenamed("beam", "chan"), _starts(s, d)).withColumn("v", F.round("v", 6)), f"with {_ALIGN} select t, beam as chan, round(avg(v), 6) as v, count(*) as n from al group by all")
+_part = lambda s, d: read(s, d, "part").select(F.col("p_partkey").alias("row"), F.col("p_size").alias("blid"), F.col("p_retailprice").alias("v"))
+_add("row_difference", lambda s, d: voltages.row_difference(_part(s, d), _part(s, d).withColumn("v", F.col("v") * 0.5), "row", "blid", "v").withColumn("v", F.round("v", 6)), "select p_partkey as row, p_size as blid, round(p_retailprice - p_retailprice * 0.5, 6) as v from part")
+
+# The uv plane and images
+_lines = lambda s, d: read(s, d, "supplier").select(F.col("s_suppkey").alias("blid"), (((F.col("s_suppkey") * 37) % 101 - 50) / 64.0).alias("uu"), (((F.col("s_suppkey") * 53) % 89 - 44) / 64.0).alias("vv"))
+_cells = lambda s, d: imaging.uv_cells(_lines(s, d), [1.0 + k / 32 for k in range(32)], 0.125, 0.125, 64)
+_CELLS = (
+    "px as (select s_suppkey as blid, k as chan, cast(round_even(-(((s_suppkey * 37) % 101 - 50) / 64.0::double) * (1 + k / 32.0::double) / 0.125 + 32, 0) as int) as u0, cast(round_even((((s_suppkey * 53) % 89 - 44) / 64.0::double) * (1 + k / 32.0::double) / 0.125 + 32, 0) as int) as v0 from supplier, generate_series(0, 31) _(k)),"
+    " sh as (select blid, chan, (u0 + 32) % 64 as u, (v0 + 32) % 64 as v from px), nw as (select *, case when (u, v) is distinct from lag((u, v)) over (partition by blid order by chan) then 1 else 0 end as new from sh), ru as (select *, sum(new) over (partition by blid order by chan) as run from nw),"
+    " ce as (select blid, any_value(u) as u, any_value(v) as v, min(chan) as first, max(chan) as last from ru where u <> 0 and v <> 0 group by blid, run),"
+    " up as (select blid, u, v, cast(first as int) as first, cast(last as int) as last, case when u >= v then u else 64 - u end as upper_u, case when u >= v then v else 64 - v end as upper_v from ce)"
+)
+_add("uv_cells", _cells, f"with {_CELLS} select *, cast(2080 - (64 - upper_v) * (65 - upper_v) // 2 + upper_u - upper_v as bigint) as upper_idx from up")
+_add(
+    "uv_cells_at",
+    lambda s, d: imaging.find_cells(_cells(s, d), read(s, d, "customer").select(F.col("c_custkey").alias("name"), (F.col("c_custkey") % 63 + 1).cast("int").alias("u"), (F.col("c_custkey") * 5 % 63 + 1).cast("int").alias("v")), 64),
+    f"with {_CELLS}, wa as (select c_custkey as name, c_custkey % 63 + 1 as u, c_custkey * 5 % 63 + 1 as v from customer) select name, blid, first, last from up join wa on case when wa.u >= wa.v then wa.u else 64 - wa.u end = upper_u and case when wa.u >= wa.v then wa.v else 64 - wa.v end = upper_v",
+)
+_images = lambda s, d: spectra(s, d).select(F.col("beam").alias("idm"), (F.col("chan") % 8).alias("x"), F.expr("chan div 8").cast("int").alias("y"), "t", "v")
+_add(
+    "image_candidates",
+    lambda s, d: imaging.image_candidates(imaging.image_boxcars(_images(s, d), 4, "sqrt", BLOCK), 4, 30.0).withColumn("sn", F.round("sn", 6)),
+    "with im as (select beam as idm, chan % 8 as x, chan // 8 as y, t, v from spectra), bo as (" + " union all ".join(f"select idm, x, y, t, {w} as width, sum(v) over (partition by idm, x, y order by t range between {w - 1} preceding and current row) * {w**-0.5}::double as sn from im" for w in range(1, 5)) + ") select idm, t, x, cast(y as int) as y, width, round(sn, 6) as sn from bo qualify row_number() over (partition by idm, x, y, t order by sn desc, width) = 1 and sn >= 30",
+)

@@ -181,3 +181,65 @@ def test_candidate_files_with_odd_blanks(spark, tmp_path):
     filterbank.write_candidates(cand, str(tmp_path / "n"), negative=True)
     back = filterbank.read_candidates(spark, str(tmp_path / "n")).first()
     assert back.idt == -7 and back.dm == -4.25 and back.sn == 10.5
+
+
+def test_dada_blocks(spark, tmp_path):
+    from pulsegrid.sources import dada
+
+    x = np.arange(24, dtype="<f4").reshape(4, 2, 3)
+    x[1, 0, 1], x[2, 1, 2] = np.nan, np.inf
+    head = b"HDR_SIZE 5000 # bytes\nSHAPE 9\nDTYPE <f4\n"
+    path = tmp_path / "a.dada"
+    path.write_bytes((head + b"#" * 4200 + b"\nSHAPE 2,3\n").ljust(5000, b"\0") + x.tobytes() + b"12345")  # a header of over 4096 bytes, its last SHAPE counts
+    assert dada.read_header(str(path))["SHAPE"] == "2,3"
+    got = {(r.block, r.i): r.v for r in dada.read_dada(spark, str(path), blocks="3").collect()}
+    assert got == {(b, i): (None if not np.isfinite(v) else float(v)) for b in range(4) for i, v in enumerate(x[b].ravel())}
+    assert sorted({r.block for r in dada.read_dada(spark, str(path), step="2", blocks="1").collect()}) == [0, 2]
+    (tmp_path / "b.dada").write_bytes(b"HDR_SIZE 64\nSHAPE 4\n".ljust(64, b"\0"))
+    assert dada.read_dada(spark, str(tmp_path / "b.dada")).count() == 0
+    (tmp_path / "c.dada").write_bytes(b"HDR_SIZE 64\n".ljust(64, b"\0"))
+    with pytest.raises(Exception, match="SHAPE"):
+        dada.read_dada(spark, str(tmp_path / "c.dada")).count()
+
+
+def test_delay_of_a_sample_is_a_slope_of_phase(spark):
+    from pulsegrid.operators import voltages as V
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=65) + 1j * rng.normal(size=65)
+    rows = [(a, 0, t, float(v.real), float(v.imag)) for a, shift in ((0, 0), (1, 1)) for t, v in enumerate(np.roll(x, shift)[:64])]
+    fine = V.fine_channels(spark.createDataFrame(rows, "ant int, chan int, t long, re double, im double"), 64, 0)
+    one = {r.fine: complex(r.re, r.im) for r in fine.filter("ant = 0").collect()}
+    assert np.allclose([one[k] for k in range(64)], np.fft.fftshift(np.fft.fft(x[:64])))
+    vis = [(k, float(np.cos(2.0 * k + 0.5)), float(np.sin(2.0 * k + 0.5))) for k in range(40)]
+    fit = V.phase_slope(spark.createDataFrame(vis, "chan int, re double, im double").selectExpr("1 as a", "*"), ["a"]).first()
+    assert abs(fit.slope - 2.0) < 1e-9 and abs(fit.intercept - 0.5) < 1e-9
+    turned = V.delayed(fine.filter("ant = 0"), spark.createDataFrame([(0, 0.25)], "ant int, us double"), 1.0, 0.5, 0.0).collect()
+    assert all(abs(complex(r.re, r.im) - one[r.fine] * np.exp(2j * np.pi * 0.25 * 0.5 * r.fine)) < 1e-9 for r in turned)
+
+
+def test_rows_that_do_not_match_are_errors(spark):
+    from pulsegrid.operators import candidates as C
+    from pulsegrid.operators import imaging, voltages
+
+    a, b = spark.createDataFrame([(1, 7, 2.0), (2, 8, 3.0)], "row int, blid int, v double"), spark.createDataFrame([(1, 7, 1.0), (2, 9, 1.0)], "row int, blid int, v double")
+    assert voltages.row_difference(a.filter("row = 1"), b.filter("row = 1"), "row", "blid", "v").first().v == 1.0
+    for bad in (b, b.filter("row = 1")):
+        with pytest.raises(Exception, match="keys differ in row 2"):
+            voltages.row_difference(a, bad, "row", "blid", "v").collect()
+    sky = spark.createDataFrame([(1, 10.0, 0.0)], "rid int, ra double, dec double")
+    with pytest.raises(Exception, match="no source near pointing 1"):
+        C.nearest_source(sky, spark.createDataFrame([("x", 50.0, 0.0)], "name string, ra double, dec double"), 5.0).collect()
+    with pytest.raises(Exception, match="out of range for baseline 3"):
+        imaging.uv_cells(spark.createDataFrame([(3, 9.0, 0.0)], "blid int, uu double, vv double"), [1.0, 2.0], 1.0, 1.0, 16).collect()
+
+
+def test_image_boxcars_of_ones(spark):
+    from pulsegrid.operators import imaging
+
+    images = spark.range(10).selectExpr("0 as idm", "0 as x", "0 as y", "id as t", "1.0d as v")
+    for weight, want in (("sum", lambda n, w: n), ("avg", lambda n, w: n / w), ("sqrt", lambda n, w: n / w**0.5)):
+        got = {r.t: r.s for r in imaging.image_boxcars(images, 3, weight, 4).collect()}
+        assert all(np.allclose(got[t], [want(min(t + 1, w), w) for w in (1, 2, 3)]) for t in range(10))
+    best = imaging.image_candidates(imaging.image_boxcars(images, 3, "sqrt", 4), 3, 1.5).collect()
+    assert {(r.t, r.width) for r in best} == {(t, 3) for t in range(2, 10)}
