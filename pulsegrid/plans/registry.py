@@ -307,3 +307,10 @@ _add(
     lambda s, d: imaging.image_candidates(imaging.image_boxcars(_images(s, d), 4, "sqrt", BLOCK), 4, 30.0).withColumn("sn", F.round("sn", 6)),
     "with im as (select beam as idm, chan % 8 as x, chan // 8 as y, t, v from spectra), bo as (" + " union all ".join(f"select idm, x, y, t, {w} as width, sum(v) over (partition by idm, x, y order by t range between {w - 1} preceding and current row) * {w**-0.5}::double as sn from im" for w in range(1, 5)) + ") select idm, t, x, cast(y as int) as y, width, round(sn, 6) as sn from bo qualify row_number() over (partition by idm, x, y, t order by sn desc, width) = 1 and sn >= 30",
 )
+_packets = lambda events: events.select(F.expr("event_id div 8").alias("integ"), (F.col("event_id") % 8).cast("int").alias("idx"), F.col("value").alias("v")).filter("idx <> 5 or integ % 3 <> 0")
+_add(
+    "stream_reordered",
+    lambda s, d: blocks.run_available(blocks.reordered(_packets(blocks.stream_table(s, d, "events")), 4, 8, 1.0)).select("integ", *[F.nanvl(F.col("vals")[k], F.lit(None).cast("double")).alias(f"v{k}") for k in range(8)]),
+    "with p as (select event_id // 8 as integ, event_id % 8 as idx, value as v from events where event_id % 8 <> 5 or event_id // 8 % 3 <> 0) select integ, " + ", ".join(f"max(v) filter (idx = {k}) as v{k}" for k in range(8)) + " from p group by integ having integ + 1 <= (select max(integ) from p) - 4",
+)
+_add("integration_gaps", lambda s, d: blocks.with_gaps(read(s, d, "orders").filter("o_orderkey % 5 <> 2").select(F.col("o_orderkey").alias("integ")).distinct(), 100), "with p as (select distinct o_orderkey as integ from orders where o_orderkey % 5 <> 2) select integ, coalesce(integ - lag(integ) over (order by integ) - 1, 0) as new from p")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,28 @@ def reassemble(packets: DataFrame) -> DataFrame:
 def tumbling_hours(events: DataFrame) -> DataFrame:
     """The batch form of tumbling, without late rows: per type and hour n and top."""
     return events.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
+
+
+def reordered(stream: DataFrame, slots: int, size: int, step_secs: float) -> DataFrame:
+    """A reorder buffer. stream: integ (whole number), idx (below size), v, in any order. Per integration, once the newest is `slots` ahead: integ, vals by idx, NaN where none came.
+
+    Integrations are dated step_secs apart, so that the watermark holds `slots` of them; packets that come later are dropped, and Spark's
+    progress reports count them. Of repeated packets the largest value counts. State is bounded by slots * size values.
+    """
+    at = F.timestamp_micros((F.col("integ") * int(step_secs * 1e6)).cast("long"))
+    timed = stream.withColumn("_at", at).withWatermark("_at", f"{int(slots * step_secs * 1000)} milliseconds")
+    by = timed.groupBy(F.window("_at", f"{int(step_secs * 1000)} milliseconds"), "integ")
+    none = F.lit(float("nan"))
+    return by.agg(*[F.coalesce(F.max(F.when(F.col("idx") == k, F.col("v"))), none).alias(f"_{k}") for k in range(size)]).select("integ", F.array(*[f"_{k}" for k in range(size)]).alias("vals"))
+
+
+def with_gaps(integrations: DataFrame, most: int) -> DataFrame:
+    """integ with `new`, how many integrations lie between it and the one before; a jump beyond `most` is an error, as no buffer of that size could bridge it."""
+    width = 1 << 16
+    rows = integrations.withColumn("_b", F.floor(F.col("integ") / width))
+    ends = rows.groupBy("_b").agg(F.max("integ").alias("_end"))
+    carry = ends.select("_b", F.lag("_end").over(Window.orderBy("_b")).alias("_before"))  # a row for each 65,536 integrations
+    met = rows.join(carry, "_b").withColumn("_last", F.coalesce(F.lag("integ").over(Window.partitionBy("_b").orderBy("integ")), F.col("_before")))
+    gap = F.coalesce(F.col("integ") - F.col("_last") - 1, F.lit(0))
+    wrong = F.raise_error(F.concat(F.lit("jump before integration "), F.col("integ").cast("string"))).cast("long")
+    return met.select("integ", F.when(gap >= most, wrong).otherwise(gap).alias("new"))

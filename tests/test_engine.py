@@ -243,3 +243,12 @@ def test_image_boxcars_of_ones(spark):
         assert all(np.allclose(got[t], [want(min(t + 1, w), w) for w in (1, 2, 3)]) for t in range(10))
     best = imaging.image_candidates(imaging.image_boxcars(images, 3, "sqrt", 4), 3, 1.5).collect()
     assert {(r.t, r.width) for r in best} == {(t, 3) for t in range(2, 10)}
+
+
+def test_a_jump_of_integrations_is_an_error(spark):
+    from pulsegrid.streaming import blocks
+
+    rows = spark.createDataFrame([(0,), (3,), (65536 + 1,), (65536 + 2,)], "integ long")
+    assert sorted(map(tuple, blocks.with_gaps(rows, 1 << 20).collect())) == [(0, 0), (3, 2), (65537, 65533), (65538, 0)]
+    with pytest.raises(Exception, match="jump before integration 65537"):
+        blocks.with_gaps(rows, 100).collect()
