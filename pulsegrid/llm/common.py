@@ -39,6 +39,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/pulsegrid-" in f}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings for the jobs that run inside, put back afterwards; dots are written as two underscores."""
@@ -95,6 +104,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, spread: Co
     return met.select(*rows.columns, *[F.coalesce(c, f"_hot_{c}").alias(c) for c in others])
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str, bits: int = 26) -> DataFrame:
+    """rows whose key is not in gone (a written table of keys); only rows that may be in it are shuffled.
+
+    gone's hashes are broadcast as a bitmap of 2 ** bits, a row per 64 of them, so of bounded size; as it fills
+    up, more rows take part in the join, which decides.
+    """
+    h = F.xxhash64(key)
+    at = {"_word": F.pmod(h, F.lit(1 << (bits - 6))), "_bit": F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))}
+    marks = F.broadcast(materialize(gone.select(key).withColumns(at).groupBy("_word").agg(F.bit_or("_bit").alias("_marks"))))
+    met = rows.withColumns(at).join(marks, "_word", "left").withColumn("_may", F.coalesce(F.col("_marks").bitwiseAND(F.col("_bit")) != 0, F.lit(False)))
+    sure, others = met.filter(~F.col("_may")).select(rows.columns), met.filter("_may").select(rows.columns)
+    return sure.unionByName(others.join(gone.select(key), key, "left_anti").select(rows.columns))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else; the fast path is for pure ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOOM, ascii_lower, ascii_lower_sql, join_groups, materialize, settings, table
+from .common import BLOOM, ascii_lower, ascii_lower_sql, join_groups, materialize, row_key, settings, table, without
 
 
 def _sha(text: Column) -> Column:
@@ -86,18 +86,18 @@ def exact_groups(
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all columns of docs, which are shuffled once, by id and digest."""
-    report = exact_groups(docs, id_col, text_col).filter("group_size > 1").select(F.col("doc_id").alias("_i"), F.unhex("text_sha256").alias("_s"), F.col("kept").alias("_kept"))
-    marks = materialize(report.groupBy("_i", "_s").agg(F.max("_kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), _sha(ascii_lower(F.coalesce(docs[text_col], F.lit("")))).alias("_dig"))
-    on = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_dig") == F.col("_s"))
-    once = rows.join(marks.filter("not _kept or _rows > 1").select("_i", "_s"), on, "left_anti").select("_row.*")
-    again = marks.filter("_kept and _rows > 1").select("_i", "_s")
+    """The rows that stay, with all columns of docs, which stay where they are unless they may have to go."""
+    report = exact_groups(docs, id_col, text_col).filter("group_size > 1").select(row_key("doc_id", "text_sha256").alias("_key"), F.col("kept").alias("_kept"))
+    marks = materialize(report.groupBy("_key").agg(F.max("_kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")))
+    digest = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), row_key(docs[id_col], digest).alias("_key"))
+    once = without(rows, materialize(marks.filter("not _kept or _rows > 1").select("_key")), "_key").select("_row.*")
+    again = marks.filter("_kept and _rows > 1").select("_key")
     if again.isEmpty():
         return once
     # of rows repeated with one id and text the first of each task, then the first of all
     with settings(docs.sparkSession, **BLOOM):
-        repeated = materialize(rows.join(again, on, "left_semi").groupBy("_id", "_dig").agg(F.first("_row").alias("_row")).select("_row"))
+        repeated = materialize(rows.join(again, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row"))
     return once.unionByName(repeated.select("_row.*"))
 
 

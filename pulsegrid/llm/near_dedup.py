@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOOM, join_groups, materialize, row_key, settings, slices, table
+from .common import BLOOM, join_groups, materialize, row_key, settings, slices, table, without
 from .components import contract
 
 ROWS, BANDS = 6, 40
@@ -241,7 +241,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs without the rows that are not kept; rows repeated with one id and text all stay or go together."""
     gone = _groups(docs, id_col, text_col, width, least_percent).filter(~F.col("id").eqNullSafe(F.col("component"))).select("row").distinct()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), row_key(docs[id_col], docs[text_col]).alias("row"))
-    return rows.join(materialize(gone), "row", "left_anti").select("_row.*")
+    return without(rows, materialize(gone), "row").select("_row.*")
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, exact_dedup, line_dedup, lm_score, near_dedup, packing, pii, quality, url_filter, warc
+from . import collocations, decontaminate, divergence, exact_dedup, line_dedup, lm_score, mixing, near_dedup, packing, pii, quality, url_filter, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,9 @@ def queries() -> dict[str, Callable]:
         "op8_warc": warc.op8_warc,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_pii": pii.op10_pii,
+        "op11_mixing": mixing.op11_mixing,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_divergence": divergence.op13_divergence,
     }
 
 
@@ -30,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op8_warc": warc.OP8_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
+        "op12_collocations": collocations.OP12_SQL,
+        "op13_divergence": divergence.OP13_SQL,
     }
