@@ -1,7 +1,7 @@
 """Line deduplication by a fixed-depth log-template tree.
 
 A line's words with digits become ``<*>``. The tree has fixed depth: its first level is the number of
-words, the next ``DEPTH`` levels the leading words; a leaf is one path. All lines of a leaf with lines from
+words, the next ``DEPTH`` levels the leading words (all of them in a shorter line); a leaf is one path. All lines of a leaf with lines from
 ``min_docs`` texts (counted per distinct line) are compared. A word is constant at its place if lines of the leaf
 with it there come from ``min_docs`` texts, counted likewise, else a variable field. A line's template is its leaf,
 its constants and the places of its masked words. Templates depend on no order of the lines, so leaves need not be
@@ -10,12 +10,11 @@ walked by one task each: all steps are aggregates and joins.
 ``min_docs`` holds for lines of fewer than ``long`` words; as a leaf is of one length, longer ones need two texts
 at every step, so that a passage of over 50 words goes from its second text on.
 
-A template recurs if ``min_docs`` distinct texts hold it, two words at least are constant, and constants
-make ``least_constant`` of the words without digits; lines of recurring templates are dropped, first
+A template recurs if ``min_docs`` distinct texts hold it, two words at least are constant (in a line of one
+word, that one), and constants make ``least_constant`` of the words without digits; lines of recurring templates are dropped, first
 ones too. Copies of one text count once. Lines are known by two 64-bit hashes, their texts by SHA-256.
 
-Null text counts as empty; empty and blank lines, and lines of fewer words than ``DEPTH``, reach no leaf
-and stay. Repeated rows are reported one by one; null ids are kept. Very long texts or lines take no
+Null text counts as empty; empty and blank lines reach no leaf and stay. Repeated rows are reported one by one; null ids are kept. Very long texts or lines take no
 special path. An empty table gives an empty result. Other columns, whatever their names, are kept by
 ``drop_lines`` and ignored by ``line_report``.
 """
@@ -46,7 +45,7 @@ def parse(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
     """(place, words) of each line that reaches a leaf, words with digits masked."""
     for at, raw in enumerate(text.split(b"\n")):
         words = raw.split()
-        if len(words) >= DEPTH:
+        if words:
             yield at, [b"<*>" if _DIGIT.search(w) else w for w in words] if _DIGIT.search(raw) else words
 
 
@@ -74,7 +73,7 @@ def _lines(texts: DataFrame, schema: str) -> DataFrame:
                     else:
                         masked = [k for k, w in enumerate(words) if w == b"<*>"]
                         mask = _hash(",".join(map(str, masked)).encode())
-                        rows.append((leaf, line, len(words) - len(masked), DEPTH - sum(k < DEPTH for k in masked), mask, b" ".join(words).decode()))
+                        rows.append((leaf, line, len(words) - len(masked), min(DEPTH, len(words)) - sum(k < DEPTH for k in masked), mask, b" ".join(words).decode()))
             cols = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, types, strict=True)], schema=types)
 
@@ -102,7 +101,7 @@ def _templates(texts: DataFrame, lines: DataFrame, need, least_constant: float)
     kept = kept.groupBy(*_LEAF_LINE).agg(F.bit_xor("h1").alias("t1"), F.bit_xor("h2").alias("t2"), F.count(F.lit(1)).alias("more"))
     out = words.drop("text").join(kept, _LEAF_LINE, "left")
     constants = F.col("leading") + F.coalesce("more", F.lit(0))
-    out = out.filter((constants >= 2) & (constants >= least_constant * F.col("fixed")))
+    out = out.filter((constants >= F.least(F.col("size"), F.lit(2))) & (constants >= least_constant * F.col("fixed")))
     return materialize(out.select(*_LEAF_LINE, "n", "size", F.coalesce("t1", F.lit(0)).alias("t1"), F.coalesce("t2", F.lit(0)).alias("t2"), "mask"))
 
 
@@ -164,7 +163,7 @@ u as (select distinct t from d),
 r as (select t, generate_subscripts(x, 1) as pos, unnest(x) as raw
       from (select t, string_split(regexp_replace(t, '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), chr(10)) as x from u)),
 p as (select t, pos, w, array_to_string(w[1:{DEPTH}], ' ') as head, len(w) as k, array_to_string(w, ' ') as line
-      from (select t, pos, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') as w from r) where len(w) >= {DEPTH}),
+      from (select t, pos, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') as w from r) where len(w) > 0),
 l as (select k, head, line, any_value(w) as w, count(distinct t) as n from p group by all),
 b as (select *, case when k < {LONG} then {MIN_DOCS} else 2 end as need from l where (k, head) in (select (k, head) from l group by k, head having sum(n) >= case when k < {LONG} then {MIN_DOCS} else 2 end)),
 o as (select k, head, line, n, need, generate_subscripts(w, 1) as i, unnest(w) as word from b),
@@ -172,7 +171,7 @@ c as (select k, head, i, word from o where word <> '<*>' group by all having sum
 m as (select o.k, o.head, o.line, string_agg(case when o.word <> '<*>' and o.i > {DEPTH} and c.word is null then '<?>' else o.word end, ' ' order by o.i) as template,
              count(*) filter (where o.word <> '<*>' and (o.i <= {DEPTH} or c.word is not null)) as constants, count(*) filter (where o.word <> '<*>') as fixed
       from o left join c on o.k = c.k and o.head = c.head and o.i = c.i and o.word = c.word group by all),
-f as (select k, head, line, template from m where constants >= 2 and constants >= {LEAST_CONSTANT} * fixed),
+f as (select k, head, line, template from m where constants >= least(k, 2) and constants >= {LEAST_CONSTANT} * fixed),
 q as (select distinct p.t, p.pos, f.k, f.head, f.template from p join f on p.k = f.k and p.head = f.head and p.line = f.line),
 g as (select k, head, template from q group by all having count(distinct t) >= case when k < {LONG} then {MIN_DOCS} else 2 end),
 a as (select t, list(pos - 1 order by pos) as gone from q join g using (k, head, template) group by t),
