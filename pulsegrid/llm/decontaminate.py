@@ -11,14 +11,14 @@ its own pass, and their hits are united per document. ``decontaminate`` cuts uni
 what was cut again with all automata until none hits.
 
 Null or wordless texts have no words and no hits; null or wordless items match nothing; equal items
-all count. Repeated rows are reported one by one. Empty tables give empty results. Other columns are
+all count. Rows with one item id are one item; null is an id of its own, which counts but has no name in a list. Repeated rows are reported one by one. Empty tables give empty results. Other columns are
 kept by ``decontaminate`` and ignored by ``contamination``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,28 +38,36 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """next: per state word -> state; link, length: as usual; items: at the states of windows; short: at those of whole short items."""
+    """next: per state word -> state; link, length: as usual; items: at the states of windows; short: at those of whole short items.
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    top: of a state of at least ``window`` words the state of its last ``window``; near: the longest short item that
+    ends there, as its state (0: none). Both are set once all words are in, so that no walk climbs chains of links.
+    """
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window, self.next, self.link, self.length = window, [{}], [-1], [0]
         for _, ws in items:
             last = 0
             for w in ws:
                 last = self._extend(last, w)
-        self.items: dict[int, set[str]] = {}
-        self.short: dict[int, list[tuple[int, str]]] = {}
+        self.items: dict[int, set[str | None]] = {}
+        self.short: dict[int, list[tuple[int, str | None]]] = {}
+        self.near = array("l", bytes(8 * len(self.next)))
+        self.top = array("l", range(len(self.next)))
+        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
+        for s in order:
+            if self.length[self.link[s]] >= window:
+                self.top[s] = self.top[self.link[s]]
         for name, ws in items:
             if len(ws) >= window:
                 for _, state, size in self.walk(ws):
                     if size >= window:
-                        self.items.setdefault(self.up(state), set()).add(name)
+                        self.items.setdefault(self.top[state], set()).add(name)
             elif ws:
                 *_, (_, state, _) = self.walk(ws)
                 self.short.setdefault(state, []).append((len(ws), name))
-        self.has_short = bytearray(len(self.next))
-        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
         for s in order:
-            self.has_short[s] = s in self.short or self.has_short[self.link[s]]
+            self.near[s] = s if s in self.short else self.near[self.link[s]]
 
     def _extend(self, last: int, w: bytes) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -89,17 +97,10 @@ class Automaton:
             p = self.link[p]
         return c
 
-    def up(self, state: int) -> int:
-        """The state of the last `window` words."""
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
-
     def walk(self, ws: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """(position, state, length of the longest match that ends there), where a window or short item can end."""
-        nxt, link, length, short, window = self.next, self.link, self.length, getattr(self, "has_short", b""), self.window
+        nxt, link, length, near, window = self.next, self.link, self.length, self.near, self.window
         state = size = 0
-        every = not short
         for i, w in enumerate(ws):
             q = nxt[state].get(w)
             if q is None:
@@ -112,25 +113,25 @@ class Automaton:
                 size = length[state]
             state = q
             size += 1
-            if size >= window or every or short[state]:
+            if size >= window or near[state] or i == len(ws) - 1:
                 yield i, state, size
 
     def hits(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Disjoint hit ranges of words, end exclusive, and the items they come from."""
         spans: list[list[int]] = []
-        names: set[str] = set()
+        names: set[str | None] = set()
         for i, state, size in self.walk(ws):
             n = 0
             if size >= self.window:
                 n = self.window
-                names |= self.items.get(self.up(state), set())
-            s = state
-            while s > 0 and self.has_short[s]:
-                for k, name in self.short.get(s, ()):
+                names |= self.items.get(self.top[state], set())
+            s = self.near[state]
+            while s:  # fewer than `window` of them
+                for k, name in self.short[s]:
                     if k <= size:
                         n = max(n, k)
                         names.add(name)
-                s = self.link[s]
+                s = self.near[self.link[s]]
             if n:
                 a = i + 1 - n
                 while spans and a <= spans[-1][1]:
@@ -149,7 +150,7 @@ def shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, shar
             if held and n + len(part) > most:
                 yield Automaton(held, window)
                 held, n = [], 0
-            held.append((str(name), part))
+            held.append((name, part))
             n += len(part)
     yield Automaton(held, window)
 
@@ -167,7 +168,7 @@ def _scan(docs: DataFrame, automaton, known: bool = False) -> DataFrame:
                 spans, names = found.hits(ws)
                 if spans or not known:
                     at.append(k)
-                    rows.append((len(ws), [{"a": a, "b": b} for a, b in spans], sorted(names)))
+                    rows.append((len(ws), [{"a": a, "b": b} for a, b in spans], sorted(names, key=lambda n: (n is None, n or ""))))
             cols = list(zip(*rows, strict=True)) or [()] * 3
             span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
             take = pa.array(at, pa.int64())
