@@ -14,8 +14,10 @@ A star can miss a link between two of its rays, so buckets that still hold sever
 looked at again: their members outside the bucket's largest component meet all members of other
 components. The join that brings them together confirms pairs as it goes, each only in the first bucket
 that both share, so what it puts out are links, once each. There is no cap on partners and no estimate
-decides: every pair that shares a bucket and lies in two components is compared on its full sets. Work in
-one bucket is dealt into turns of at most ``_WORK`` comparisons.
+decides: every pair that shares a bucket and lies in two components is compared on its full sets. A bucket's
+members outside its largest component are dealt to slots of at most ``_WORK`` comparisons. Round r takes the next
+2^r slots, each a key of its own in the join, so rounds grow with the log of the work, and what earlier rounds
+have joined up (buckets that became one component, too) is left out of later ones.
 
 With 40 bands of 6 rows a pair at similarity 0.85 shares no bucket with probability 6e-9, at 0.8 5e-6.
 Sets are known by 128-bit digests, and rows by 128-bit keys of their id and text.
@@ -192,14 +194,21 @@ def _stars(members: DataFrame, confirm: _Confirm, labels: DataFrame | None) -> t
     return labels, materialize(again)
 
 
+def _still_mixed(members: DataFrame, labels: DataFrame, first: int) -> DataFrame:
+    """The members of buckets that have slots from ``first`` on and still hold several components."""
+    named = _labelled(members.filter(F.col("turns") > first), labels)
+    mixed = named.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
+    return materialize(named.drop("label").join(mixed, "key"))
+
+
 def _rays(members: DataFrame, lead: DataFrame, confirm: _Confirm, labels: DataFrame) -> DataFrame:
-    """Links of each bucket's lead with its members in other components."""
-    keys = materialize(members.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")))  # at most BANDS of them
+    """Links of each bucket's lead with its members in other components, slot by slot."""
+    keys = materialize(members.select("id", "key").distinct().groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")))  # at most BANDS of them
     about = materialize(_labelled(keys, labels).join(confirm.sets, "id"))
-    end = lambda rows, e: rows.select("key", "id").join(about, "id").select("key", F.col("id").alias(e), F.col("n").alias(f"n{e}"), F.col("label").alias(f"l{e}"), F.col("keys").alias(f"k{e}"), F.col("set").alias(f"s{e}"))
+    end = lambda rows, e: rows.select("key", "slot", "id").join(about, "id").select("key", "slot", F.col("id").alias(e), F.col("n").alias(f"n{e}"), F.col("label").alias(f"l{e}"), F.col("keys").alias(f"k{e}"), F.col("set").alias(f"s{e}"))
     once = F.element_at(F.array_intersect("ka", "kb"), 1)
     left, right = end(members, "b").alias("x"), end(lead, "a").alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("la") != F.col("lb")) & confirm.sizes_fit() & (once == F.col("x.key")) & confirm.close()
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.slot") == F.col("y.slot")) & (F.col("la") != F.col("lb")) & confirm.sizes_fit() & (once == F.col("x.key")) & confirm.close()
     return materialize(left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -211,9 +220,14 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, least_perce
     sets = materialize(seen.filter("n > 0").groupBy("same").agg(F.min("id").alias("least"), F.max("row").alias("row"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")))
     confirm = _Confirm(docs, sets.select(F.col("same").alias("id"), "row"), width, least_percent)
     labels, again = _stars(sets.select(F.col("same").alias("id"), F.explode("bands").alias("key")), confirm, None)
-    for turn in range(again.agg(F.max("turns")).first()[0] or 0):
-        lead = again.filter(F.col("minor") & (F.pmod(F.xxhash64("id", "key"), "turns") == turn))
-        labels = contract(labels, _rays(again, lead, confirm, labels))
+    slot = F.pmod(F.xxhash64("id", "key"), "turns")
+    for n in range(int(again.agg(F.max("turns")).first()[0] or 0).bit_length()):
+        first, last = (1 << n) - 1, (2 << n) - 2  # this round's slots
+        if n:
+            again = _still_mixed(again, labels, first)
+        lead = again.filter("minor").withColumn("slot", slot).filter(F.col("slot").between(first, last))
+        slots = F.sequence(F.lit(first).cast("long"), F.least(F.lit(last), F.col("turns") - 1))
+        labels = contract(labels, _rays(again.withColumn("slot", F.explode(slots)), lead, confirm, labels))
 
     linked = labels.select(F.col("node").alias("same"), "label")
     groups = materialize(sets.select("same", "least", "rows").join(linked, "same", "left").filter("rows > 1 or label is not null").withColumn("label", F.coalesce("label", "same")))

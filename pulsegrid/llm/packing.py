@@ -133,9 +133,13 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int
 
 
 class Plan:
-    """Steps (length, first rank, sequences, first sequence, first offset): ranks fill the sequences in turn, then the next layer."""
+    """Steps (length, first rank, sequences, first sequence, first offset): ranks fill the sequences in turn, then the next layer.
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, max_steps: int = 4_000_000):
+    Steps depend on capacity alone, whatever the counts: pairing uses up a length a step; then each small length
+    turns a group of equal gaps into one with smaller gaps, and leaves at most two groups more than there were.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
         self.capacity, self.steps, self.bins = capacity, [], 0
         self.rank = dict.fromkeys(counts, 0)
         self.gaps: dict[int, list[tuple[int, int]]] = {}
@@ -182,8 +186,6 @@ class Plan:
                     full, n = full + 1, 0
                 if full < size:
                     self.free(first + full, size - full, gap)
-            if len(self.steps) > max_steps:
-                raise ValueError("the packing plan is larger than its bound")
 
     def open(self, n: int) -> int:
         self.bins += n
