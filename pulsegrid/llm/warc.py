@@ -3,11 +3,14 @@
 Writing: a page gives three WARC/1.1 records, a request, a response (or a revisit, where an earlier
 capture has the same payload) and a metadata record; request and metadata name the response by
 WARC-Concurrent-To. Spark's text writer puts them into archive files, its line separator being the
-blank lines that end a record, with at most ``records_per_file`` records a file.
+blank lines that end a record. Files are bounded by bytes: pages are written by classes of size (a factor of two
+each above ``_SMALL``), and a class has as many records a file as fit ``file_bytes``; a larger page has a file.
 
-Reading: files are parsed record by record by Content-Length in ``mapInArrow``; digests are taken from
-the payload that was read, for revisits from WARC-Payload-Digest and the HTTP Content-Length.
-Assembly: records meet by their transaction, the id of the response that they are concurrent to.
+Reading: ``.warc`` and ``.warc.gz`` files (a member per record, or any other cut) and those of ``write_archive`` are
+inflated and parsed record by record by Content-Length in ``mapInArrow``, so a task holds a file's bytes, one
+record and one batch of results. Spark hands over a file of at most 2 GiB. Digests are taken from the payload that
+was read, for revisits from WARC-Payload-Digest and the HTTP Content-Length. A file that ends within a record
+gives the records before it. Assembly: records meet by their transaction, the id of the response that they are concurrent to.
 
 Null html is an empty payload; a null url writes an empty target. Rows repeated with one page_id and
 payload share a record id and come back as often as they went in. Null page_ids come back null. Other
@@ -17,6 +20,7 @@ columns are ignored. An empty table gives an empty archive and result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +31,8 @@ from .common import join_groups, materialize, scratch, slices, table
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
+#: Pages of up to so many bytes (with their records' headers) are one class; bytes that are inflated and put out at once.
+_SMALL, _CHUNK = 1 << 16, 1 << 20
 LEAST_REVISIT = 100
 FIELDS = "record_type string, record_id string, concurrent_to string, target_uri string, payload_digest string, payload_bytes long, page_id string, refers_to string"
 
@@ -51,9 +57,9 @@ def write_archive(
     payload_col: str = "html",
     least_revisit: int = LEAST_REVISIT,
     date: str = "1970-01-01T00:00:00Z",
-    records_per_file: int = 1500,
+    file_bytes: int = 1 << 26,
 ) -> None:
-    """Write an archive of all pages to the folder `path`."""
+    """Write an archive of all pages to the folder `path`; no file is larger than file_bytes unless one page is."""
     html = F.coalesce(F.col(payload_col), F.lit(""))
     uri = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7f]", "%20")
     rows = pages.select(F.col(id_col).alias("_id"), uri.alias("_uri"), html.alias("_html"), F.sha2(html, 256).alias("_digest"), F.octet_length(html).alias("_bytes"))
@@ -79,34 +85,73 @@ def write_archive(
         main,
         _record(F.lit("metadata"), F.col("_meta"), "application/warc-fields", to, about, date),
     )
-    rows.select(F.explode(records)).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+    # what a page's records take: its payload, its url in four places, and headers of fixed length
+    page = F.octet_length(html) + 4 * F.octet_length(uri) + 3000
+    size_class = F.greatest(F.ceil(F.log2(page / _SMALL)), F.lit(0)).cast("int")
+    for (k,) in pages.select(size_class).distinct().collect() or [(0,)]:  # at most one for each power of two
+        per_file = 3 * max(1, file_bytes // (_SMALL << k))
+        of = rows.filter(F.greatest(F.ceil(F.log2((F.col("_bytes") + 4 * F.octet_length("_uri") + 3000) / _SMALL)), F.lit(0)) == k)
+        of.select(F.explode(records)).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).text(f"{path}/class-{k}")
 
 
 def _named(lines: list[bytes]) -> dict[str, str]:
-    return {k.decode().lower(): v.strip().decode() for k, _, v in (line.partition(b":") for line in lines)}
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record."""
-    at, mark = 0, VERSION.encode()
-    while (at := data.find(mark, at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        head = _named(data[at:end].split(b"\r\n")[1:])
-        n = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+    return {k.decode("utf-8", "replace").strip().lower(): v.strip().decode("utf-8", "replace") for k, _, v in (line.partition(b":") for line in lines)}
+
+
+def inflated(data: memoryview) -> Iterator[bytes]:
+    """The file's bytes in chunks; gzip members follow one another."""
+    if bytes(data[:2]) != b"\x1f\x8b":
+        for at in range(0, len(data), _CHUNK):
+            yield bytes(data[at : at + _CHUNK])
+        return
+    at, member = 0, zlib.decompressobj(31)
+    while at < len(data) or member.unconsumed_tail:
+        more = member.unconsumed_tail
+        if not more:
+            more = data[at : at + _CHUNK]
+            at += len(more)
+        yield member.decompress(more, _CHUNK)
+        if member.eof:
+            at -= len(member.unused_data)
+            if bytes(data[at : at + 2]) != b"\x1f\x8b":  # padding
+                return
+            member = zlib.decompressobj(31)
+
+
+def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of a stream of bytes."""
+    held, seen = bytearray(), 0
+    for chunk in chunks:
+        held += chunk
+        at = 0
+        while True:
+            start = held.find(b"WARC/1.", at)
+            end = held.find(b"\r\n\r\n", max(start, seen - 3)) if start >= 0 else -1
+            if end < 0:
+                seen = len(held)
+                break
+            head = _named(bytes(held[start:end]).split(b"\r\n")[1:])
+            stop = end + 4 + int(head["content-length"])
+            if stop > len(held):
+                seen = start
+                break
+            yield head, bytes(held[end + 4 : stop])
+            at = seen = stop
+        del held[:at]
+        seen = max(0, seen - at)
 
 
 def _fields(head: dict[str, str], block: bytes, with_payload: bool) -> tuple:
     bare = lambda k: head[k].strip("<>") if k in head else None
-    kind, digest, size, page, refers, payload = head["warc-type"], None, None, None, None, None
+    kind, digest, size, page, refers, payload = head.get("warc-type"), None, None, None, None, None
     if kind in ("response", "revisit"):
         http, _, body = block.partition(b"\r\n\r\n")
         if kind == "response":
             digest, size = hashlib.sha256(body).hexdigest(), len(body)
             payload = body.decode("utf-8", "replace") if with_payload else None
         else:
-            digest, size = head["warc-payload-digest"].removeprefix("sha256:"), int(_named(http.split(b"\r\n")[1:])["content-length"])
+            told = _named(http.split(b"\r\n")[1:]).get("content-length", "")
+            digest, size = head.get("warc-payload-digest", "").removeprefix("sha256:") or None, int(told) if told.isdigit() else None
     elif kind == "metadata":
         told = _named([x for x in block.split(b"\r\n") if x])
         page, refers = told.get("page-id"), told.get("refers-to-page-id")
@@ -118,12 +163,22 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
     schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (f.split() for f in f"{FIELDS}, payload string".split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
         for batch in slices(batches, 1):  # whole files
             for data in batch.column(0):
-                cols = list(zip(*(_fields(h, b, with_payload) for h, b in parse(data.as_py())), strict=True)) or [()] * len(schema)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+                rows, size = [], 0
+                for head, block in parse(inflated(memoryview(data.as_buffer()))):
+                    rows.append(_fields(head, block, with_payload))
+                    size += len(block)
+                    if size > 16 * _CHUNK or len(rows) > 10_000:
+                        yield put(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield put(rows)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{part-*,*.warc,*.warc.gz}").load(path).select("content")
     return files.mapInArrow(run, f"{FIELDS}, payload string")
 
 
