@@ -167,11 +167,19 @@ def rereference(cand: DataFrame, ref_ghz: float, band_ghz: float, offset_ghz: fl
 
 
 def seconds_since_first(cand: DataFrame, by: list[str]) -> DataFrame:
-    return cand.withColumn("secoff", (F.col("mjd") - F.min("mjd").over(Window.partitionBy(*by))) * 86400.0)
+    first = cand.groupBy(*by).agg(F.min("mjd").alias("_first"))
+    return cand.join(first, by).withColumn("secoff", (F.col("mjd") - F.col("_first")) * 86400.0).drop("_first")
+
+
+def nearest_then_dm(left: DataFrame, right: DataFrame, tol: int, dm_tol: float, on: list[str]) -> DataFrame:
+    """The right row (rid, t, dm) nearest in t within tol (ties by rid), as nearest finds it; the match goes if its dm is dm_tol or more away."""
+    met = nearest(left, right, tol, on).join(right.select("rid", F.col("dm").alias("_dm")), "rid").join(left.select("lid", "dm"), "lid")
+    met = met.withColumn("dm_gap", F.abs(F.col("dm") - F.col("_dm"))).filter(F.col("dm_gap") < dm_tol)
+    return met.select("lid", "rid", "gap", "dm_gap")
 
 
 def nearest_in_time_and_dm(left: DataFrame, right: DataFrame, tol: int, dm_tol: float, on: list[str], max_sn: float | None = None) -> DataFrame:
-    """As nearest, of right rows within dm_tol in dm too, and none stronger than max_sn; ties by the smaller dm step, then rid."""
+    """The nearest in time of those right rows that are within dm_tol in dm too (see nearest_then_dm for the other order), and none stronger than max_sn; ties by the smaller dm step, then rid."""
     right = right if max_sn is None else right.filter(F.col("sn") <= max_sn)
     width = max(tol, 1)
     near = left.withColumn("_b", F.explode(F.sequence(F.floor((F.col("t") - tol) / width), F.floor((F.col("t") + tol) / width))))

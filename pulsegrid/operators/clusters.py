@@ -38,16 +38,15 @@ def friends_of_friends(cand: DataFrame, reach: int = 32, idt_reach: int = 20, wi
     """Candidates that come within reach in time and idt_reach in idt are merged into their bounding box, boxes likewise, until none do.
 
     beam, rid and sn of the strongest (ties: smaller rid), t0, t1, i0, i1, ncands. A candidate starts as a
-    point. Which boxes end up together does not depend on the order of merging, so a round merges those that
-    have the same smallest neighbour (or are it), in one aggregate, and leaves the rest of a chain to the next.
+    point. Which boxes end up together does not depend on the order of merging, so a round merges whole connected
+    components, found in rounds that grow with the log of a chain; only boxes that have grown make another round.
     """
     box = cut(points(cand))
     while True:
         pairs = cut(overlap_pairs(box, reach, idt_reach, width))
         if pairs.isEmpty():
             return box
-        least = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m"))
-        named = box.join(least, F.col("rid") == F.col("a"), "left").withColumn("g", F.least("rid", F.coalesce("m", "rid")))
+        named = box.join(components(pairs), F.col("rid") == F.col("node"), "left").withColumn("g", F.coalesce("label", "rid"))
         best = F.max(F.struct("sn", (-F.col("rid")).alias("r"))).alias("m")
         merged = named.groupBy("beam", "g").agg(best, F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.sum("ncands").alias("ncands"))
         box = cut(merged.select("beam", (-F.col("m.r")).alias("rid"), F.col("m.sn").alias("sn"), "t0", "t1", "i0", "i1", "ncands"))

@@ -89,9 +89,21 @@ def _window_sums(x: DataFrame, key: list[str], widths: tuple[int, ...], block: i
 
 
 def spread_initial(x: DataFrame, delays: int, block: int = 4096) -> DataFrame:
-    """The first state of the shift-and-add tree: for d below `delays`, the sum of the last d + 1 times."""
-    sums = _window_sums(x, ["beam", "chan"], tuple(range(1, delays + 1)), block)
-    return sums.select("beam", "chan", "t", F.posexplode("s").alias("d", "v"))
+    """The first state of the shift-and-add tree: for d below `delays`, the sum of the last d + 1 times; one running sum a block and its differences."""
+    kinds = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in ("beam", "chan", "t", "v"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        t, v, own = rows["t"].to_numpy(), rows["v"].to_numpy(), ~rows["halo"].to_numpy()
+        total = np.concatenate([[0], np.cumsum(v)])
+        first = np.searchsorted(t, t[own][:, None] - np.arange(delays))  # the first sample of each window
+        last = np.searchsorted(t, t[own], "right")
+        d = np.tile(np.arange(delays), int(own.sum()))
+        out = rows[own].loc[:, ["beam", "chan", "t"]].loc[lambda r: r.index.repeat(delays)]
+        return out.assign(v=(total[last][:, None] - total[first]).ravel(), d=d)[["beam", "chan", "t", "v", "d"]]
+
+    parts = in_blocks(x.select("beam", "chan", "t", "v"), block, delays - 1).groupBy("beam", "chan", "blk").applyInPandas(run, f"{kinds}, d int")
+    return parts.select("beam", "chan", "t", "d", "v")
 
 
 def boxcars(series: DataFrame, widths: tuple[int, ...], block: int = 4096) -> DataFrame:
@@ -162,41 +174,84 @@ def dm0_stats(series: DataFrame, block: int) -> DataFrame:
     return z.groupBy("beam", "blk").agg(F.max("z").alias("top"), F.min("z").alias("low"), F.avg("z").alias("mean"), F.var_pop("z").alias("var"))
 
 
+def _decayed(v: np.ndarray, start: np.ndarray, k: float, size: int = 64) -> np.ndarray:
+    """d = (v + k d) / (1 + k) along axis 0 from d = start, `size` steps at once: powers of the decay times inputs, as one product of matrices."""
+    decay = k / (1 + k)
+    step = np.arange(size)
+    weights = np.where(step[:, None] >= step, decay ** np.maximum(step[:, None] - step, 0), 0.0) / (1 + k)
+    fade = decay ** (step + 1)
+    out, d = np.empty(v.shape), start
+    for at in range(0, len(v), size):
+        n = min(size, len(v) - at)
+        out[at : at + n] = weights[:n, :n] @ v[at : at + n] + np.multiply.outer(fade[:n], d)
+        d = out[at + n - 1]
+    return out
+
+
 def high_pass(x: DataFrame, k: float, block: int) -> DataFrame:
     """Exponential decay high-pass by beam and channel in order of time: d = (v + k d) / (1 + k) from d = 0, out = v - d; k = 0 leaves v as it is.
 
-    The recursion is linear, so each block runs from 0 in its own task, and what the blocks before leave over
-    is a weighted sum of their ends: a row per block, no sample.
+    The recursion is linear, so each block of times runs from 0 in its own task, channels side by side where they
+    have the same times. What the blocks before leave over is carried at two levels, from block to block within
+    a stretch of blocks and from stretch to stretch: a row per block, then per stretch, no sample.
     """
     if k == 0:
         return x.select("beam", "chan", "t", F.col("v").cast("double").alias("v"))
-    decay = k / (1 + k)
+    decay, stretch = k / (1 + k), 1024
     kinds = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in ("beam", "chan", "t"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        v, d, out = rows["v"].to_numpy(float), 0.0, np.empty(len(rows))
-        for i, a in enumerate(v.tolist()):
-            d = (a + k * d) / (1 + k)
-            out[i] = d
-        return rows[["beam", "chan", "t", "blk"]].assign(v=v, d=out, i=np.arange(1, len(rows) + 1))
-
-    parts = x.withColumn("blk", F.expr(f"t div {block}")).groupBy("beam", "chan", "blk").applyInPandas(run, f"{kinds}, blk long, v double, d double, i long")
-    ends = parts.groupBy("beam", "chan", "blk").agg(F.max_by("d", "t").alias("d"), F.max("i").alias("n"))
-    order = Window.partitionBy("beam", "chan").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    past = F.collect_list(F.struct("d", "n")).over(order)  # of blocks before
-    left = F.aggregate(past, F.lit(0.0), lambda s, e: e["d"] + s * F.pow(F.lit(decay), e["n"]))
-    carry = ends.select("beam", "chan", "blk", left.alias("left"))
+        rows = rows.sort_values(["chan", "t"], ignore_index=True)
+        n = rows.groupby("chan").size().to_numpy()
+        v = rows["v"].to_numpy(float)
+        if (n == n[0]).all():
+            d = _decayed(v.reshape(len(n), -1).T, np.zeros(len(n)), k).T.ravel()
+        else:
+            d = np.concatenate([_decayed(part, np.zeros(()), k) for part in np.split(v, np.cumsum(n)[:-1])])
+        i = np.arange(1, len(v) + 1) - np.repeat(np.cumsum(n) - n, n)
+        return rows[["beam", "chan", "t", "blk"]].assign(v=v, d=d, i=i)
+
+    def chained(by: list[str], order: str, d: str, n: str) -> Column:
+        """What is left before each row of rows that each leave d and fade what came before by decay^n."""
+        before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        past = F.collect_list(F.struct(F.col(d).alias("d"), F.col(n).alias("n"))).over(before)
+        return F.aggregate(past, F.lit(0.0), lambda s, e: e["d"] + s * F.pow(F.lit(decay), e["n"]))
+
+    parts = x.withColumn("blk", F.expr(f"t div {block}")).groupBy("beam", "blk").applyInPandas(run, f"{kinds}, blk long, v double, d double, i long")
+    ends = parts.groupBy("beam", "chan", "blk").agg(F.max_by("d", "t").alias("d"), F.max("i").alias("n")).withColumn("far", F.expr(f"blk div {stretch}"))
+    ends = ends.withColumn("inner", chained(["beam", "chan", "far"], "blk", "d", "n")).withColumn("reach", F.sum("n").over(Window.partitionBy("beam", "chan", "far").orderBy("blk")))
+    whole = F.col("d") + F.col("inner") * F.pow(F.lit(decay), F.col("n"))
+    far = ends.groupBy("beam", "chan", "far").agg(F.max_by(whole, "blk").alias("d"), F.max("reach").alias("n"))
+    far = far.select("beam", "chan", "far", chained(["beam", "chan"], "far", "d", "n").alias("outer"))
+    left = F.col("inner") + F.col("outer") * F.pow(F.lit(decay), F.col("reach") - F.col("n"))
+    carry = ends.join(far, ["beam", "chan", "far"]).select("beam", "chan", "blk", left.alias("left"))
     return parts.join(carry, ["beam", "chan", "blk"]).select("beam", "chan", "t", (F.col("v") - F.col("d") - F.col("left") * F.pow(F.lit(decay), F.col("i"))).alias("v"))
 
 
-def runs_of_equal(x: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
-    """Stretches of equal values in order: key, first and last place, value, length."""
-    by = Window.partitionBy(*key).orderBy(order)
-    new = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(by))).cast("int"), F.lit(1))
-    first = F.when(F.row_number().over(by) == 1, 1).otherwise(new)
-    run = x.withColumn("_new", first).withColumn("_run", F.sum("_new").over(by))
-    return run.groupBy(*key, "_run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.first(value).alias("value"), F.count(F.lit(1)).alias("n")).drop("_run")
+def runs_of_equal(x: DataFrame, key: list[str], order: str, value: str, block: int = 65_536) -> DataFrame:
+    """Stretches of equal values in order (a whole number): key, first and last place, value, length.
+
+    Runs are found by blocks of `order`; runs that meet at the ends of blocks are joined up then, a row for each
+    run of a block, not for each sample.
+    """
+
+    def runs(rows: DataFrame, by: list[str], ends: bool = False) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("first")
+        new = ~F.col("value").eqNullSafe(F.lag("value").over(w))
+        if ends:  # two ends of one block have a run of another value between them
+            new |= F.col("_blk") == F.lag("_blk").over(w)
+        new = F.when(F.row_number().over(w) == 1, 1).otherwise(new.cast("int"))
+        return rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+
+    rows = x.select(*key, F.col(order).alias("first"), F.col(value).alias("value"), F.expr(f"{order} div {block}").alias("_blk"))
+    own = runs(rows, [*key, "_blk"]).groupBy(*key, "_blk", "_run").agg(F.min("first").alias("first"), F.max("first").alias("last"), F.first("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    ends = Window.partitionBy(*key, "_blk")
+    edge = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(ends))
+    marked = own.withColumn("_edge", edge)
+    # of each block its first and last run: at most two rows
+    edges = runs(marked.filter("_edge"), key, ends=True)
+    whole = edges.groupBy(*key, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("value").alias("value"), F.sum("n").alias("n"))
+    return marked.filter("not _edge").select(*key, "first", "last", "value", "n").unionByName(whole.select(*key, "first", "last", "value", "n"))
 
 
 def z_scores(x: DataFrame, block: int) -> DataFrame:
@@ -207,11 +262,20 @@ def z_scores(x: DataFrame, block: int) -> DataFrame:
 
 
 def covariance(x: DataFrame, block: int, reach: int) -> DataFrame:
-    """Covariance of channels a <= b, b - a at most `reach`, by beam and block over their common times."""
+    """Covariance (over n - 1) of channels a <= b, b - a at most `reach`, by beam and block over their common times; null of one time."""
     cells = x.select("beam", "t", F.col("chan").alias("a"), F.col("v").cast("double").alias("va"))
     other = x.select("beam", "t", F.col("chan").alias("b"), F.col("v").cast("double").alias("vb"))
     near = cells.withColumn("b", F.explode(F.sequence(F.col("a"), F.col("a") + reach))).join(other, ["beam", "t", "b"])
-    return near.groupBy("beam", F.expr(f"t div {block}").alias("blk"), "a", "b").agg(F.covar_pop("va", "vb").alias("cov"))
+    return near.groupBy("beam", F.expr(f"t div {block}").alias("blk"), "a", "b").agg(F.covar_samp("va", "vb").alias("cov"))
+
+
+def beam_covariance(x: DataFrame, block: int) -> DataFrame:
+    """Covariance (over n - 1) of beams a <= b by channel and block over their common times; null of one time."""
+    cells = x.select("chan", "t", F.struct("beam", F.col("v").cast("double").alias("v")).alias("m"))
+    at = cells.groupBy("chan", "t").agg(F.array_sort(F.collect_list("m")).alias("ms"))  # at most one for each beam
+    pairs = F.flatten(F.transform("ms", lambda a: F.transform(F.filter("ms", lambda b: b["beam"] >= a["beam"]), lambda b: F.struct(a["beam"].alias("a"), b["beam"].alias("b"), a["v"].alias("va"), b["v"].alias("vb")))))
+    near = at.select("chan", F.expr(f"t div {block}").alias("blk"), F.inline(pairs))
+    return near.groupBy("chan", "blk", "a", "b").agg(F.covar_samp("va", "vb").alias("cov"))
 
 
 def gain_test(stats: DataFrame, per_sample: float) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import clusters, dedisperse, imaging, transforms, voltages
 from ..operators import spectra as S
 from ..sources.tables import BLOCK, CAND_SQL, SPECTRA_SQL, candidates, read, spectra
 from ..streaming import blocks
+from ..streaming import search as stateful
 
 _Q: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -69,10 +70,10 @@ _add(
 _add("interval_overlap_pairs", lambda s, d: C.overlap_pairs(C.points(candidates(s, d)), 4, 2), "select a.rid as a, b.rid as b from cand a join cand b on a.beam = b.beam and a.rid < b.rid and abs(a.idt - b.idt) <= 2 and abs(a.sampno - b.sampno) <= 4")
 _add(
     "band_join_catalog",
-    lambda s, d: C.band_join(candidates(s, d).filter("sn > 60"), read(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("dm")), 2),
-    "select rid, arg_min(n_name, (abs(dm - n_nationkey), n_name)) as main, string_agg(n_name, ',' order by abs(dm - n_nationkey), n_name) as names from cand join nation on abs(dm - n_nationkey) < 2 where sn > 60 group by rid",
+    lambda s, d: C.band_join(candidates(s, d), read(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("dm")), 2),
+    "select rid, arg_min(n_name, (abs(dm - n_nationkey), n_name)) as main, string_agg(n_name, ',' order by abs(dm - n_nationkey), n_name) as names from cand join nation on abs(dm - n_nationkey) < 2 group by rid",
 )
-_add("unmatched_anti", lambda s, d: C.unmatched(candidates(s, d).filter("sn > 60"), read(s, d, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("dm")), "dm").select("rid"), "select rid from cand where sn > 60 and dm not in (select n_nationkey from nation where n_nationkey % 2 = 0)")
+_add("unmatched_anti", lambda s, d: C.unmatched(candidates(s, d), read(s, d, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("dm")), "dm").select("rid"), "select rid from cand where dm not in (select n_nationkey from nation where n_nationkey % 2 = 0)")
 _count = lambda s, d, t, c: read(s, d, t).groupBy(F.col(c).alias("k")).agg(F.count(F.lit(1)).alias("n"))
 _add("full_outer_sum", lambda s, d: C.summed_outer(_count(s, d, "customer", "c_nationkey"), _count(s, d, "supplier", "s_nationkey"), "k", "n"), "select k, count(*) as total from (select c_nationkey as k from customer union all select s_nationkey from supplier) group by k")
 _add("pairs_triangular", lambda s, d: C.baselines(read(s, d, "nation"), "n_nationkey"), "select a.n_nationkey + 1 as a, b.n_nationkey + 1 as b, 256 * (a.n_nationkey + 1) + b.n_nationkey + 1 as blid from nation a join nation b on a.n_nationkey < b.n_nationkey")
@@ -150,6 +151,30 @@ _add(
     lambda s, d: dedisperse.dedisperse_tree(spectra(s, d), _NF, _F0, _DF, _ND, BLOCK),
     f"with tr(idt, chan, depth, shift) as (values {_TRACE}) select beam, idt, t + shift + k as t, cast(sum(v) as bigint) as v from (select spectra.beam, spectra.t, spectra.v, cast(tr.idt as bigint) as idt, tr.shift, unnest(generate_series(0, tr.depth)) as k from spectra join tr using (chan)) z group by all having sum(v) <> 0",
 )
+_WIDTHS = (1, 4, 8, 32)
+
+
+def _searched(s, d):
+    """The samples as a stream of micro-batches, searched with state by beam."""
+    x = spectra(s, d)
+    stream, folder = stateful.replayed(x.select("beam", "t", F.col("chan").cast("int").alias("chan"), "v"), "t", 2 * BLOCK)
+    return stateful.run_with_state(stateful.search(stream, _NF, _F0, _DF, _ND, _WIDTHS, block=BLOCK), folder)
+
+
+_LAST = "(select beam, max(t) as last from spectra group by beam)"  # a stream's tails come with later samples
+_TREE_SQL = f"tr(idt, chan, depth, shift) as (values {_TRACE}), tree as (select beam, idt, t + shift + k as t, cast(sum(v) as bigint) as v from (select spectra.beam, spectra.t, spectra.v, cast(tr.idt as bigint) as idt, tr.shift, unnest(generate_series(0, tr.depth)) as k from spectra join tr using (chan)) z group by all having sum(v) <> 0)"
+_add("stream_fdmt_tree", lambda s, d: _searched(s, d).filter("v <> 0").select("beam", "idt", "t", "v"), f"with {_TREE_SQL} select beam, idt, t, v from tree join {_LAST} using (beam) where t <= last")
+_add(
+    "stream_boxcar_sums",
+    lambda s, d: _searched(s, d).filter("idt = 0 and seen").select("beam", "t", F.posexplode("s").alias("k", "s")).select("beam", "t", F.element_at(F.array(*map(F.lit, _WIDTHS)), F.col("k") + 1).alias("width"), "s"),
+)
+_SQL["stream_boxcar_sums"] = _SQL["boxcar_sums"]
+_BOXED = " union all ".join(f"select beam, idt, t, v, {w} as width, (sum(v) over (partition by beam, idt order by t range between {w - 1} preceding and current row))::double / sqrt({w}.0::double) as sn from tree" for w in _WIDTHS)
+_add(
+    "stream_candidates",
+    lambda s, d: stateful.candidates(_searched(s, d).filter("v <> 0"), _WIDTHS, 220.0).select("beam", "idt", "t", "width", _r("sn", "sn")),
+    f"with {_TREE_SQL}, bx as ({_BOXED}) select beam, idt, t, width, round(sn, 6) as sn from bx join {_LAST} using (beam) where t <= last and sn >= 220 qualify row_number() over (partition by beam, idt, t order by sn desc, width) = 1",
+)
 _add(
     "power_spectrum",
     lambda s, d: transforms.power_spectrum(_series(s, d), BLOCK).select("beam", "blk", "k", _r("power", "power", 2)),
@@ -182,6 +207,11 @@ _add("samples_around_date", lambda s, d: C.time_window(spectra(s, d), 58000.0, 0
 _add("blocks_from", lambda s, d: C.from_block(spectra(s, d), 50.0, 0.5, BLOCK, 3), f"select * from spectra where t >= {BLOCK} and t // {BLOCK} < 4")
 _add("cand_rereferenced", lambda s, d: C.rereference(_timed(s, d), 1.1, 0.336, -0.001, -5.0).select("rid", _r("mjd", "mjd", 7), _r("dm", "dm", 5)), f"with {_TIMED} select rid, round(mjd + (4.15 * dm * (0 - 1.1 ** -2) - 5.0) / 86400.0 / 1e3, 7) as mjd, round(4.15 * dm * (1.436 ** -2 - 1.1 ** -2) / 4.15 / (1.435 ** -2 - 1.099 ** -2), 5) as dm from tim")
 _add("cand_seconds_off", lambda s, d: C.seconds_since_first(_timed(s, d), ["beam"]).select("rid", _r("secoff", "secoff", 3)), f"with {_TIMED} select rid, round((mjd - min(mjd) over (partition by beam)) * 86400.0, 3) as secoff from tim")
+_add(
+    "nearest_then_dm",
+    lambda s, d: C.nearest_then_dm(_once(s, d).filter("boxcar = 1").select(F.col("rid").alias("lid"), F.col("sampno").alias("t"), "dm", "beam"), _once(s, d).filter("boxcar > 1").select("rid", F.col("sampno").alias("t"), "dm", "beam"), 60, 3, ["beam"]),
+    f"with {_ONCE}, m as (select l.rid as lid, r.rid, abs(l.sampno - r.sampno) as gap, abs(l.dm - r.dm) as dm_gap from once l join once r on l.beam = r.beam and l.boxcar = 1 and r.boxcar > 1 and abs(l.sampno - r.sampno) < 60 qualify row_number() over (partition by l.rid order by gap, r.rid) = 1) select * from m where dm_gap < 3",
+)
 _add(
     "nearest_time_and_dm",
     lambda s, d: C.nearest_in_time_and_dm(candidates(s, d).filter("boxcar = 1").select(F.col("rid").alias("lid"), F.col("sampno").alias("t"), "dm", "beam"), candidates(s, d).filter("boxcar = 2").select("rid", F.col("sampno").alias("t"), "dm", "beam", "sn"), 60, 3, ["beam"], 50.0),
@@ -191,19 +221,19 @@ _SEP = "degrees(2 * asin(sqrt(least(1.0, pow(sin(radians(k.dec - c.dec) / 2), 2)
 _add(
     "sky_crossmatch",
     lambda s, d: C.sky_match(
-        candidates(s, d).filter("sn > 50").select("rid", (F.col("beam") * 2.0).alias("ra"), (F.col("idt") - 25.0).alias("dec"), "dm"),
+        candidates(s, d).select("rid", (F.col("beam") * 2.0).alias("ra"), (F.col("idt") - 25.0).alias("dec"), "dm"),
         read(s, d, "supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 72).cast("double").alias("ra"), (F.col("s_nationkey") * 2.0 - 25.0).alias("dec"), (F.col("s_suppkey") % 11).alias("dm")), 1.5, 3.0,
     ).select("rid", "name", _r("sep", "sep")),
-    "with c as (select rid, beam * 2.0::double as ra, idt - 25.0::double as dec, dm from cand where sn > 50), k as (select s_name as name, (s_suppkey % 72)::double as ra, s_nationkey * 2.0::double - 25 as dec, s_suppkey % 11 as dm from supplier),"
+    "with c as (select rid, beam * 2.0::double as ra, idt - 25.0::double as dec, dm from cand), k as (select s_name as name, (s_suppkey % 72)::double as ra, s_nationkey * 2.0::double - 25 as dec, s_suppkey % 11 as dm from supplier),"
     f" m as (select c.rid, k.name, {_SEP} as sep from c join k on abs(c.dm - k.dm) < 3), b as (select rid, min((round(sep, 9), name)) as x from m where sep < 1.5 group by rid) select c.rid, coalesce(x[2], 'None') as name, round(x[1], 6) as sep from c left join b using (rid)",
 )
 _add(
     "interval_best_match",
     lambda s, d: C.most_overlapping(
-        read(s, d, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("lid"), F.col("o_custkey").alias("a"), (F.col("o_custkey") + 9).alias("b")),
+        read(s, d, "orders").select(F.col("o_orderkey").alias("lid"), F.col("o_custkey").alias("a"), (F.col("o_custkey") + 9).alias("b")),
         read(s, d, "supplier").select(F.col("s_suppkey").alias("rid"), (F.col("s_suppkey") * 13).alias("a"), (F.col("s_suppkey") * 13 + F.col("s_nationkey")).alias("b")), 16,
     ),
-    "select lid, rid, shared from (select o_orderkey as lid, s_suppkey as rid, least(o_custkey + 9, s_suppkey * 13 + s_nationkey) - greatest(o_custkey, s_suppkey * 13) as shared from orders join supplier on o_orderkey % 7 = 0 and o_custkey < s_suppkey * 13 + s_nationkey and s_suppkey * 13 < o_custkey + 9) where shared > 0 qualify row_number() over (partition by lid order by shared desc, rid) = 1",
+    "select lid, rid, shared from (select o_orderkey as lid, s_suppkey as rid, least(o_custkey + 9, s_suppkey * 13 + s_nationkey) - greatest(o_custkey, s_suppkey * 13) as shared from orders join supplier on o_custkey < s_suppkey * 13 + s_nationkey and s_suppkey * 13 < o_custkey + 9) where shared > 0 qualify row_number() over (partition by lid order by shared desc, rid) = 1",
 )
 
 # The rescale chain
@@ -218,9 +248,10 @@ _add("rescale_flags", lambda s, d: _flags(s, d).select("beam", "chan", "blk", "f
 _add("rescale_table", lambda s, d: S.rescale_table(_flags(s, d)).select("beam", "chan", "blk", _r("scale", "scale"), _r("offset", "offset")), f"with {_FLAG} select beam, chan, blk, round(scale, 6) as scale, round(\"offset\", 6) as \"offset\" from sc")
 _add("dm0_of_rescaled", lambda s, d: _dm0(s, d).select("beam", "t", _r("dm0", "dm0", 4), "n"), f"with {_DM0} select beam, t, round(dm0, 4) as dm0, n from d0")
 _add("dm0_stats", lambda s, d: S.dm0_stats(_dm0(s, d), BLOCK).select("beam", "blk", *[_r(c, c, 3) for c in ("top", "low", "mean", "var")]), f"with {_DM0} select beam, t // {BLOCK} as blk, round(max(z), 3) as top, round(min(z), 3) as low, round(avg(z), 3) as mean, round(var_pop(z), 3) as var from (select *, dm0 / sqrt(n) as z from d0 where n > 0) group by all")
-_add("highpass_decay", lambda s, d: S.high_pass(spectra(s, d).filter("chan < 4"), 7.0, BLOCK).select("beam", "t", "chan", _r("v", "v", 5)), "with recursive " + SPECTRA_SQL + ", o as (select *, row_number() over (partition by beam, chan order by t) as i from spectra where chan < 4), r(beam, chan, t, i, v, d) as (select beam, chan, t, i, v, v / 8.0::double from o where i = 1 union all select o.beam, o.chan, o.t, o.i, o.v, (o.v + r.d * 7.0::double) / 8.0::double from r join o on o.beam = r.beam and o.chan = r.chan and o.i = r.i + 1) select beam, t, chan, round(v - d, 5) as v from r")
+_add("highpass_decay", lambda s, d: S.high_pass(spectra(s, d), 7.0, BLOCK).select("beam", "t", "chan", _r("v", "v", 5)), "with recursive " + SPECTRA_SQL + ", o as (select *, row_number() over (partition by beam, chan order by t) as i from spectra), r(beam, chan, t, i, v, d) as (select beam, chan, t, i, v, v / 8.0::double from o where i = 1 union all select o.beam, o.chan, o.t, o.i, o.v, (o.v + r.d * 7.0::double) / 8.0::double from r join o on o.beam = r.beam and o.chan = r.chan and o.i = r.i + 1) select beam, t, chan, round(v - d, 5) as v from r")
 _add("z_scores", lambda s, d: S.z_scores(spectra(s, d), BLOCK).select("beam", "t", "chan", _r("v", "v")), f"select beam, t, chan, round(case when stddev_pop(v) over w > 0 then (v - avg(v) over w) / stddev_pop(v) over w else 0 end, 6) as v from spectra window w as (partition by beam, chan, t // {BLOCK})")
-_add("channel_covariance", lambda s, d: S.covariance(spectra(s, d), BLOCK, 2).select("beam", "blk", "a", "b", _r(F.col("cov") + 1e-7, "cov", 4)), f"select x.beam, x.t // {BLOCK} as blk, x.chan as a, y.chan as b, round(covar_pop(x.v, y.v) + 1e-7, 4) as cov from spectra x join spectra y on x.beam = y.beam and x.t = y.t and y.chan between x.chan and x.chan + 2 group by all")
+_add("channel_covariance", lambda s, d: S.covariance(spectra(s, d), BLOCK, 2).select("beam", "blk", "a", "b", _r(F.col("cov") + 1e-7, "cov", 4)), f"select x.beam, x.t // {BLOCK} as blk, x.chan as a, y.chan as b, round(covar_samp(x.v, y.v) + 1e-7, 4) as cov from spectra x join spectra y on x.beam = y.beam and x.t = y.t and y.chan between x.chan and x.chan + 2 group by all")
+_add("beam_covariance", lambda s, d: S.beam_covariance(candidates(s, d).groupBy((F.col("beam") % 6).alias("beam"), (F.col("boxcar") % 4).alias("chan"), (F.col("sampno") % 512).alias("t")).agg(F.max("dm").alias("v")), BLOCK).select("chan", "blk", "a", "b", _r(F.col("cov") + 1e-7, "cov", 4)), f"with x as (select beam % 6 as beam, boxcar % 4 as chan, sampno % 512 as t, max(dm) as v from cand group by all) select x.chan, x.t // {BLOCK} as blk, x.beam as a, y.beam as b, round(covar_samp(x.v, y.v) + 1e-7, 4) as cov from x join x y on x.chan = y.chan and x.t = y.t and x.beam <= y.beam group by all")
 _add("runs_of_equal", lambda s, d: S.runs_of_equal(candidates(s, d), ["beam"], "rid", "boxcar"), "with w as (select *, case when boxcar is distinct from lag(boxcar) over (partition by beam order by rid) or row_number() over (partition by beam order by rid) = 1 then 1 else 0 end as new from cand), u as (select *, sum(new) over (partition by beam order by rid) as run from w) select beam, min(rid) as first, max(rid) as last, any_value(boxcar) as value, count(*) as n from u group by beam, run")
 _add("dedisperse_dm", lambda s, d: S.roll_dedisperse(spectra(s, d), scalars.roll_shift(40.0, 1.1 + F.col("chan") / 1000.0, 1.164, 0.001), 512), "select beam, (((t + cast(round_even(4.15::double * 40 * (pow(1.164::double, -2) - pow(1.1::double + chan / 1000.0::double, -2)) / 1e3 / 0.001, 0) as bigint)) % 512) + 512) % 512 as t, cast(sum(v) as bigint) as v from spectra group by all")
 
@@ -261,8 +292,8 @@ _add(
 )
 
 # Voltages: antenna, channel, sample
-_volts = lambda s, d: spectra(s, d).filter("chan < 8").select((F.col("chan") % 4).alias("ant"), F.col("beam").alias("chan"), (F.col("t") * 2 + F.expr("chan div 4")).alias("t"), F.col("v").alias("re"), (F.col("v") % 7).alias("im"))
-_VOLTS = "volt as (select chan % 4 as ant, beam as chan, t * 2 + chan // 4 as t, v as re, v % 7 as im from spectra where chan < 8)"
+_volts = lambda s, d: spectra(s, d).select((F.col("chan") % 4).alias("ant"), F.col("beam").alias("chan"), (F.col("t") * 16 + F.expr("chan div 4")).alias("t"), F.col("v").alias("re"), (F.col("v") % 7).alias("im"))
+_VOLTS = "volt as (select chan % 4 as ant, beam as chan, t * 16 + chan // 4 as t, v as re, v % 7 as im from spectra)"
 _add("detected_power", lambda s, d: voltages.detected_power(_volts(s, d), 32), f"with {_VOLTS} select ant, chan, t // 32 as integ, cast(sum(re * re + im * im) as bigint) as power, count(*) as n from volt group by all")
 _add("tied_sum", lambda s, d: voltages.tied_sum(_volts(s, d)), f"with {_VOLTS} select chan, t, cast(sum(re) as bigint) as re, cast(sum(im) as bigint) as im from volt group by all")
 _add("voltage_levels", lambda s, d: voltages.voltage_levels(_volts(s, d)).select("ant", "chan", *[_r(c, c) for c in ("mean_re", "std_re", "mean_im", "std_im")]), f"with {_VOLTS} select ant, chan, round(avg(re), 6) as mean_re, round(stddev_pop(re), 6) as std_re, round(avg(im), 6) as mean_im, round(stddev_pop(im), 6) as std_im from volt group by all")

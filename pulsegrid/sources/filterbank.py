@@ -130,8 +130,9 @@ def write_candidates(cand: DataFrame, path: str, negative: bool = False) -> None
     cand.select(line).write.text(path)
 
 
-def strongest_first(cand: DataFrame) -> DataFrame:
-    return cand.orderBy(F.desc("sn"), "sampno")
+def weakest_first(cand: DataFrame) -> DataFrame:
+    """By rising S/N, as the cluster tools read them; ties in order of the sample."""
+    return cand.orderBy("sn", "sampno")
 
 
 _PACK = {8: np.uint8, 32: np.float32}

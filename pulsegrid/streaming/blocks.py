@@ -22,13 +22,17 @@ def tumbling(stream: DataFrame, width: str, delay: str) -> DataFrame:
     return blocks.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "top")
 
 
-def run_available(stream: DataFrame) -> DataFrame:
-    """Runs an append stream over all there is and reads what it wrote; state and results are in the shared folder."""
-    spark = stream.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one on a local master, an error elsewhere."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def run_available(stream: DataFrame) -> DataFrame:
+    """Runs an append stream over all there is and reads what it wrote; state and results are in the shared folder."""
+    spark, root = stream.sparkSession, shared_folder(stream.sparkSession)
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")

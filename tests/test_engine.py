@@ -176,7 +176,7 @@ def test_headers_and_parsets(spark, tmp_path):
 
 def test_candidate_files_with_odd_blanks(spark, tmp_path):
     (tmp_path / "d.cand").write_text("# sn\n\n  10.5   3 0.5\t2 7 4.25 1 58000.5 9 9\n   \n11 4 0.5 2 7 4.25 1\n")
-    assert [(r.sn, r.sampno, r.mjd) for r in filterbank.strongest_first(filterbank.read_candidates(spark, str(tmp_path / "d.cand"))).collect()] == [(11.0, 4, 0.0), (10.5, 3, 58000.5)]
+    assert [(r.sn, r.sampno, r.mjd) for r in filterbank.weakest_first(filterbank.read_candidates(spark, str(tmp_path / "d.cand"))).collect()] == [(10.5, 3, 58000.5), (11.0, 4, 0.0)]
     cand = spark.createDataFrame([(10.5, 3, 0.5, 2, 7, 4.25, 1, 58000.5)], filterbank.CANDIDATE)
     filterbank.write_candidates(cand, str(tmp_path / "n"), negative=True)
     back = filterbank.read_candidates(spark, str(tmp_path / "n")).first()
