@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import shifted, triangular_index
+from .dedisperse import SampleTree, depths, tree
 from .spectra import in_blocks
 
 WEIGHTS = {"sum": lambda w: 1.0, "avg": lambda w: 1.0 / w, "sqrt": lambda w: w**-0.5}
@@ -56,3 +59,55 @@ def image_candidates(boxed: DataFrame, nbox: int, threshold: float) -> DataFrame
     """Per pixel and time the width with the largest value (ties: the smaller), where that is at or above threshold: idm, t, x, y, width, sn. Chosen within the row."""
     best = boxed.withColumn("m", F.array_max(F.array(*[F.struct(F.col("s")[k].alias("sn"), F.lit(-1 - k).alias("w")) for k in range(nbox)])))
     return best.select("idm", "t", "x", "y", (-F.col("m.w")).alias("width"), F.col("m.sn").alias("sn")).filter(F.col("sn") >= threshold)
+
+
+def cell_delays(x: DataFrame, sub: int, f0: float, df: float, nd: int, block: int) -> DataFrame:
+    """First stage of two: a small dispersion tree for each uv cell over its own sub-band, on complex values.
+
+    x: cell, start (first channel of the sub-band, from 0), t, chan (start <= chan < start + sub), re, im. Channel c
+    is [f0 + c df, f0 + (c + 1) df]. Per cell and block of times: cell, start, blk, d (delay within the sub-band, below nd),
+    re and im as arrays over the block's times. Blocks keep no history. A group is a cell's block: sub x block values.
+    """
+    kinds = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in ("cell", "start"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        cell, start, blk = rows["cell"].iloc[0], int(rows["start"].iloc[0]), int(rows["blk"].iloc[0])
+        cube = np.zeros((sub, block), complex)
+        np.add.at(cube, (rows["chan"].to_numpy() - start, rows["t"].to_numpy() - blk * block), rows["re"].to_numpy() + 1j * rows["im"].to_numpy())
+        at = (sub, f0 + start * df, df, nd)
+        out = SampleTree(tree(*at), depths(*at), complex).push(cube)
+        return pd.DataFrame({"cell": cell, "start": start, "blk": blk, "d": np.arange(len(out)), "re": list(out.real), "im": list(out.imag)})
+
+    parts = x.withColumn("blk", F.expr(f"t div {block}")).groupBy("cell", "start", "blk")
+    return parts.applyInPandas(run, f"{kinds}, blk long, d long, re array<double>, im array<double>")
+
+
+def sub_band_plan(starts: DataFrame, nf: int, sub: int, f0: float, df: float, nd: int) -> DataFrame:
+    """Second stage: for each overall delay idm (below nd) the delay d within the sub-band that begins at channel start, and how much later the sub-band comes.
+
+    starts: start. Frequencies are those of channel edges: fmin = f0, fmax = f0 + nf df, a sub-band from f0 + start df on.
+    Half a sample over nd is added to the shift, halves round to even.
+    """
+    low = F.lit(f0) + F.col("start") * df
+    share = lambda a, b: (F.pow(a, F.lit(-2.0)) - F.pow(b, F.lit(-2.0))) / ((f0**-2) - (f0 + nf * df) ** -2)
+    plan = starts.select("start").distinct().withColumn("idm", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
+    within, before = share(low, low + sub * df), share(F.lit(f0), low) + 0.5 / nd
+    return plan.select("start", "idm", F.bround(F.col("idm") * within).cast("long").alias("d"), F.bround(F.col("idm") * before).cast("int").alias("shift"))
+
+
+def grid_delays(parts: DataFrame, cells: DataFrame, plan: DataFrame, npix: int, block: int) -> DataFrame:
+    """parts: see cell_delays. cells: cell, u, v. Per blk, idm, t, u, v: the complex grid of two images, times 2 t and 2 t + 1, the second one times i.
+
+    A cell adds its value at its pixel and the conjugate at the opposite one (v1 + i v2, conj(v1) - conj(v2)); times before
+    the block are 0. Cells of one pixel add up before the shuffle; zeros are left out.
+    """
+    met = parts.join(F.broadcast(plan), ["start", "d"]).join(cells, "cell")  # the plan: sub-bands times idm
+    pair = F.transform(F.sequence(F.lit(0), F.lit(block // 2 - 1)), lambda t: F.struct(t.alias("t"), (2 * t - F.col("shift")).alias("at")))
+    rows = met.select("blk", "idm", "u", "v", "re", "im", F.inline(pair))
+    take = lambda c, k: F.when(F.col("at") + k >= 0, F.get(c, F.col("at") + k)).otherwise(F.lit(0.0))
+    rows = rows.select("blk", "idm", "t", "u", "v", take("re", 0).alias("r1"), take("im", 0).alias("i1"), take("re", 1).alias("r2"), take("im", 1).alias("i2"))
+    opposite = lambda c: F.pmod(-F.col(c), F.lit(npix))
+    here = F.struct(F.col("u").alias("u"), F.col("v").alias("v"), (F.col("r1") - F.col("i2")).alias("re"), (F.col("i1") + F.col("r2")).alias("im"))
+    there = F.struct(opposite("u").alias("u"), opposite("v").alias("v"), (F.col("r1") + F.col("i2")).alias("re"), (F.col("r2") - F.col("i1")).alias("im"))
+    both = rows.select("blk", "idm", "t", F.inline(F.array(here, there)))
+    return both.groupBy("blk", "idm", "t", "u", "v").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).filter("re <> 0 or im <> 0")

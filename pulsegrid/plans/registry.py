@@ -13,6 +13,7 @@ from ..operators import spectra as S
 from ..sources.tables import BLOCK, CAND_SQL, SPECTRA_SQL, candidates, read, spectra
 from ..streaming import blocks
 from ..streaming import search as stateful
+from ..streaming import trigger
 
 _Q: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -345,3 +346,58 @@ _add(
     "with p as (select event_id // 8 as integ, event_id % 8 as idx, value as v from events where event_id % 8 <> 5 or event_id // 8 % 3 <> 0) select integ, " + ", ".join(f"max(v) filter (idx = {k}) as v{k}" for k in range(8)) + " from p group by integ having integ + 1 <= (select max(integ) from p) - 4",
 )
 _add("integration_gaps", lambda s, d: blocks.with_gaps(read(s, d, "orders").filter("o_orderkey % 5 <> 2").select(F.col("o_orderkey").alias("integ")).distinct(), 100), "with p as (select distinct o_orderkey as integ from orders where o_orderkey % 5 <> 2) select integ, coalesce(integ - lag(integ) over (order by integ) - 1, 0) as new from p")
+
+
+# The trigger over micro-batches of candidates, and two-stage dedispersion of uv cells
+_SPAN, _RULES = 20_000, trigger.Rules(6, 3, 40.0, 6, 3.0, 250.0, 35)
+
+
+def _triggered(s, d):
+    cand = _once(s, d).withColumns({"secs": F.col("sampno") / 100.0, "mjd": 58000 + F.col("sampno") / 1000.0}).select(*trigger.CANDIDATE)
+    stream, folder = stateful.replayed(cand, "sampno", _SPAN)
+    return trigger.first_match(s, trigger.trigger(stream, folder, _RULES, F.lit(59000.0)), folder, 60.0)
+
+
+_RAW = CAND_SQL.replace("cand as (", "raw as (", 1).replace("l_suppkey % 36 as beam", f"l_suppkey % 36 + 36 * (l_orderkey // {_SPAN}) as beam")
+_DENSE = _SQL["cluster_strongest"].replace(CAND_SQL, f"{_RAW}, cand as materialized (select * from raw qualify row_number() over (partition by rid order by sn desc, sampno desc, boxcar desc, idt desc, dm desc, beam desc) = 1)")
+_HEADS = _DENSE[: _DENSE.rindex(" select cluster, arg_max")] + ", heads as (select arg_max(rid, (sn, -rid)) as rid from dens join cand using (rid) group by cluster)"
+_add(
+    "stream_trigger",
+    lambda s, d: _triggered(s, d).select("rid", "sn", "beam", "boxcar", "dm", _r("latency_ms", "latency_ms", 0)),
+    f"{_HEADS} select rid, sn, beam % 36 as beam, boxcar, dm, round((59000.0 - (58000 + sampno / 1000.0::double)) * 86400e3, 0) as latency_ms from cand join heads using (rid) where sn > 40 and boxcar < 6 and dm > 3 and beam % 36 <> 35 and sampno / 100.0::double > 250 order by sampno // {_SPAN}, sn desc, rid limit 1",
+)
+_SUB, _NIDM = 16, 12
+_cells = lambda s, d: spectra(s, d).select((F.col("beam") * 4 + F.expr("chan div 16")).cast("int").alias("cell"), (F.expr("chan div 16") * 16).cast("int").alias("start"), "t", F.col("chan").cast("int").alias("chan"), F.col("v").cast("double").alias("re"), (F.col("v") % 7).cast("double").alias("im"))
+
+
+def _two_stages(s, d):
+    x = _cells(s, d)
+    cells = x.select("cell").distinct().select("cell", (F.col("cell") % 5 + 1).alias("u"), (F.expr("cell div 5") + 2).alias("v"))
+    plan = imaging.sub_band_plan(x.select("start"), _NF, _SUB, _F0, _DF, _NIDM)
+    return imaging.grid_delays(imaging.cell_delays(x, _SUB, _F0, _DF, _NIDM, BLOCK), cells, plan, 32, BLOCK)
+
+
+def _share(a: str, b: str, c: str, e: str) -> str:
+    return f"((({a}) ** -2 - ({b}) ** -2) / (({c}) ** -2 - ({e}) ** -2))"
+
+
+_FREQ = lambda c: f"({_F0}::double + ({c}) * {_DF}::double)"
+_LO, _MID, _HI = _FREQ("lo"), _FREQ("lo + n / 2"), _FREQ("lo + n")
+_EARLY = f"cast(round_even(d * {_share(_FREQ('lo + n / 2.0 - 0.5'), _LO, _HI, _LO)}, 0) as bigint)"
+_LATE = f"cast(round_even(d * {_share(_FREQ('lo + n / 2.0 + 0.5'), _LO, _HI, _LO)}, 0) as bigint)"
+_add(
+    "two_stage_grid",
+    lambda s, d: _two_stages(s, d).select("blk", "idm", "t", "u", "v", F.col("re").cast("long").alias("re"), F.col("im").cast("long").alias("im")),
+    f"""with recursive {SPECTRA_SQL}, st as (select unnest(generate_series(0, {_NF - 1}, {_SUB})) as start),
+    band as (select start, d, start as lo, {_SUB} as n, d as e, 0::bigint as s from st, (select unnest(generate_series(0, {_NIDM - 1})) as d)),
+    tr(start, idt, lo, n, d, s) as (select start, d, lo, n, e, s from band
+        union all select start, idt, case when h = 0 then lo else lo + n // 2 end, n // 2, case when h = 0 then {_EARLY} else d - {_LATE} end, case when h = 0 then s else s + {_LATE} end from tr, (values (0), (1)) z(h) where n > 1),
+    x as (select beam * 4 + chan // 16 as cell, chan // 16 * 16 as start, t, t // {BLOCK} as blk, chan, v as re, v % 7 as im from spectra),
+    f as (select cell, x.start, blk, idt, t + s + k as t, sum(re) as re, sum(im) as im from (select x.*, tr.idt, tr.s, unnest(generate_series(0, tr.d)) as k from x join tr on tr.n = 1 and tr.start = x.start and tr.lo = x.chan) x where (t + s + k) // {BLOCK} = blk group by all),
+    plan as (select start, idm, cast(round_even(idm * {_share(_FREQ('start'), _FREQ(f'start + {_SUB}'), _FREQ('0'), _FREQ(str(_NF)))}, 0) as bigint) as d,
+             cast(round_even(idm * ({_share(_FREQ('0'), _FREQ('start'), _FREQ('0'), _FREQ(str(_NF)))} + 0.5::double / {_NIDM}), 0) as bigint) as shift from st, (select unnest(generate_series(0, {_NIDM - 1})) as idm)),
+    p as (select cell % 5 + 1 as u, cell // 5 + 2 as v, blk, idm, (t - blk * {BLOCK} + shift) // 2 as t, (t - blk * {BLOCK} + shift) % 2 as odd, re, im from f join plan on plan.start = f.start and plan.d = f.idt where t - blk * {BLOCK} + shift < {BLOCK}),
+    g as (select blk, idm, t, u, v, case odd when 0 then re else -im end as re, case odd when 0 then im else re end as im from p
+          union all select blk, idm, t, (32 - u) % 32, (32 - v) % 32, case odd when 0 then re else im end, case odd when 0 then -im else re end from p)
+    select blk, cast(idm as int) as idm, cast(t as int) as t, cast(u as int) as u, cast(v as int) as v, cast(sum(re) as bigint) as re, cast(sum(im) as bigint) as im from g group by blk, idm, t, u, v having sum(re) <> 0 or sum(im) <> 0""",
+)
