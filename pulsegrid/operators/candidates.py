@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import separation
+from . import sky
 
 
 def basic_filter(cand: DataFrame, max_width: int, min_idt: int, min_sn: float) -> DataFrame:
@@ -192,15 +192,12 @@ def nearest_in_time_and_dm(left: DataFrame, right: DataFrame, tol: int, dm_tol:
 def sky_match(cand: DataFrame, catalogue: DataFrame, radius: float, dm_err: float) -> DataFrame:
     """cand: rid, ra, dec, dm. catalogue: name, ra, dec, dm (degrees). Per candidate the nearest catalogue row within radius (degrees) and dm_err, or 'None'.
 
-    Rows meet by bands of declination one radius high and bands of dm; the great-circle test decides.
+    Rows meet by pixels of the sky about as wide as the radius and by bands of dm; the great-circle test decides.
     """
-    band = lambda c, r: F.floor(F.col(c) / r)
-    wide = lambda c, r: F.explode(F.array(*[band(c, r) + k for k in (-1, 0, 1)]))
-    near = catalogue.select("name", F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), F.col("dm").alias("_dm"))
-    near = near.withColumn("_d", wide("_dec", radius)).withColumn("_m", wide("_dm", dm_err))
-    met = cand.withColumns({"_d": band("dec", radius), "_m": band("dm", dm_err)}).join(near, ["_d", "_m"])
-    met = met.withColumn("sep", separation(F.col("ra"), F.col("dec"), F.col("_ra"), F.col("_dec")))
-    met = met.filter((F.col("sep") < radius) & (F.abs(F.col("dm") - F.col("_dm")) < dm_err))
+    band = lambda c: F.floor(F.col(c) / dm_err)
+    known = catalogue.select("name", F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), F.col("dm").alias("_dm"))
+    known = known.withColumn("_m", F.explode(F.array(*[band("_dm") + k for k in (-1, 0, 1)])))
+    met = sky.near(cand.select("rid", "ra", "dec", "dm", band("dm").alias("_m")), known, radius, ["_m"]).filter(F.abs(F.col("dm") - F.col("_dm")) < dm_err)
     best = met.groupBy("rid").agg(F.min(F.struct(F.round("sep", 9).alias("sep"), "name")).alias("m")).select("rid", "m.name", "m.sep")  # ties within a billionth of a degree go by name
     return cand.select("rid").join(best, "rid", "left").select("rid", F.coalesce("name", F.lit("None")).alias("name"), "sep")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import candidates as C
-from ..operators import clusters, dedisperse, imaging, transforms, voltages
+from ..operators import clusters, dedisperse, imaging, sky, transforms, voltages
 from ..operators import spectra as S
 from ..sources.tables import BLOCK, CAND_SQL, SPECTRA_SQL, candidates, read, spectra
 from ..streaming import blocks
@@ -401,3 +401,49 @@ _add(
           union all select blk, idm, t, (32 - u) % 32, (32 - v) % 32, case odd when 0 then re else im end, case odd when 0 then -im else re end from p)
     select blk, cast(idm as int) as idm, cast(t as int) as t, cast(u as int) as u, cast(v as int) as v, cast(sum(re) as bigint) as re, cast(sum(im) as bigint) as im from g group by blk, idm, t, u, v having sum(re) <> 0 or sum(im) <> 0""",
 )
+
+
+# The sky in pixels of equal area
+_NSIDE = 16
+_RINGS = f"""ring as (select i, case when i < {_NSIDE} then 1 - i * i / (3.0::double * {_NSIDE * _NSIDE}) when i > {3 * _NSIDE} then (4 * {_NSIDE} - i) ** 2 / (3.0::double * {_NSIDE * _NSIDE}) - 1 else 4.0::double / 3 - 2 * i / (3.0::double * {_NSIDE}) end as z,
+    least(4 * i, 4 * {_NSIDE}, 16 * {_NSIDE} - 4 * i) as cnt, case when i < {_NSIDE} or i > {3 * _NSIDE} or (i - {_NSIDE}) % 2 = 0 then 0.5::double else 0 end as off from (select unnest(generate_series(1, 4 * {_NSIDE} - 1)) as i)),
+    pixel as (select cast(row_number() over (order by i, j) - 1 as bigint) as pix, (j + off) * 360 / cnt as ra2, degrees(asin(z)) as dec2 from (select i, z, cnt, off, unnest(generate_series(0, cnt - 1)) as j from ring))"""
+_sep = lambda a, d, a2, d2: f"degrees(2 * asin(sqrt(least(1.0::double, sin((radians({d2}) - radians({d})) / 2) ** 2 + cos(radians({d})) * cos(radians({d2})) * sin((radians({a2}) - radians({a})) / 2) ** 2))))"
+_add(
+    "sky_exposure",
+    lambda s, d: sky.exposure(read(s, d, "customer").select((F.col("c_custkey") * 7 % 360).cast("double").alias("ra"), (F.col("c_custkey") % 181 - 90).cast("double").alias("dec"), F.col("c_nationkey").cast("long").alias("duration")), 4.3, _NSIDE),
+    f"with {_RINGS}, sc as (select (c_custkey * 7 % 360)::double as ra, (c_custkey % 181 - 90)::double as dec, c_nationkey from customer) select pix, cast(sum(c_nationkey) as bigint) as duration, count(*) as scans from sc join pixel on {_sep('ra', 'dec', 'ra2', 'dec2')} <= 4.3 group by pix",
+)
+_add(
+    "sky_pixels",
+    lambda s, d: candidates(s, d).select(sky.pixel(F.col("sampno") * 0.7 % 360, F.col("idt") * 3.5 - 89, _NSIDE).alias("pix")).groupBy("pix").agg(F.count(F.lit(1)).alias("n")),
+    f"""with a as (select sampno * 0.7::double % 360 as ra, sin(radians(idt * 3.5::double - 89)) as z from cand), b as (select z, ra / 90 as tt from a),
+    c as (select z, tt, floor({_NSIDE} * (0.5 + tt) - {_NSIDE} * 0.75 * z) as jp, floor({_NSIDE} * (0.5 + tt) + {_NSIDE} * 0.75 * z) as jm, tt - floor(tt) as tp, {_NSIDE} * sqrt(3 * (1 - abs(z))) as tm from b),
+    e as (select z, tt, {_NSIDE} + 1 + jp - jm as ir, jp + jm as su, floor(tp * tm) + floor((1 - tp) * tm) + 1 as cap from c)
+    select cast(case when abs(z) <= 2.0::double / 3 then 2 * {_NSIDE} * ({_NSIDE} - 1) + (ir - 1) * 4 * {_NSIDE} + (floor((su - {_NSIDE} + 1 - ir % 2 + 1) / 2) + 4 * {_NSIDE}) % (4 * {_NSIDE})
+      when z > 0 then 2 * cap * (cap - 1) + floor(tt * cap) % (4 * cap) else 12 * {_NSIDE * _NSIDE} - 2 * cap * (cap + 1) + floor(tt * cap) % (4 * cap) end as bigint) as pix, count(*) as n from e group by 1""",
+)
+_add(
+    "identified",
+    lambda s, d: sky.identify(
+        candidates(s, d).select("rid", (F.col("beam") * 2.0).alias("ra"), (F.col("idt") - 25.0).alias("dec"), "dm").distinct(),
+        read(s, d, "supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 72).cast("double").alias("ra"), (F.col("s_nationkey") * 2.0 - 25.0).alias("dec"), (F.col("s_suppkey") % 11).alias("dm")), 2.5, 3.0,
+    ),
+    "with c as (select distinct rid, beam * 2.0::double as ra, idt - 25.0::double as dec, dm from cand), k as (select s_name as name, (s_suppkey % 72)::double as ra, s_nationkey * 2.0::double - 25 as dec, s_suppkey % 11 as dm from supplier),"
+    f" m as (select c.rid, k.name, abs(c.dm - k.dm) as gap from c join k on abs(c.dm - k.dm) < 3 and {_SEP} < 2.5), b as (select rid, min((gap, name))[2] as main, string_agg(distinct name, ',' order by name) as names from m group by rid) select c.rid, main, names from c left join b using (rid)",
+)
+_fixes = lambda s, d: read(s, d, "orders").select((F.col("o_custkey") % 20).alias("sat"), F.col("o_orderkey").alias("t"), (F.col("o_orderkey") * 0.37 % 360).alias("ra"), (F.col("o_orderkey") % 97 - 48).cast("double").alias("dec"))
+_beams = lambda s, d: read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("beam"), (F.col("n_nationkey") * 14.0).alias("ra"), (F.col("n_nationkey") * 3.0 - 36).alias("dec"))
+_add(
+    "satellite_passes",
+    lambda s, d: sky.passes(sky.tracks(_fixes(s, d), 8, 4096), _beams(s, d), 2.0, 1000),
+    f"""with f as (select o_custkey % 20 as sat, o_orderkey as t, o_orderkey * 0.37::double % 360 as ra, (o_orderkey % 97 - 48)::double as dec from orders),
+    g as (select *, lead(t) over w as t2, lead(ra) over w as ra2, lead(dec) over w as dec2 from f window w as (partition by sat order by t)),
+    h as (select *, unnest(generate_series(cast(ceil(t / 8) as bigint) * 8, t2 - 1, 8)) as at_ from g where t2 is not null),
+    v as (select sat, at_ as t, (at_ - t) / (t2 - t)::double as p, radians(ra) as a, radians(dec) as d, radians(ra2) as a2, radians(dec2) as d2 from h),
+    u as (select sat, t, (1 - p) * cos(d) * cos(a) + p * cos(d2) * cos(a2) as x, (1 - p) * cos(d) * sin(a) + p * cos(d2) * sin(a2) as y, (1 - p) * sin(d) + p * sin(d2) as z from v),
+    k as (select sat, t, degrees(atan2(y, x)) as ra, degrees(atan2(z, sqrt(x * x + y * y))) as dec from u),
+    b as (select n_nationkey::bigint as beam, n_nationkey * 14.0::double as ra2, n_nationkey * 3.0::double - 36 as dec2 from nation),
+    m as (select sat, t // 1000 as leg, min((round({_sep('ra', 'dec', 'ra2', 'dec2')}, 6), t, beam)) as m from k join b on {_sep('ra', 'dec', 'ra2', 'dec2')} < 2 group by all)
+    select sat, leg, m[1] as sep, m[2] as t, m[3] as beam from m""",
+)
