@@ -35,7 +35,7 @@ from .mixing import ranked
 #: Fixed separators: . , ; : ! ? and line ends end a piece; tab is a space.
 _ENDS, _BREAK = b".,;:!?\n\x0b\x0c\r", b"\xff"  # the latter is in no UTF-8 text
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(_ENDS))
-_BATCH = 1 << 20
+_BATCH = 1 << 19
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -90,7 +90,7 @@ def _encode(ids: dict[str, dict[bytes, int]], reach: int, kind: str) -> Callable
                 held.append(np.fromiter((known.get(w, 0) for w in words), kind, len(words)))
                 held.append(np.zeros(1, kind))
                 size += len(words) + 1
-                if size > 2 * _BATCH:
+                if size > _BATCH + reach:
                     yield from out(False)
         yield from out(True)
 
@@ -132,7 +132,7 @@ def _phrases(width: int, kind: str, pairs, bits: int) -> Callable[[Iterable[pa.R
     """From runs of ids: the keys of ``width`` ids that start with a pair, each with its count in a few runs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(np.frombuffer(pairs.value, np.uint8), bitorder="little").view(bool) if pairs is not None else None
+        frequent = np.frombuffer(pairs.value, np.uint8) if pairs is not None else None
         held: list[list[np.ndarray]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -158,12 +158,13 @@ def _phrases(width: int, kind: str, pairs, bits: int) -> Callable[[Iterable[pa.R
                     alive = alive & (nxt != 0)
                     if frequent is not None:
                         at = np.flatnonzero(alive)
-                        alive[at] = frequent[_pair_bits(ids[j - 1 : j - 1 + starts][at], nxt[at], bits)]
+                        bit = _pair_bits(ids[j - 1 : j - 1 + starts][at], nxt[at], bits)
+                        alive[at] = frequent[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
                     cols.append(np.where(alive, nxt, 0).astype(kind))
                 some = np.flatnonzero(cols[1])
                 if len(some):
                     held.append([c[some] for c in cols])
-                if sum(len(h[0]) for h in held) >= 2 * _BATCH:
+                if sum(len(h[0]) for h in held) >= _BATCH:
                     yield from out()
         if held:
             yield from out()
