@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -70,6 +70,15 @@ BLOOM = {
 }
 
 
+#: What empties the caches that tasks leave in a Python worker for later ones; tasks that need the room call drop_caches().
+CACHES: list[Callable[[], None]] = []
+
+
+def drop_caches() -> None:
+    for clear in CACHES:
+        clear()
+
+
 #: For jobs whose tasks hold much besides a batch.
 SMALL_BATCHES = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1000"}
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOOM, join_groups, materialize, row_key, settings, slices, table, without
+from .common import BLOOM, SMALL_BATCHES, drop_caches, join_groups, materialize, row_key, settings, slices, table, without
 from .components import contract
 
 ROWS, BANDS = 6, 40
@@ -105,6 +105,7 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in slices(batches):
             n, same, bands = [], [], []
             for text in batch.column(1).to_pylist():
@@ -128,12 +129,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """wanted: id (a set's digest), row (of a document with it). Per id: n, set. Texts of other rows stay where they are, but for false hits of the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in slices(batches):
             sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))], names=["id", "n", "set"])
 
     texts = docs.select(row_key("id", "text").alias("row"), "text").join(wanted.select("id", "row"), "row").dropDuplicates(["row"]).select("id", "text")
-    with settings(docs.sparkSession, **BLOOM):
+    with settings(docs.sparkSession, **BLOOM, **SMALL_BATCHES):
         return materialize(texts.mapInArrow(run, "id binary, n long, set array<long>"))
 
 
@@ -215,7 +217,8 @@ def _rays(members: DataFrame, lead: DataFrame, confirm: _Confirm, labels: DataFr
 def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, least_percent: int) -> DataFrame:
     """Per row of docs: id, row, n, component."""
     docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    seen = materialize(_signatures(docs, width))
+    with settings(docs.sparkSession, **SMALL_BATCHES):
+        seen = materialize(_signatures(docs, width))
     # equal sets meet map-side
     sets = materialize(seen.filter("n > 0").groupBy("same").agg(F.min("id").alias("least"), F.max("row").alias("row"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")))
     confirm = _Confirm(docs, sets.select(F.col("same").alias("id"), "row"), width, least_percent)

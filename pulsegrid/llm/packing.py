@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import CACHES, materialize, slices, table
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -106,6 +106,9 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+CACHES.append(encoder.cache_clear)
+
+
 _PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, _part long, _local long"
 
 
