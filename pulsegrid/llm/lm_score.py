@@ -7,10 +7,11 @@ counts of all training subwords. Subwords that end a word have classes of their
 
 1. One pass over the documents makes subwords (kept with the text) and, of the training documents, counts of
    words and subwords (per task, then by key).
-2. Every window of the training documents is in one gradient step: the texts are dealt to ``rounds`` equal parts and,
-   within a part, to shards, one per ``shard_bytes`` of text; the shards of a part train side by side from the
-   same weights, which are then averaged (in a first sum by tasks, then of at most ``SUMS`` vectors by the driver).
-   No step depends on the size of the input, but the number of shards.
+2. Every window of the training documents is in a gradient step. There are ``rounds`` rounds and as many passes over
+   the windows as make ``least_windows`` of them (one pass from there on). The texts are dealt to ``rounds`` equal parts; a
+   round takes one part for each pass, all parts at most, and these again if passes are left over. Within a round texts
+   are dealt to shards, one per ``shard_bytes`` of text, which train side by side from the same weights; these are then
+   averaged (in a first sum by tasks, then of at most ``SUMS`` vectors by the driver).
 3. One pass scores all documents in windows that overlap by the context, so every subword is scored
    once, by batched masked attention: a position sees the CONTEXT inputs up to its own, and no padding.
 
@@ -38,11 +39,11 @@ from .common import SMALL_BATCHES, materialize, settings, slices, table
 from .packing import encoder, tokenizer_path
 from .quality import crc_mod
 
-CONTEXT, STEP, DIM, HIDDEN, CLASSES, PLACES, ROWS = 4, 64, 8, 12, 32, 32, 1024
+CONTEXT, STEP, DIM, HIDDEN, CLASSES, PLACES, ROWS = 8, 64, 8, 16, 32, 32, 2048
 WIDE = CONTEXT - 1 + STEP
 PAD, END, IDS = 49406, 49407, 49408
 #: Windows of one gradient step, and of one call to the scorer, so that its arrays stay in the cache.
-BATCH, CHUNK, SUMS = 256, 128, 64
+BATCH, CHUNK, SUMS = 64, 128, 64
 
 
 def windows(ids: bytes) -> np.ndarray:
@@ -272,8 +273,8 @@ def _gather(docs: DataFrame, path: str, most_words: int) -> DataFrame:
     return docs.select("_id", "_text", "_held").mapInArrow(run, f"id {kind}, row long, held boolean, text string, ids binary, tag string, word string, n long")
 
 
-def _round(texts: DataFrame, w: dict[str, np.ndarray], tables: Tables, shards: int, rate: float) -> DataFrame:
-    """texts: row, ids. Per shard: its weights after every window of its texts, and n, the number of these windows."""
+def _round(texts: DataFrame, w: dict[str, np.ndarray], tables: Tables, shards: int, rate: float, times: int = 1) -> DataFrame:
+    """texts: row, ids. Per shard: its weights after every window of its texts, `times` times over, and n, the number of windows in steps."""
     held = texts.sparkSession.sparkContext.broadcast((w, tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,6 +283,12 @@ def _round(texts: DataFrame, w: dict[str, np.ndarray], tables: Tables, shards: i
 
         def stream() -> Iterator[np.ndarray]:
             wait, size = [], 0
+            if times > 1:  # so there are fewer than least_windows of them
+                every = np.concatenate([np.empty((0, WIDE + 1), np.uint16), *(windows(ids) for batch in batches for ids in batch.column(0).to_pylist())])
+                for _ in range(times):
+                    both = rng.permutation(every)
+                    yield from (counted(both[k : k + BATCH]) for k in range(0, len(both), BATCH))
+                return
             for batch in batches:
                 for ids in batch.column(0).to_pylist():
                     wait.append(windows(ids))
@@ -314,11 +321,11 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
 
 
-def _fit(texts: DataFrame, tables: Tables, shards: int, rounds: int, rate: float) -> dict[str, np.ndarray]:
+def _fit(texts: DataFrame, tables: Tables, shards: int, rounds: int, rate: float, passes: int = 1) -> dict[str, np.ndarray]:
     w = start_weights(tables)
     for k in range(rounds):
-        part = texts.filter(F.pmod(F.col("row"), F.lit(rounds)) == k)
-        sums = _round(part, w, tables, shards, rate).coalesce(SUMS).mapInArrow(_sums, "w binary, n long").collect()  # at most SUMS vectors of one size
+        part = texts.filter(F.pmod(F.col("row") - k, F.lit(rounds)) < passes)
+        sums = _round(part, w, tables, shards, rate, -(-passes // rounds)).coalesce(SUMS).mapInArrow(_sums, "w binary, n long").collect()  # at most SUMS vectors of one size
         if sums:
             w = unflatten(sum(np.frombuffer(r.w) for r in sums) / sum(r.n for r in sums))
         rate *= 0.6
@@ -334,6 +341,7 @@ def score_texts(
     shard_bytes: int = 32_000_000,
     rounds: int = 4,
     learning_rate: float = 0.02,
+    least_windows: int = 200_000,
     most_words: int = 400_000,
     path: str | None = None,
 ) -> DataFrame:
@@ -366,7 +374,9 @@ def score_texts(
 
     final[[i for t, i in Tokenizer.from_file(path).get_vocab().items() if t.endswith("</w>")]] = True
     tables = Tables(pieces, final)
-    model = _fit(texts.filter("not held").select("row", "ids"), tables, shards, rounds, learning_rate)
+    n_windows = texts.filter("not held").agg(F.sum(F.ceil((F.octet_length("ids") / 2 + 1) / STEP))).first()[0] or 1
+    passes = max(1, -(-least_windows // n_windows))
+    model = _fit(texts.filter("not held").select("row", "ids"), tables, shards, rounds, learning_rate, passes)
     held = spark.sparkContext.broadcast((known, model, tables))
     end_score = float(np.log10((ends + 0.1) / bottom))
     kind = rows.schema["_id"].dataType.simpleString()

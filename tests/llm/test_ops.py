@@ -269,11 +269,42 @@ def test_language_model_trains_on_every_window_once(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(lm_score, "_round", counted)
-    train = lm_score.score_texts(docs, shard_bytes=100_000).filter("not held_out").count()
+    train = lm_score.score_texts(docs, shard_bytes=100_000, least_windows=1).filter("not held_out").count()
     assert sum(n for n, *_ in sums) == train and all(want == got for _, want, got, _ in sums)
     assert len(sums) == 4 and sums[0][3] > 3
 
 
+def test_language_model_passes_follow_from_the_number_of_windows(spark, monkeypatch):
+    docs = spark.range(130).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('ab ', id, ' cd '), 600)").alias("text"))
+    sums, real = [], lm_score._round
+
+    def counted(texts, *how):
+        out = real(texts, *how)
+        sums.append((sum(len(lm_score.windows(r.ids)) for r in texts.collect()), out.agg(F.sum("n")).first()[0], how[-1]))
+        return out
+
+    monkeypatch.setattr(lm_score, "_round", counted)
+    for passes, times in ((2, 1), (6, 2)):
+        sums.clear()
+        train = docs.count() - sum(zlib.crc32(str(i).encode()) % 10 == 0 for i in range(130))
+        total = sum(len(lm_score.windows(r.ids)) for r in real_texts(spark, docs))
+        lm_score.score_texts(docs, shard_bytes=10**9, least_windows=passes * total).count()
+        assert train and len(sums) == 4 and all(n * times == got and how == times for n, got, how in sums)
+        assert sum(n for n, _, _ in sums) == min(passes, 4) * total
+
+
+def real_texts(spark, docs):
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).withColumn("_held", quality.crc_mod("_id", 10) == 0)
+    return lm_score._gather(rows, packing.tokenizer_path(), 400_000).filter("tag = 'text' and not held").collect()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_language_model_beats_its_base_on_held_out_documents(spark, sf):
+    got = lm_score.score_texts(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).filter("held_out")
+    score, base, n = got.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert score / n > base / n + 0.03
+
+
 def test_language_model_base_by_brute_force(spark):
     clash = spark.createDataFrame([(i, t, "x", 1, None, "y") for i, t in HARD], "doc_id long, text string, _text string, n int, row long, ids string")
     for docs, head in ((clash, 300_000), (clash, 2), (spark.read.parquet(f"{FOLDER}/documents.parquet"), 50)):
