@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import candidates as C
-from ..operators import clusters, dedisperse, imaging, sky, transforms, voltages
+from ..operators import channeliser, clusters, dedisperse, imaging, sky, transforms, voltages
 from ..operators import spectra as S
 from ..sources.tables import BLOCK, CAND_SQL, SPECTRA_SQL, candidates, read, spectra
 from ..streaming import blocks
@@ -447,3 +447,30 @@ _add(
     m as (select sat, t // 1000 as leg, min((round({_sep('ra', 'dec', 'ra2', 'dec2')}, 6), t, beam)) as m from k join b on {_sep('ra', 'dec', 'ra2', 'dec2')} < 2 group by all)
     select sat, leg, m[1] as sep, m[2] as t, m[3] as beam from m""",
 )
+
+
+# Polyphase channels and coherent dedispersion of the beams' summed series
+_PATHS, _TAPS, _OVER, _UNDER, _RESP, _HALF = 32, 4, 32, 27, 64, 12
+_complex = lambda s, d: S.dm0(spectra(s, d)).select("beam", "t", F.col("dm0").cast("double").alias("re"), (F.col("dm0") % 7).cast("double").alias("im"))
+_CX = "cx as (select beam, t, sum(v)::double as re, (sum(v) % 7)::double as im from spectra group by all)"
+_K, _STRIDE = _PATHS * _TAPS, _PATHS * _UNDER // _OVER
+_add(
+    "polyphase_channels",
+    lambda s, d: channeliser.polyphase(_complex(s, d), ["beam"], channeliser.prototype(_PATHS, _TAPS), _PATHS, _OVER, _UNDER, 8).select("beam", "frame", "chan", _r("re", "re", 3), _r("im", "im", 3)),
+    f"""with {_CX}, n as (select beam, (max(t) + 1 - {_K}) // {_STRIDE} as frames from cx group by beam),
+    fr as (select beam, unnest(generate_series(0, frames - 1)) as frame from n),
+    tap as (select m, i / {_PATHS}.0::double as u, i from (select m, {_K} - 1 - m - ({_K} - 1) / 2.0::double as i from (select unnest(generate_series(0, {_K} - 1)) as m))),
+    co as (select m, (case when u = 0 then 1 else sin(pi() * u) / (pi() * u) end) * (0.5::double + 0.5::double * cos(2 * pi() * i / {_K})) as c from tap),
+    p as (select fr.beam, frame, (({_PATHS} - 1 - m % {_PATHS}) - (frame * ({_PATHS} - {_STRIDE})) % {_PATHS} + {_PATHS}) % {_PATHS} as j, sum(c * re) as re, sum(c * im) as im
+          from fr join co on true join cx on cx.beam = fr.beam and cx.t = {_K} + frame * {_STRIDE} - m group by all)
+    select beam, frame, cast(chan as int) as chan, round(sum(re * cos(2 * pi() * chan * j / {_PATHS}) + im * sin(2 * pi() * chan * j / {_PATHS})), 3) as re,
+           round(sum(im * cos(2 * pi() * chan * j / {_PATHS}) - re * sin(2 * pi() * chan * j / {_PATHS})), 3) as im from p, (select unnest(generate_series(0, {_PATHS} - 1)) as chan) group by beam, frame, chan""",
+)
+_add(
+    "coherent_dedispersion",
+    lambda s, d: channeliser.dedisperse_coherently(_complex(s, d), ["beam"], 3.0, 1320.5, 1.0, _HALF, _RESP, block=BLOCK).select("beam", "t", _r("re", "re", 3), _r("im", "im", 3)),
+    f"""with {_CX}, f as (select j, 1320.5::double + (case when j < {_RESP // 2} then j else j - {_RESP} end) / {_RESP}.0::double as f from (select unnest(generate_series(0, {_RESP} - 1)) as j)),
+    ph as (select j, 2 * pi() * 3.0::double / 2.41e-4::double * (f - 1320.5) ** 2 / 1320.5::double ** 2 / f * 1e6 as a from f),
+    h as (select k, avg(cos(a + 2 * pi() * j * k / {_RESP})) as hr, avg(sin(a + 2 * pi() * j * k / {_RESP})) as hi from ph, (select unnest(generate_series(-{_HALF}, {_HALF})) as k) group by k)
+    select o.beam, o.t, round(sum(hr * x.re - hi * x.im), 3) as re, round(sum(hr * x.im + hi * x.re), 3) as im from cx o join h on true join cx x on x.beam = o.beam and x.t = o.t - k group by all""",
+)
