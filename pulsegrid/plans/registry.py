@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import headers, scalars
 from ..operators import candidates as C
 from ..operators import channeliser, clusters, dedisperse, imaging, sky, transforms, voltages
 from ..operators import spectra as S
 from ..sources.tables import BLOCK, CAND_SQL, SPECTRA_SQL, candidates, read, spectra
-from ..streaming import blocks
+from ..streaming import blocks, packets
 from ..streaming import search as stateful
 from ..streaming import trigger
 
@@ -474,3 +474,45 @@ _add(
     h as (select k, avg(cos(a + 2 * pi() * j * k / {_RESP})) as hr, avg(sin(a + 2 * pi() * j * k / {_RESP})) as hi from ph, (select unnest(generate_series(-{_HALF}, {_HALF})) as k) group by k)
     select o.beam, o.t, round(sum(hr * x.re - hi * x.im), 3) as re, round(sum(hr * x.im + hi * x.re), 3) as im from cx o join h on true join cx x on x.beam = o.beam and x.t = o.t - k group by all""",
 )
+
+
+# Packets put together by sequence number, and frame headers
+def _reassembled(s, d):
+    k = F.expr("event_id div 4")
+    sent = read(s, d, "events").filter("event_id % 17 <> 0").select(
+        F.lit("a").alias("addr"), (F.col("event_id") % 4).alias("device"), F.col("event_id").alias("n"), F.pmod(F.floor(k / 3), F.lit(256)).cast("int").alias("seq"), F.pmod(k, F.lit(3)).cast("int").alias("fragment"),
+        F.lpad(F.col("event_id").cast("string"), 8, "0").cast("binary").alias("payload"),
+    )
+    stream, folder = stateful.replayed(sent, "n", 2500)
+    return stateful.run_with_state(packets.frames(stream, (8, 8, 8)), folder)
+
+
+_add(
+    "stream_frames",
+    lambda s, d: _reassembled(s, d).select("device", "seq", F.col("payload").cast("string").alias("payload")),
+    "select event_id % 4 as device, cast(event_id // 12 % 256 as int) as seq, string_agg(lpad(event_id::varchar, 8, '0'), '' order by event_id) as payload from events where event_id % 17 <> 0 group by event_id % 4, event_id // 12 having count(*) = 3",
+)
+_PER = 25_000
+_header = dict(frame="rid % 25000", seconds="sampno * 3000 % 15811200", epoch="boxcar + 30", stationid="beam", nchan="idt", period="27", framelength8="dm * 1000", nbits="boxcar", threadid="rid % 65536", totalsamples="rid * 5000000011", sync="2913907438")
+
+
+def _moved_headers(s, d):
+    head = candidates(s, d).select("rid", headers.encode(**{n: F.expr(e) for n, e in _header.items()}).alias("h"), ((F.col("rid") % 2_000_003) * 977 - 900_000_000).alias("by"))
+    f = head.withColumn("f", headers.decode(F.col("h")))
+    m = headers.moved(F.col("f.epoch"), F.col("f.seconds"), F.col("f.frame"), F.col("f.period"), F.col("by"), _PER)
+    return f.withColumn("m", m).select("rid", F.hex("h").alias("header"), "f.totalsamples", "m.epoch", "m.seconds", "m.frame", _r(headers.frame_mjd(F.col("m.epoch"), F.col("m.seconds"), F.col("m.frame"), _PER, F.lit(27)), "mjd", 6))
+
+
+_LE = lambda w: " || ".join(f"printf('%02X', (({w}) >> {k}) & 255)" for k in (0, 8, 16, 24))
+_h = lambda n: f"({_header[n]})"
+_WORDS = [_h("frame"), _h("seconds"), f"{_h('stationid')} | ({_h('epoch')}::bigint << 26)", f"{_h('framelength8')} | ({_h('nbits')}::bigint << 24)", f"{_h('threadid')}::bigint << 16", _h("nchan"), "0", _h("period"), f"{_h('totalsamples')} & 4294967295", f"{_h('totalsamples')} >> 32", "0", _h("sync"), "0", "0", "0", "0"]
+_add(
+    "frame_headers",
+    _moved_headers,
+    f"""with h as (select rid, {' || '.join(_LE(f'({w})::bigint') for w in _WORDS)} as header, {_h('totalsamples')} as totalsamples, {_h('epoch')} as e, {_h('seconds')} as s, {_h('frame')} + rid % 2000003 * 977 - 900000000 as f from cand),
+    a as (select *, cast(floor(f / {_PER}::double) as bigint) as p, datediff('day', date '1858-11-17', make_date(2000 + e // 2, e % 2 * 6 + 1, 1)) as d from h),
+    b as (select *, d * 86400 + s + p * 27 as at_ from a), c as (select *, date '1858-11-17' + cast(at_ // 86400 as int) as day from b),
+    k as (select *, (year(day) - 2000) * 2 + case when month(day) > 6 then 1 else 0 end as epoch from c),
+    m as (select *, datediff('day', date '1858-11-17', make_date(2000 + epoch // 2, epoch % 2 * 6 + 1, 1)) as d2 from k)
+    select rid, header, totalsamples, cast(epoch as bigint) as epoch, at_ - d2 * 86400 as seconds, f - p * {_PER} as frame, round(d2 + (at_ - d2 * 86400 + (f - p * {_PER}) * 27 / {_PER}.0::double) / 86400.0, 6) as mjd from m""",
+)
