@@ -136,6 +136,29 @@ def bat_to_mjd(bat: Column, leap_seconds: Column | float) -> Column:
     return (bat / 1e6 - _col(leap_seconds)) / 86400.0
 
 
+#: The days from which UTC is one more second behind atomic time; 10 s from the first one on.
+LEAP_DAYS = (
+    "1972-01-01", "1972-07-01", "1973-01-01", "1974-01-01", "1975-01-01", "1976-01-01", "1977-01-01", "1978-01-01", "1979-01-01", "1980-01-01",
+    "1981-07-01", "1982-07-01", "1983-07-01", "1985-07-01", "1988-01-01", "1990-01-01", "1991-01-01", "1992-07-01", "1993-07-01", "1994-07-01",
+    "1996-01-01", "1997-07-01", "1999-01-01", "2006-01-01", "2009-01-01", "2012-07-01", "2015-07-01", "2017-01-01",
+)
+
+
+def leap_seconds(day: Column) -> Column:
+    """Atomic time less UTC on a day (MJD, with fraction), in seconds; 0 before 1972."""
+    from datetime import date
+
+    starts = F.array(*[F.lit((date.fromisoformat(d) - date(1858, 11, 17)).days) for d in LEAP_DAYS])
+    n = F.size(F.filter(starts, lambda d: d <= day))
+    return F.when(n > 0, n + 9).otherwise(0)
+
+
+def atomic_to_mjd(bat: Column) -> Column:
+    """Binary atomic time as UTC MJD, with the leap seconds of its day (UTC: the count is taken from a first guess)."""
+    guess = bat / 86_400e6
+    return bat_to_mjd(bat, leap_seconds(guess - leap_seconds(guess) / 86400.0))
+
+
 def parse_time(text: Column, formats: tuple[str, ...] = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd-HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")) -> Column:
     """The first format that fits."""
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])

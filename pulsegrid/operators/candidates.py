@@ -56,6 +56,15 @@ def as_of_backward(left: DataFrame, right: DataFrame, on: list[str], width: int
     return met.select("lid", F.coalesce("rid", "_before").alias("rid"))
 
 
+def as_of_within(left: DataFrame, right: DataFrame, on: list[str], most: float, strict: bool = True) -> DataFrame:
+    """As as_of_backward, with the right row's age (left t less its t). One of more than ``most``, or none, is an error when read; if not strict, null."""
+    times = right.groupBy(*on, "rid").agg(F.max("t").alias("_t")).select("rid", *on, "_t")
+    met = as_of_backward(left, right, on).join(left.select("lid", "t", *on), "lid").join(times, ["rid", *on], "left").withColumn("age", F.col("t") - F.col("_t"))
+    good = F.coalesce(F.col("age") <= most, F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("nothing within the interval at "), F.col("t").cast("string"))).cast("long") if strict else F.lit(None).cast("long")
+    return met.select("lid", F.when(good, F.col("rid")).otherwise(wrong).alias("rid"), F.when(good, F.col("age")).alias("age"))
+
+
 def overlap_pairs(box: DataFrame, reach: int, idt_reach: int, width: int = 64) -> DataFrame:
     """box: beam, rid, t0, t1, i0, i1. Pairs a < b of a beam that come within reach in time and idt_reach in idt; each found in one bucket of time."""
     rows = box.withColumn("_b", F.explode(F.sequence(F.floor((F.col("t0") - reach) / width), F.floor((F.col("t1") + reach) / width))))

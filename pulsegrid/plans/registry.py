@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import headers, scalars
 from ..operators import candidates as C
-from ..operators import channeliser, clusters, dedisperse, imaging, sky, transforms, voltages
+from ..operators import channeliser, channels, clusters, dedisperse, imaging, sky, transforms, voltages
+from ..operators import search as detect
 from ..operators import spectra as S
 from ..sources.tables import BLOCK, CAND_SQL, SPECTRA_SQL, candidates, read, spectra
 from ..streaming import blocks, packets
@@ -516,3 +517,55 @@ _add(
     m as (select *, datediff('day', date '1858-11-17', make_date(2000 + epoch // 2, epoch % 2 * 6 + 1, 1)) as d2 from k)
     select rid, header, totalsamples, cast(epoch as bigint) as epoch, at_ - d2 * 86400 as seconds, f - p * {_PER} as frame, round(d2 + (at_ - d2 * 86400 + (f - p * {_PER}) * 27 / {_PER}.0::double) / 86400.0, 6) as mjd from m""",
 )
+
+
+# Detections: noise of tree and boxcar, thresholds, edge rules, refreshed scaling
+_NOISE = lambda s: detect.noise_table(s, _NF, _F0, _DF, _ND, _WIDTHS)
+_boxed = lambda s, d: S.boxcars(dedisperse.dedisperse_tree(spectra(s, d), _NF, _F0, _DF, _ND, BLOCK).select(F.struct("beam", "idt").alias("beam"), "t", "v"), _WIDTHS, BLOCK).select("beam.beam", "beam.idt", "t", "width", "s")
+_HIGH, _LOW = "greatest(depth + 1, width)", "least(depth + 1, width)"
+_add(
+    "strongest_in_noise",
+    lambda s, d: detect.in_units_of_noise(_boxed(s, d), _NOISE(s)).groupBy("beam", "idt", "width").agg(_r(F.max("sn"), "sn"), F.count(F.lit(1)).alias("n")),
+    f"with {_TREE_SQL}, w as (select unnest([{', '.join(map(str, _WIDTHS))}]) as width), noise as (select cast(idt as bigint) as idt, width, sqrt(sum(({_HIGH} - {_LOW} + 1) * {_LOW} * {_LOW} + (2 * {_LOW} - 1) * {_LOW} * ({_LOW} - 1) / 3)) as sigma from tr, w group by idt, width),"
+    f" bx as ({_BOXED.replace('::double / sqrt', ' / 1 / sqrt')}), raw as (select beam, idt, t, width, sn * sqrt(width::double) as s from bx) select beam, idt, width, round(max(s / sigma), 6) as sn, count(*) as n from raw join noise using (idt, width) group by all",
+)
+_add(
+    "threshold_only",
+    lambda s, d: detect.above_threshold(dedisperse.dedisperse_tree(spectra(s, d), _NF, _F0, _DF, _ND, BLOCK), 300.0, 2, 50, BLOCK),
+    f"with {_TREE_SQL} select beam, idt, t, v from tree where v > 300 and idt >= 2 qualify row_number() over (partition by t // {BLOCK} order by beam, idt, t) <= 50",
+)
+_add(
+    "kernel_islands",
+    lambda s, d: detect.kernel_islands(S.best_width(_series(s, d), (1, 2, 4, 8), BLOCK), 60.0, 40, 4).withColumn("sn", F.round("sn", 6)),
+    f"with {_BEST}, h as (select *, t // 40 as blk, t - row_number() over (partition by beam, t // 40 order by t) as run from best where sn >= 60 and t % 40 < 32),"
+    " z as (select beam, min(t) over w as start, max(t) over w as \"end\", round(sn, 6) as sn, width, t from h window w as (partition by beam, blk, run) qualify row_number() over (partition by beam, blk, run order by sn desc, width, t) = 1)"
+    " select *, width > 4 as discarded from z where start % 40 <> 31",
+)
+_add(
+    "rescale_refreshed",
+    lambda s, d: detect.refreshed_scaling(spectra(s, d), 16, 4).select("beam", "t", "chan", _r("v", "v", 5)),
+    f"with {_MV} select beam, t, chan, round((v + 128 / sc - mean) * sc, 5) as v from (select spectra.beam, spectra.t, spectra.chan, spectra.v, mv.mean, case when var > 0 then 18 / sqrt(var) else 1 end as sc from spectra join mv on mv.beam = spectra.beam and mv.chan = spectra.chan and mv.blk = spectra.t // {BLOCK} - 1) z",
+)
+# The frequency axis
+_add("spectrum_summary", lambda s, d: channels.spectrum_summary(spectra(s, d), 1100.0, -0.5).select("beam", _r("mean", "mean"), _r("top", "top"), _r("bottom", "bottom"), "top_freq", "bottom_freq"), "with m as (select beam, chan, sum(v) / count(*) as m from spectra group by all) select beam, round(avg(m), 6) as mean, round(max(m), 6) as top, round(min(m), 6) as bottom, 1100.0::double - 0.5 * arg_max(chan, (m, -chan)) as top_freq, 1100.0::double - 0.5 * arg_min(chan, (m, chan)) as bottom_freq from m group by beam")
+_add(
+    "scrunched_axis",
+    lambda s, d: channels.scrunched_axis(spectra(s, d).groupBy("chan").agg((F.max(F.abs("v")) > 65).alias("mask")).select("chan", channels.sky_frequency(F.col("chan"), 1100.0, -0.5).alias("freq"), "mask"), 6),
+    "with a as (select chan, 1100.0::double - 0.5 * chan as freq, max(abs(v)) > 65 as mask from spectra group by chan) select chan // 6 as chan, avg(freq) as freq, bool_or(mask) as mask from a group by 1 having count(*) = 6",
+)
+_add("scrunched_mean", lambda s, d: channels.scrunched_mean(channels.inverted(channels.sliced(spectra(s, d), 4, 59), 56), 6).select("beam", "t", "chan", _r("v", "v")), "select beam, t, (59 - chan) // 6 as chan, round(sum(v) / 6.0::double, 6) as v from spectra where chan between 4 and 59 group by all")
+_add(
+    "weight_masked",
+    lambda s, d: channels.masked(candidates(s, d).select("rid", (F.col("idt") - 10).alias("wt"), F.col("dm").alias("re"), F.col("boxcar").alias("im")), "wt", ["re", "im"]),
+    "select rid, idt - 10 as wt, case when idt > 10 then dm end as re, case when idt > 10 then boxcar end as im from cand",
+)
+_add("polarisation_mean", lambda s, d: channels.summed_polarisations(spectra(s, d).withColumns({"pol": F.concat(F.lit("p"), F.pmod("chan", F.lit(3)).cast("string")), "chan": F.expr("chan div 3")}), "p0", "p1"), "select beam, t, chan // 3 as chan, avg(v) as v from spectra where chan % 3 < 2 group by all")
+_add("asof_within", lambda s, d: C.as_of_within(_once(s, d).filter("boxcar = 1").select(F.col("rid").alias("lid"), F.col("sampno").alias("t"), "beam"), _once(s, d).filter("boxcar = 3").select("rid", F.col("sampno").alias("t"), "beam"), ["beam"], 50, False), f"with {_ONCE}, m as (select l.rid as lid, l.sampno as t, (select max(r.rid) from once r where r.boxcar = 3 and r.beam = l.beam and r.sampno <= l.sampno) as rid from once l where l.boxcar = 1) select lid, case when t - o.sampno <= 50 then m.rid end as rid, case when t - o.sampno <= 50 then t - o.sampno end as age from m left join once o on o.rid = m.rid")
+_LEAPS = ", ".join(f"(date '{d}')" for d in scalars.LEAP_DAYS)
+_add(
+    "leap_seconds",
+    lambda s, d: read(s, d, "orders").select("o_orderkey", scalars.leap_seconds(F.datediff("o_orderdate", F.lit("1858-11-17").cast("date"))).alias("dutc")),
+    f"with l(d) as (values {_LEAPS}) select o_orderkey, cast((select case when count(*) > 0 then count(*) + 9 else 0 end from l where d <= cast(o_orderdate as date)) as int) as dutc from orders",
+)
+_add("antennas_valid", lambda s, d: channels.valid_antennas(read(s, d, "lineitem").select((F.col("l_suppkey") % 40).alias("a1"), (F.col("l_partkey") % 30).alias("a2")), [3, 7]), "select distinct ant from (select l_suppkey % 40 as ant from lineitem union all select l_partkey % 30 from lineitem) where ant not in (3, 7)")
+_add("widest_baseline", lambda s, d: channels.widest_baseline(_vis(s, d).select(F.col("u").alias("uu"), F.col("v").alias("vv")), 1300.0), "select max(abs((beam - 18) * 0.5::double)) * 1300 as u, max(abs((idt - 25) * 0.5::double)) * 1300 as v from cand")

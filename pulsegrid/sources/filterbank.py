@@ -130,6 +130,44 @@ def write_candidates(cand: DataFrame, path: str, negative: bool = False) -> None
     cand.select(line).write.text(path)
 
 
+#: Columns of a list of merged candidates, and its formats.
+_FOF = (("sn", "%.2f"), ("sampno", "%d"), ("secs", "%.2f"), ("boxcar", "%d"), ("idt", "%d"), ("dm", "%.2f"), ("beamno", "%d"), ("mjd", "%.15f"), ("t0", "%d"), ("t1", "%d"), ("i0", "%d"), ("i1", "%d"), ("ncands", "%d"))
+
+
+def write_clusters(heads: DataFrame, path: str, merged: bool) -> None:
+    """Strongest members of clusters as text: eight columns, or thirteen with the extent in time and idt and the number of merged candidates."""
+    columns = _FOF if merged else _FOF[:8]
+    line = F.format_string(" ".join(f for _, f in columns), *[F.col(c) for c, _ in columns])
+    heads.select(line).write.text(path)
+
+
+def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    """What write_clusters wrote with merged."""
+    p = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#|$)"))
+    return rows.select(*[F.get(p, F.lit(k)).cast("double" if "f" in f else "long").alias(c) for k, (c, f) in enumerate(_FOF)])
+
+
+def write_by_identity(cand: DataFrame, path: str) -> None:
+    """cand: CANDIDATE columns, main (null where nothing is known there), names. Lines under known=true ("main line names") and known=false (the line)."""
+    line = F.format_string("%f %d %f %d %d %.3f %d %.15f", "sn", "sampno", "secs", "boxcar", "idt", "dm", "beamno", "mjd")
+    known = F.col("main").isNotNull()
+    cand.select(known.alias("known"), F.when(known, F.concat_ws(" ", "main", line, "names")).otherwise(line).alias("value")).write.partitionBy("known").text(path)
+
+
+def collect_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """All `.cand` files at or below a folder; empty ones have no rows."""
+    p = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.cand").text(folder).filter(~F.col("value").rlike(r"^\s*(#|$)"))
+    cols = [F.get(p, F.lit(k)).cast(t).alias(n) for k, (n, t) in enumerate(c.split() for c in CANDIDATE.split(", "))]
+    return rows.select(*cols).fillna({"mjd": 0.0})
+
+
+def of_known_pulsar(cand: DataFrame, min_sn: float = 7.0, low: float = 65.0, high: float = 70.0) -> DataFrame:
+    """Candidates of at least min_sn with low < dm < high, in order of the sample."""
+    return cand.filter((F.col("sn") >= min_sn) & (F.col("dm") > low) & (F.col("dm") < high)).orderBy("sampno")
+
+
 def weakest_first(cand: DataFrame) -> DataFrame:
     """By rising S/N, as the cluster tools read them; ties in order of the sample."""
     return cand.orderBy("sn", "sampno")
