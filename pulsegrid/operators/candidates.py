@@ -66,13 +66,15 @@ def as_of_within(left: DataFrame, right: DataFrame, on: list[str], most: float,
 
 
 def overlap_pairs(box: DataFrame, reach: int, idt_reach: int, width: int = 64) -> DataFrame:
-    """box: beam, rid, t0, t1, i0, i1. Pairs a < b of a beam that come within reach in time and idt_reach in idt; each found in one bucket of time."""
-    rows = box.withColumn("_b", F.explode(F.sequence(F.floor((F.col("t0") - reach) / width), F.floor((F.col("t1") + reach) / width))))
+    """box: beam, rid, t0, t1, i0, i1. Pairs a < b of a beam that come within reach in time and idt_reach in idt; each found in one cell of time and idt."""
+    tall = max(8, 2 * idt_reach)
+    spread = lambda lo, hi, r, w: F.explode(F.sequence(F.floor((F.col(lo) - r) / w), F.floor((F.col(hi) + r) / w)))
+    rows = box.withColumn("_b", spread("t0", "t1", reach, width)).withColumn("_i", spread("i0", "i1", idt_reach, tall))
     a, b = rows.alias("a"), rows.alias("b")
     near = (F.col("a.t0") - reach <= F.col("b.t1")) & (F.col("b.t0") <= F.col("a.t1") + reach)
     near &= (F.col("a.i0") - idt_reach <= F.col("b.i1")) & (F.col("b.i0") <= F.col("a.i1") + idt_reach)
-    once = F.col("a._b") == F.floor((F.greatest("a.t0", "b.t0") - reach) / width)
-    on = (F.col("a.beam") == F.col("b.beam")) & (F.col("a._b") == F.col("b._b")) & (F.col("a.rid") < F.col("b.rid"))
+    once = (F.col("a._b") == F.floor((F.greatest("a.t0", "b.t0") - reach) / width)) & (F.col("a._i") == F.floor((F.greatest("a.i0", "b.i0") - idt_reach) / tall))
+    on = (F.col("a.beam") == F.col("b.beam")) & (F.col("a._b") == F.col("b._b")) & (F.col("a._i") == F.col("b._i")) & (F.col("a.rid") < F.col("b.rid"))
     return a.join(b, on & near & once).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))
 
 

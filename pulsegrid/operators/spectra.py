@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def moments(x: DataFrame, block: int) -> DataFrame:
-    """Raw moments by beam, channel and block; partial sums are made before the shuffle."""
+def moments(x: DataFrame, block: int, ok: Column | None = None) -> DataFrame:
+    """Raw moments by beam, channel and block, of the samples that are ok (if given); partial sums are made before the shuffle."""
     v = F.col("v")
+    x = x if ok is None else x.filter(ok)
     return x.groupBy("beam", "chan", F.expr(f"t div {block}").alias("blk")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(v).alias("s1"), F.sum(v * v).alias("s2"), F.sum(v * v * v).alias("s3"), F.sum(v * v * v * v).alias("s4")
     )
@@ -41,6 +42,13 @@ def block_change(stats: DataFrame) -> DataFrame:
     return stats.select("beam", "chan", "blk", F.coalesce(F.when(before != 0, F.col("mean") / before - 1), F.lit(0.0)).alias("change"))
 
 
+def block_changes(stats: DataFrame) -> DataFrame:
+    """stats: mean, std. mean_change and std_change: each over the block before's, less one; 0 for the first block and where that was 0."""
+    order = Window.partitionBy("beam", "chan").orderBy("blk")  # a row per block
+    change = lambda c: F.coalesce(F.when(F.lag(c).over(order) != 0, F.col(c) / F.lag(c).over(order) - 1), F.lit(0.0)).alias(f"{c}_change")
+    return stats.select("beam", "chan", "blk", change("mean"), change("std"))
+
+
 def grow_time_flags(x: DataFrame, ok: Column, block: int) -> DataFrame:
     """A sample is good if it is and the sample at the time before is not bad; a block's first, and one behind a missing sample, looks at itself only."""
     order = Window.partitionBy("beam", "chan", F.expr(f"t div {block}")).orderBy("t").rangeBetween(-1, 0)
@@ -55,10 +63,11 @@ def grow_channel_flags(flags: DataFrame, grow: int) -> DataFrame:
     return flags.withColumn("grown", F.max("flag").over(order))
 
 
-def crunch_time(x: DataFrame, factor: int) -> DataFrame:
-    """Sums over full groups of `factor` samples by time, over the root of factor; the tail goes."""
+def crunch_time(x: DataFrame, factor: int, mask_zero: bool = False) -> DataFrame:
+    """Sums over full groups of `factor` samples by time, over the root of factor; the tail goes. With mask_zero sums of 0 become null."""
     by = x.groupBy("beam", "chan", F.expr(f"t div {factor}").alias("t")).agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
-    return by.filter(F.col("n") == factor).select("beam", "chan", "t", (F.col("s") / F.sqrt(F.lit(float(factor)))).alias("v"))
+    s = F.when(F.col("s") != 0, F.col("s")) if mask_zero else F.col("s")
+    return by.filter(F.col("n") == factor).select("beam", "chan", "t", (s / F.sqrt(F.lit(float(factor)))).alias("v"))
 
 
 def crunch_channels(x: DataFrame, factor: int) -> DataFrame:

@@ -22,13 +22,31 @@ def voltage_levels(volts: DataFrame) -> DataFrame:
     return volts.groupBy("ant", "chan").agg(*[f(c).alias(f"{n}_{c}") for c in ("re", "im") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
 
 
-def cross_products(volts: DataFrame, n: int) -> DataFrame:
-    """Per baseline a < b, channel and n samples: the mean of a times the conjugate of b, over the samples that both have."""
-    a = volts.select("chan", "t", F.col("ant").alias("a"), F.col("re").alias("ar"), F.col("im").alias("ai"))
-    b = volts.select("chan", "t", F.col("ant").alias("b"), F.col("re").alias("br"), F.col("im").alias("bi"))
-    met = a.join(b, ["chan", "t"]).filter("a < b")
-    by = met.groupBy("a", "b", "chan", F.expr(f"t div {n}").alias("integ"))
-    return by.agg(F.avg(F.expr("ar * br + ai * bi")).alias("re"), F.avg(F.expr("ai * br - ar * bi")).alias("im"), F.count(F.lit(1)).alias("n"))
+def cross_products(volts: DataFrame, n: int, autos: bool = False, together: int = 4096) -> DataFrame:
+    """Per baseline a < b (a <= b with autos), channel and n samples: the mean of a times the conjugate of b, over the samples that both have.
+
+    All antennas of a channel and of up to ``together`` samples meet in one group and are multiplied there as a matrix; only
+    sums by baseline leave it. Repeated samples of an antenna add up.
+    """
+    kinds = {c: volts.schema[c].dataType.simpleString() for c in ("ant", "chan")}
+    some = min(n, together)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(rows["ant"].to_numpy(), return_inverse=True)
+        t = rows["t"].to_numpy() % n % together
+        x, has = np.zeros((len(names), some), complex), np.zeros((len(names), some))
+        np.add.at(x, (at, t), rows["re"].to_numpy() + 1j * rows["im"].to_numpy())
+        has[at, t] = 1
+        a, b = np.triu_indices(len(names), 0 if autos else 1)
+        product, count = (x @ x.conj().T)[a, b], (has @ has.T)[a, b]
+        met = count > 0
+        a, b = a[met], b[met]
+        return pd.DataFrame({"a": names[a], "b": names[b], "chan": key[0], "integ": key[1], "re": product[met].real, "im": product[met].imag, "n": count[met].astype(np.int64)})
+
+    parts = volts.withColumns({"_integ": F.expr(f"t div {n}"), "_part": F.expr(f"t % {n} div {together}")}).groupBy("chan", "_integ", "_part")
+    sums = parts.applyInPandas(run, f"a {kinds['ant']}, b {kinds['ant']}, chan {kinds['chan']}, integ long, re double, im double, n long")
+    by = sums.groupBy("a", "b", "chan", "integ").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("n").alias("n"))
+    return by.withColumns({"re": F.col("re") / F.col("n"), "im": F.col("im") / F.col("n")})
 
 
 def phase_slope(vis: DataFrame, key: list[str], chan: str = "chan") -> DataFrame:

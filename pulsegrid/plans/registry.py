@@ -569,3 +569,12 @@ _add(
 )
 _add("antennas_valid", lambda s, d: channels.valid_antennas(read(s, d, "lineitem").select((F.col("l_suppkey") % 40).alias("a1"), (F.col("l_partkey") % 30).alias("a2")), [3, 7]), "select distinct ant from (select l_suppkey % 40 as ant from lineitem union all select l_partkey % 30 from lineitem) where ant not in (3, 7)")
 _add("widest_baseline", lambda s, d: channels.widest_baseline(_vis(s, d).select(F.col("u").alias("uu"), F.col("v").alias("vv")), 1300.0), "select max(abs((beam - 18) * 0.5::double)) * 1300 as u, max(abs((idt - 25) * 0.5::double)) * 1300 as v from cand")
+
+_add("cross_products_with_autos", lambda s, d: voltages.cross_products(_volts(s, d), 32, autos=True).select("a", "b", "chan", "integ", _r("re", "re"), _r("im", "im"), "n"), f"with {_VOLTS} select x.ant as a, y.ant as b, x.chan, x.t // 32 as integ, round(avg(x.re * y.re + x.im * y.im), 6) as re, round(avg(x.im * y.re - x.re * y.im), 6) as im, count(*) as n from volt x join volt y on x.chan = y.chan and x.t = y.t and x.ant <= y.ant group by all")
+_add("moments_unflagged", lambda s, d: S.moments(spectra(s, d), BLOCK, F.abs("v") < 30), f"select beam, chan, t // {BLOCK} as blk, count(*) as n, cast(sum(v) as bigint) as s1, cast(sum(v * v) as bigint) as s2, cast(sum(v * v * v) as bigint) as s3, cast(sum(v * v * v * v) as bigint) as s4 from spectra where abs(v) < 30 group by all")
+_add(
+    "block_changes",
+    lambda s, d: S.block_changes(_mv(s, d).withColumn("std", F.sqrt(F.greatest("var", F.lit(0.0))))).select("beam", "chan", "blk", _r("mean_change", "mean_change", 5), _r("std_change", "std_change", 5)),
+    f"with {_MV}, w as (select *, sqrt(greatest(var, 0)) as std from mv), z as (select *, lag(mean) over (partition by beam, chan order by blk) as m0, lag(std) over (partition by beam, chan order by blk) as s0 from w) select beam, chan, blk, round(coalesce(case when m0 <> 0 then mean / m0 - 1 end, 0), 5) as mean_change, round(coalesce(case when s0 <> 0 then std / s0 - 1 end, 0), 5) as std_change from z",
+)
+_add("tscrunch_masked", lambda s, d: S.crunch_time(spectra(s, d).withColumn("beam", F.lit(0)), 4, True).select("beam", "chan", "t", _r("v", "v")), "select 0 as beam, chan, t // 4 as t, round(nullif(sum(v), 0) / 2.0, 6) as v from spectra group by all having count(*) = 4")
