@@ -102,16 +102,18 @@ def spread_initial(x: DataFrame, delays: int, block: int = 4096) -> DataFrame:
     kinds = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in ("beam", "chan", "t", "v"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        t, v, own = rows["t"].to_numpy(), rows["v"].to_numpy(), ~rows["halo"].to_numpy()
+        rows = rows.sort_values(["chan", "t"])
+        v, own = rows["v"].to_numpy(), ~rows["halo"].to_numpy()
+        # channels one after the other, further apart than a window reaches
+        place = np.unique(rows["chan"].to_numpy(), return_inverse=True)[1] * (block + 3 * delays) + rows["t"].to_numpy() - rows["t"].min()
         total = np.concatenate([[0], np.cumsum(v)])
-        first = np.searchsorted(t, t[own][:, None] - np.arange(delays))  # the first sample of each window
-        last = np.searchsorted(t, t[own], "right")
-        d = np.tile(np.arange(delays), int(own.sum()))
-        out = rows[own].loc[:, ["beam", "chan", "t"]].loc[lambda r: r.index.repeat(delays)]
-        return out.assign(v=(total[last][:, None] - total[first]).ravel(), d=d)[["beam", "chan", "t", "v", "d"]]
+        first = np.searchsorted(place, place[own][:, None] - np.arange(delays))  # the first sample of each window
+        last = np.searchsorted(place, place[own], "right")
+        out = rows[own].loc[:, ["beam", "chan", "t"]]
+        out = out.iloc[np.repeat(np.arange(len(out)), delays)]
+        return out.assign(v=(total[last][:, None] - total[first]).ravel(), d=np.tile(np.arange(delays), int(own.sum())))[["beam", "chan", "t", "v", "d"]]
 
-    parts = in_blocks(x.select("beam", "chan", "t", "v"), block, delays - 1).groupBy("beam", "chan", "blk").applyInPandas(run, f"{kinds}, d int")
+    parts = in_blocks(x.select("beam", "chan", "t", "v"), block, delays - 1).groupBy("beam", "blk").applyInPandas(run, f"{kinds}, d int")
     return parts.select("beam", "chan", "t", "d", "v")
 
 

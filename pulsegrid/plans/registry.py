@@ -350,7 +350,7 @@ _add("integration_gaps", lambda s, d: blocks.with_gaps(read(s, d, "orders").filt
 
 
 # The trigger over micro-batches of candidates, and two-stage dedispersion of uv cells
-_SPAN, _RULES = 20_000, trigger.Rules(6, 3, 40.0, 6, 3.0, 250.0, 35)
+_SPAN, _RULES = 20_000, trigger.Rules(6, 3, 20.0, 7, 1.0, 100.0, 35)
 
 
 def _triggered(s, d):
@@ -365,7 +365,7 @@ _HEADS = _DENSE[: _DENSE.rindex(" select cluster, arg_max")] + ", heads as (sele
 _add(
     "stream_trigger",
     lambda s, d: _triggered(s, d).select("rid", "sn", "beam", "boxcar", "dm", _r("latency_ms", "latency_ms", 0)),
-    f"{_HEADS} select rid, sn, beam % 36 as beam, boxcar, dm, round((59000.0 - (58000 + sampno / 1000.0::double)) * 86400e3, 0) as latency_ms from cand join heads using (rid) where sn > 40 and boxcar < 6 and dm > 3 and beam % 36 <> 35 and sampno / 100.0::double > 250 order by sampno // {_SPAN}, sn desc, rid limit 1",
+    f"{_HEADS} select rid, sn, beam % 36 as beam, boxcar, dm, round((59000.0 - (58000 + sampno / 1000.0::double)) * 86400e3, 0) as latency_ms from cand join heads using (rid) where sn > 20 and boxcar < 7 and dm > 1 and beam % 36 <> 35 and sampno / 100.0::double > 100 order by sampno // {_SPAN}, sn desc, rid limit 1",
 )
 _SUB, _NIDM = 16, 12
 _cells = lambda s, d: spectra(s, d).select((F.col("beam") * 4 + F.expr("chan div 16")).cast("int").alias("cell"), (F.expr("chan div 16") * 16).cast("int").alias("start"), "t", F.col("chan").cast("int").alias("chan"), F.col("v").cast("double").alias("re"), (F.col("v") % 7).cast("double").alias("im"))
