@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm.common import materialize, table
+from pulsegrid.llm.common import discard, materialize, table
 from pulsegrid.llm.decontaminate import decontaminate
 from pulsegrid.llm.exact_dedup import drop_exact_duplicates
 from pulsegrid.llm.near_dedup import drop_near_duplicates
 from pulsegrid.llm.packing import pack
 from pulsegrid.llm.quality import keep_good
 
-#: SQL cannot express the classifier, so no stage after it either; tests/llm hold each stage's operator against brute force or SQL.
+#: SQL cannot express the classifier, so no stage after it either; tests/llm hold each stage against a plain version, and run() against the stages one by one.
 ORACLE_SQL = None
 
 
@@ -46,5 +46,6 @@ STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)  # a stage's table is read by the next one only
     return STAGES[-1][1](spark, docs, sf_dir)
