@@ -164,7 +164,7 @@ def _phrases(width: int, kind: str, pairs, bits: int) -> Callable[[Iterable[pa.R
                 some = np.flatnonzero(cols[1])
                 if len(some):
                     held.append([c[some] for c in cols])
-                if sum(len(h[0]) for h in held) >= _BATCH:
+                if sum(len(h[0]) for h in held) * width >= 20 * _BATCH:
                     yield from out()
         if held:
             yield from out()
