@@ -159,7 +159,7 @@ _WIDTHS = (1, 4, 8, 32)
 def _searched(s, d):
     """The samples as a stream of micro-batches, searched with state by beam."""
     x = spectra(s, d)
-    stream, folder = stateful.replayed(x.select("beam", "t", F.col("chan").cast("int").alias("chan"), "v"), "t", 2 * BLOCK)
+    stream, folder = stateful.replayed(x.select("beam", "t", F.col("chan").cast("int").alias("chan"), "v"), "t", 4 * BLOCK)
     return stateful.run_with_state(stateful.search(stream, _NF, _F0, _DF, _ND, _WIDTHS, block=BLOCK), folder)
 
 
@@ -350,13 +350,13 @@ _add("integration_gaps", lambda s, d: blocks.with_gaps(read(s, d, "orders").filt
 
 
 # The trigger over micro-batches of candidates, and two-stage dedispersion of uv cells
-_SPAN, _RULES = 20_000, trigger.Rules(6, 3, 20.0, 7, 1.0, 100.0, 35)
+_SPAN, _RULES = 30_000, trigger.Rules(6, 3, 20.0, 7, 1.0, 100.0, 35)
 
 
 def _triggered(s, d):
     cand = _once(s, d).withColumns({"secs": F.col("sampno") / 100.0, "mjd": 58000 + F.col("sampno") / 1000.0}).select(*trigger.CANDIDATE)
     stream, folder = stateful.replayed(cand, "sampno", _SPAN)
-    return trigger.first_match(s, trigger.trigger(stream, folder, _RULES, F.lit(59000.0)), folder, 60.0)
+    return trigger.first_match(s, trigger.trigger(stream, folder, _RULES, F.lit(59000.0)), folder, 1.0)
 
 
 _RAW = CAND_SQL.replace("cand as (", "raw as (", 1).replace("l_suppkey % 36 as beam", f"l_suppkey % 36 + 36 * (l_orderkey // {_SPAN}) as beam")
@@ -484,7 +484,7 @@ def _reassembled(s, d):
         F.lit("a").alias("addr"), (F.col("event_id") % 4).alias("device"), F.col("event_id").alias("n"), F.pmod(F.floor(k / 3), F.lit(256)).cast("int").alias("seq"), F.pmod(k, F.lit(3)).cast("int").alias("fragment"),
         F.lpad(F.col("event_id").cast("string"), 8, "0").cast("binary").alias("payload"),
     )
-    stream, folder = stateful.replayed(sent, "n", 2500)
+    stream, folder = stateful.replayed(sent, "n", 4000)
     return stateful.run_with_state(packets.frames(stream, (8, 8, 8)), folder)
 
 
