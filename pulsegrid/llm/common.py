@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 _OWN_DIR: list[str] = []
+_MADE: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,9 @@ def scratch(spark: SparkSession) -> str:
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="spark-"))
         root = _OWN_DIR[0]
-    return f"{root.rstrip('/')}/pulsegrid-{uuid.uuid4().hex}"
+    name = f"pulsegrid-{uuid.uuid4().hex}"
+    _MADE.add(name)
+    return f"{root.rstrip('/')}/{name}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -40,12 +43,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of materialized tables that no later step reads."""
+    """Delete the files of tables that materialize() made and no later step reads; other tables stay."""
     for df in tables:
         spark = df.sparkSession
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/pulsegrid-" in f}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1] in _MADE:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

@@ -105,6 +105,16 @@ def test_ranked_and_without(spark):
     assert common.without(rows, gone.limit(0), "key").count() == 1000
 
 
+def test_discard_takes_scratch_tables_only(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/pulsegrid-mine")
+    mine, made = spark.read.parquet(f"{tmp_path}/pulsegrid-mine"), common.materialize(spark.range(3))
+    files = made.inputFiles()
+    common.discard(mine, made)
+    assert mine.count() == 3 and files
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(files[0]).count()
+
+
 def brute_collocations(docs, least, first):
     f, n, pieces = {}, Counter(), lambda t: re.split(r"[.,;:!?\x0A-\x0D]", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     for text, lang in docs:
