@@ -159,6 +159,19 @@ def atomic_to_mjd(bat: Column) -> Column:
     return bat_to_mjd(bat, leap_seconds(guess - leap_seconds(guess) / 86400.0))
 
 
+def antenna_number(name: Column) -> Column:
+    """The number behind an antenna name's two letters; null where there is none."""
+    return F.substring(name, 3, 20).try_cast("int")
+
+
+def scan_intent(template: Column, field: Column) -> Column:
+    """What a scan was for, from its schedule's template and its field's name."""
+    pulsar, low = field.startswith("PSR"), F.lower(template)
+    flyseye = F.when(pulsar, "PSR_CHECK").otherwise("FRB_FLYSEYE")
+    standard = F.when(pulsar & field.contains("beam"), "PSR_CAL").otherwise("UNKNOWN")
+    return F.coalesce(F.when(low.contains("flyseye"), flyseye).when(low == "standard", standard), F.lit("UNKNOWN"))
+
+
 def parse_time(text: Column, formats: tuple[str, ...] = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd-HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")) -> Column:
     """The first format that fits."""
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])

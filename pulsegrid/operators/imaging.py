@@ -111,3 +111,27 @@ def grid_delays(parts: DataFrame, cells: DataFrame, plan: DataFrame, npix: int,
     there = F.struct(opposite("u").alias("u"), opposite("v").alias("v"), (F.col("r1") + F.col("i2")).alias("re"), (F.col("r2") - F.col("i1")).alias("im"))
     both = rows.select("blk", "idm", "t", F.inline(F.array(here, there)))
     return both.groupBy("blk", "idm", "t", "u", "v").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).filter("re <> 0 or im <> 0")
+
+
+def fill_cells(vis: DataFrame, cells: DataFrame, conjugate_lower: bool = False, scale: float | None = None) -> DataFrame:
+    """vis: blid, t, chan, re, im. cells: cell, blid, first, last, start (first channel of the cell's run), lower. Each cell's samples: cell, start, t, chan, re, im, as cell_delays takes them.
+
+    With conjugate_lower those of lower cells are conjugated; with scale values are multiplied and rounded (halves to even).
+    A channel of a baseline may be in several cells or none.
+    """
+    met = vis.join(cells.select("cell", "blid", "first", "last", "start", "lower"), "blid").filter(F.col("chan").between(F.col("first"), F.col("last")))
+    im = F.when(F.col("lower"), -F.col("im")).otherwise(F.col("im")) if conjugate_lower else F.col("im")
+    sized = (lambda c: c) if scale is None else (lambda c: F.bround(c * scale) + 0.0)  # no negative zero
+    return met.select("cell", "start", "t", "chan", sized(F.col("re")).alias("re"), sized(im).alias("im"))
+
+
+def grid_pairs(x: DataFrame, npix: int) -> DataFrame:
+    """x: t, u, v, re, im. Two images in one complex grid: times 2 t and 2 t + 1, the second one times i, with conjugates opposite. Per t, u, v: re, im; zeros are left out."""
+    odd = F.pmod("t", F.lit(2)) == 1
+    re, im = F.when(odd, -F.col("im")).otherwise(F.col("re")), F.when(odd, F.col("re")).otherwise(F.col("im"))
+    # conj(v1) - conj(i v2) = conj(v1) + i conj(v2)
+    re2, im2 = F.when(odd, F.col("im")).otherwise(F.col("re")), F.when(odd, F.col("re")).otherwise(-F.col("im"))
+    opposite = lambda c: F.pmod(-F.col(c), F.lit(npix))
+    both = F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v"), re.alias("re"), im.alias("im")), F.struct(opposite("u").alias("u"), opposite("v").alias("v"), re2.alias("re"), im2.alias("im")))
+    rows = x.select(F.expr("t div 2").alias("t"), F.inline(both))
+    return rows.groupBy("t", "u", "v").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).filter("re <> 0 or im <> 0")

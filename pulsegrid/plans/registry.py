@@ -578,3 +578,25 @@ _add(
     f"with {_MV}, w as (select *, sqrt(greatest(var, 0)) as std from mv), z as (select *, lag(mean) over (partition by beam, chan order by blk) as m0, lag(std) over (partition by beam, chan order by blk) as s0 from w) select beam, chan, blk, round(coalesce(case when m0 <> 0 then mean / m0 - 1 end, 0), 5) as mean_change, round(coalesce(case when s0 <> 0 then std / s0 - 1 end, 0), 5) as std_change from z",
 )
 _add("tscrunch_masked", lambda s, d: S.crunch_time(spectra(s, d).withColumn("beam", F.lit(0)), 4, True).select("beam", "chan", "t", _r("v", "v")), "select 0 as beam, chan, t // 4 as t, round(nullif(sum(v), 0) / 2.0, 6) as v from spectra group by all having count(*) = 4")
+
+
+# Cells filled from baselines, two images in one grid, names
+_cellplan = lambda s, d: spectra(s, d).select("beam", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).distinct().select((F.col("beam") * 4 + F.col("k")).alias("cell"), F.col("beam").alias("blid"), (F.col("k") * 16 + F.col("beam")).alias("first"), F.least(F.col("k") * 16 + F.col("beam") + 9, F.lit(63)).alias("last"), (F.col("k") * 16).alias("start"), ((F.col("beam") + F.col("k")) % 2 == 1).alias("lower"))
+_add(
+    "cells_filled",
+    lambda s, d: imaging.fill_cells(spectra(s, d).select(F.col("beam").alias("blid"), "t", "chan", F.col("v").cast("double").alias("re"), (F.col("v") % 7).cast("double").alias("im")), _cellplan(s, d), True, 0.25),
+    "with c as (select beam * 4 + k as cell, beam as blid, k * 16 + beam as first, least(k * 16 + beam + 9, 63) as last, k * 16 as start, (beam + k) % 2 = 1 as lower from (select distinct beam from spectra), (values (0), (1), (2), (3)) z(k))"
+    " select cell, start, t, chan, round_even(v * 0.25::double, 0) + 0.0::double as re, round_even(case when lower then -(v % 7) else v % 7 end * 0.25::double, 0) + 0.0::double as im from spectra join c on c.blid = spectra.beam and chan between first and last",
+)
+_add(
+    "uv_grid_pairs",
+    lambda s, d: imaging.grid_pairs(candidates(s, d).select(F.col("sampno").alias("t"), (F.col("beam") % 32).alias("u"), (F.col("idt") % 32).alias("v"), F.col("dm").alias("re"), F.col("boxcar").cast("long").alias("im")), 32),
+    "with g as (select sampno // 2 as t, beam % 32 as u, idt % 32 as v, case when sampno % 2 = 1 then -boxcar else dm end as re, case when sampno % 2 = 1 then dm else boxcar end as im from cand"
+    " union all select sampno // 2, (32 - beam % 32) % 32, (32 - idt % 32) % 32, case when sampno % 2 = 1 then boxcar else dm end, case when sampno % 2 = 1 then dm else -boxcar end from cand)"
+    " select t, u, v, cast(sum(re) as bigint) as re, cast(sum(im) as bigint) as im from g group by all having sum(re) <> 0 or sum(im) <> 0",
+)
+_add(
+    "scan_intents",
+    lambda s, d: read(s, d, "customer").select("c_custkey", scalars.scan_intent(F.when(F.col("c_custkey") % 3 == 0, "Big FlysEye").when(F.col("c_custkey") % 3 == 1, "Standard").otherwise(F.col("c_mktsegment")), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("PSR beam "), "c_name")).otherwise(F.col("c_name"))).alias("intent"), scalars.antenna_number(F.concat(F.lit("ak"), F.substring("c_name", -2, 2))).alias("ant")),
+    "select c_custkey, case when c_custkey % 3 = 0 then case when c_custkey % 2 = 0 then 'PSR_CHECK' else 'FRB_FLYSEYE' end when c_custkey % 3 = 1 and c_custkey % 2 = 0 then 'PSR_CAL' else 'UNKNOWN' end as intent, cast(right(c_name, 2) as int) as ant from customer",
+)
