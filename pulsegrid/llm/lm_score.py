@@ -42,8 +42,8 @@ from .quality import crc_mod
 CONTEXT, STEP, DIM, HIDDEN, CLASSES, PLACES, ROWS = 8, 64, 8, 16, 32, 32, 2048
 WIDE = CONTEXT - 1 + STEP
 PAD, END, IDS = 49406, 49407, 49408
-#: Windows of one gradient step, and of one call to the scorer, so that its arrays stay in the cache.
-BATCH, CHUNK, SUMS = 64, 128, 64
+#: Windows of one gradient step, and of one call to the scorer (which changes no score), so that a class has many positions in one product.
+BATCH, CHUNK, SUMS = 64, 512, 64
 
 
 def windows(ids: bytes) -> np.ndarray:
@@ -96,138 +96,187 @@ def flatten(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([w[n].ravel() for n in SHAPES])
 
 
-def unflatten(flat: np.ndarray) -> dict[str, np.ndarray]:
+def unflatten(flat: np.ndarray, copy: bool = True) -> dict[str, np.ndarray]:
+    """Without copy parts of flat itself, of float32."""
     out, at = {}, 0
     for n, s in SHAPES.items():
         size = int(np.prod(s))
-        out[n] = flat[at : at + size].reshape(s).astype(np.float32)
+        out[n] = flat[at : at + size].reshape(s).astype(np.float32, copy=copy)
         at += size
     return out
 
 
+class Room:
+    """Arrays that steps use again, by name: fresh memory costs a step more than the sums in it."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, rows: int, n: int, kind: np.dtype) -> np.ndarray:
+        """An array of rows x n, whose values are left over."""
+        a = self.kept.get(name)
+        if a is None or a.size < rows * n or a.dtype != kind:
+            a = self.kept[name] = np.empty(rows * n, kind)
+        return a[: rows * n].reshape(rows, n)
+
+    def spaced(self, name: str, rows: int, n: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+        """An array as ahead() takes it, and its STEP positions of n windows each."""
+        side = (CONTEXT - 1) * n
+        a = self(name, rows, STEP * n + 2 * side, kind)
+        a[:, :side], a[:, -side:] = 0, 0
+        return a, a[:, side:-side]
+
+
+def back(a: np.ndarray, n: int) -> np.ndarray:
+    """a: features, then WIDE positions of n windows each. A view [..., r, m]: what stands r places before the m-th of the STEP positions."""
+    size, at = a.itemsize, a[..., (CONTEXT - 1) * n :]
+    return np.lib.stride_tricks.as_strided(at, (*a.shape[:-1], CONTEXT, STEP * n), (*a.strides[:-1], -n * size, size), writeable=False)
+
+
+def ahead(a: np.ndarray, n: int, paired: bool = False) -> np.ndarray:
+    """a: features, then STEP positions with CONTEXT - 1 empty ones on either side. A view [..., r, j]: the position that sees the j-th of WIDE ones r places back; paired: a's rows are the r."""
+    lead = a.shape[:-1], a.strides[:-1]
+    shape, strides = ((), ()) if paired else lead
+    return np.lib.stride_tricks.as_strided(a, (*shape, CONTEXT, WIDE * n), (*strides, n * a.itemsize + paired * a.strides[0], a.itemsize), writeable=False)
+
+
 class Pass:
-    """A forward pass, arrays by feature, then window, then position, so that each step runs along positions.
+    """A forward pass. Up to the hidden layer arrays are by feature, then position, then window: what stands r places back is a shift by whole rows of windows.
 
-    A position's score for the input r places back is kept at p[r]; what a window lacks (PAD) gets no weight.
+    A position's weight of the input r places back is p[r]; what a window lacks (PAD) gets none. From the hidden layer on
+    a row is a position, and positions whose targets share a class stand together, in `order`.
     """
 
-    def __init__(self, w: dict[str, np.ndarray], t: Tables, x: np.ndarray):
-        self.w, self.t, n, kind = w, t, len(x), w["e"].dtype
-        self.row = t.row[x]
-        self.e = np.take(w["e"], self.row.ravel(), axis=1)
-        self.tail = np.ascontiguousarray(self.e.reshape(DIM, n, WIDE)[:, :, CONTEXT - 1 :]).reshape(DIM, -1)
-        self.k, self.v = (w["k"] @ self.e).reshape(DIM, n, WIDE), (w["v"] @ self.e).reshape(HIDDEN, n, WIDE)
-        self.q = (w["q"] @ self.tail).reshape(DIM, n, STEP)
-        gone = np.where(x == PAD, kind.type(-1e9), kind.type(0))
-        self.p = p = np.empty((CONTEXT, n, STEP), kind)
-        for r in range(CONTEXT):
-            np.einsum("dns,dns->ns", self.q, self.back(self.k, r), out=p[r])
-            p[r] += w["pos"][r]
-            if r:
-                p[r] += self.back(gone, r)
+    def __init__(self, w: dict[str, np.ndarray], t: Tables, x: np.ndarray, y: np.ndarray, room: Room):
+        n, kind = len(x), w["e"].dtype
+        wide, step = WIDE * n, STEP * n
+        seen, self.y = np.ascontiguousarray(x.T).ravel(), np.ascontiguousarray(y.T).ravel()
+        self.row = t.row[seen].astype(np.intp)
+        self.e = np.take(np.ascontiguousarray(w["e"].T), self.row, axis=0, out=room("e", wide, DIM, kind), mode="clip")
+        self.tail = self.e[(CONTEXT - 1) * n :]
+        self.seen, self.own = np.concatenate([w["k"], w["v"]]), np.concatenate([w["q"], w["own"]])
+        kv = np.matmul(self.seen, self.e.T, out=room("kv", DIM + HIDDEN, wide, kind))
+        qo = np.matmul(self.own, self.tail.T, out=room("qo", DIM + HIDDEN, step, kind))
+        self.k, self.v, self.q = back(kv[:DIM], n), back(kv[DIM:], n), qo[:DIM]
+        self.wide_p, self.p = room.spaced("p", CONTEXT, n, kind)
+        p = np.einsum("dm,drm->rm", self.q, self.k, out=room("scores", CONTEXT, step, kind))
+        p += w["pos"][:, None]
+        gone = seen == PAD
+        if gone.any():
+            p[1:] += back(np.where(gone, kind.type(-1e9), kind.type(0)), n)[1:]
         p -= p.max(axis=0)
         np.exp(p, out=p)
-        p /= p.sum(axis=0)
-        h = (w["own"] @ self.tail).reshape(HIDDEN, n, STEP)
-        for r in range(CONTEXT):
-            h += self.back(self.v, r) * p[r]
-        h += w["b1"][:, None, None]
-        self.h = np.maximum(h, 0, out=h).reshape(HIDDEN, -1)
-
-    @staticmethod
-    def back(a: np.ndarray, r: int) -> np.ndarray:
-        """The part of a that stands r places before each position."""
-        return a[..., CONTEXT - 1 - r : WIDE - r]
-
-    def outputs(self, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]:
-        """The order that puts the targets' classes together, each class and its range; in that order the hidden layer (with a row of ones) and the scores of classes and of places."""
-        classes = self.t.classes[y]
-        order = np.argsort(classes, kind="stable")
-        stops = np.cumsum(np.bincount(classes, minlength=CLASSES)).tolist()
-        parts = [(c, a, b) for c, (a, b) in enumerate(zip([0, *stops[:-1]], stops, strict=True)) if a < b]
-        h = np.ones((HIDDEN + 1, len(y)), self.h.dtype)
-        np.take(self.h, order, axis=1, out=h[:HIDDEN])
-        z = self.w["out"] @ h
-        z -= z.max(axis=0)
-        u = np.empty((PLACES, len(y)), h.dtype)
-        for c, a, b in parts:
-            np.matmul(self.w["in"][c], h[:, a:b], out=u[:, a:b])
-        u -= u.max(axis=0)
-        return order, parts, h, z, u
-
-
-def log10_scores(w: dict[str, np.ndarray], t: Tables, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        np.divide(p, p.sum(axis=0), out=self.p)
+        h = np.einsum("rm,hrm->hm", self.p, self.v, out=room("h", HIDDEN, step, kind))
+        h += qo[DIM:]
+        h += w["b1"][:, None]
+        np.maximum(h, 0, out=h)
+        classes = t.classes[self.y]
+        self.order = np.argsort(classes, kind="stable")
+        sizes = np.bincount(classes, minlength=CLASSES)
+        stops = np.cumsum(sizes)
+        self.parts = [(c, a, b) for c, (a, b) in enumerate(zip((stops - sizes).tolist(), stops.tolist(), strict=True)) if a < b]
+        rows = room("rows", step, HIDDEN + 1, kind)
+        rows[:, :HIDDEN], rows[:, HIDDEN] = h.T, 1
+        self.h = np.take(rows, self.order, axis=0, out=room("sorted", step, HIDDEN + 1, kind), mode="clip")
+        self.target = self.y[self.order]
+        # in the flat scores of its class (by place, then position) where a target's place is
+        self.at = (CLASSES + t.place[self.target]) * np.repeat(sizes, sizes) + np.arange(step) - np.repeat(stops - sizes, sizes)
+        self.w = np.concatenate([np.broadcast_to(w["out"], (CLASSES, *w["out"].shape)), w["in"]], axis=1)
+        self.kinds = np.repeat(np.eye(2, dtype=kind), [CLASSES, PLACES], axis=1)  # sums classes and places
+        self.room, self.kind = room("outputs", CLASSES + PLACES, sizes.max(), kind).ravel(), kind
+
+    def outputs(self, less: bool) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """By class with targets: the class, its range, and the scores of all classes, then of its places; less: by the largest of either kind."""
+        for c, a, b in self.parts:
+            z = np.matmul(self.w[c], self.h[a:b].T, out=self.room[: (CLASSES + PLACES) * (b - a)].reshape(-1, b - a))
+            if less:
+                z[:CLASSES] -= z[:CLASSES].max(axis=0)
+                z[CLASSES:] -= z[CLASSES:].max(axis=0)
+            yield c, a, b, z
+
+
+def held(sums: np.ndarray) -> bool:
+    """Whether float32 holds the sums of exponentials, as it does unless scores are very large."""
+    return bool(1e-30 < sums.min() and sums.max() < 1e30)
+
+
+def log10_scores(w: dict[str, np.ndarray], t: Tables, x: np.ndarray, y: np.ndarray, room: Room | None = None) -> np.ndarray:
     """The log10 probability of each window's targets."""
-    flat = y.ravel()
-    order, parts, _, z, u = Pass(w, t, x).outputs(flat)
-    mine, at = flat[order], np.arange(len(flat))
-    own = u[t.place[mine], at] + t.share[mine]
-    for c, a, b in parts:
-        own[a:b] += z[c, a:b]
-    own -= np.log(np.exp(z, out=z).sum(axis=0))
-    own -= np.log(np.exp(u, out=u).sum(axis=0))
+    m = Pass(w, t, x, y, room or Room())
+    own, sums = np.empty(len(m.y), m.kind), np.empty((2, len(m.y)), m.kind)
+    for less in (False, True):
+        with np.errstate(over="ignore"):
+            for c, a, b, z in m.outputs(less):
+                np.add(z[c], z.ravel()[m.at[a:b]], out=own[a:b])
+                np.matmul(m.kinds, np.exp(z, out=z), out=sums[:, a:b])
+        if held(sums):
+            break
+    own += t.share[m.target]
+    own -= np.log(sums).sum(axis=0)
     got = np.empty_like(own)
-    got[order] = own
-    got[flat == PAD] = 0
-    return got.reshape(y.shape).sum(axis=1, dtype=np.float64) / np.log(10)
+    got[m.order] = own
+    got[m.y == PAD] = 0
+    return got.reshape(y.shape[::-1]).sum(axis=0, dtype=np.float64) / np.log(10)
 
 
-def gradient(w: dict[str, np.ndarray], t: Tables, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+def gradient(w: dict[str, np.ndarray], t: Tables, x: np.ndarray, y: np.ndarray, room: Room | None = None) -> dict[str, np.ndarray]:
     """Of the mean negative log likelihood of the targets."""
-    m, flat, n = Pass(w, t, x), y.ravel(), len(x)
-    order, parts, h, z, u = m.outputs(flat)
-    mine = flat[order]
-    weight = (mine != PAD).astype(h.dtype)
+    room, n = room or Room(), len(x)
+    m = Pass(w, t, x, y, room)
+    kind, step = m.kind, STEP * n
+    weight = (m.target != PAD).astype(kind)
     weight /= max(1, np.count_nonzero(weight))
-    np.exp(z, out=z)
-    z *= weight / z.sum(axis=0)
-    np.exp(u, out=u)
-    u *= weight / u.sum(axis=0)
-    u[t.place[mine], np.arange(len(mine))] -= weight
-    for c, a, b in parts:
-        z[c, a:b] -= weight[a:b]
-    g = {"out": z @ h.T, "in": np.zeros_like(w["in"])}
-    dh = w["out"].T @ z
-    for c, a, b in parts:
-        g["in"][c] = u[:, a:b] @ h[:, a:b].T
-        dh[:, a:b] += w["in"][c].T @ u[:, a:b]
-    dh *= h > 0
-    dh = dh[:HIDDEN]
-    g["b1"] = dh.sum(axis=1)
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    dh = np.take(dh, back, axis=1)
-    d3 = dh.reshape(HIDDEN, n, STEP)
-    dp, dk, dv, dq = np.empty_like(m.p), np.zeros_like(m.k), np.zeros_like(m.v), np.zeros_like(m.q)
-    for r in range(CONTEXT):
-        np.einsum("dns,dns->ns", d3, m.back(m.v, r), out=dp[r])
-        m.back(dv, r)[...] += d3 * m.p[r]
-    dp -= np.einsum("rns,rns->ns", dp, m.p)
+    by_class, dh, place, sums = np.zeros_like(m.w), room("dh", step, HIDDEN, kind), np.empty_like(m.order), np.empty((2, step), kind)
+    for less in (False, True):
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            for c, a, b, z in m.outputs(less):
+                np.matmul(m.kinds, np.exp(z, out=z), out=sums[:, a:b])
+                by_kind = z.reshape(2, -1, b - a)
+                by_kind *= (weight[a:b] / sums[:, a:b])[:, None]
+                z[c] -= weight[a:b]
+                z.ravel()[m.at[a:b]] -= weight[a:b]
+                np.matmul(z, m.h[a:b], out=by_class[c])
+                np.matmul(z.T, m.w[c][:, :HIDDEN], out=dh[a:b])
+        if held(sums):
+            break
+    g = {"out": by_class[:, :CLASSES].sum(axis=0), "in": by_class[:, CLASSES:]}
+    dh *= m.h[:, :HIDDEN] > 0
+    place[m.order] = np.arange(step)
+    rows = np.take(dh, place, axis=0, out=room("rows", step, HIDDEN, kind), mode="clip")
+    wide_h, mid_h = room.spaced("dh back", HIDDEN, n, kind)
+    mid_h[:] = rows.T
+    g["b1"] = mid_h.sum(axis=1)
+    wide_s, dp = room.spaced("dp", CONTEXT, n, kind)
+    np.einsum("hm,hrm->rm", mid_h, m.v, out=dp)
+    dp -= np.einsum("rm,rm->m", dp, m.p)
     dp *= m.p
-    g["pos"] = dp.sum(axis=(1, 2))
-    for r in range(CONTEXT):
-        dq += m.back(m.k, r) * dp[r]
-        m.back(dk, r)[...] += m.q * dp[r]
-    dk, dv, dq = dk.reshape(DIM, -1), dv.reshape(HIDDEN, -1), dq.reshape(DIM, -1)
-    g["k"], g["v"], g["q"], g["own"] = dk @ m.e.T, dv @ m.e.T, dq @ m.tail.T, dh @ m.tail.T
-    de = w["k"].T @ dk + w["v"].T @ dv
-    m.back(de.reshape(DIM, n, WIDE), 0)[...] += (w["q"].T @ dq + w["own"].T @ dh).reshape(DIM, n, STEP)
-    at = m.row.ravel().astype(np.int64)
-    g["e"] = np.stack([np.bincount(at, d, w["e"].shape[1]) for d in de])
+    g["pos"] = dp.sum(axis=1)
+    wide_q, mid_q = room.spaced("q", DIM, n, kind)
+    mid_q[:] = m.q
+    seen, own = room("seen", DIM + HIDDEN, WIDE * n, kind), room("own", DIM + HIDDEN, step, kind)
+    np.einsum("drm,rm->dm", ahead(wide_q, n), ahead(wide_s, n, True), out=seen[:DIM])
+    np.einsum("hrm,rm->hm", ahead(wide_h, n), ahead(m.wide_p, n, True), out=seen[DIM:])
+    np.einsum("drm,rm->dm", m.k, dp, out=own[:DIM])
+    own[DIM:] = mid_h
+    gs, go = seen @ m.e, own @ m.tail
+    g["k"], g["v"], g["q"], g["own"] = gs[:DIM], gs[DIM:], go[:DIM], go[DIM:]
+    de = np.matmul(m.seen.T, seen, out=room("de", DIM, WIDE * n, kind))
+    de[:, (CONTEXT - 1) * n :] += m.own.T @ own
+    g["e"] = np.stack([np.bincount(m.row, d, w["e"].shape[1]) for d in de])
     return g
 
 
 def train(w: dict[str, np.ndarray], tables: Tables, batches: Iterator[np.ndarray], rate: float) -> dict[str, np.ndarray]:
     """Adam over a stream of batches of windows; the first steps are shorter."""
-    mean = {n: np.zeros(s, np.float32) for n, s in SHAPES.items()}
-    square = {n: np.zeros(s, np.float32) for n, s in SHAPES.items()}
+    flat, room = flatten(w).astype(np.float32), Room()
+    w, mean, square = unflatten(flat, copy=False), np.zeros_like(flat), np.zeros_like(flat)
     for step, both in enumerate(batches, 1):
         now = rate * min(1.0, step / 10)
-        for n, g in gradient(w, tables, *halves(both)).items():
-            g = g.astype(np.float32)
-            mean[n] += 0.1 * (g - mean[n])
-            square[n] += 0.02 * (g * g - square[n])
-            w[n] -= np.float32(now / (1 - 0.9**step)) * mean[n] / (np.sqrt(square[n] * np.float32(1 / (1 - 0.98**step))) + np.float32(1e-6))
+        g = flatten(gradient(w, tables, *halves(both), room)).astype(np.float32)
+        mean += 0.1 * (g - mean)
+        square += 0.02 * (g * g - square)
+        flat -= np.float32(now / (1 - 0.9**step)) * mean / (np.sqrt(square * np.float32(1 / (1 - 0.98**step))) + np.float32(1e-6))
     return w
 
 
@@ -279,7 +328,7 @@ def _round(texts: DataFrame, w: dict[str, np.ndarray], tables: Tables, shards: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, about = held.value
-        now, seen, rng = {n: a.copy() for n, a in now.items()}, [0], np.random.default_rng(12)
+        seen, rng = [0], np.random.default_rng(12)
 
         def stream() -> Iterator[np.ndarray]:
             wait, size = [], 0
@@ -305,7 +354,7 @@ def _round(texts: DataFrame, w: dict[str, np.ndarray], tables: Tables, shards: i
             seen[0] += len(both)
             return both
 
-        train(now, about, stream(), rate)
+        now = train(now, about, stream(), rate)
         yield pa.RecordBatch.from_arrays([pa.array([flatten(now).tobytes()], pa.binary()), pa.array([seen[0]], pa.int64())], names=["w", "n"])
 
     # row numbers spread evenly, whatever the texts; written by all shards at once
@@ -382,7 +431,7 @@ def score_texts(
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, rare_type = held.value[0].get, pa.list_(pa.struct([("w", pa.string()), ("k", pa.int64())]))
+        room, get, rare_type = Room(), held.value[0].get, pa.list_(pa.struct([("w", pa.string()), ("k", pa.int64())]))
         for batch in slices(batches):
             n_tokens, n_known, base, rare, parts = [], [], [], [], []
             for text, ids in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
@@ -394,7 +443,7 @@ def score_texts(
                 rare.append([{"w": w.decode(), "k": k} for w, k in Counter([ws[k] for k in np.flatnonzero(v == 0)]).items()])
                 parts.append(windows(ids))
             both = np.concatenate(parts)
-            got = np.concatenate([log10_scores(*held.value[1:], *halves(both[k : k + CHUNK])) for k in range(0, len(both), CHUNK)])
+            got = np.concatenate([log10_scores(*held.value[1:], *halves(both[k : k + CHUNK]), room) for k in range(0, len(both), CHUNK)])
             score = np.add.reduceat(got, np.cumsum([0, *map(len, parts[:-1])]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, rare_type), pa.array(score)],

@@ -20,7 +20,9 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,27 +45,64 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Byte-level tokenizers write a byte as its own character where that can be seen, else as one from 256 on; here a space stays.
+_UNSEEN = [*range(33), *range(127, 161), 173]
+_AS_BYTES = "".join(" " if c == 32 else chr(256 + _UNSEEN.index(c)) if c in _UNSEEN else chr(c) for c in range(256))
+
+
 class WordEncoder:
     """Ids of a text, little-endian uint32, through a bounded cache of its white-space separated words.
 
     The tokenizer drops white space, lower-cases and never joins across white space, so words can be
-    lower-cased and encoded one by one. New words are encoded many at a time, with a mark between them
-    that is one id of its own; words holding the mark, and special tokens, are encoded alone.
+    lower-cased and encoded one by one. It also parts letters from the punctuation behind them, so a new word of
+    letters that no normalisation changes and of punctuation is put together from the ids of both. Letters are
+    encoded many at a time by the tokenizer's own model between white space. Other new words are encoded many at a
+    time, with a mark between them that is one id of its own; words holding the mark, and special tokens, are encoded alone.
     """
 
     MARK = "|"
+    #: Neither the mark nor an apostrophe, which may begin a contraction.
+    BEHIND = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "|'")
+    #: Letters that every normalisation leaves as they are: a-z and Latin-1's.
+    PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
     def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), most, {}
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes], together: int = 200) -> None:
+    def _learn(self, words: set[bytes]) -> None:
+        parts, others = [], set()
+        for w in words:
+            stem = w.rstrip(self.BEHIND)
+            if stem.isalpha() or self.PLAIN.fullmatch(stem.decode()):
+                parts.append((w, stem, w[len(stem) :]))
+            else:
+                others.add(w)
+        self._learn_others((others | {rest for _, _, rest in parts if rest}).difference(self.cache))
+        self._learn_letters([*{stem for _, stem, _ in parts}.difference(self.cache)])
+        get, put = self.cache.__getitem__, self.cache.__setitem__
+        for w, stem, rest in parts:
+            if rest:
+                put(w, get(stem) + get(rest))
+
+    def _learn_letters(self, stems: list[bytes], together: int = 200) -> None:
+        put = self.cache.__setitem__
+        groups = [stems[k : k + together] for k in range(0, len(stems), together)]
+        for group, e in zip(groups, self.letters.encode_batch([codecs.charmap_decode(b" ".join(g), "strict", _AS_BYTES)[0] for g in groups], add_special_tokens=False), strict=True):
+            raw, at = np.asarray(e.ids, "<u4").tobytes(), 0
+            for w, stop in zip(group, (np.bincount(e.word_ids, minlength=len(group)).cumsum() * 4).tolist(), strict=True):
+                put(w, raw[at:stop])
+                at = stop
+
+    def _learn_others(self, words: set[bytes], together: int = 200) -> None:
         put, mark = self.cache.__setitem__, self.MARK.encode()
         alone = [w for w in words if mark in w]
         for w, ids in zip(alone, self._raw([w.decode() for w in alone]), strict=True):

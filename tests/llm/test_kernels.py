@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pulsegrid.llm import lm_score, pii
+from pulsegrid.llm import lm_score, packing, pii
 
 
 def _model():
@@ -85,3 +85,34 @@ def test_base_spans_match_plain_patterns(text):
             want.append(("card", *m.span()))
     want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
     assert pii.base_spans(text) == want
+
+
+def test_steps_use_their_arrays_again():
+    w, t, x, y = _model()
+    room = lm_score.Room()
+    want, first = lm_score.gradient(w, t, x, y), lm_score.gradient(w, t, x, y, room)
+    kept = {n: id(a) for n, a in room.kept.items()}
+    part, again = lm_score.gradient(w, t, x[:2], y[:2], room), lm_score.gradient(w, t, x, y, room)
+    assert kept and {n: id(a) for n, a in room.kept.items()} == kept
+    assert all(np.array_equal(want[n], g[n]) for n in want for g in (first, again))
+    assert all(np.allclose(part[n], lm_score.gradient(w, t, x[:2], y[:2])[n]) for n in part)
+
+
+def test_letters_are_encoded_once_whatever_stands_behind():
+    words, asked = packing.WordEncoder(packing.tokenizer_path()), []
+
+    class Asked:
+        def __init__(self, real):
+            self.encode_batch, self.encode_batch_fast = (lambda texts, f=f, **how: asked.extend(texts) or f(texts, **how) for f in (real.encode_batch, real.encode_batch_fast))
+
+    words.tokenizer, words.letters = Asked(words.tokenizer), Asked(words.letters)
+    list(words.encode(["thersted, thersted. thersted thersted&&& gr\u00fcn. gr\u00fcn,", "thersted!? gr\u00fcn"]))
+    assert sum(t.count("thersted") for t in asked) == 1 and sum(t.count("gr") for t in asked) == 1
+
+
+@given(st.lists(st.text("abXZ'|!,.<>-#09 \n\u00df\u00e0\u00c4\u00f7\u00b5\u00aa\u0301\u4e2d\u0130\u03a3", max_size=20), max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_words_put_together_match_whole_texts(texts):
+    words = packing.encoder(packing.tokenizer_path())
+    want = [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in words.encode(texts)] == want
