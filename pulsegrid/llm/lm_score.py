@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCHES, materialize, settings, slices, table
+from .common import SMALL_BATCHES, drop_caches, materialize, settings, slices, table
 from .packing import encoder, tokenizer_path
 from .quality import crc_mod
 
@@ -43,7 +43,7 @@ CONTEXT, STEP, DIM, HIDDEN, CLASSES, PLACES, ROWS = 8, 64, 8, 16, 32, 32, 2048
 WIDE = CONTEXT - 1 + STEP
 PAD, END, IDS = 49406, 49407, 49408
 #: Windows of one gradient step, and of one call to the scorer (which changes no score), so that a class has many positions in one product.
-BATCH, CHUNK, SUMS = 64, 512, 64
+BATCH, CHUNK, SUMS = 64, 256, 64
 
 
 def windows(ids: bytes) -> np.ndarray:
@@ -329,6 +329,7 @@ def _round(texts: DataFrame, w: dict[str, np.ndarray], tables: Tables, shards: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, about = held.value
         seen, rng = [0], np.random.default_rng(12)
+        drop_caches()
 
         def stream() -> Iterator[np.ndarray]:
             wait, size = [], 0
@@ -431,6 +432,7 @@ def score_texts(
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         room, get, rare_type = Room(), held.value[0].get, pa.list_(pa.struct([("w", pa.string()), ("k", pa.int64())]))
         for batch in slices(batches):
             n_tokens, n_known, base, rare, parts = [], [], [], [], []

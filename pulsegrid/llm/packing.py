@@ -87,20 +87,21 @@ class WordEncoder:
             else:
                 others.add(w)
         self._learn_others((others | {rest for _, _, rest in parts if rest}).difference(self.cache))
-        self._learn_letters([*{stem for _, stem, _ in parts}.difference(self.cache)])
+        stems = self._letters([*{stem for _, stem, _ in parts}.difference(self.cache)])  # only words stay in the cache
         get, put = self.cache.__getitem__, self.cache.__setitem__
         for w, stem, rest in parts:
-            if rest:
-                put(w, get(stem) + get(rest))
+            ids = stems[stem] if stem in stems else get(stem)
+            put(w, ids + get(rest) if rest else ids)
 
-    def _learn_letters(self, stems: list[bytes], together: int = 200) -> None:
-        put = self.cache.__setitem__
+    def _letters(self, stems: list[bytes], together: int = 200) -> dict[bytes, bytes]:
+        found = {}
         groups = [stems[k : k + together] for k in range(0, len(stems), together)]
         for group, e in zip(groups, self.letters.encode_batch([codecs.charmap_decode(b" ".join(g), "strict", _AS_BYTES)[0] for g in groups], add_special_tokens=False), strict=True):
             raw, at = np.asarray(e.ids, "<u4").tobytes(), 0
             for w, stop in zip(group, (np.bincount(e.word_ids, minlength=len(group)).cumsum() * 4).tolist(), strict=True):
-                put(w, raw[at:stop])
+                found[w] = raw[at:stop]
                 at = stop
+        return found
 
     def _learn_others(self, words: set[bytes], together: int = 200) -> None:
         put, mark = self.cache.__setitem__, self.MARK.encode()
