@@ -25,18 +25,17 @@ An empty table gives an empty result. Other columns, whatever their names, are i
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SMALL_BATCHES, drop_caches, materialize, settings, slices, table
-from .packing import encoder, tokenizer_path
+from .packing import encoder, split_words, tokenizer_path, word_ends
 from .quality import crc_mod
 
 CONTEXT, STEP, DIM, HIDDEN, CLASSES, PLACES, ROWS = 8, 64, 8, 16, 32, 32, 2048
@@ -152,14 +151,17 @@ class Pass:
         wide, step = WIDE * n, STEP * n
         seen, self.y = np.ascontiguousarray(x.T).ravel(), np.ascontiguousarray(y.T).ravel()
         self.row = t.row[seen].astype(np.intp)
-        self.e = np.take(np.ascontiguousarray(w["e"].T), self.row, axis=0, out=room("e", wide, DIM, kind), mode="clip")
-        self.tail = self.e[(CONTEXT - 1) * n :]
-        self.seen, self.own = np.concatenate([w["k"], w["v"]]), np.concatenate([w["q"], w["own"]])
-        kv = np.matmul(self.seen, self.e.T, out=room("kv", DIM + HIDDEN, wide, kind))
-        qo = np.matmul(self.own, self.tail.T, out=room("qo", DIM + HIDDEN, step, kind))
-        self.k, self.v, self.q = back(kv[:DIM], n), back(kv[DIM:], n), qo[:DIM]
+        self.e = np.take(w["e"], self.row, axis=1, out=room("e", DIM, wide, kind), mode="clip")
+        self.near = back(self.e, n)
+        # of a position: what it takes from those behind it (below), its own embedding, and 1
+        self.inputs = room("inputs", 2 * DIM + 1, step, kind)
+        self.inputs[DIM:-1], self.inputs[-1] = self.e[:, (CONTEXT - 1) * n :], 1
+        # (q a)(k b) is (k'q a) b, and the sum of p v e is v times that of p e: so both need embeddings only
+        self.meet = w["k"].T @ w["q"]
+        self.wide_ask, ask = room.spaced("ask", DIM, n, kind)
+        np.matmul(self.meet, self.inputs[DIM:-1], out=ask)
         self.wide_p, self.p = room.spaced("p", CONTEXT, n, kind)
-        p = np.einsum("dm,drm->rm", self.q, self.k, out=room("scores", CONTEXT, step, kind))
+        p = np.einsum("dm,drm->rm", ask, self.near, out=room("scores", CONTEXT, step, kind))
         p += w["pos"][:, None]
         gone = seen == PAD
         if gone.any():
@@ -167,23 +169,21 @@ class Pass:
         p -= p.max(axis=0)
         np.exp(p, out=p)
         np.divide(p, p.sum(axis=0), out=self.p)
-        h = np.einsum("rm,hrm->hm", self.p, self.v, out=room("h", HIDDEN, step, kind))
-        h += qo[DIM:]
-        h += w["b1"][:, None]
-        np.maximum(h, 0, out=h)
+        np.einsum("rm,drm->dm", self.p, self.near, out=self.inputs[:DIM])
+        self.hidden = np.zeros((HIDDEN + 1, 2 * DIM + 1), kind)
+        self.hidden[:HIDDEN], self.hidden[HIDDEN, -1] = np.concatenate([w["v"], w["own"], w["b1"][:, None]], axis=1), 1
+        rows = np.matmul(self.inputs.T, self.hidden.T, out=room("rows", step, HIDDEN + 1, kind))
+        np.maximum(rows, 0, out=rows)
         classes = t.classes[self.y]
         self.order = np.argsort(classes, kind="stable")
         sizes = np.bincount(classes, minlength=CLASSES)
         stops = np.cumsum(sizes)
         self.parts = [(c, a, b) for c, (a, b) in enumerate(zip((stops - sizes).tolist(), stops.tolist(), strict=True)) if a < b]
-        rows = room("rows", step, HIDDEN + 1, kind)
-        rows[:, :HIDDEN], rows[:, HIDDEN] = h.T, 1
         self.h = np.take(rows, self.order, axis=0, out=room("sorted", step, HIDDEN + 1, kind), mode="clip")
         self.target = self.y[self.order]
         # in the flat scores of its class (by place, then position) where a target's place is
         self.at = (CLASSES + t.place[self.target]) * np.repeat(sizes, sizes) + np.arange(step) - np.repeat(stops - sizes, sizes)
         self.w = np.concatenate([np.broadcast_to(w["out"], (CLASSES, *w["out"].shape)), w["in"]], axis=1)
-        self.kinds = np.repeat(np.eye(2, dtype=kind), [CLASSES, PLACES], axis=1)  # sums classes and places
         self.room, self.kind = room("outputs", CLASSES + PLACES, sizes.max(), kind).ravel(), kind
 
     def outputs(self, less: bool) -> Iterator[tuple[int, int, int, np.ndarray]]:
@@ -209,7 +209,7 @@ def log10_scores(w: dict[str, np.ndarray], t: Tables, x: np.ndarray, y: np.ndarr
         with np.errstate(over="ignore"):
             for c, a, b, z in m.outputs(less):
                 np.add(z[c], z.ravel()[m.at[a:b]], out=own[a:b])
-                np.matmul(m.kinds, np.exp(z, out=z), out=sums[:, a:b])
+                np.add.reduce(np.exp(z, out=z).reshape(2, -1, b - a), axis=1, out=sums[:, a:b])
         if held(sums):
             break
     own += t.share[m.target]
@@ -227,95 +227,117 @@ def gradient(w: dict[str, np.ndarray], t: Tables, x: np.ndarray, y: np.ndarray,
     kind, step = m.kind, STEP * n
     weight = (m.target != PAD).astype(kind)
     weight /= max(1, np.count_nonzero(weight))
-    by_class, dh, place, sums = np.zeros_like(m.w), room("dh", step, HIDDEN, kind), np.empty_like(m.order), np.empty((2, step), kind)
+    by_class, dh, place, sums = np.zeros_like(m.w), room("dh", step, HIDDEN + 1, kind), np.empty_like(m.order), np.empty((2, step), kind)
     for less in (False, True):
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
             for c, a, b, z in m.outputs(less):
-                np.matmul(m.kinds, np.exp(z, out=z), out=sums[:, a:b])
+                np.add.reduce(np.exp(z, out=z).reshape(2, -1, b - a), axis=1, out=sums[:, a:b])
                 by_kind = z.reshape(2, -1, b - a)
                 by_kind *= (weight[a:b] / sums[:, a:b])[:, None]
                 z[c] -= weight[a:b]
                 z.ravel()[m.at[a:b]] -= weight[a:b]
                 np.matmul(z, m.h[a:b], out=by_class[c])
-                np.matmul(z.T, m.w[c][:, :HIDDEN], out=dh[a:b])
+                np.matmul(z.T, m.w[c], out=dh[a:b])
         if held(sums):
             break
     g = {"out": by_class[:, :CLASSES].sum(axis=0), "in": by_class[:, CLASSES:]}
-    dh *= m.h[:, :HIDDEN] > 0
+    dh *= m.h > 0
     place[m.order] = np.arange(step)
-    rows = np.take(dh, place, axis=0, out=room("rows", step, HIDDEN, kind), mode="clip")
-    wide_h, mid_h = room.spaced("dh back", HIDDEN, n, kind)
-    mid_h[:] = rows.T
-    g["b1"] = mid_h.sum(axis=1)
+    rows = np.take(dh, place, axis=0, out=room("rows", step, HIDDEN + 1, kind), mode="clip")[:, :HIDDEN]
+    gh = (m.inputs @ rows).T
+    g["v"], g["own"], g["b1"] = gh[:, :DIM], gh[:, DIM:-1], gh[:, -1]
+    wide_d, d = room.spaced("inputs back", 2 * DIM, n, kind)
+    np.matmul(m.hidden[:HIDDEN, :-1].T, rows.T, out=d)
     wide_s, dp = room.spaced("dp", CONTEXT, n, kind)
-    np.einsum("hm,hrm->rm", mid_h, m.v, out=dp)
+    np.einsum("dm,drm->rm", d[:DIM], m.near, out=dp)
     dp -= np.einsum("rm,rm->m", dp, m.p)
     dp *= m.p
     g["pos"] = dp.sum(axis=1)
-    wide_q, mid_q = room.spaced("q", DIM, n, kind)
-    mid_q[:] = m.q
-    seen, own = room("seen", DIM + HIDDEN, WIDE * n, kind), room("own", DIM + HIDDEN, step, kind)
-    np.einsum("drm,rm->dm", ahead(wide_q, n), ahead(wide_s, n, True), out=seen[:DIM])
-    np.einsum("hrm,rm->hm", ahead(wide_h, n), ahead(m.wide_p, n, True), out=seen[DIM:])
-    np.einsum("drm,rm->dm", m.k, dp, out=own[:DIM])
-    own[DIM:] = mid_h
-    gs, go = seen @ m.e, own @ m.tail
-    g["k"], g["v"], g["q"], g["own"] = gs[:DIM], gs[DIM:], go[:DIM], go[DIM:]
-    de = np.matmul(m.seen.T, seen, out=room("de", DIM, WIDE * n, kind))
-    de[:, (CONTEXT - 1) * n :] += m.own.T @ own
-    g["e"] = np.stack([np.bincount(m.row, d, w["e"].shape[1]) for d in de])
+    own = np.einsum("drm,rm->dm", m.near, dp, out=room("own", DIM, step, kind))
+    meet = own @ m.inputs[DIM:-1].T
+    g["q"], g["k"] = w["k"] @ meet, w["q"] @ meet.T
+    de, taken = room("de", DIM, WIDE * n, kind), room("taken", DIM, WIDE * n, kind)
+    np.einsum("drm,rm->dm", ahead(m.wide_ask, n), ahead(wide_s, n, True), out=de)
+    de += np.einsum("drm,rm->dm", ahead(wide_d[:DIM], n), ahead(m.wide_p, n, True), out=taken)
+    at_own = de[:, (CONTEXT - 1) * n :]
+    at_own += d[DIM:]
+    at_own += m.meet.T @ own
+    g["e"] = np.stack([np.bincount(m.row, of, w["e"].shape[1]) for of in de]).astype(kind)
     return g
 
 
 def train(w: dict[str, np.ndarray], tables: Tables, batches: Iterator[np.ndarray], rate: float) -> dict[str, np.ndarray]:
     """Adam over a stream of batches of windows; the first steps are shorter."""
     flat, room = flatten(w).astype(np.float32), Room()
-    w, mean, square = unflatten(flat, copy=False), np.zeros_like(flat), np.zeros_like(flat)
+    w, mean, square, move = unflatten(flat, copy=False), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     for step, both in enumerate(batches, 1):
         now = rate * min(1.0, step / 10)
-        g = flatten(gradient(w, tables, *halves(both), room)).astype(np.float32)
-        mean += 0.1 * (g - mean)
-        square += 0.02 * (g * g - square)
-        flat -= np.float32(now / (1 - 0.9**step)) * mean / (np.sqrt(square * np.float32(1 / (1 - 0.98**step))) + np.float32(1e-6))
+        g = flatten(gradient(w, tables, *halves(both), room)).astype(np.float32, copy=False)
+        mean += np.multiply(np.subtract(g, mean, out=move), np.float32(0.1), out=move)
+        g *= g
+        square += np.multiply(np.subtract(g, square, out=g), np.float32(0.02), out=g)
+        np.sqrt(np.multiply(square, np.float32(1 / (1 - 0.98**step)), out=g), out=g)
+        g += np.float32(1e-6)
+        flat -= np.multiply(np.divide(mean, g, out=move), np.float32(now / (1 - 0.9**step)), out=move)
     return w
 
 
 _TYPES = {"row": pa.int64(), "held": pa.bool_(), "text": pa.string(), "ids": pa.binary(), "tag": pa.string(), "word": pa.string(), "n": pa.int64()}
 
 
+class Counts:
+    """Counts by word, as Arrow columns: added up once twice `most` rows wait, and given out once `most` words are left then."""
+
+    def __init__(self, most: int):
+        self.most, self.waiting, self.rows = most, [], 0
+        self.none = pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+
+    def add(self, words: pa.Array, n: np.ndarray) -> pa.Table:
+        """What is given out."""
+        some = np.flatnonzero(n)
+        self.waiting.append(pa.table({"word": words.take(pa.array(some)), "n": n[some]}))
+        self.rows += len(some)
+        if self.rows < 2 * self.most:
+            return self.none
+        total = self.rest()
+        if total.num_rows >= self.most:
+            return total
+        self.waiting, self.rows = [total], total.num_rows
+        return self.none
+
+    def rest(self) -> pa.Table:
+        every = pa.concat_tables([self.none, *self.waiting])
+        self.waiting, self.rows = [], 0
+        return every.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
+
 def _gather(docs: DataFrame, path: str, most_words: int) -> DataFrame:
     """docs: _id, _text, _held. A row "text" for each (id, row number, held, text, ids), and of the training documents "word" and "piece" counts by task."""
     kind = docs.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pieces, row, id_type = Counter(), np.zeros(IDS, np.int64), TaskContext.get().partitionId() << 40, None
+        words, pieces, row, id_type = Counts(most_words), np.zeros(IDS, np.int64), TaskContext.get().partitionId() << 40, None
 
         def put(rows: int, key: pa.Array | None = None, **columns) -> pa.RecordBatch:
             cols = [pa.nulls(rows, t) if c not in columns else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t) for c, t in _TYPES.items()]
             return pa.RecordBatch.from_arrays([pa.nulls(rows, id_type) if key is None else key, *cols], names=["id", *_TYPES])
 
-        def counted() -> pa.RecordBatch:
-            return put(len(words), tag=["word"] * len(words), word=[w.decode() for w in words], n=list(words.values()))
-
-        for batch in slices(batches):
-            held, kept, id_type, counted_ids = batch.column(2).to_pylist(), [], batch.column(0).type, []
-            for out, (ws, ids) in zip(held, encoder(path).words_and_ids(batch.column(1).to_pylist()), strict=True):
-                ids = np.frombuffer(ids, "<u4").astype("<u2")
-                if not out:
-                    words.update(ws)
-                    counted_ids.append(ids)
-                kept.append(ids.tobytes())
-            if counted_ids:
-                pieces += np.bincount(np.concatenate(counted_ids), minlength=IDS)
-                pieces[END] += len(counted_ids)
-            n = len(kept)
-            yield put(n, batch.column(0), row=np.arange(row, row + n), held=batch.column(2), text=batch.column(1), ids=kept, tag=["text"] * n)
+        def counted(of: pa.Table) -> Iterator[pa.RecordBatch]:
+            for part in of.to_batches(1 << 16):
+                yield put(len(part), tag=pa.repeat("word", len(part)), word=part.column("word"), n=part.column("n"))
+
+        for batch in slices(batches, 1000):
+            id_type, kept = batch.column(0).type, ~batch.column(2).to_numpy(zero_copy_only=False)
+            kinds, at, sizes, ids, n_ids = encoder(path).together(batch.column(1))
+            yield from counted(words.add(kinds, np.bincount(at[np.repeat(kept, sizes)], minlength=len(kinds))))
+            pieces += np.bincount(ids[np.repeat(kept, n_ids)], minlength=IDS)
+            pieces[END] += np.count_nonzero(kept)
+            n, at = batch.num_rows, np.concatenate([[0], np.cumsum(2 * n_ids)]).astype(np.int32)
+            cut = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(ids.astype("<u2"))])
+            yield put(n, batch.column(0), row=np.arange(row, row + n), held=batch.column(2), text=batch.column(1), ids=cut, tag=pa.repeat("text", n))
             row += n
-            if len(words) > most_words:
-                yield counted()
-                words.clear()
         if id_type is not None:
-            yield counted()
+            yield from counted(words.rest())
             at = np.flatnonzero(pieces)
             yield put(len(at), tag=["piece"] * len(at), word=[str(i) for i in at], n=pieces[at])
 
@@ -418,12 +440,10 @@ def score_texts(
             break
         enough = r.c
     common = words.filter(F.col("n") >= enough).toArrow()  # at most `head` rows
-    known = {w.encode(): float(v) for w, v in zip(common["word"].to_pylist(), np.log10((common["n"].to_numpy() + 0.1) / bottom), strict=True)}
-    final = np.zeros(IDS, bool)
+    known = common["word"].combine_chunks(), np.append(np.log10((common["n"].to_numpy() + 0.1) / bottom), 0.0)
     from tokenizers import Tokenizer
 
-    final[[i for t, i in Tokenizer.from_file(path).get_vocab().items() if t.endswith("</w>")]] = True
-    tables = Tables(pieces, final)
+    tables = Tables(pieces, np.append(word_ends(Tokenizer.from_file(path)), np.zeros(IDS, bool))[:IDS])
     n_windows = texts.filter("not held").agg(F.sum(F.ceil((F.octet_length("ids") / 2 + 1) / STEP))).first()[0] or 1
     passes = max(1, -(-least_windows // n_windows))
     model = _fit(texts.filter("not held").select("row", "ids"), tables, shards, rounds, learning_rate, passes)
@@ -433,22 +453,24 @@ def score_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_caches()
-        room, get, rare_type = Room(), held.value[0].get, pa.list_(pa.struct([("w", pa.string()), ("k", pa.int64())]))
-        for batch in slices(batches):
-            n_tokens, n_known, base, rare, parts = [], [], [], [], []
-            for text, ids in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                ws = (text or "").encode().lower().split()
-                v = np.fromiter(map(get, ws, repeat(0.0)), np.float64, len(ws))
-                n_tokens.append(len(ws) + 1)
-                n_known.append(np.count_nonzero(v))
-                base.append(v.sum() + end_score)
-                rare.append([{"w": w.decode(), "k": k} for w, k in Counter([ws[k] for k in np.flatnonzero(v == 0)]).items()])
-                parts.append(windows(ids))
+        room, (known, values) = Room(), held.value[0]
+        rare_type = pa.list_(pa.struct([("w", pa.string()), ("k", pa.int64())]))
+        for batch in slices(batches, 1000):
+            words, sizes = split_words(batch.column(3))
+            stops = np.cumsum(sizes)
+            at = pc.fill_null(pc.index_in(words, value_set=known), len(known)).to_numpy()
+            v = np.concatenate([[0.0], np.cumsum(values[at])])[stops]
+            others = np.flatnonzero(at == len(known))
+            n_rare = np.diff(np.searchsorted(others, stops), prepend=0)
+            met = pa.table({"t": np.repeat(np.arange(len(sizes)), n_rare), "w": words.take(pa.array(others))}).group_by(["t", "w"], use_threads=False).aggregate([([], "count_all")]).sort_by("t")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(met["t"].to_numpy(), minlength=len(sizes)))]).astype(np.int32)
+            rare = pa.StructArray.from_arrays([met["w"].combine_chunks(), met["count_all"].combine_chunks()], fields=[*rare_type.value_type])
+            parts = [windows(ids) for ids in batch.column(4).to_pylist()]
             both = np.concatenate(parts)
             got = np.concatenate([log10_scores(*held.value[1:], *halves(both[k : k + CHUNK]), room) for k in range(0, len(both), CHUNK)])
             score = np.add.reduceat(got, np.cumsum([0, *map(len, parts[:-1])]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, rare_type), pa.array(score)],
+                [*batch.columns[:3], pa.array(sizes + 1, pa.int64()), pa.array(sizes - n_rare, pa.int64()), pa.array(np.diff(v, prepend=0) + end_score), pa.ListArray.from_arrays(ends, rare, rare_type), pa.array(score)],
                 names=["doc_id", "row", "held_out", "n_tokens", "n_known", "base", "rare", "score"],
             )
 

@@ -1,6 +1,8 @@
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -116,3 +118,39 @@ def test_words_put_together_match_whole_texts(texts):
     words = packing.encoder(packing.tokenizer_path())
     want = [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(ids, "<u4").tolist() for ids in words.encode(texts)] == want
+
+
+def test_texts_taken_together_give_their_words_and_ids():
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    odd = ["", None, " a  b ", "É<|endoftext|> x", "<|", " \t\n\x0b\x0c\r ", "x\x1cy\x0bz \x85 ab", "foo|bar don't DON'T, naïve!! ÿ× ÷ ß.", "a\u3000b İI ŉ ﬁ", "Ab ab AB, ab, ab!?"]
+    for texts in (pa.array(odd), pa.array(["left out", *odd]).slice(1), pa.array(odd[:2]), pa.array([None], pa.string())):
+        kinds, at, sizes, ids, n_ids = encoder.together(texts)
+        words = [kinds[k].as_py() for k in at.tolist()]
+        stops, id_stops = sizes.cumsum().tolist(), n_ids.cumsum().tolist()
+        assert len(words) == sum(sizes) and len(ids) == sum(n_ids) and len({*kinds.to_pylist()}) == len(kinds)
+        for k, text in enumerate(texts.to_pylist()):
+            assert [w.encode() for w in words[stops[k] - sizes[k] : stops[k]]] == (text or "").encode().lower().split()
+            assert ids[id_stops[k] - n_ids[k] : id_stops[k]].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_counts_are_given_out_in_parts_that_add_up():
+    rng, counts, want, got, parts = np.random.default_rng(1), lm_score.Counts(50), Counter(), Counter(), 0
+    for size in (0, 30, 30, 60, 5, 90, 40):
+        words, n = [f"w{k}" for k in rng.choice(120, size, replace=False)], rng.integers(0, 3, size)
+        want.update({w: int(k) for w, k in zip(words, n, strict=True) if k})
+        out = counts.add(pa.array(words, pa.string()), n)
+        parts += out.num_rows > 0
+        for part in (out, counts.rest() if size == 40 else out.slice(0, 0)):
+            assert len({*part["word"].to_pylist()}) == part.num_rows
+            for w, k in zip(part["word"].to_pylist(), part["n"].to_pylist(), strict=True):
+                got[w] += k
+        assert counts.rows < 100
+    assert parts and got == want and counts.rest().num_rows == 0
+
+
+def test_words_whose_ids_do_not_tell_their_ends_are_still_parted():
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    words = [b"naive", b"stra\xc3\x9fe", b"antidisestablishmentarianism", b"a"]
+    want = encoder._letters(words)
+    encoder.final = np.zeros_like(encoder.final)
+    assert encoder._letters(words) == want == {w: encoder._raw([w.decode()])[0] for w in words}
