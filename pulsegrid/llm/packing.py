@@ -24,7 +24,7 @@ import codecs
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 from itertools import pairwise
 
@@ -108,26 +108,32 @@ class WordEncoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
-        # lists of bytes, which the collector need not walk as it does tuples
-        whole, plain, stems, rests, others = self.PLAIN.fullmatch, [], [], [], set()
+    def _learn(self, words: Collection[bytes]) -> list[bytes]:
+        """The ids of different words that the cache lacks, which are put there."""
+        # few looks into large tables, and no tuples, which the collector would walk
+        whole, known, place, stems, rests, others = self.PLAIN.fullmatch, self.cache.get, {}, [], [], set()
         for w in words:
             stem = w.rstrip(self.BEHIND)
-            if stem.isalpha() or whole(stem):
-                plain.append(w)
-                stems.append(stem)
-                rests.append(w[len(stem) :])
-            else:
+            if not (stem.isalpha() or whole(stem)):
                 others.add(w)
-        self._learn_others((others | {*rests} - {b""}).difference(self.cache))
-        found = self._letters([*{*stems}.difference(self.cache)])  # only words stay in the cache
-        cache = self.cache
-        for w, stem, rest in zip(plain, stems, rests, strict=True):
-            ids = found[stem] if stem in found else cache[stem]
-            cache[w] = ids + cache[rest] if rest else ids
-
-    def _letters(self, stems: list[bytes], together: int = 200) -> dict[bytes, bytes]:
-        found = {}
+                stems.append(b"")
+                rests.append(w)
+            elif len(stem) == len(w):
+                stems.append(place.setdefault(w, len(place)))
+                rests.append(b"")
+            else:
+                stems.append(known(stem) or place.setdefault(stem, len(place)))
+                rests.append(w[len(stem) :])
+        behind = others.union(rests) - {b""}
+        self._learn_others(behind.difference(self.cache))
+        more = {w: self.cache[w] for w in behind} | {b"": b""}
+        found = self._letters([*place])  # only words stay in the cache
+        out = [(found[stem] if type(stem) is int else stem) + more[rest] for stem, rest in zip(stems, rests, strict=True)]
+        self.cache.update(zip(words, out, strict=True))
+        return out
+
+    def _letters(self, stems: list[bytes], together: int = 200) -> list[bytes]:
+        found = []
         groups = [stems[k : k + together] for k in range(0, len(stems), together)]
         as_text = [codecs.charmap_decode(b" ".join(g), "strict", _AS_BYTES)[0] for g in groups]
         for group, text, e in zip(groups, as_text, self.letters.encode_batch_fast(as_text, add_special_tokens=False), strict=True):
@@ -136,10 +142,8 @@ class WordEncoder:
             if len(stops) != len(group):  # not every word ends in an id of its own kind
                 e = self.letters.encode(text, add_special_tokens=False)
                 ids, stops = np.asarray(e.ids, "<u4"), np.bincount(e.word_ids, minlength=len(group)).cumsum()
-            raw, at = ids.tobytes(), 0
-            for w, stop in zip(group, (stops * 4).tolist(), strict=True):
-                found[w] = raw[at:stop]
-                at = stop
+            raw, at = ids.tobytes(), [0, *(stops * 4).tolist()]
+            found += [raw[i:j] for i, j in pairwise(at)]
         return found
 
     def _learn_others(self, words: set[bytes], together: int = 200) -> None:
@@ -184,8 +188,8 @@ class WordEncoder:
         kinds = as_bytes(words.dictionary)
         found = [*map(self.cache.get, kinds)]
         if None in found:
-            self._learn({w for w, ids in zip(kinds, found, strict=True) if ids is None})
-            found = [*map(self.cache.__getitem__, kinds)]
+            new = iter(self._learn([w for w, ids in zip(kinds, found, strict=True) if ids is None]))
+            found = [next(new) if ids is None else ids for ids in found]
         flat, n_ids = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) >> 2
         start, at = np.cumsum(n_ids) - n_ids, words.indices.to_numpy()
         n = n_ids[at]
