@@ -69,3 +69,19 @@ def test_tracks_over_blocks(spark):
         assert set(got) == {("a", t) for t in range(0, 95, 5)}
         assert np.allclose(got["a", 5], (5, 0)) and np.allclose(got["a", 10], (10, 0))
     assert sky.tracks(fixes.limit(0), 5, 7).count() == 0
+
+
+def test_equal_positions_meet_once(spark, monkeypatch):
+    """Many candidates and sources at one position are one pair; rows of one rid share the best match."""
+    from pulsegrid.operators import candidates as C
+
+    cand = spark.range(400).selectExpr("id % 300 as rid", "double(id % 2 * 4) as ra", "1.0 as dec", "id % 5 as dm")
+    known = spark.range(200).selectExpr("concat('s', 999 - id) as name", "double(id % 2) as ra", "1.0 as dec", "id % 3 as dm")
+    every = cand.selectExpr("rid", "ra", "dec", "dm").join(known.selectExpr("name", "ra as _ra", "dec as _dec", "dm as _dm"), F.expr("abs(dm - _dm) < 2")).withColumn("sep", separation(F.col("ra"), F.col("dec"), F.col("_ra"), F.col("_dec"))).filter("sep < 1.5")
+    best = every.groupBy("rid").agg(F.min(F.struct(F.round("sep", 9).alias("sep"), "name")).alias("m"))
+    want = cand.select("rid").join(best, "rid", "left").select("rid", F.coalesce("m.name", F.lit("None")), "m.sep")
+    pairs, near = [], sky.near
+    monkeypatch.setattr(sky, "near", lambda *a: pairs.append(near(*a)) or pairs[-1])
+    got = C.sky_match(cand, known, 1.5, 2)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert pairs[0].count() <= 10 * 6
