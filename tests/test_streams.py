@@ -105,3 +105,50 @@ def test_covariance_divides_by_one_less(spark):
     want = np.cov([[1, 2, 6], [2, 2, 5]])
     assert all(abs(got[a, b] - want[a, b]) < 1e-9 for a, b in ((0, 0), (0, 1), (1, 1)))
     assert abs(spectra.covariance(x.filter("beam = 0"), 64, 0).first().cov - want[0, 0]) < 1e-9
+
+
+def test_a_replay_reads_its_table_once(spark, tmp_path):
+    """Files of a span each, oldest first, from one pass over the table, however many there are."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    x = spark.range(0, 60, numPartitions=2).selectExpr("id * 7 as t", "id as v").mapInArrow(seen, "t long, v long")
+    search.replay(x, "t", 10, f"{tmp_path}/in")
+    assert read.value == 60
+    files = sorted(tmp_path.glob("in/*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    times = [[r.t for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert all(len({t // 10 for t in ts}) == 1 for ts in times)
+    assert sorted(sum(times, [])) == [7 * k for k in range(60)] and [max(ts) for ts in times] == sorted(max(ts) for ts in times)
+
+
+def test_micro_batches_grow_with_rows_not_with_spans(spark, tmp_path):
+    x = spark.range(4000).selectExpr("id * if(id < 2000, 1, 1000) as t", "id as v").union(spark.createDataFrame([(None, 1)], "t long, v long"))
+    for rows, most in ((500, 9), (1 << 20, 4)):
+        search.replay(x, "t", 10, f"{tmp_path}/{rows}", rows=rows)
+        files = sorted(tmp_path.glob(f"{rows}/*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+        ends = [(f[0], f[1], f[2]) for f in (spark.read.parquet(str(p)).selectExpr("min(t)", "max(t)", "count(*)").first() for p in files)]
+        assert 4 <= len(files) <= most and sum(n for *_, n in ends) == 4000
+        assert all(a[1] // 10 < b[0] // 10 for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_stream_of_an_empty_table(spark):
+    x = samples(spark).limit(0)
+    stream, folder = search.replayed(x, "t", 70)
+    assert search.run_with_state(search.search(stream, NF, F0, DF, ND), folder).count() == 0
+
+
+def test_state_has_no_more_partitions_than_cores(spark, tmp_path):
+    was = spark.conf.get(search.PARTITIONS)
+    spark.conf.set(search.PARTITIONS, 50)
+    try:
+        x = samples(spark, 20)
+        search.replay(x, "t", 10, f"{tmp_path}/in")
+        search.run_with_state(search.search(search.as_stream(spark, f"{tmp_path}/in", x.schema), NF, F0, DF, ND), str(tmp_path))
+        assert spark.conf.get(search.PARTITIONS) == "50"
+        assert len([p for p in (tmp_path / "state/state/0").iterdir() if p.name.isdigit()]) <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set(search.PARTITIONS, was)
