@@ -55,3 +55,19 @@ def test_two_stages_follow_the_whole_curve(spark):
     (best, t), most = max(power.items(), key=lambda kv: kv[1])
     assert abs(best - idm) <= 1 and most > 0.9 * nf and 0 <= t - at - idm <= 3
     assert np.isclose(sum(v for (i, _), v in power.items() if i == 0), 3 * nf)
+
+
+def test_replayed_table_is_read_once_and_until_a_match(spark):
+    """Parts arrive a few at a time; the table is not read again for each, and an empty one gives no row."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [x for k in range(12) for x in burst(100 * k, 30.0 + k, 2000 + 1000 * k, n=4 if k > 8 else 2)]
+    cand = spark.createDataFrame(rows, SCHEMA).mapInArrow(seen, SCHEMA)
+    got = trigger.first_replayed(cand, "sampno", 1000, RULES, F.lit(59000.0), few=6).collect()
+    assert [r.rid for r in got] == [903] and read.value == len(rows)
+    assert trigger.first_replayed(cand.limit(0), "sampno", 1000, RULES).count() == 0
