@@ -85,3 +85,20 @@ def test_equal_positions_meet_once(spark, monkeypatch):
     got = C.sky_match(cand, known, 1.5, 2)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
     assert pairs[0].count() <= 10 * 6
+
+
+@pytest.mark.parametrize("lists", [sky.LISTS, 0])
+def test_names_are_not_shuffled_with_candidates(spark, monkeypatch, lists):
+    """Rows of one rid share their names, however these reach them; within LISTS no exchange or sort holds them."""
+    monkeypatch.setattr(sky, "LISTS", lists)
+    cand = spark.range(400).selectExpr("id % 300 as rid", "double(id % 4 * 4) as ra", "1.0 as dec", "id % 5 as dm").distinct()
+    known = spark.range(200).selectExpr("concat('s', id % 150, ',') as name", "double(id % 9) as ra", "1.0 as dec", "id % 7 as dm")
+    every = cand.join(known.selectExpr("name", "ra as _ra", "dec as _dec", "dm as _dm"), F.expr("abs(dm - _dm) < 2")).filter(separation(F.col("ra"), F.col("dec"), F.col("_ra"), F.col("_dec")) < 1.5)
+    best = every.groupBy("rid").agg(F.min(F.struct(F.abs(F.col("dm") - F.col("_dm")), "name")).alias("m"), F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names"))
+    want = cand.select("rid").join(best, "rid", "left").select("rid", "m.name", "names")
+    got = sky.identify(cand, known, 1.5, 2)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect()))) and got.filter("main is null").count() > 0
+    if lists:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("BroadcastHashJoin")]
+        assert "Exchange" not in above and "Sort [" not in above
