@@ -152,3 +152,39 @@ def test_state_has_no_more_partitions_than_cores(spark, tmp_path):
         assert len([p for p in (tmp_path / "state/state/0").iterdir() if p.name.isdigit()]) <= spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set(search.PARTITIONS, was)
+
+
+def test_density_clusters_by_brute_force_over_blocks(spark, monkeypatch):
+    """Blocks of any width give the same; rids that repeat across beams, clusters over many blocks, border rows between two, nulls, negative times."""
+    rng = np.random.default_rng(5)
+    t = np.concatenate([rng.integers(-60, 400, 260), np.arange(500, 620, 4), [700, 705, 710, 711, 712, 705, 690, 691]])
+    rows = [(int(rng.integers(2)) if k < 260 else 0, int(x) * 8 + (int(rng.integers(3)) if k < 260 else 0), int(x), int(rng.integers(4)) if k < 260 else 1, int(rng.integers(5)) if k < 260 else 1) for k, x in enumerate(t)]
+    eps, least = 5, 3
+    close = [[a[1] != b[1] and a[0] == b[0] and sum((x - y) ** 2 for x, y in zip(a[2:], b[2:], strict=True)) <= eps * eps for b in rows] for a in rows]
+    near = {}
+    for a, met in zip(rows, close, strict=True):
+        near.setdefault(a[1], []).extend(b[1] for b, yes in zip(rows, met, strict=True) if yes)
+    core = {r for r, met in near.items() if len(met) + 1 >= least}
+    label = {r: r for r in core}
+    for _ in rows:
+        label = {r: min([label[r], *(label[b] for b in near[r] if b in core)]) for r in core}
+    want = [(r, label[r], True) for r in core] + [(r, min(label[b] for b in near[r] if b in core), False) for r in near if r not in core and any(b in core for b in near[r])]
+    assert any(not c for *_, c in want) and max(sum(x == k for _, x, _ in want) for k in core) > 20
+    schema = "beam int, rid long, sampno long, boxcar int, dm long"
+    cand = spark.createDataFrame([*rows, (None, 1, 500, 1, 1), (0, 2, 500, None, 1)], schema)
+    for width in (1, 33, 4096):
+        assert rows_of(clusters.density_clusters(cand, eps, least, width)) == sorted(want)
+    assert clusters.density_clusters(cand.limit(0), eps, least).count() == 0
+
+
+def rows_of(df):
+    return sorted((r.rid, r.cluster, r.core) for r in df.collect())
+
+
+def test_pairs_of_a_dense_burst_stay_in_a_task(spark, monkeypatch):
+    """400 rows at one place are 79,800 pairs; what is written between the steps grows with the rows."""
+    cand = spark.range(400).selectExpr("0L as beam", "id as rid", "4090 + id % 3 as sampno", "1 as boxcar", "1L as dm")
+    written, real = [], clusters.cut
+    monkeypatch.setattr(clusters, "cut", lambda df: written.append(df.count()) or real(df))
+    assert rows_of(clusters.density_clusters(cand, 6, 3)) == [(k, 0, True) for k in range(400)]
+    assert sum(written) <= 10 * 400
