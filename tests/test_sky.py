@@ -102,3 +102,24 @@ def test_names_are_not_shuffled_with_candidates(spark, monkeypatch, lists):
         plan = got._jdf.queryExecution().executedPlan().toString()
         above = plan[: plan.index("BroadcastHashJoin")]
         assert "Exchange" not in above and "Sort [" not in above
+
+
+def test_distances_of_the_radius_itself_are_settled_as_in_sql(spark):
+    """Fixes two degrees above or below a beam: SQL has some of them inside by the last bit, others outside."""
+    import duckdb
+
+    from pulsegrid.plans import registry
+
+    times = [(t, k) for k in range(25) for t in range(pow(37, -1, 36_000) * 1400 * k % 36_000, 40_000_000, 36_000) if abs(t % 97 - 48 - (3 * k - 36)) == 2]
+    fixes = spark.createDataFrame([(n, x) for n, (t, _) in enumerate(times) for x in (t, t + 5)], "sat long, t long").selectExpr("sat", "t", "t * 0.37D % 360 as ra", "double(t % 97 - 48) as dec")
+    beams = spark.range(25).selectExpr("id as beam", "id * 14D as ra", "id * 3D - 36 as dec")
+    con = duckdb.connect()
+    con.sql("create table f(sat bigint, t bigint, beam bigint)")
+    con.executemany("insert into f values (?, ?, ?)", [(n, t, k) for n, (t, k) in enumerate(times)])
+    want = con.sql(f"""with d as (select sat, t, beam, radians(t * 0.37::double % 360) as a, radians((t % 97 - 48)::double) as d, radians((t + 5) * 0.37::double % 360) as a2, radians(((t + 5) % 97 - 48)::double) as d2, 0 / 5::double as p from f),
+        u as (select *, (1 - p) * cos(d) * cos(a) + p * cos(d2) * cos(a2) as x, (1 - p) * cos(d) * sin(a) + p * cos(d2) * sin(a2) as y, (1 - p) * sin(d) + p * sin(d2) as z from d),
+        k as (select sat, t, beam, degrees(atan2(y, x)) as ra, degrees(atan2(z, sqrt(x * x + y * y))) as dec, beam * 14.0::double as ra2, beam * 3.0::double - 36 as dec2 from u)
+        select sat, t // 1000, 2.0, t, beam from k where {registry._sep('ra', 'dec', 'ra2', 'dec2')} < 2""").fetchall()
+    assert 0 < len(want) < len(times)
+    got = sky.passes(sky.tracks(fixes, 8, 4096), beams, 2.0, 1000).collect()
+    assert sorted(map(tuple, got)) == sorted((s, leg, float(sep), t, b) for s, leg, sep, t, b in want)
