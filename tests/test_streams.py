@@ -188,3 +188,13 @@ def test_pairs_of_a_dense_burst_stay_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(clusters, "cut", lambda df: written.append(df.count()) or real(df))
     assert rows_of(clusters.density_clusters(cand, 6, 3)) == [(k, 0, True) for k in range(400)]
     assert sum(written) <= 10 * 400
+
+
+def test_strongest_of_a_dense_burst(spark, monkeypatch):
+    """Two bursts of 300 rows, over the end of a block: what is written between the steps grows with the rows, not the pairs."""
+    cand = spark.range(600).selectExpr("id div 300 as beam", "id as rid", "double(id % 7) as sn", "4094 + id % 4 as sampno", "1 as boxcar", "1L as dm")
+    written, real = [], clusters.cut
+    monkeypatch.setattr(clusters, "cut", lambda df: written.append(df.count()) or real(df))
+    got = clusters.strongest_of_clusters(cand, clusters.density_clusters(cand, 6, 3))
+    assert rows(got.select("cluster", "rid", "sn", "n")) == [(0, 6, 6.0, 300), (300, 300, 6.0, 300)]
+    assert sum(written) <= 20 * 600
